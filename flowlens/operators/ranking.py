@@ -67,17 +67,26 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
     return out.drop(tmp_key) if tmp_key else out
 
 
-def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, v, n): distinct finite values of each column with their counts, one shuffle."""
+def not_nan(c) -> "F.Column":
+    x = F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
+    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+
+
+def value_counts_long(df: DataFrame, cols: list[str], finite: bool = True) -> DataFrame:
+    """(column, v, n): distinct values of each column with their counts, one shuffle.
+
+    NULL and NaN are dropped; +-inf too unless ``finite=False`` (ranks keep infinities).
+    """
+    clean = finite_or_null if finite else not_nan
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), finite_or_null(quote(c)).alias("v")) for c in cols
+        F.struct(F.lit(c).alias("column"), clean(quote(c)).alias("v")) for c in cols
     ])).alias("s")).select("s.column", "s.v").where(F.col("v").isNotNull())
     return long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_values(df: DataFrame, cols: list[str], steps: int = DEFAULT_STEPS) -> DataFrame:
-    """(column, v, n, n_below, n_total) for every distinct finite value of each column."""
-    return cumulative_by_value(value_counts_long(df, cols), ["column"], "v", ["n"], steps=steps)
+def ranked_values(df: DataFrame, cols: list[str], steps: int = DEFAULT_STEPS, finite: bool = True) -> DataFrame:
+    """(column, v, n, n_below, n_total) for every distinct value of each column."""
+    return cumulative_by_value(value_counts_long(df, cols, finite), ["column"], "v", ["n"], steps=steps)
 
 
 def quantiles_from_ranked(ranked: DataFrame, probs: list[float]) -> DataFrame:
