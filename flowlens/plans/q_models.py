@@ -1 +1,164 @@
-"""Registered queries."""
+"""Queries for model training, scoring and model ensembles (ML1-ML7, EN3, EN5, SC1, SP3, IO8, AD1, AD2).
+
+Model outputs cannot be matched value by value against SQL, so most of these are
+rows-only checks with invariant tests in ``tests/``; the class-weight table has a twin.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from flowlens import config as C
+from flowlens.operators import labelling as LB
+from flowlens.operators import models as M
+from flowlens.operators import projection as PR
+from flowlens.operators import split as SP
+from flowlens.plans.q_labels import KDD_TYPE_SQL
+from flowlens.plans.registry import query
+from flowlens.session import scratch_path
+from flowlens.sources import tables
+
+FEATURES = ["duration", "src_bytes", "dst_bytes", "conn_count", "srv_count", "serror_rate", "srv_serror_rate",
+            "same_srv_rate", "diff_srv_rate", "ttl", "dst_port"]
+CATEGORICAL = ["service"]
+LABEL = "attack_type"
+
+
+def model_frame(spark, sf_dir):
+    f = LB.add_attack_type(tables.flows(spark, sf_dir), "kdd", "target")
+    f = f.select("flow_id", "ts", "src_ip", "dst_ip", "service", *FEATURES, LABEL)
+    return PR.fill_zero(f, FEATURES)
+
+
+def split(spark, sf_dir):
+    return SP.stratified_split(model_frame(spark, sf_dir), LABEL, "flow_id", C.TEST_FRACTION)
+
+
+def fitted_forest(spark, sf_dir, preset="advanced"):
+    train, test = split(spark, sf_dir)
+    model = M.fit_pipeline(train, FEATURES, M.random_forest(preset), LABEL, categorical=CATEGORICAL)
+    return model, train, test
+
+
+@query("ML1_random_forest")
+def ml1(spark, sf_dir):
+    """Forest (200 trees, depth 15, sqrt features) fitted on the train split, test split scored."""
+    model, _, test = fitted_forest(spark, sf_dir, "advanced")
+    return M.score(model, test, keep=["flow_id", LABEL])
+
+
+@query("ML2_boosted_one_vs_rest")
+def ml2(spark, sf_dir):
+    """One-vs-rest gradient boosting (100 rounds, depth 5, rate 0.1), probabilities normalised."""
+    train, test = split(spark, sf_dir)
+    model = M.fit_pipeline(train, FEATURES, M.boosted_ovr(), LABEL, categorical=CATEGORICAL)
+    return M.score(model, test, keep=["flow_id", LABEL])
+
+
+@query("ML3_class_weights", f"""
+WITH t AS (SELECT {KDD_TYPE_SQL} AS attack_type FROM flows),
+c AS (SELECT attack_type, count(*) AS n FROM t GROUP BY 1)
+SELECT attack_type, n, (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n) AS weight FROM c""")
+def ml3(spark, sf_dir):
+    w = M.class_weights(model_frame(spark, sf_dir), LABEL)
+    return w.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
+
+
+@query("ML4_out_of_bag_score")
+def ml4(spark, sf_dir):
+    """Out-of-bag estimate: k sub-forests, each row scored by the one that did not see its fold."""
+    f = SP.assign_folds(model_frame(spark, sf_dir), LABEL, "flow_id", C.CV_FOLDS)
+    scored = None
+    for k in range(C.CV_FOLDS):
+        m = M.fit_pipeline(f.where(F.col("fold") != k), FEATURES, M.random_forest("binary"), LABEL,
+                           categorical=CATEGORICAL)
+        s = M.score(m, f.where(F.col("fold") == k), keep=["flow_id", LABEL])
+        s = s.select("flow_id", LABEL, "predicted_class")
+        scored = s if scored is None else scored.unionByName(s)
+    return scored.agg(F.avg((F.col(LABEL) == F.col("predicted_class")).cast("double")).alias("oob_score"),
+                      F.count(F.lit(1)).alias("rows"))
+
+
+@query("ML5_feature_importances")
+def ml5(spark, sf_dir):
+    model, _, _ = fitted_forest(spark, sf_dir, "advanced")
+    top = M.feature_importances(model, top=10)
+    return spark.createDataFrame(top, "feature string, importance double")
+
+
+@query("ML6_model_selection")
+def ml6(spark, sf_dir):
+    """Forest against logistic regression on the same split; best by accuracy."""
+    train, test = split(spark, sf_dir)
+    table, best, _ = M.train_and_compare(
+        train, test, FEATURES, LABEL,
+        {"random_forest": M.random_forest("advanced"),
+         "logistic_regression": LogisticRegression(labelCol="label", featuresCol="features", maxIter=100)},
+        categorical=CATEGORICAL, keep=["flow_id"])
+    return table.withColumn("best", F.col("model") == F.lit(best))
+
+
+@query("ML7_logistic_balanced")
+def ml7(spark, sf_dir):
+    train, test = split(spark, sf_dir)
+    train = M.class_weights(train, LABEL)
+    lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=1000, weightCol="weight")
+    model = M.fit_pipeline(train, FEATURES, lr, LABEL, categorical=CATEGORICAL)
+    return M.score(model, test, keep=["flow_id", LABEL])
+
+
+@query("EN3_stacking")
+def en3(spark, sf_dir):
+    """Out-of-fold forest + logistic probabilities -> balanced logistic meta learner."""
+    train, test = split(spark, sf_dir)
+    base = {"rf": lambda: M.random_forest("binary"),
+            "lr": lambda: LogisticRegression(labelCol="label", featuresCol="features", maxIter=100)}
+    out = M.stacking(train, test, FEATURES, LABEL, "flow_id", base, C.CV_FOLDS, categorical=CATEGORICAL)
+    return out.select("flow_id", LABEL, F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("EN5_ensemble_evaluation")
+def en5(spark, sf_dir):
+    """Accuracy / weighted F1 / AUC of each base model and of their soft vote."""
+    from flowlens.operators import ensemble as EN
+
+    train, test = split(spark, sf_dir)
+    rf = M.fit_pipeline(train, FEATURES, M.random_forest("binary"), LABEL, categorical=CATEGORICAL)
+    lr = M.fit_pipeline(train, FEATURES, LogisticRegression(labelCol="label", featuresCol="features", maxIter=100),
+                        LABEL, categorical=CATEGORICAL)
+    labels = M.labels_of(rf)
+    s_rf = M.score(rf, test, keep=["flow_id", LABEL])
+    s_lr = M.score(lr, test, keep=["flow_id", LABEL])
+    both = s_rf.select("flow_id", LABEL, F.array(*[f"prob_{x}" for x in labels]).alias("p_rf")).join(
+        s_lr.select("flow_id", F.array(*[f"prob_{x}" for x in labels]).alias("p_lr")), "flow_id")
+    vote = EN.soft_vote(both, ["p_rf", "p_lr"], "prediction")
+    vote = vote.select(LABEL, "prediction", "prediction_probs",
+                       *[F.col("prediction_probs")[i].alias(f"prob_{x}") for i, x in enumerate(labels)])
+    return (M.evaluate_scored(s_rf, LABEL, "random_forest", labels)
+            .unionByName(M.evaluate_scored(s_lr, LABEL, "logistic_regression", labels))
+            .unionByName(M.evaluate_scored(vote, LABEL, "soft_vote", labels)))
+
+
+@query("SC1_batch_scoring")
+def sc1(spark, sf_dir):
+    """Score every flow with a forest fitted on the train split."""
+    model, _, _ = fitted_forest(spark, sf_dir, "binary")
+    return M.score(model, model_frame(spark, sf_dir), keep=["flow_id"])
+
+
+@query("SP3_cross_validation")
+def sp3_cv(spark, sf_dir):
+    res = M.cross_val_scores(model_frame(spark, sf_dir), FEATURES, lambda: M.random_forest("binary"), LABEL,
+                             "flow_id", C.CV_FOLDS, categorical=CATEGORICAL)
+    rows = [(i, float(s)) for i, s in enumerate(res["scores"])]
+    return spark.createDataFrame(rows, "fold int, accuracy double").withColumn(
+        "mean", F.lit(res["mean"])).withColumn("pm2std", F.lit(res["pm2std"]))
+
+
+@query("IO8_model_persistence")
+def io8(spark, sf_dir):
+    """Save the fitted pipeline to the shared folder, load it back, score the test split."""
+    model, _, test = fitted_forest(spark, sf_dir, "binary")
+    path = M.save_model(model, scratch_path(spark, "rf-model"))
+    return M.score(M.load_model(path), test, keep=["flow_id", LABEL])
