@@ -1 +1,100 @@
-"""Registered queries."""
+"""Queries for the documented detection rules (DR1-DR7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens import config as C
+from flowlens.operators import evaluate as EV
+from flowlens.operators import rules as R
+from flowlens.plans.q_labels import LB1_SQL
+from flowlens.plans.registry import query
+from flowlens.sources import tables
+
+# Documented rule thresholds (fixed values): packets/s, connections/s, distinct ports/min.
+PACKET_RATE, CONNECTION_RATE, PORT_SCAN_PORTS = 1000, 100, 50
+
+
+@query("DR1_rate_per_source", """
+SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, src_ip, count(*) AS n FROM flows GROUP BY 1, 2""")
+def dr1_profile(spark, sf_dir):
+    """Connections per source per minute (the rate table the rules filter)."""
+    return R.rate_per_window(tables.flows(spark, sf_dir), "src_ip", window="1 minute")
+
+
+@query("DR1_packet_rate_alerts", f"""
+SELECT time_bucket(INTERVAL 1 SECOND, ts) AS window_start, src_ip, count(*) AS n FROM flows GROUP BY 1, 2
+HAVING count(*) > {PACKET_RATE}""")
+def dr1_packets(spark, sf_dir):
+    return R.rate_alerts(tables.flows(spark, sf_dir), "src_ip", PACKET_RATE, window="1 second")
+
+
+@query("DR1_connection_rate_alerts", f"""
+SELECT time_bucket(INTERVAL 1 SECOND, ts) AS window_start, dst_ip, count(*) AS n FROM flows GROUP BY 1, 2
+HAVING count(*) > {CONNECTION_RATE}""")
+def dr1_connections(spark, sf_dir):
+    return R.rate_alerts(tables.flows(spark, sf_dir), "dst_ip", CONNECTION_RATE, window="1 second")
+
+
+@query("DR2_port_scan_alerts", f"""
+SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, src_ip, count(DISTINCT dst_port) AS n_ports FROM flows
+GROUP BY 1, 2 HAVING count(DISTINCT dst_port) > {PORT_SCAN_PORTS}""")
+def dr2_alerts(spark, sf_dir):
+    return R.port_scan_alerts(tables.flows(spark, sf_dir), PORT_SCAN_PORTS)
+
+
+@query("DR2_distinct_ports_daily", """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, src_ip, count(DISTINCT dst_port) AS n_ports FROM flows GROUP BY 1, 2""")
+def dr2_daily(spark, sf_dir):
+    return R.distinct_ports(tables.flows(spark, sf_dir), window="1 day")
+
+
+@query("DR3_anomaly_score_alerts", "SELECT flow_id, p_a AS anomaly_score FROM scores WHERE p_a > 0.85")
+def dr3(spark, sf_dir):
+    s = tables.scores(spark, sf_dir)
+    return s.where(F.col("p_a") > C.ANOMALY_SCORE_ALERT).select("flow_id", F.col("p_a").alias("anomaly_score"))
+
+
+@query("DR4_whitelist", f"""
+SELECT flow_id, src_ip FROM scored_flows
+WHERE p_c > 0.55 AND src_ip NOT IN (SELECT DISTINCT concat('10.0.0.', cast(user_id % 250 AS varchar)) FROM events WHERE user_id % 250 < 10)""")
+def dr4(spark, sf_dir):
+    """Alerts minus a whitelist of trusted sources (the sources of users 0-9)."""
+    ev = tables.read_table(spark, sf_dir, "events", ["user_id"])
+    wl = ev.where(F.col("user_id") % 250 < 10).select(
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("src_ip"))
+    alerts = tables.scored_flows(spark, sf_dir).where(F.col("p_c") > C.ATTACK_THRESHOLD).select("flow_id", "src_ip")
+    return R.whitelist_filter(alerts, wl, "src_ip")
+
+
+@query("DR5_top_features")
+def dr5(spark, sf_dir):
+    from flowlens.plans.q_models import FEATURES, model_frame
+
+    f = model_frame(spark, sf_dir).withColumn("y", F.when(F.col("attack_type") == "Normal", 0).otherwise(1))
+    out, chosen = R.select_top_features(f, FEATURES, "y", k=5)
+    return out.select("flow_id", *chosen)
+
+
+@query("DR6_threshold_for_fpr", """
+WITH d AS (SELECT p_c::DOUBLE AS s, sum(y) AS pos, sum(1 - y) AS neg FROM scores GROUP BY 1),
+c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp,
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM d),
+r AS (SELECT s AS threshold, fp::DOUBLE / N AS fpr, tp::DOUBLE / P AS tpr FROM c)
+SELECT * FROM r WHERE fpr <= 0.01 ORDER BY tpr DESC, threshold DESC LIMIT 1""")
+def dr6(spark, sf_dir):
+    roc = EV.roc_points(tables.scores(spark, sf_dir), F.col("y") == 1, "p_c")
+    return R.tune_threshold(roc, 0.01)
+
+
+@query("DR7_baseline_deviation", f"""
+WITH f AS (SELECT flow_id, service, src_bytes, {LB1_SQL} = 0 AS is_normal FROM flows),
+b AS (SELECT service, avg(src_bytes) AS base_mean, stddev_samp(src_bytes) AS base_std FROM f WHERE is_normal GROUP BY 1)
+SELECT flow_id, service, src_bytes, is_normal, base_mean, base_std,
+       (src_bytes - base_mean) / nullif(base_std, 0) AS deviation FROM f LEFT JOIN b USING (service)""")
+def dr7(spark, sf_dir):
+    from flowlens.functions.labels import binary_label
+
+    f = tables.flows(spark, sf_dir).select("flow_id", "service", "src_bytes",
+                                           (binary_label("target", "normal") == 0).alias("is_normal"))
+    return R.baseline_deviation(f, "service", "src_bytes", "is_normal")
