@@ -28,3 +28,221 @@ def decision_rule(df: DataFrame, anomaly_score: str, contamination: float = C.CO
 def anomaly_counts(df: DataFrame, model_col: str = "model", pred_col: str = "prediction") -> DataFrame:
     """AD3: anomalies per model."""
     return df.groupBy(model_col).agg(F.sum((F.col(pred_col) == -1).cast("int")).cast("bigint").alias("anomaly_count"))
+
+
+# ---------------------------------------------------------------------------------------------
+# AD1: isolation forest (Liu, Ting & Zhou, 2008) as a Spark job
+# ---------------------------------------------------------------------------------------------
+
+def _c(n: float) -> float:
+    """Average path length of an unsuccessful search in a binary search tree of n points."""
+    import math
+
+    if n <= 1:
+        return 0.0
+    if n == 2:
+        return 1.0
+    return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+
+def _grow_tree(pdf, features: list[str], psi: int, seed: int):
+    """Grow one isolation tree on <= psi rows; node arrays in breadth-first layout."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    tree_id = int(pdf["tree"].iloc[0])
+    x = pdf[features].to_numpy(dtype="float64")
+    rng = np.random.default_rng(seed * 100_003 + tree_id)
+    max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    feat, thr, left, right, size = [], [], [], [], []
+    queue = [(np.arange(len(x)), 0)]
+    # Breadth-first: nodes get ids in the order they leave the queue.
+    while queue:
+        idx, depth = queue.pop(0)
+        node = len(feat)
+        feat.append(-1)
+        thr.append(0.0)
+        left.append(-1)
+        right.append(-1)
+        size.append(len(idx))
+        if depth >= max_depth or len(idx) <= 1:
+            continue
+        sub = x[idx]
+        lo, hi = sub.min(axis=0), sub.max(axis=0)
+        usable = np.flatnonzero(hi > lo)
+        if usable.size == 0:
+            continue
+        f = int(rng.choice(usable))
+        t = float(rng.uniform(lo[f], hi[f]))
+        go_left = sub[:, f] < t
+        feat[node], thr[node] = f, t
+        queue.append((idx[go_left], depth + 1))
+        queue.append((idx[~go_left], depth + 1))
+    # The i-th split node's children were queued i-th, so they hold ids 2i+1 and 2i+2.
+    nxt = 1
+    for node in range(len(feat)):
+        if feat[node] >= 0:
+            left[node], right[node] = nxt, nxt + 1
+            nxt += 2
+    return pd.DataFrame({"tree": [tree_id], "feat": [feat], "thr": [thr], "left": [left], "right": [right],
+                         "size": [size]})
+
+
+def fit_isolation_forest(df: DataFrame, features: list[str], key: str, n_trees: int = 100, psi: int = 256,
+                         seed: int = C.SEED) -> dict:
+    """AD1 fit: sample psi rows per tree by hash, grow the trees in parallel (one group per tree).
+
+    Only about ``n_trees * psi`` rows ever reach Python.  Sampling: a Bernoulli pre-sample
+    down to ~4 * n_trees * psi rows, then each kept row joins the trees whose hash for it is
+    below the per-tree rate, and every tree keeps its psi smallest hashes.
+    """
+    n = df.count()
+    psi = int(min(psi, n))
+    base = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    frac = min(1.0, 4.0 * n_trees * psi / max(n, 1))
+    pre = base.sample(False, frac, seed) if frac < 1.0 else base
+    m = max(1.0, n * frac)
+    rate = min(1.0, 2.0 * psi / m)
+    h = lambda t: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), t, F.col(key).cast("string"))), 1, 8),
+                          16, 10).cast("double") / float(16 ** 8))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(rate))
+    cand = pre.select("*", F.explode(trees).alias("tree"))
+    cand = cand.withColumn("__h", h(F.col("tree")))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("tree").orderBy("__h", key)
+    sample = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).drop("__r", "__h")
+    schema = "tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
+    grown = sample.groupBy("tree").applyInPandas(lambda pdf: _grow_tree(pdf, features, psi, seed), schema)
+    rows = grown.collect()   # n_trees small arrays (<= 2 * psi nodes each)
+    return {"features": features, "psi": psi, "trees": [r.asDict() for r in rows]}
+
+
+def isolation_scores(df: DataFrame, model: dict, keep: list[str], out: str = "anomaly_score") -> DataFrame:
+    """AD1 score: 2 ** (-E[h(x)] / c(psi)) per row, computed batch-wise with numpy in mapInPandas."""
+    import numpy as np
+
+    spark = df.sparkSession
+    b = spark.sparkContext.broadcast(model)
+    features = model["features"]
+
+    def score(it):
+        mdl = b.value
+        c_psi = _c(mdl["psi"])
+        # Per node: path-length correction c(size) for the points a leaf still holds.
+        trees = [(np.array(t["feat"]), np.array(t["thr"]), np.array(t["left"]), np.array(t["right"]),
+                  np.array([_c(s) for s in t["size"]])) for t in mdl["trees"]]
+        for pdf in it:
+            x = pdf[features].to_numpy(dtype="float64")
+            total = np.zeros(len(x))
+            for feat, thr, left, right, leaf_c in trees:
+                node = np.zeros(len(x), dtype=np.int64)
+                depth = np.zeros(len(x))
+                while True:
+                    f = feat[node]
+                    active = f >= 0
+                    if not active.any():
+                        break
+                    xi = x[np.arange(len(x)), np.where(active, f, 0)]
+                    go_left = xi < thr[node]
+                    nxt = np.where(go_left, left[node], right[node])
+                    node = np.where(active, nxt, node)
+                    depth = depth + active
+                total += depth + leaf_c[node]
+            mean = total / max(len(trees), 1)
+            pdf = pdf[keep].copy()
+            pdf[out] = np.power(2.0, -mean / c_psi) if c_psi > 0 else 0.5
+            yield pdf
+
+    fields = [f for f in df.schema.fields if f.name in keep]
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
+    clean = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__f_{i}")
+                               for i, c in enumerate(features)])
+    # Feature columns travel under private names so they never clash with kept columns.
+    renamed = {f"__f_{i}": c for i, c in enumerate(features)}
+
+    def score_renamed(it):
+        def fix(it2):
+            for pdf in it2:
+                yield pdf.rename(columns=renamed)
+        yield from score(fix(it))
+
+    return clean.mapInPandas(score_renamed, schema)
+
+
+# ---------------------------------------------------------------------------------------------
+# AD2: one-class model on random Fourier features (Rahimi & Recht, 2007)
+# ---------------------------------------------------------------------------------------------
+
+def fit_one_class(df: DataFrame, features: list[str], nu: float = C.CONTAMINATION, n_components: int = 100,
+                  iterations: int = 30, lr: float = 0.5, seed: int = C.SEED) -> dict:
+    """AD2 fit: RBF kernel approximated by random Fourier features, gamma = 1 / (d * Var(X)).
+
+    Objective 1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.z) - rho, by subgradient steps whose
+    sums are Spark aggregates over the (checkpointed) embedded rows; rho is finally set to
+    the nu-quantile of w.z so that about nu of the training rows fall outside.
+    """
+    import numpy as np
+
+    d = len(features)
+    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    # Var(X) over all values = E[x^2] - E[x]^2 across every feature.
+    st = x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
+               *[F.avg(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(features)],
+               F.count(F.lit(1)).alias("n")).first()
+    mean_all = sum(st[f"m{i}"] for i in range(d)) / d
+    sq_all = sum(st[f"q{i}"] for i in range(d)) / d
+    var = max(sq_all - mean_all ** 2, 1e-12)
+    gamma = 1.0 / (d * var)
+    rng = np.random.default_rng(seed)
+    W = rng.normal(0.0, np.sqrt(2 * gamma), size=(n_components, d))
+    bias = rng.uniform(0, 2 * np.pi, size=n_components)
+    model = {"features": features, "W": W.tolist(), "b": bias.tolist(), "gamma": gamma, "nu": nu}
+    z = embed(x, model, keep=[]).checkpoint()
+    n = st["n"]
+    zsum = np.array(z.agg(F.array(*[F.sum(F.col("z")[i]) for i in range(n_components)])).first()[0])
+    w = zsum / n
+    rho = 0.0
+    for it in range(iterations):
+        margin = F.aggregate(F.zip_with(F.col("z"), F.array(*[F.lit(float(v)) for v in w]), lambda a, c: a * c),
+                             F.lit(0.0), lambda acc, v: acc + v)
+        viol = z.where(margin < F.lit(rho))
+        row = viol.agg(F.count(F.lit(1)).alias("k"),
+                       F.array(*[F.sum(F.col("z")[i]) for i in range(n_components)]).alias("s")).first()
+        k = row["k"]
+        s = np.array(row["s"]) if k else np.zeros(n_components)
+        grad_w = w - s / (nu * n)
+        grad_rho = k / (nu * n) - 1.0
+        step = lr / (1 + it)
+        w = w - step * grad_w
+        rho = rho - step * grad_rho
+    margin = F.aggregate(F.zip_with(F.col("z"), F.array(*[F.lit(float(v)) for v in w]), lambda a, c: a * c),
+                         F.lit(0.0), lambda acc, v: acc + v)
+    q = quantile_table(z.select(margin.alias("__m")), ["__m"], [nu])
+    model.update({"w": w.tolist(), "rho": q["__m"][round(nu, 12)]})
+    return model
+
+
+def embed(df: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """sqrt(2/D) cos(W x + b) as an array column ``z`` (JVM-side array arithmetic)."""
+    W, bias = model["W"], model["b"]
+    D = len(W)
+    xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in model["features"]]
+    comps = []
+    for j in range(D):
+        lin = sum((xs[i] * F.lit(float(W[j][i])) for i in range(len(xs))), F.lit(float(bias[j])))
+        comps.append(F.cos(lin) * F.lit((2.0 / D) ** 0.5))
+    return df.select(*keep, F.array(*comps).alias("z"))
+
+
+def one_class_scores(df: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """AD2 score: decision = w.z(x) - rho, prediction -1 when decision < 0."""
+    z = embed(df, model, keep)
+    margin = F.aggregate(F.zip_with(F.col("z"), F.array(*[F.lit(float(v)) for v in model["w"]]), lambda a, c: a * c),
+                         F.lit(0.0), lambda acc, v: acc + v)
+    return z.select(*keep, (margin - F.lit(model["rho"])).alias("decision")).withColumn(
+        "prediction", F.when(F.col("decision") < 0, -1).otherwise(1))

@@ -162,3 +162,30 @@ def io8(spark, sf_dir):
     model, _, test = fitted_forest(spark, sf_dir, "binary")
     path = M.save_model(model, scratch_path(spark, "rf-model"))
     return M.score(M.load_model(path), test, keep=["flow_id", LABEL])
+
+
+AD_FEATURES = ["duration", "src_bytes", "dst_bytes", "conn_count", "srv_count", "serror_rate", "same_srv_rate"]
+
+
+@query("AD1_isolation_forest")
+def ad1(spark, sf_dir):
+    """Fit 100 trees of 256 sampled normal rows, score every flow, flag the 10 % most isolated."""
+    from flowlens.operators import anomaly as AD
+
+    f = model_frame(spark, sf_dir)
+    forest = AD.fit_isolation_forest(f.where(F.col(LABEL) == "Normal"), AD_FEATURES, "flow_id")
+    scored = AD.isolation_scores(f, forest, keep=["flow_id", LABEL])
+    # Offset fitted on the training (normal) rows, applied to every row.
+    _, offset = AD.decision_rule(scored.where(F.col(LABEL) == "Normal"), "anomaly_score", C.CONTAMINATION)
+    out, _ = AD.decision_rule(scored, "anomaly_score", C.CONTAMINATION, offset=offset)
+    return out
+
+
+@query("AD2_one_class")
+def ad2(spark, sf_dir):
+    """Random-Fourier-feature one-class model fitted on normal rows, every flow scored."""
+    from flowlens.operators import anomaly as AD
+
+    f = model_frame(spark, sf_dir)
+    model = AD.fit_one_class(f.where(F.col(LABEL) == "Normal"), AD_FEATURES)
+    return AD.one_class_scores(f, model, keep=["flow_id", LABEL])
