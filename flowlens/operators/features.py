@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 
 from flowlens import config as C
 from flowlens.functions.exprs import numeric_columns, quote, safe_div, string_columns
-from flowlens.operators.common import checked_broadcast
 from flowlens.operators.ranking import quantile_table, ranked_values
 
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
@@ -112,19 +111,25 @@ class FeatureModel:
         return out
 
 
-def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile") -> DataFrame:
+def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile",
+                     broadcast_max: int = 1_000_000) -> DataFrame:
     """FE3: rank(pct=True) with average ties over non-null values, one column per input.
 
-    One shuffle ranks all columns; each column then joins back its (value -> pct) table.
+    One shuffle ranks all columns.  The (column, value, pct) table is checkpointed to the
+    shared checkpoint folder: it is read once per column, and its per-column sizes (one
+    aggregate) decide whether each join-back broadcasts or shuffles.
     """
     ranked = ranked_values(df, cols, finite=False).select(
-        "column", "v", ((F.col("n_below") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias("pct"))
+        "column", "v", ((F.col("n_below") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias("pct")).checkpoint()
+    sizes = {r["column"]: r["count"] for r in ranked.groupBy("column").count().collect()}
     out = df
     for c in cols:
         table = ranked.where(F.col("column") == c).select(F.col("v").alias(f"__v_{c}"), F.col("pct").alias(f"{c}{suffix}"))
+        if sizes.get(c, 0) <= broadcast_max:
+            table = F.broadcast(table)
         key = F.when(F.isnan(F.col(quote(c)).cast("double")), None).otherwise(F.col(quote(c)).cast("double"))
         out = out.withColumn(f"__k_{c}", key).join(
-            checked_broadcast(table), F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left").drop(f"__k_{c}", f"__v_{c}")
+            table, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left").drop(f"__k_{c}", f"__v_{c}")
     return out
 
 
@@ -145,47 +150,57 @@ class FeatureEngineer:
             stat_cols = []
         time_cols = [c for c in C.TIME_COLUMNS if c in df.columns]
         stats = {}
+        # One rank pass serves the quartiles of the statistical columns and the quintile
+        # edges of the time columns (timestamps ranked as epoch seconds).
+        qcols = list(dict.fromkeys(stat_cols + time_cols))
+        qdf = df.select(*[_num(c, types).alias(c) for c in qcols])
+        q = quantile_table(qdf, qcols, sorted(set([0.25, 0.5, 0.75] + QUINTILE_PROBS))) if qcols else {}
         if stat_cols:
             row = df.agg(*[F.avg(quote(c)).alias(f"m{i}") for i, c in enumerate(stat_cols)],
                          *[F.stddev_samp(quote(c)).alias(f"s{i}") for i, c in enumerate(stat_cols)]).first()
-            q = quantile_table(df, stat_cols, [0.25, 0.5, 0.75])
             for i, c in enumerate(stat_cols):
                 stats[c] = {"mean": row[f"m{i}"], "std": row[f"s{i}"], "median": q[c].get(0.5),
                             "q25": q[c].get(0.25), "q75": q[c].get(0.75)}
         edges = {}
-        if time_cols:
-            tdf = df.select(*[_num(c, types).alias(c) for c in time_cols])
-            q = quantile_table(tdf, time_cols, QUINTILE_PROBS)
-            for c in time_cols:
-                vals = [q[c].get(p) for p in QUINTILE_PROBS]
-                edges[c] = sorted({v for v in vals if v is not None})
+        for c in time_cols:
+            vals = [q[c].get(p) for p in QUINTILE_PROBS]
+            edges[c] = sorted({v for v in vals if v is not None})
         entropies = self._entropies(df)
         return FeatureModel({"stat_columns": stat_cols, "stats": stats, "time_columns": time_cols,
                              "quintile_edges": edges, "entropies": entropies, "percentile_suffix": self.suffix})
 
     def _entropies(self, df: DataFrame) -> dict:
+        """FE12 + FE13 in two passes: one for min / max / distinct counts, one for all entropies."""
         out = {}
-        strs = [c for c in string_columns(df, self.exclude)]
-        # FE12: first five string columns with more than one distinct value (NULL counts as one).
-        picked = []
-        if strs:
-            nd = df.agg(*[(F.count_distinct(quote(c)) + F.max(F.col(quote(c)).isNull().cast("int"))).alias(c)
-                          for c in strs]).first()
-            picked = [c for c in strs if (nd[c] or 0) > 1][: C.ENTROPY_STRING_COLUMNS]
-        for c in picked:
-            out[f"{c}_entropy"] = entropy_of(df, F.col(quote(c))).first()["entropy"]
-        # FE13: first three original columns whose name contains 'byte', 10 equal-width bins.
+        strs = string_columns(df, self.exclude)
         byte_cols = [c for c in df.columns if "byte" in c.lower() and c in numeric_columns(df)]
-        if byte_cols:
-            mm = df.agg(*[F.min(quote(c)).alias(f"lo{i}") for i, c in enumerate(byte_cols)],
-                        *[F.max(quote(c)).alias(f"hi{i}") for i, c in enumerate(byte_cols)],
-                        *[F.count_distinct(quote(c)).alias(f"nd{i}") for i, c in enumerate(byte_cols)]).first()
-            chosen = [(i, c) for i, c in enumerate(byte_cols) if (mm[f"nd{i}"] or 0) > 1][: C.ENTROPY_BYTE_COLUMNS]
-            for i, c in chosen:
-                lo, hi = float(mm[f"lo{i}"]), float(mm[f"hi{i}"])
-                inner = [lo + k * (hi - lo) / C.ENTROPY_BINS for k in range(1, C.ENTROPY_BINS)]
-                b = bin_by_edges(F.col(quote(c)).cast("double"), [lo] + inner + [hi])
-                out[f"{c}_entropy"] = entropy_of(df, b).first()["entropy"]
+        if not strs and not byte_cols:
+            return out
+        # Pass 1: distinct counts (NULL counts as a value for the string test) and byte ranges.
+        first = df.agg(*[(F.count_distinct(quote(c)) + F.max(F.col(quote(c)).isNull().cast("int"))).alias(f"d{i}")
+                         for i, c in enumerate(strs)],
+                       *[F.min(quote(c)).alias(f"lo{i}") for i, c in enumerate(byte_cols)],
+                       *[F.max(quote(c)).alias(f"hi{i}") for i, c in enumerate(byte_cols)],
+                       *[F.count_distinct(quote(c)).alias(f"nd{i}") for i, c in enumerate(byte_cols)]).first()
+        picked = [c for i, c in enumerate(strs) if (first[f"d{i}"] or 0) > 1][: C.ENTROPY_STRING_COLUMNS]
+        chosen = [(i, c) for i, c in enumerate(byte_cols) if (first[f"nd{i}"] or 0) > 1][: C.ENTROPY_BYTE_COLUMNS]
+        items = [F.struct(F.lit(f"{c}_entropy").alias("k"), F.col(quote(c)).cast("string").alias("v")) for c in picked]
+        for i, c in chosen:
+            lo, hi = float(first[f"lo{i}"]), float(first[f"hi{i}"])
+            inner = [lo + k * (hi - lo) / C.ENTROPY_BINS for k in range(1, C.ENTROPY_BINS)]
+            b = bin_by_edges(F.col(quote(c)).cast("double"), [lo] + inner + [hi])
+            items.append(F.struct(F.lit(f"{c}_entropy").alias("k"), b.cast("string").alias("v")))
+        if not items:
+            return out
+        # Pass 2: counts per (feature, value) for every feature at once; entropy per feature.
+        counts = (df.select(F.explode(F.array(*items)).alias("e")).select("e.k", "e.v")
+                  .where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
+        p = F.col("n") / F.sum("n").over(Window.partitionBy("k"))
+        ent = counts.select("k", p.alias("p")).groupBy("k").agg(
+            (-F.sum(F.col("p") * F.log2(F.col("p") + F.lit(C.ENTROPY_EPS)))).alias("entropy"))
+        values = {r["k"]: r["entropy"] for r in ent.collect()}
+        for name in [f"{c}_entropy" for c in picked] + [f"{c}_entropy" for _, c in chosen]:
+            out[name] = values.get(name)
         return out
 
 
