@@ -14,13 +14,16 @@ from flowlens.plans.registry import query
 from flowlens.sources import tables
 
 NUMS = ["duration", "src_bytes", "dst_bytes", "diff_srv_rate", "ttl", "flow_rate"]
-STRS = ["src_ip", "protocol_type", "flag"]
+STRS = ["flow_tag", "protocol_type", "flag"]
 PASS = ["flow_id", "unified_label", "source_dataset"]
+FLOW_STRS = ["src_ip", "protocol_type", "flag", "service", "dst_ip"]
 KDD = C.default_datasets("/")["nsl_kdd_train"]
 
 
 def base(spark, sf_dir):
+    """Flows with a per-row text tag (always above the cardinality limit, so always dropped)."""
     f = LB.prepare_labels(tables.flows(spark, sf_dir), KDD, "nsl_kdd_train")
+    f = f.withColumn("flow_tag", F.concat(F.lit("f"), F.col("flow_id").cast("string")))
     return f.select(*PASS[:1], *STRS, *NUMS, *PASS[1:])
 
 
@@ -29,8 +32,8 @@ def fin(c: str) -> str:
 
 
 BASE_SQL = f"""base AS (
-  SELECT flow_id, {", ".join(STRS)}, {", ".join(NUMS)}, {LB1_SQL} AS unified_label,
-         'nsl_kdd_train' AS source_dataset FROM flows)"""
+  SELECT flow_id, concat('f', cast(flow_id AS varchar)) AS flow_tag, protocol_type, flag, {", ".join(NUMS)},
+         {LB1_SQL} AS unified_label, 'nsl_kdd_train' AS source_dataset FROM flows)"""
 SPLIT_SQL = f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY unified_label ORDER BY {HASH_SQL}, flow_id) AS rn,
          count(*) OVER (PARTITION BY unified_label) AS n_lab FROM base),
@@ -44,15 +47,15 @@ def prep_sql(fit: str, apply: str, scale: bool = True) -> str:
     if fit != "base" or apply != "base":
         ctes.append(SPLIT_SQL)
     ctes.append("med AS (SELECT " + ", ".join(f"quantile_cont({fin(c)}, 0.5) AS {c}" for c in NUMS) + f" FROM {fit})")
-    # src_ip (250 distinct values) is dropped at fit; the twin keeps only the others and
-    # returns no rows unless src_ip really exceeds the cardinality limit.
+    # flow_tag (one value per row) is dropped at fit; the twin keeps only the others and
+    # returns no rows unless flow_tag really exceeds the cardinality limit.
     kept = []
     for c in STRS:
         ctes.append(f"""nd_{c} AS (SELECT count(DISTINCT {c}) AS nd FROM {fit})""")
         ctes.append(f"""mode_{c} AS (SELECT {c} AS v FROM {fit} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""")
         ctes.append(f"""cat_{c} AS (SELECT v, cast(dense_rank() OVER (ORDER BY v) - 1 AS double) AS code
                        FROM (SELECT DISTINCT {c} AS v FROM {fit} WHERE {c} IS NOT NULL) d)""")
-        if c != "src_ip":
+        if c != "flow_tag":
             kept.append(c)
 
     def imputed(src: str) -> str:
@@ -72,7 +75,7 @@ def prep_sql(fit: str, apply: str, scale: bool = True) -> str:
     out = [f"({c} - m_{c}) / (CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1 ELSE s_{c} END) AS {c}" if scale else c
            for c in feats]
     return ("WITH " + ",\n".join(ctes) + "\nSELECT flow_id, unified_label, source_dataset, " + ", ".join(out) +
-            " FROM imp_app CROSS JOIN st WHERE (SELECT nd FROM nd_src_ip) > 100")
+            " FROM imp_app CROSS JOIN st WHERE (SELECT nd FROM nd_flow_tag) > 100")
 
 
 @query("PP1_median_impute_fit", " UNION ALL ".join(
@@ -84,9 +87,9 @@ def pp1(spark, sf_dir):
 @query("PP2_PP3_string_fit", " UNION ALL ".join(f"""
 SELECT '{c}' AS column, (SELECT count(DISTINCT {c}) FROM flows) AS n_distinct,
        (SELECT {c} FROM flows WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode,
-       (SELECT count(DISTINCT {c}) FROM flows) > 100 AS dropped""" for c in STRS + ["service", "dst_ip"]))
+       (SELECT count(DISTINCT {c}) FROM flows) > 100 AS dropped""" for c in FLOW_STRS))
 def pp2_pp3(spark, sf_dir):
-    st = PP.string_stats(tables.flows(spark, sf_dir), STRS + ["service", "dst_ip"])
+    st = PP.string_stats(tables.flows(spark, sf_dir), FLOW_STRS)
     return st.select("column", "n_distinct", "mode", (F.col("n_distinct") > C.HIGH_CARDINALITY).alias("dropped"))
 
 
