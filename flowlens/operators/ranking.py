@@ -28,11 +28,16 @@ SKETCH_ACCURACY = 10_000
 
 
 def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: list[str],
-                        steps: int = DEFAULT_STEPS, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                        steps: int = DEFAULT_STEPS, accuracy: int = SKETCH_ACCURACY,
+                        materialize: bool = True) -> DataFrame:
     """Add ``<m>_below`` (sum of m over smaller values of the same key) and ``<m>_total``.
 
-    ``agg`` must hold one row per (keys, value) with non-null values.
+    ``agg`` must hold one row per (keys, value) with non-null values.  It is read by three
+    branches (sketch, bucket totals, final window), so by default it is checkpointed once
+    to the shared checkpoint folder instead of being recomputed from the raw scan.
     """
+    if materialize:
+        agg = agg.checkpoint()
     keys = list(keys)
     tmp_key = None
     if not keys:
