@@ -350,3 +350,79 @@ GROUP BY 1, 2""")
 def sp3(spark, sf_dir):
     folds = SP.assign_folds(tables.scores(spark, sf_dir).select("flow_id", "y"), "y", "flow_id", 5)
     return folds.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- sinks and the packet source -------------------------------------------------------------
+
+
+@query("IO6_csv_export", f"""
+SELECT flow_id, y AS true_label, CASE WHEN p_c > 0.55 THEN 1 ELSE 0 END AS predicted_label
+FROM scores WHERE y = 0 AND p_c > 0.55""")
+def io6(spark, sf_dir):
+    """False-positive rows exported as CSV to the shared folder and read back."""
+    from flowlens.operators import evaluate as EV
+
+    s = tables.scores(spark, sf_dir).withColumn("pred", (F.col("p_c") > C.ATTACK_THRESHOLD).cast("int"))
+    fp, _ = EV.false_predictions(s, "y", "pred")
+    out = fp.select("flow_id", "true_label", "predicted_label")
+    path = write_table(out, scratch_path(spark, "fp-export"), fmt="csv")
+    return spark.read.option("header", True).schema(out.schema).csv(path)
+
+
+@query("IO7_json_report", """
+SELECT count(*) AS total, cast(sum(CASE WHEN p_c > 0.55 THEN 1 ELSE 0 END) AS bigint) AS attack FROM scores""")
+def io7(spark, sf_dir):
+    """Counters written as a one-line JSON report by Spark, then read back."""
+    from flowlens.operators import alerts as A
+    from flowlens.sources.sinks import read_report, write_report
+
+    s = tables.scores(spark, sf_dir).withColumn("is_attack", F.col("p_c") > C.ATTACK_THRESHOLD)
+    c = A.counters(s).first()
+    path = write_report(spark, {"total": c["total"], "attack": c["attack"]}, scratch_path(spark, "report"))
+    rep = read_report(spark, path)
+    return spark.createDataFrame([(rep["total"], rep["attack"])], "total bigint, attack bigint")
+
+
+@query("IO9_packet_stream", """
+SELECT flow_id, cast(src_bytes AS double) AS src_bytes,
+  CASE WHEN flow_id % 5 = 0 THEN 0.0::DOUBLE ELSE cast(dst_bytes AS double) END AS dst_bytes,
+  CASE WHEN flow_id % 7 = 0 THEN 0.0::DOUBLE ELSE duration END AS duration,
+  cast(conn_count AS double) AS count, cast(srv_count AS double) AS srv_count, 0.0::DOUBLE AS feat_0
+FROM flows""")
+def io9(spark, sf_dir):
+    """Loose JSON packets arrive as files; the stream orders their features for scoring."""
+    from pyspark.sql import types as T
+
+    from flowlens.streaming import stream as ST
+
+    f = tables.flows(spark, sf_dir)
+    m = F.map_filter(F.create_map(
+        F.lit("src_bytes"), F.col("src_bytes").cast("string"),
+        F.lit("dst_bytes"), F.when(F.col("flow_id") % 5 != 0, F.col("dst_bytes").cast("string")),
+        F.lit("duration"), F.when(F.col("flow_id") % 7 == 0, F.lit("abc")).otherwise(F.col("duration").cast("string")),
+        F.lit("count"), F.concat(F.lit(" "), F.col("conn_count").cast("string"), F.lit(" ")),
+        F.lit("srv_count"), F.col("srv_count").cast("string"),
+    ), lambda k, v: v.isNotNull())
+    src, out, ck = scratch_path(spark, "packets"), scratch_path(spark, "packets-out"), scratch_path(spark, "packets-ck")
+    f.select("flow_id", "ts", m.alias("packet")).write.mode("overwrite").json(src)
+    schema = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("ts", T.StringType()),
+                           T.StructField("packet", T.MapType(T.StringType(), T.StringType()))])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).json(src)
+    ST.run_available_now(PR.packet_features(stream, "packet", PACKET_ORDER, keep=["flow_id"]), ck, out)
+    return spark.read.parquet(out)
+
+
+@query("SC5_attack_class_index", f"""
+SELECT label, cast(dense_rank() OVER (ORDER BY label) - 1 AS int) AS label_index,
+       label = 'Attack' AS is_attack_class FROM (
+  SELECT DISTINCT CASE WHEN {LB1_SQL} = 0 THEN 'Normal' ELSE 'Attack' END AS label FROM flows) d""")
+def sc5(spark, sf_dir):
+    """The attack class is found by name among the fitted labels (not assumed at index 0 or 1)."""
+    from flowlens.operators.scoring import attack_index
+
+    df = tables.flows(spark, sf_dir).select(
+        F.when(L.binary_label("target", "normal") == 0, "Normal").otherwise("Attack").alias("label"))
+    idx = LB.LabelIndex.fit(df, "label")
+    pos = attack_index(idx.labels(), "Attack")
+    return idx.mapping.select(F.col("__label").alias("label"), F.col("label_index").cast("int").alias("label_index"),
+                              (F.col("label_index") == pos).alias("is_attack_class"))

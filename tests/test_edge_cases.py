@@ -129,3 +129,21 @@ def test_fill_zero_and_inf_to_null(spark):
     assert z.a == 0 and z.b == 0.0 and z.c == float("inf") and z.s == "s"
     n = PR.nonfinite_to_null(df).first()
     assert n.b is None and n.c is None
+
+
+def test_label_discovery_exact_and_alternative(spark):
+    from flowlens.operators import labelling as LB
+
+    df = spark.createDataFrame([(1, "x", "y")], "id int, Attack_Label string, Class string")
+    assert LB.find_exact_label(df) == "Class"           # LB5: exact lower-case name
+    assert LB.find_alt_label(df) == "Attack_Label"      # LB2: first name containing label/attack/target
+
+
+def test_feature_families_only_when_inputs_exist(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3)) for i in range(120)], "src_bytes double, serror_rate double")
+    out = FE.FeatureEngineer(exclude=[]).fit(df).transform(df, with_percentile=False)
+    cols = set(out.columns)
+    assert "bytes_per_seconds" not in cols and "duration_log" not in cols      # no duration column
+    assert "total_error_rate" not in cols                                      # pair incomplete
+    assert "bytes_ratio" not in cols                                           # no dst_bytes
+    assert "src_bytes_zscore" in cols and "src_bytes_entropy" in cols
