@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,16 +46,6 @@ def bin_by_edges(x: Column, edges: list[float]) -> Column:
     return F.when(x.isNotNull(), idx)
 
 
-def entropy_of(df: DataFrame, expr: Column, eps: float = C.ENTROPY_EPS) -> DataFrame:
-    """FE12: -sum(p * log2(p + eps)) over the non-null values of ``expr`` (one row)."""
-    counts = df.select(expr.alias("__v")).where(F.col("__v").isNotNull()).groupBy("__v").agg(
-        F.count(F.lit(1)).alias("__n"))
-    # The window runs over the distinct values only (one row per category / bin).
-    p = F.col("__n") / F.sum("__n").over(Window.partitionBy())
-    return counts.select(p.alias("__p")).agg(
-        (-F.sum(F.col("__p") * F.log2(F.col("__p") + F.lit(eps)))).alias("entropy"))
-
-
 class FeatureModel:
     def __init__(self, state: dict):
         self.state = state
@@ -179,12 +169,16 @@ class FeatureEngineer:
         # Pass 1: distinct counts (NULL counts as a value for the string test) and byte ranges.
         first = df.agg(*[(F.count_distinct(quote(c)) + F.max(F.col(quote(c)).isNull().cast("int"))).alias(f"d{i}")
                          for i, c in enumerate(strs)],
+                       *[F.count(quote(c)).alias(f"sn{i}") for i, c in enumerate(strs)],
                        *[F.min(quote(c)).alias(f"lo{i}") for i, c in enumerate(byte_cols)],
                        *[F.max(quote(c)).alias(f"hi{i}") for i, c in enumerate(byte_cols)],
+                       *[F.count(quote(c)).alias(f"bn{i}") for i, c in enumerate(byte_cols)],
                        *[F.count_distinct(quote(c)).alias(f"nd{i}") for i, c in enumerate(byte_cols)]).first()
         picked = [c for i, c in enumerate(strs) if (first[f"d{i}"] or 0) > 1][: C.ENTROPY_STRING_COLUMNS]
         chosen = [(i, c) for i, c in enumerate(byte_cols) if (first[f"nd{i}"] or 0) > 1][: C.ENTROPY_BYTE_COLUMNS]
         items = [F.struct(F.lit(f"{c}_entropy").alias("k"), F.col(quote(c)).cast("string").alias("v")) for c in picked]
+        totals = {f"{c}_entropy": first[f"sn{strs.index(c)}"] for c in picked}
+        totals.update({f"{c}_entropy": first[f"bn{i}"] for i, c in chosen})
         for i, c in chosen:
             lo, hi = float(first[f"lo{i}"]), float(first[f"hi{i}"])
             inner = [lo + k * (hi - lo) / C.ENTROPY_BINS for k in range(1, C.ENTROPY_BINS)]
@@ -192,10 +186,12 @@ class FeatureEngineer:
             items.append(F.struct(F.lit(f"{c}_entropy").alias("k"), b.cast("string").alias("v")))
         if not items:
             return out
-        # Pass 2: counts per (feature, value) for every feature at once; entropy per feature.
+        # Pass 2: counts per (feature, value) for every feature at once, then a plain aggregate
+        # per feature with the non-null totals of pass 1 as literals (no window over values).
         counts = (df.select(F.explode(F.array(*items)).alias("e")).select("e.k", "e.v")
                   .where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
-        p = F.col("n") / F.sum("n").over(Window.partitionBy("k"))
+        total = F.element_at(F.create_map(*[x for k, t in totals.items() for x in (F.lit(k), F.lit(t))]), F.col("k"))
+        p = F.col("n") / total
         ent = counts.select("k", p.alias("p")).groupBy("k").agg(
             (-F.sum(F.col("p") * F.log2(F.col("p") + F.lit(C.ENTROPY_EPS)))).alias("entropy"))
         values = {r["k"]: r["entropy"] for r in ent.collect()}

@@ -28,15 +28,22 @@ def long_strings(df: DataFrame, cols: list[str]) -> DataFrame:
     ])).alias("s")).select("s.column", "s.value")
 
 
-def top_values(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
+def top_values(df: DataFrame, cols: list[str], k: int = 5, salt: int = 1024) -> DataFrame:
     """AG4: the k most frequent values of each column (value_counts().head(k); ties by value).
 
-    One shuffle for all columns; the window then runs per column over distinct values.
+    One shuffle counts all columns.  The top-k then runs in two stages so that a column
+    with billions of distinct values is never ranked in one task: first per (column, salt
+    bucket of the value), keeping k candidates each, then per column over at most
+    salt x k candidates.
     """
     counts = long_strings(df, cols).where(F.col("value").isNotNull()) \
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    order = [F.col("n").desc(), F.col("value")]
+    salted = counts.withColumn("__s", F.pmod(F.xxhash64("value"), F.lit(salt)))
+    local = salted.withColumn("__r", F.row_number().over(Window.partitionBy("column", "__s").orderBy(*order)))
+    cand = local.where(F.col("__r") <= k).drop("__r", "__s")
+    w = Window.partitionBy("column").orderBy(*order)
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def label_candidates(df: DataFrame, fragments: tuple[str, ...] = ("label", "attack", "class")) -> list[str]:
