@@ -39,8 +39,11 @@ def random_forest(preset: str = "advanced", label: str = "label", weight: str |
                   seed: int = C.SEED) -> RandomForestClassifier:
     """ML1: forest presets (trees, depth, min leaf) of the different training scripts."""
     trees, depth, leaf = C.RF_PRESETS[preset]
+    # cacheNodeIds / maxMemoryInMB are execution knobs (fewer passes over the data per tree
+    # level); they do not change the trees.  Node-id caches are checkpointed to the shared folder.
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=min(depth, 30),
-                                minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
+                                minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed,
+                                cacheNodeIds=True, maxMemoryInMB=512, checkpointInterval=10)
     if weight:
         rf.setWeightCol(weight)
     return rf
