@@ -135,7 +135,7 @@ def al9_report(spark, sf_dir):
     sc = scored(spark, sf_dir)
     rep = A.monitoring_report(sc, A.alerts(sc), latency_col="duration")
     return rep.select("total", "attacks", "duration_sec", "mean_time", "attack_rate",
-                      F.size("recent_alerts").alias("n_recent"),
+                      F.size("recent_alerts").cast("bigint").alias("n_recent"),
                       F.col("recent_alerts")[0]["alert_id"].alias("newest_alert_id"),
                       F.col("recent_alerts")[0]["info"].alias("newest_info"))
 

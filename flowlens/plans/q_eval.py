@@ -199,7 +199,7 @@ def ev12(spark, sf_dir):
 
 
 @query("EV13_per_type", """
-SELECT service, count(*) AS total, sum(CASE WHEN y = CASE WHEN p_c > 0.55 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) AS correct,
+SELECT service, count(*) AS total, sum(CASE WHEN y = CASE WHEN p_c > 0.55 THEN 1 ELSE 0 END THEN 1 ELSE 0 END)::BIGINT AS correct,
   avg(CASE WHEN y = CASE WHEN p_c > 0.55 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy,
   avg(CASE WHEN p_c > 0.55 THEN p_c ELSE 1 - p_c END) AS avg_confidence,
   CASE WHEN avg(CASE WHEN y = CASE WHEN p_c > 0.55 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END) >= 0.9 THEN 'ok'

@@ -64,7 +64,7 @@ def fe3(spark, sf_dir):
 e AS (SELECT list_sort(list_distinct(quantile_cont(duration, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges FROM fe)
 SELECT flow_id, ln(1 + abs(duration)) AS duration_log,
   CASE WHEN duration IS NULL OR len(edges) < 2 THEN NULL
-       ELSE len(list_filter(list_slice(edges, 2, len(edges) - 1), lambda x: duration > x)) END AS duration_binned
+       ELSE CAST(len(list_filter(list_slice(edges, 2, len(edges) - 1), lambda x: duration > x)) AS INTEGER) END AS duration_binned
 FROM fe CROSS JOIN e""")
 def fe4_fe5(spark, sf_dir):
     fe, model = engineer(spark, sf_dir)

@@ -60,7 +60,7 @@ WITH l AS (
   SELECT 'attack_cat' AS column, cast(attack_cat AS varchar) AS value FROM flows_unsw
   UNION ALL SELECT 'label', cast(label AS varchar) FROM flows_unsw),
 c AS (SELECT "column", value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY 1, 2)
-SELECT "column", value, n, rank FROM (
+SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM c) t WHERE rank <= 5""")
 def ag4(spark, sf_dir):
     df = tables.flows_unsw(spark, sf_dir)
