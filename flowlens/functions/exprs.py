@@ -51,12 +51,24 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def round_binary(c: Column, digits: int = 6) -> Column:
+    """round(x * 10^d) / 10^d on the binary value, the rule DuckDB's round() follows.
+
+    Spark's own round(x, d) rounds the shortest decimal text of x, which differs on values
+    such as 16.6421875 that are not exactly representable; rounding the scaled binary
+    value gives bit-identical results in both engines.
+    """
+    scale = float(10 ** digits)
+    x = c.cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(F.round(x * F.lit(scale)) / F.lit(scale))
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double/float column; used for stable value hashes across engines."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, FRACTIONAL_TYPES):
-            out.append(F.round(F.col(quote(f.name)).cast("double"), digits).alias(f.name))
+            out.append(round_binary(F.col(quote(f.name)), digits).alias(f.name))
         else:
             out.append(F.col(quote(f.name)))
     return df.select(*out)

@@ -23,6 +23,9 @@ from flowlens.session import get_session  # noqa: E402
 from flowlens.sources.tables import TABLES, table_path  # noqa: E402
 
 
+ROUNDED: dict = {}
+
+
 def norm(v):
     if v is None:
         return None
@@ -54,9 +57,13 @@ def digest(cols, rows):
 
 def main():
     args = sys.argv[1:]
+    twins_only = "--twins-only" in args
+    args = [a for a in args if a != "--twins-only"]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
     load_all()
+    global ROUNDED
+    ROUNDED = registry.rounded_oracle()
     spark = get_session()
     con = duckdb.connect()
     for t in TABLES:
@@ -65,6 +72,8 @@ def main():
     for name, fn in registry.QUERIES.items():
         if names and name not in names:
             continue
+        if twins_only and name not in registry.ORACLE:
+            continue
         t0 = time.time()
         try:
             sdf = fn(spark, sf_dir)
@@ -75,7 +84,7 @@ def main():
             bad += 1
             continue
         ts = time.time() - t0
-        sql = registry.ORACLE.get(name)
+        sql = ROUNDED.get(name)
         if sql is None:
             print(f"{name:28s} rows-only  spark={len(srows)} ({ts:.1f}s)")
             continue
