@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,14 +78,24 @@ def latency_stats(df: DataFrame, latency_col: str) -> DataFrame:
 
 def hourly_traffic(df: DataFrame, flag_col: str = "is_attack", ts_col: str = "ts",
                    last_n: int | None = None) -> DataFrame:
-    """AL6: per hour total / attacks / normal.  ``last_n`` keeps the newest hours (top-k)."""
+    """AL6: per hour total / attacks / normal.
+
+    ``last_n`` restricts to the last ``last_n`` clock hours up to the newest row (the
+    dashboard's window).  The newest timestamp is one cheap aggregate (answered from
+    parquet footers when ``ts`` is a scanned column); the window then becomes a plain
+    ``ts >=`` predicate that reaches the parquet scan, so only the newest row groups are
+    read instead of aggregating every hour and keeping the last ones.
+    """
+    if last_n:
+        newest = df.agg(F.max(ts_col)).first()[0]
+        if newest is None:
+            return hourly_traffic(df.limit(0), flag_col, ts_col)
+        start = newest.replace(minute=0, second=0, microsecond=0) - datetime.timedelta(hours=last_n - 1)
+        df = df.where(F.col(ts_col) >= F.lit(start).cast(df.schema[ts_col].dataType))
     out = (df.groupBy(F.date_trunc("hour", F.col(ts_col)).alias("hour"))
            .agg(F.count(F.lit(1)).alias("total"),
                 F.coalesce(F.sum(F.col(flag_col).cast("int")), F.lit(0)).cast("bigint").alias("attacks")))
-    out = out.select("hour", "total", "attacks", (F.col("total") - F.col("attacks")).alias("normal"))
-    if last_n:
-        out = out.orderBy(F.col("hour").desc()).limit(last_n)
-    return out
+    return out.select("hour", "total", "attacks", (F.col("total") - F.col("attacks")).alias("normal"))
 
 
 def type_distribution(df: DataFrame, type_col: str = "type") -> DataFrame:
