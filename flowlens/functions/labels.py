@@ -81,6 +81,17 @@ def display_name(c, names: dict[int, str] = C.UNIFIED_LABELS, default: str = C.U
     return F.coalesce(F.element_at(m, col(c).cast("int")), F.lit(default))
 
 
+# Any run of non-alphanumeric characters after "Web Attack" (plain, en or damaged dash).
+WEB_ATTACK_DASH = r"(?i)^web attack\s*[^A-Za-z0-9\s]+\s*"
+
+
 def normalise_dash(c) -> Column:
-    """Fold any dash-like or damaged character between 'Web Attack' and the suffix to ' - '."""
-    return F.regexp_replace(col(c).cast("string"), r"^(?i)(web attack)\s*\S+\s*", "Web Attack - ")
+    """Fold the separator between 'Web Attack' and the suffix to ' - ' (damaged dashes, §8.9)."""
+    return F.regexp_replace(col(c).cast("string"), WEB_ATTACK_DASH, "Web Attack - ")
+
+
+def normalise_dash_text(text: str) -> str:
+    """Driver-side twin of ``normalise_dash`` for configuration values."""
+    import re
+
+    return re.sub(WEB_ATTACK_DASH, "Web Attack - ", text)

@@ -60,7 +60,8 @@ def add_is_attack(df: DataFrame, label_col: str | None = None, marker: str = "no
 
 def taxonomy_table(spark: SparkSession, taxonomies: dict[str, dict[str, list[str]]]) -> DataFrame:
     """LB11: exploded (dataset, raw_label, family) lookup table from the descriptors."""
-    rows = [(ds, raw.lower(), fam) for ds, tax in taxonomies.items() for fam, raws in tax.items() for raw in raws]
+    rows = [(ds, L.normalise_dash_text(raw).strip().lower(), fam)
+            for ds, tax in taxonomies.items() for fam, raws in tax.items() for raw in raws]
     return spark.createDataFrame(rows, "dataset string, raw_label string, family string")
 
 
@@ -73,7 +74,7 @@ def apply_taxonomy(df: DataFrame, label_col: str, dataset: str, taxonomy: DataFr
     """
     lookup = (taxonomy.where(F.col("dataset") == dataset)
               .select(F.col("raw_label").alias("__raw"), F.col("family").alias("__family")))
-    key = F.lower(F.trim(F.col(label_col).cast("string")))
+    key = F.lower(F.trim(L.normalise_dash(F.col(label_col))))
     joined = df.withColumn("__raw", key).join(F.broadcast(lookup), "__raw", "left")
     fam = (F.when(F.col("__raw").contains(normal_label.lower()), F.lit("Normal"))
            .otherwise(F.coalesce(F.col("__family"), F.lit(C.OTHER_CATEGORY))))
@@ -100,11 +101,15 @@ class LabelIndex:
     def __init__(self, mapping: DataFrame, input_col: str, output_col: str):
         self.mapping, self.input_col, self.output_col = mapping, input_col, output_col
 
+    MAX_LABELS = 100_000
+
     @classmethod
     def fit(cls, df: DataFrame, input_col: str, output_col: str = "label_index") -> "LabelIndex":
         distinct = df.select(F.col(input_col).cast("string").alias("__label")).where(
             F.col("__label").isNotNull()).distinct()
-        # Window over the distinct labels only (classes), never over raw rows.
+        if distinct.limit(cls.MAX_LABELS + 1).count() > cls.MAX_LABELS:
+            raise ValueError(f"{input_col}: more than {cls.MAX_LABELS} distinct labels; not a class column")
+        # Window over the distinct labels only (classes, bounded above), never over raw rows.
         mapping = distinct.select("__label", (F.dense_rank().over(Window.orderBy("__label")) - 1)
                                   .alias(output_col))
         return cls(mapping, input_col, output_col)

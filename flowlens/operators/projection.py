@@ -60,10 +60,8 @@ def packet_features(df: DataFrame, map_col: str, feature_order: list[str], keep:
 
     Missing key -> 0, text that does not parse as a number -> 0.0; padded numbers parse.
     """
-    m = F.col(map_col)
     feats = [F.coalesce(F.expr(f"try_cast(element_at(`{map_col}`, '{name}') AS double)"), F.lit(0.0)).alias(name)
              for name in feature_order]
-    _ = m
     return df.select(*[F.col(k) for k in keep], *feats)
 
 

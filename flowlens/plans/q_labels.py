@@ -47,10 +47,13 @@ HASH_SQL = "md5(concat('42:', cast(flow_id AS varchar)))"
 
 
 def _taxonomy_values(tax: dict) -> str:
-    rows = [f"('{raw.lower()}', '{fam}')" for fam, raws in tax.items() for raw in raws]
+    rows = [f"('{L.normalise_dash_text(raw).strip().lower()}', '{fam}')" for fam, raws in tax.items() for raw in raws]
     return "(VALUES " + ", ".join(rows) + ") AS t(raw_label, family)"
 
 
+DASH_SQL = "lower(trim(regexp_replace({c}, '(?i)^web attack\\s*[^A-Za-z0-9\\s]+\\s*', 'Web Attack - ')))"
+
+
 # --- sources --------------------------------------------------------------------------------
 
 
@@ -166,13 +169,24 @@ def lb10(spark, sf_dir):
 @query("LB11_taxonomy_family", f"""
 SELECT flow_id, target,
   CASE WHEN contains(lower(trim(target)), 'normal') THEN 'Normal' ELSE coalesce(t.family, 'Other') END AS family
-FROM flows LEFT JOIN {_taxonomy_values(C.KDD_TEST_TAXONOMY)} ON lower(trim(target)) = t.raw_label""")
+FROM flows LEFT JOIN {_taxonomy_values(C.KDD_TEST_TAXONOMY)} ON {DASH_SQL.format(c="target")} = t.raw_label""")
 def lb11(spark, sf_dir):
     tax = LB.taxonomy_table(spark, {"nsl_kdd_test": C.KDD_TEST_TAXONOMY})
     out = LB.apply_taxonomy(tables.flows(spark, sf_dir), "target", "nsl_kdd_test", tax, "normal")
     return out.select("flow_id", "target", "family")
 
 
+@query("LB11_taxonomy_family_cic", f"""
+SELECT flow_no, Label,
+  CASE WHEN contains(lower(trim(Label)), 'benign') THEN 'Normal' ELSE coalesce(t.family, 'Other') END AS family
+FROM flows_cic LEFT JOIN {_taxonomy_values(C.CIC_TAXONOMY)} ON {DASH_SQL.format(c="Label")} = t.raw_label""")
+def lb11_cic(spark, sf_dir):
+    """CIC labels use a plain hyphen, the configuration a different dash: both are normalised."""
+    tax = LB.taxonomy_table(spark, {"cicids2017": C.CIC_TAXONOMY})
+    out = LB.apply_taxonomy(tables.flows_cic(spark, sf_dir), "Label", "cicids2017", tax, "benign")
+    return out.select("flow_no", "Label", "family")
+
+
 @query("LB12_display_name", """
 SELECT flow_id, cast(flow_id % 7 AS int) AS class_id,
   CASE flow_id % 7 WHEN 0 THEN 'Normal' WHEN 1 THEN 'DoS/DDoS' WHEN 2 THEN 'Probe/Scanning'

@@ -147,3 +147,17 @@ def test_feature_families_only_when_inputs_exist(spark):
     assert "total_error_rate" not in cols                                      # pair incomplete
     assert "bytes_ratio" not in cols                                           # no dst_bytes
     assert "src_bytes_zscore" in cols and "src_bytes_entropy" in cols
+
+
+def test_taxonomy_join_folds_web_attack_dashes(spark):
+    from flowlens import config as C
+    from flowlens.operators import labelling as LB
+
+    df = spark.createDataFrame([("Web Attack - XSS",), ("Web Attack – Sql Injection",), ("Web Attack � Brute Force",),
+                                ("BENIGN",), ("Heartbleed",), ("DDoS",)], "Label string")
+    tax = LB.taxonomy_table(spark, {"cic": C.CIC_TAXONOMY})
+    got = {r.Label: r.family for r in LB.apply_taxonomy(df, "Label", "cic", tax, "benign").collect()}
+    assert got["Web Attack - XSS"] == "R2L"
+    assert got["Web Attack – Sql Injection"] == "R2L"
+    assert got["Web Attack � Brute Force"] == "R2L"
+    assert got["BENIGN"] == "Normal" and got["Heartbleed"] == "Other" and got["DDoS"] == "DDoS"
