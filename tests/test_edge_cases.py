@@ -161,3 +161,27 @@ def test_taxonomy_join_folds_web_attack_dashes(spark):
     assert got["Web Attack – Sql Injection"] == "R2L"
     assert got["Web Attack � Brute Force"] == "R2L"
     assert got["BENIGN"] == "Normal" and got["Heartbleed"] == "Other" and got["DDoS"] == "DDoS"
+
+
+def test_rank_machinery_with_a_hot_value_and_keys(spark):
+    """One value holds a third of the rows; ranks, quantiles and keyed running sums stay exact."""
+    import numpy as np
+    import pandas as pd
+
+    from flowlens.operators.ranking import cumulative_by_value, ranked_values
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.full(3000, 42.0), rng.normal(40, 10, 6000)])
+    pdf = pd.DataFrame({"x": x, "g": np.where(np.arange(9000) % 2 == 0, "a", "b")})
+    df = spark.createDataFrame(pdf)
+    r = ranked_values(df, ["x"], steps=6).toPandas()
+    pct = dict(zip(r.v, (r.n_below + (r.n + 1) / 2) / r.n_total))
+    assert np.allclose(pdf["x"].map(pct), pdf["x"].rank(pct=True))
+    q = {row.p: row.value for row in exact_quantiles(df, ["x"], [0.1, 0.5, 0.9]).collect()}
+    for p in (0.1, 0.5, 0.9):
+        assert abs(q[p] - pdf["x"].quantile(p)) < 1e-9
+    agg = df.groupBy("g", "x").count()
+    cum = cumulative_by_value(agg, ["g"], "x", ["count"], steps=4).toPandas()
+    for g, part in cum.groupby("g"):
+        part = part.sort_values("x")
+        assert (part["count_below"].to_numpy() == np.concatenate([[0], np.cumsum(part["count"])[:-1]])).all()
