@@ -97,35 +97,60 @@ class FeatureModel:
             cols.append(F.lit(value).cast("double").alias(name))
         out = df.select(*cols)
         if with_percentile and s["stat_columns"]:
-            out = percentile_ranks(out, s["stat_columns"], s.get("percentile_suffix", "_percentile"))
+            out = percentile_ranks(out, s["stat_columns"], s.get("percentile_suffix", "_percentile"),
+                                   key=s.get("key"))
         return out
 
 
 def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile",
-                     broadcast_max: int = 1_000_000) -> DataFrame:
+                     broadcast_max: int = 1_000_000, key: str | None = None) -> DataFrame:
     """FE3: rank(pct=True) with average ties over non-null values, one column per input.
 
     One shuffle ranks all columns.  The (column, value, pct) table is checkpointed to the
-    shared checkpoint folder: it is read once per column, and its per-column sizes (one
-    aggregate) decide whether each join-back broadcasts or shuffles.
+    shared checkpoint folder and its per-column sizes (one aggregate) choose the join-back:
+
+    * a column with at most ``broadcast_max`` distinct values joins a broadcast table
+      (no shuffle of the frame);
+    * larger columns, when ``key`` identifies rows, share one long-format join on
+      (column, value) and one regroup by key, instead of one shuffle join per column;
+      without a key each large column is a shuffle join (AQE splits skewed values).
     """
     ranked = ranked_values(df, cols, finite=False).select(
         "column", "v", ((F.col("n_below") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias("pct")).checkpoint()
     sizes = {r["column"]: r["count"] for r in ranked.groupBy("column").count().collect()}
+
+    def value(c: str) -> Column:
+        x = F.col(quote(c)).cast("double")
+        return F.when(F.isnan(x), None).otherwise(x)
+
+    large = [c for c in cols if sizes.get(c, 0) > broadcast_max]
     out = df
+    if key is not None and len(large) > 1:
+        long = df.select(F.col(quote(key)).alias("__key"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in large])).alias("__e")).select(
+            "__key", "__e.column", "__e.v")
+        hit = long.join(ranked.where(F.col("column").isin(large)), ["column", "v"])
+        wide = hit.groupBy("__key").agg(*[F.max(F.when(F.col("column") == c, F.col("pct"))).alias(f"{c}{suffix}")
+                                          for c in large])
+        out = out.join(wide, out[key] == wide["__key"], "left").drop("__key")
+        done = set(large)
+    else:
+        done = set()
     for c in cols:
+        if c in done:
+            continue
         table = ranked.where(F.col("column") == c).select(F.col("v").alias(f"__v_{c}"), F.col("pct").alias(f"{c}{suffix}"))
         if sizes.get(c, 0) <= broadcast_max:
             table = F.broadcast(table)
-        key = F.when(F.isnan(F.col(quote(c)).cast("double")), None).otherwise(F.col(quote(c)).cast("double"))
-        out = out.withColumn(f"__k_{c}", key).join(
+        out = out.withColumn(f"__k_{c}", value(c)).join(
             table, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left").drop(f"__k_{c}", f"__v_{c}")
     return out
 
 
 class FeatureEngineer:
     def __init__(self, exclude: list[str] = ("unified_label",), stat_columns: int = C.ZSCORE_COLUMNS,
-                 min_rows: int = C.ZSCORE_MIN_ROWS, misspelt_suffix: bool = False):
+                 min_rows: int = C.ZSCORE_MIN_ROWS, misspelt_suffix: bool = False, key: str | None = None):
+        self.key = key
         self.exclude = list(exclude)
         self.n_stat = stat_columns
         self.min_rows = min_rows
@@ -157,7 +182,8 @@ class FeatureEngineer:
             edges[c] = sorted({v for v in vals if v is not None})
         entropies = self._entropies(df)
         return FeatureModel({"stat_columns": stat_cols, "stats": stats, "time_columns": time_cols,
-                             "quintile_edges": edges, "entropies": entropies, "percentile_suffix": self.suffix})
+                             "quintile_edges": edges, "entropies": entropies, "percentile_suffix": self.suffix,
+                             "key": self.key})
 
     def _entropies(self, df: DataFrame) -> dict:
         """FE12 + FE13 in two passes: one for min / max / distinct counts, one for all entropies."""
@@ -200,9 +226,10 @@ class FeatureEngineer:
         return out
 
 
-def create_advanced_features(df: DataFrame, exclude: list[str] = ("unified_label",)) -> DataFrame:
+def create_advanced_features(df: DataFrame, exclude: list[str] = ("unified_label",),
+                             key: str | None = None) -> DataFrame:
     """All families, statistics fitted on the same frame (the batch helper's behaviour)."""
-    return FeatureEngineer(exclude).fit(df).transform(df)
+    return FeatureEngineer(exclude, key=key).fit(df).transform(df)
 
 
 def one_hot(df: DataFrame, cols: list[str], categories: dict[str, list[str]] | None = None,

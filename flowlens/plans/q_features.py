@@ -57,7 +57,8 @@ def fe2(spark, sf_dir):
     f" / count({q(c)}) OVER () END AS {c}_percentile" for c in STAT) + " FROM fe")
 def fe3(spark, sf_dir):
     fe = fe_frame(spark, sf_dir)
-    return FE.percentile_ranks(fe.select("flow_id", *STAT), STAT).select("flow_id", *[f"{c}_percentile" for c in STAT])
+    return FE.percentile_ranks(fe.select("flow_id", *STAT), STAT, key="flow_id").select(
+        "flow_id", *[f"{c}_percentile" for c in STAT])
 
 
 @query("FE4_FE5_time_features", f"""WITH {FE_SQL},
@@ -136,4 +137,4 @@ def fe15(spark, sf_dir):
 @query("FE_all_families")
 def fe_all(spark, sf_dir):
     """Every family on the whole frame (statistics fitted on the same frame)."""
-    return FE.create_advanced_features(fe_frame(spark, sf_dir), exclude=["flow_id", "unified_label"])
+    return FE.create_advanced_features(fe_frame(spark, sf_dir), exclude=["flow_id", "unified_label"], key="flow_id")

@@ -185,3 +185,14 @@ def test_rank_machinery_with_a_hot_value_and_keys(spark):
     for g, part in cum.groupby("g"):
         part = part.sort_values("x")
         assert (part["count_below"].to_numpy() == np.concatenate([[0], np.cumsum(part["count"])[:-1]])).all()
+
+
+def test_percentile_rank_long_join_equals_per_column_joins(spark):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else float(i % 3), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    by_col = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"]).collect()}
+    long = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"], broadcast_max=0, key="id").collect()}
+    assert by_col.keys() == long.keys()
+    for i in by_col:
+        for c in ("a_percentile", "b_percentile", "c_percentile"):
+            assert by_col[i][c] == long[i][c]
