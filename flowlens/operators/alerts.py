@@ -126,8 +126,9 @@ def monitoring_report(scored: DataFrame, alert_df: DataFrame, flag_col: str = "i
     recent = last_alerts(alert_df, n_recent).select(
         F.struct("ts", "alert_id", "type", F.substring("description", 1, info_chars).alias("info")).alias("a"))
     packed = recent.agg(F.sort_array(F.collect_list("a"), asc=False).alias("recent_alerts"))
-    # Both sides are single-row aggregates.
-    return stats.join(F.broadcast(packed), how="inner")
+    from flowlens.operators.common import combine_rows
+
+    return combine_rows(stats, packed)
 
 
 def performance_summary(df: DataFrame, y_col: str = "y", pred_col: str = "pred", ts_col: str | None = "ts") -> DataFrame:

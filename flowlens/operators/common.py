@@ -25,3 +25,15 @@ def with_total(df: DataFrame, count_col: str = "n", total_col: str = "total") ->
     from pyspark.sql import Window
 
     return df.withColumn(total_col, F.sum(count_col).over(Window.partitionBy()))
+
+
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Merge single-row aggregates with different columns into one row, without a join.
+
+    The rows are unioned by name (missing columns are NULL) and each column keeps its one
+    non-null value: an aggregate over as many rows as there are frames.
+    """
+    from functools import reduce
+
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in u.columns])

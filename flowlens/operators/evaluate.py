@@ -134,10 +134,11 @@ def top_counts(df: DataFrame, col: str, k: int = 5) -> DataFrame:
 
 
 def metric_row(df: DataFrame, y: str, p: str) -> DataFrame:
-    """EV10 helper: accuracy and weighted precision / recall / F1 of one model (single-row tables)."""
+    """EV10 helper: accuracy and weighted precision / recall / F1 of one model, one row."""
+    from flowlens.operators.common import combine_rows
+
     rep = class_report(confusion_matrix(df, y, p)).where(F.col("label") == "weighted avg")
-    acc = accuracy(df, y, p)
-    return rep.select("precision", "recall", "f1").join(F.broadcast(acc), how="inner")
+    return combine_rows(rep.select("precision", "recall", "f1"), accuracy(df, y, p))
 
 
 def model_comparison(df: DataFrame, y: str, models: dict[str, tuple[str, str]]) -> DataFrame:
@@ -145,12 +146,12 @@ def model_comparison(df: DataFrame, y: str, models: dict[str, tuple[str, str]])
 
     ``models`` maps name -> (prediction column, attack-probability column).
     """
+    from flowlens.operators.common import combine_rows
+
     rows = []
     for name, (pcol, score) in models.items():
-        m = metric_row(df, y, pcol)
-        a = auc(df, F.col(y) == 1, score)
-        rows.append(m.join(F.broadcast(a), how="inner").select(F.lit(name).alias("model"), "accuracy", "precision",
-                                                                "recall", "f1", "auc"))
+        one = combine_rows(metric_row(df, y, pcol), auc(df, F.col(y) == 1, score))
+        rows.append(one.select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "auc"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -120,10 +120,12 @@ def evaluate_scored(scored: DataFrame, truth: str, model_name: str, labels: list
     """EN5 / ML6: accuracy, weighted F1 and one-vs-rest AUC (weighted) of one scored frame."""
     idx = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(truth)) - 1
     s = scored.withColumn("__y", idx.cast("int"))
+    from flowlens.operators.common import combine_rows
+
     m = EV.metric_row(s, "__y", "prediction")
     auc = EV.ovr_auc(s, "__y", {i: f"prob_{lab}" for i, lab in enumerate(labels)}, "weighted")
-    return m.join(F.broadcast(auc), how="inner").select(F.lit(model_name).alias("model"), "accuracy", "precision",
-                                                        "recall", "f1", "auc")
+    return combine_rows(m, auc).select(F.lit(model_name).alias("model"), "accuracy", "precision", "recall", "f1",
+                                       "auc")
 
 
 def train_and_compare(train: DataFrame, test: DataFrame, features: list[str], label_col: str,
