@@ -98,6 +98,9 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: str, n_trees:
     down to ~4 * n_trees * psi rows, then each kept row joins the trees whose hash for it is
     below the per-tree rate, and every tree keeps its psi smallest hashes.
     """
+    from flowlens.session import ensure_python_package
+
+    ensure_python_package(df.sparkSession)
     n = df.count()
     psi = int(min(psi, n))
     base = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
@@ -124,7 +127,10 @@ def isolation_scores(df: DataFrame, model: dict, keep: list[str], out: str = "an
     """AD1 score: 2 ** (-E[h(x)] / c(psi)) per row, computed batch-wise with numpy in mapInPandas."""
     import numpy as np
 
+    from flowlens.session import ensure_python_package
+
     spark = df.sparkSession
+    ensure_python_package(spark)
     b = spark.sparkContext.broadcast(model)
     features = model["features"]
 

@@ -81,3 +81,35 @@ def apply_session_defaults(spark: SparkSession) -> None:
             spark.conf.set(k, v)
         except Exception:  # static conf on some deployments
             pass
+
+
+_SHIPPED: set[int] = set()
+
+
+def ensure_python_package(spark: SparkSession) -> None:
+    """Ship this package to the executors' Python workers (once per SparkContext).
+
+    Operators that run Python on executors (``applyInPandas`` / ``mapInPandas``) pickle
+    functions of this package by reference; workers must be able to import it.  The
+    package is zipped on the driver and distributed with ``addPyFile`` (the same as
+    ``--py-files``); nothing is read from executor-local folders.
+    """
+    import zipfile
+
+    import flowlens
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(flowlens.__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="flowlens-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -20,12 +19,11 @@ def spark():
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", "8")
-    # Tests own their session, so they may set the checkpoint folder themselves.
-    b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flowlens-test-ckpt-"))
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     from flowlens.session import ensure_checkpoint_dir
 
+    # The session's spark.checkpoint.dir is used; a scratch folder only when it is unset.
     ensure_checkpoint_dir(s)
     yield s
     s.stop()
