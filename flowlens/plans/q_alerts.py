@@ -175,7 +175,12 @@ def al11_export(spark, sf_dir):
     return spark.read.option("header", True).schema(ALERT_SCHEMA).csv(path)
 
 
-@query("AL12_run_summary")
+@query("AL12_run_summary", f"""WITH {SCORED_SQL},
+c AS (SELECT count(*) AS total, sum(CAST(is_attack AS int)) AS attack, count(DISTINCT attack_type) AS classes FROM scored)
+SELECT 'rows' AS key, cast(total AS varchar) AS value FROM c
+UNION ALL SELECT 'attacks', cast(attack AS varchar) FROM c
+UNION ALL SELECT 'attack_rate', cast(round(attack * 100.0 / total, 6) AS DOUBLE)::varchar FROM c
+UNION ALL SELECT 'classes', cast(classes AS varchar) FROM c""")
 def al12_run_summary(spark, sf_dir):
     sc = scored(spark, sf_dir)
     c = A.counters(sc).first()
