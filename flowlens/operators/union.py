@@ -38,8 +38,20 @@ def union_zero_filled(frames: list[DataFrame], exclude: list[str] = ()) -> DataF
                       for f in u.schema.fields])
 
 
-def align_features(df: DataFrame, feature_order: list[str], keep: list[str] = ()) -> DataFrame:
-    """UN3: add missing features as 0, NULL -> 0, saved order, extra columns dropped."""
+def canonical_feature_order(n: int = 90) -> list[str]:
+    """The 41 canonical KDD feature names, padded with feature_<i> up to ``n`` columns."""
+    from flowlens.config import KDD_FEATURES
+
+    names = list(KDD_FEATURES[:n])
+    return names + [f"feature_{i}" for i in range(len(names), n)]
+
+
+def align_features(df: DataFrame, feature_order: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
+    """UN3: add missing features as 0, NULL -> 0, saved order, extra columns dropped.
+
+    Without a saved order the canonical 90-column layout is used.
+    """
+    feature_order = feature_order or canonical_feature_order()
     present = set(df.columns)
     cols = [F.coalesce(F.col(quote(c)).cast("double"), F.lit(0.0)).alias(c) if c in present
             else F.lit(0.0).alias(c) for c in feature_order]
