@@ -25,6 +25,9 @@ from flowlens.functions.exprs import binary_search_expr, finite_or_null, quote
 
 DEFAULT_STEPS = 10          # 1023 bounds -> 1024 buckets per key
 SKETCH_ACCURACY = 10_000
+# Up to this many distinct (key, value) rows in total, one window partition per key is
+# bounded and cheaper than the sketch + bucket stages.
+SMALL_DISTINCT = 2_000_000
 
 
 def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: list[str],
@@ -44,6 +47,14 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
         tmp_key = "__all"
         agg = agg.withColumn(tmp_key, F.lit(0))
         keys = [tmp_key]
+    if materialize and agg.limit(SMALL_DISTINCT + 1).count() <= SMALL_DISTINCT:
+        # Bounded: at most SMALL_DISTINCT rows in all key partitions together.
+        before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*keys)
+        out = agg.select(*[c for c in agg.columns if c != tmp_key], *([tmp_key] if tmp_key else []),
+                         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_below") for m in measures],
+                         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
+        return out.drop(tmp_key) if tmp_key else out
     n_bounds = 2 ** steps - 1
     probs = [i / (n_bounds + 1) for i in range(1, n_bounds + 1)]
     bounds = agg.groupBy(*keys).agg(

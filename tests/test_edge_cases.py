@@ -163,13 +163,18 @@ def test_taxonomy_join_folds_web_attack_dashes(spark):
     assert got["BENIGN"] == "Normal" and got["Heartbleed"] == "Other" and got["DDoS"] == "DDoS"
 
 
-def test_rank_machinery_with_a_hot_value_and_keys(spark):
-    """One value holds a third of the rows; ranks, quantiles and keyed running sums stay exact."""
+@pytest.mark.parametrize("small_distinct", [0, 2_000_000])
+def test_rank_machinery_with_a_hot_value_and_keys(spark, monkeypatch, small_distinct):
+    """One value holds a third of the rows; ranks, quantiles and keyed running sums stay exact
+    on both the bucketed path (forced with a zero bound) and the bounded single-window path."""
     import numpy as np
     import pandas as pd
 
+    from flowlens.operators import ranking
     from flowlens.operators.ranking import cumulative_by_value, ranked_values
 
+    monkeypatch.setattr(ranking, "SMALL_DISTINCT", small_distinct)
+
     rng = np.random.default_rng(7)
     x = np.concatenate([np.full(3000, 42.0), rng.normal(40, 10, 6000)])
     pdf = pd.DataFrame({"x": x, "g": np.where(np.arange(9000) % 2 == 0, "a", "b")})

@@ -13,8 +13,11 @@ values = st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(xs=values, p=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.8, 1.0]))
-def test_quantile_and_rank_match_pandas(spark, xs, p):
+@given(xs=values, p=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.8, 1.0]), bucketed=st.booleans())
+def test_quantile_and_rank_match_pandas(spark, xs, p, bucketed):
+    from flowlens.operators import ranking
+
+    ranking.SMALL_DISTINCT = 0 if bucketed else 2_000_000
     pdf = pd.DataFrame({"x": pd.Series(xs, dtype="float64")})
     df = spark.createDataFrame([(v,) for v in xs], "x double")
     got = {r.p: r.value for r in exact_quantiles(df, ["x"], [p], steps=3).collect()}
@@ -25,6 +28,7 @@ def test_quantile_and_rank_match_pandas(spark, xs, p):
         assert np.allclose(pdf["x"].dropna().map(pct), pdf["x"].rank(pct=True).dropna())
     else:
         assert got == {}
+    ranking.SMALL_DISTINCT = 2_000_000
 
 
 def test_canonical_alignment(spark):
