@@ -18,6 +18,13 @@ def test_quantile_and_rank_match_pandas(spark, xs, p, bucketed):
     from flowlens.operators import ranking
 
     ranking.SMALL_DISTINCT = 0 if bucketed else 2_000_000
+    try:
+        _check(spark, xs, p)
+    finally:
+        ranking.SMALL_DISTINCT = 2_000_000
+
+
+def _check(spark, xs, p):
     pdf = pd.DataFrame({"x": pd.Series(xs, dtype="float64")})
     df = spark.createDataFrame([(v,) for v in xs], "x double")
     got = {r.p: r.value for r in exact_quantiles(df, ["x"], [p], steps=3).collect()}
@@ -28,7 +35,6 @@ def test_quantile_and_rank_match_pandas(spark, xs, p, bucketed):
         assert np.allclose(pdf["x"].dropna().map(pct), pdf["x"].rank(pct=True).dropna())
     else:
         assert got == {}
-    ranking.SMALL_DISTINCT = 2_000_000
 
 
 def test_canonical_alignment(spark):
