@@ -93,3 +93,17 @@ def st6(spark, sf_dir):
     src = staged(spark, sf_dir, "st6", redelivered)
     ST.run_available_now(ST.dedupe_stream(src), ck, out)
     return ntz(spark.read.parquet(out), "ts")
+
+
+@query("ST1_stream_model_scoring")
+def st1_model(spark, sf_dir):
+    """A forest pipeline fitted in batch scores the flow stream (every stage is row-local)."""
+    from flowlens.operators import models as M
+    from flowlens.plans import q_models as QM
+
+    model, _, _ = QM.fitted_forest(spark, sf_dir, "binary")
+    out, ck = scratch_path(spark, "st1m-out"), scratch_path(spark, "st1m-ck")
+    src = staged(spark, sf_dir, "st1m", QM.model_frame(spark, sf_dir))
+    scored = M.score(model, src, keep=["flow_id", "ts", QM.LABEL])
+    ST.run_available_now(scored, ck, out)
+    return ntz(spark.read.parquet(out), "ts")

@@ -107,3 +107,16 @@ def test_stream_drops_rows_later_than_the_watermark(spark):
     got = {str(r.hour)[:19]: r.total for r in ST.latest_updates(spark, out, "hour").collect()}
     assert got.get("2024-01-01 00:00:00") == 1         # the late 00:30 row was dropped
     assert got.get("2024-01-01 03:00:00") == 2
+
+
+def test_stream_model_scoring_equals_batch(spark):
+    from flowlens.plans import registry
+
+    registry.load_all()
+    stream_out = registry.QUERIES["ST1_stream_model_scoring"](spark, SF_SMALL)
+    model, _, _ = QM.fitted_forest(spark, SF_SMALL, "binary")
+    batch = M.score(model, QM.model_frame(spark, SF_SMALL), keep=["flow_id"])
+    joined = stream_out.select("flow_id", F.col("prediction").alias("s")).join(
+        batch.select("flow_id", F.col("prediction").alias("b")), "flow_id")
+    assert joined.count() == 1000
+    assert joined.where(F.col("s") != F.col("b")).count() == 0
