@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from flowlens import config as C
 from flowlens.functions.exprs import numeric_columns, quote, safe_div, string_columns
-from flowlens.operators.ranking import quantile_table, ranked_values
+from flowlens.operators.ranking import quantiles_from_ranked, ranked_values
 
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
@@ -50,7 +50,9 @@ class FeatureModel:
     def __init__(self, state: dict):
         self.state = state
 
-    def transform(self, df: DataFrame, with_percentile: bool = True) -> DataFrame:
+    def transform(self, df: DataFrame, with_percentile: bool = True, ranked: DataFrame | None = None) -> DataFrame:
+        """Apply the fitted features.  ``ranked`` (the fit's rank table) may be passed when
+        ``df`` is the frame the model was fitted on, so FE3 does not rank it again."""
         s = self.state
         types = {f.name: f.dataType for f in df.schema.fields}
         cols = [F.col(quote(c)) for c in df.columns]
@@ -98,12 +100,13 @@ class FeatureModel:
         out = df.select(*cols)
         if with_percentile and s["stat_columns"]:
             out = percentile_ranks(out, s["stat_columns"], s.get("percentile_suffix", "_percentile"),
-                                   key=s.get("key"))
+                                   key=s.get("key"), ranked=ranked)
         return out
 
 
 def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile",
-                     broadcast_max: int = 1_000_000, key: str | None = None) -> DataFrame:
+                     broadcast_max: int = 1_000_000, key: str | None = None,
+                     ranked: DataFrame | None = None) -> DataFrame:
     """FE3: rank(pct=True) with average ties over non-null values, one column per input.
 
     One shuffle ranks all columns.  The (column, value, pct) table is checkpointed to the
@@ -115,7 +118,9 @@ def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile"
       (column, value) and one regroup by key, instead of one shuffle join per column;
       without a key each large column is a shuffle join (AQE splits skewed values).
     """
-    ranked = ranked_values(df, cols, finite=False).select(
+    if ranked is None:
+        ranked = ranked_values(df, cols, finite=False)
+    ranked = ranked.where(F.col("column").isin(cols)).select(
         "column", "v", ((F.col("n_below") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias("pct")).checkpoint()
     sizes = {r["column"]: r["count"] for r in ranked.groupBy("column").count().collect()}
 
@@ -169,7 +174,14 @@ class FeatureEngineer:
         # edges of the time columns (timestamps ranked as epoch seconds).
         qcols = list(dict.fromkeys(stat_cols + time_cols))
         qdf = df.select(*[_num(c, types).alias(c) for c in qcols])
-        q = quantile_table(qdf, qcols, sorted(set([0.25, 0.5, 0.75] + QUINTILE_PROBS))) if qcols else {}
+        q: dict = {c: {} for c in qcols}
+        self.ranked = None
+        if qcols:
+            # The rank table serves the quantiles here and, on the same frame, FE3's ranks.
+            self.ranked = ranked_values(qdf, qcols, finite=False)
+            probs = sorted(set([0.25, 0.5, 0.75] + QUINTILE_PROBS))
+            for r in quantiles_from_ranked(self.ranked, probs).collect():
+                q[r["column"]][round(r["p"], 12)] = r["value"]
         if stat_cols:
             row = df.agg(*[F.avg(quote(c)).alias(f"m{i}") for i, c in enumerate(stat_cols)],
                          *[F.stddev_samp(quote(c)).alias(f"s{i}") for i, c in enumerate(stat_cols)]).first()
@@ -229,7 +241,9 @@ class FeatureEngineer:
 def create_advanced_features(df: DataFrame, exclude: list[str] = ("unified_label",),
                              key: str | None = None) -> DataFrame:
     """All families, statistics fitted on the same frame (the batch helper's behaviour)."""
-    return FeatureEngineer(exclude, key=key).fit(df).transform(df)
+    fe = FeatureEngineer(exclude, key=key)
+    model = fe.fit(df)
+    return model.transform(df, ranked=fe.ranked)
 
 
 def one_hot(df: DataFrame, cols: list[str], categories: dict[str, list[str]] | None = None,

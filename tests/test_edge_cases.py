@@ -201,3 +201,15 @@ def test_percentile_rank_long_join_equals_per_column_joins(spark):
     for i in by_col:
         for c in ("a_percentile", "b_percentile", "c_percentile"):
             assert by_col[i][c] == long[i][c]
+
+
+def test_full_feature_set_reuses_ranks_without_changing_them(spark):
+    from flowlens.plans import q_features as QF
+
+    fe = QF.fe_frame(spark, "/root/testdata/sf0.001")
+    full = FE.create_advanced_features(fe, exclude=["flow_id", "unified_label"], key="flow_id")
+    alone = FE.percentile_ranks(fe.select("flow_id", *QF.STAT), QF.STAT, key="flow_id")
+    cols = [f"{c}_percentile" for c in QF.STAT]
+    a = full.select("flow_id", *cols).exceptAll(alone.select("flow_id", *cols)).count()
+    b = alone.select("flow_id", *cols).exceptAll(full.select("flow_id", *cols)).count()
+    assert a == 0 and b == 0 and full.count() == 1000
