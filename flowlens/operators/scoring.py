@@ -66,3 +66,8 @@ def probability_columns(df: DataFrame, prob_col: str, classes: list[str], prefix
     for i, c in enumerate(classes):
         out = out.withColumn(f"{prefix}{c}", F.col("__p")[i])
     return out.withColumn("confidence", F.array_max("__p")).drop("__p")
+
+
+def split_quarantine(df: DataFrame, valid_col: str = "valid") -> tuple[DataFrame, DataFrame]:
+    """SC6: (scored rows, quarantined rows) so that bad input can go to its own sink."""
+    return df.where(F.col(valid_col)), df.where(~F.col(valid_col))

@@ -238,3 +238,14 @@ def sc7_correct(spark, sf_dir):
     df = tables.scores(spark, sf_dir).withColumn("predicted", (F.col("p_c") > C.ATTACK_THRESHOLD).cast("int"))
     return S.correctness_mark(df.withColumnRenamed("y", "expected"), "expected", "predicted").select(
         "flow_id", "expected", "predicted", "correct")
+
+
+@query("SC6_quarantine", """
+SELECT flow_id, raw FROM (SELECT flow_id, CASE WHEN flow_id % 97 = 0 THEN 'bad' ELSE cast(p_c AS varchar) END AS raw
+FROM scores) WHERE try_cast(raw AS double) IS NULL""")
+def sc6_quarantine(spark, sf_dir):
+    """Rows whose score does not parse, as routed to the quarantine sink."""
+    df = tables.scores(spark, sf_dir).select(
+        "flow_id", F.when(F.col("flow_id") % 97 == 0, F.lit("bad")).otherwise(F.col("p_c").cast("string")).alias("raw"))
+    _, bad = S.split_quarantine(S.guarded_threshold_rule(df, "raw", C.ATTACK_THRESHOLD))
+    return bad.select("flow_id", "raw")

@@ -138,3 +138,14 @@ def fe15(spark, sf_dir):
 def fe_all(spark, sf_dir):
     """Every family on the whole frame (statistics fitted on the same frame)."""
     return FE.create_advanced_features(fe_frame(spark, sf_dir), exclude=["flow_id", "unified_label"], key="flow_id")
+
+
+@query("FE15_pca_variance")
+def fe15_variance(spark, sf_dir):
+    """Explained-variance ratio per component, with the total and the top-10 share."""
+    fe = fe_frame(spark, sf_dir)
+    cols = ["duration", "src_bytes", "dst_bytes", "count", "srv_count", "serror_rate", "same_srv_rate"]
+    _, ratios = FE.pca_features(fe, cols, k=C.PCA_COMPONENTS, keep=["flow_id"])
+    summary = FE.explained_variance_summary(ratios)
+    rows = [(i + 1, float(r), summary["total"], summary["top10"]) for i, r in enumerate(ratios)]
+    return spark.createDataFrame(rows, "component int, ratio double, total double, top10 double")
