@@ -84,9 +84,21 @@ def auc(df: DataFrame, positive: Column, score: str, keys: list[str] = ()) -> Da
                  F.first("pos_total") * F.first("neg_total")).alias("auc"))
 
 
-def roc_points(df: DataFrame, positive: Column, score: str, keys: list[str] = ()) -> DataFrame:
-    """EV7: (threshold, fpr, tpr) for every distinct score, predicting positive at score >= threshold."""
+def roc_points(df: DataFrame, positive: Column, score: str, keys: list[str] = (),
+               max_points: int | None = None) -> DataFrame:
+    """EV7: (threshold, fpr, tpr) for every distinct score, predicting positive at score >= threshold.
+
+    ``max_points`` thins the curve: rows are grouped into that many slices of the
+    cumulative row count and each slice keeps its lowest threshold (an aggregate, no sort).
+    """
     cum = cumulative_by_value(score_counts(df, positive, score, keys), list(keys), "s", ["pos", "neg"])
+    if max_points:
+        below = F.col("pos_below") + F.col("neg_below")
+        total = F.col("pos_total") + F.col("neg_total")
+        cum = (cum.withColumn("__slice", F.floor(below * max_points / total))
+               .groupBy(*keys, "__slice")
+               .agg(F.min_by(F.struct("s", "pos_below", "neg_below", "pos_total", "neg_total"), F.col("s")).alias("p"))
+               .select(*keys, "p.*"))
     tp = F.col("pos_total") - F.col("pos_below")
     fp = F.col("neg_total") - F.col("neg_below")
     return cum.select(*keys, F.col("s").alias("threshold"), safe_div(fp, F.col("neg_total")).alias("fpr"),

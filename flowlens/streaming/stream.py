@@ -76,8 +76,10 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
 
 
 def run_available_now(df: DataFrame, checkpoint: str, sink: str | None = None, mode: str = "append",
-                      batch_fn: Callable[[DataFrame, int], None] | None = None, name: str | None = None) -> None:
-    """Run a streaming frame over everything available, then stop (tests, backfills, scheduled jobs)."""
+                      batch_fn: Callable[[DataFrame, int], None] | None = None, name: str | None = None):
+    """Run a streaming frame over everything available, then stop (tests, backfills, scheduled jobs).
+
+    Returns the finished query (its ``lastProgress`` feeds ``progress_rates``)."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if name:
         w = w.queryName(name)
@@ -88,6 +90,7 @@ def run_available_now(df: DataFrame, checkpoint: str, sink: str | None = None, m
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return q
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -159,3 +162,10 @@ def latest_batch(spark: SparkSession, path: str) -> DataFrame:
 def dedupe_stream(stream: DataFrame, key: str = "flow_id", ts_col: str = "ts", watermark: str = WATERMARK) -> DataFrame:
     """ST6: drop repeated deliveries of the same flow within the watermark."""
     return stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([key])
+
+
+def progress_rates(query) -> dict:
+    """AL5 live: input and processing rates of the last micro-batch (StreamingQueryProgress)."""
+    p = query.lastProgress or {}
+    return {"batch_id": p.get("batchId"), "input_rows": p.get("numInputRows"),
+            "rows_per_sec": p.get("processedRowsPerSecond"), "batch_ms": (p.get("durationMs") or {}).get("triggerExecution")}

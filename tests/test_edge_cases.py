@@ -213,3 +213,12 @@ def test_full_feature_set_reuses_ranks_without_changing_them(spark):
     a = full.select("flow_id", *cols).exceptAll(alone.select("flow_id", *cols)).count()
     b = alone.select("flow_id", *cols).exceptAll(full.select("flow_id", *cols)).count()
     assert a == 0 and b == 0 and full.count() == 1000
+
+
+def test_roc_thinning_keeps_endpoints_and_bounds_size(spark):
+    rows = [(i % 2, (i * 37 % 101) / 100.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    full = {r.threshold: (r.fpr, r.tpr) for r in EV.roc_points(df, F.col("y") == 1, "s").collect()}
+    thin = {r.threshold: (r.fpr, r.tpr) for r in EV.roc_points(df, F.col("y") == 1, "s", max_points=10).collect()}
+    assert len(thin) <= 11 and min(thin) == min(full) and thin[min(thin)] == (1.0, 1.0)
+    assert all(full[t] == v for t, v in thin.items())

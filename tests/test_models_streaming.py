@@ -82,7 +82,9 @@ def test_stream_restart_from_checkpoint_neither_loses_nor_duplicates(spark):
     src = scratch_path(spark, "restart-src")
     schema = ST.stage_source(tables.flows(spark, SF_SMALL).select("flow_id", "ts"), src, n_files=4)
     out, ck = scratch_path(spark, "restart-out"), scratch_path(spark, "restart-ck")
-    ST.run_available_now(ST.read_stream(spark, src, schema, max_files=1), ck, out)
+    q = ST.run_available_now(ST.read_stream(spark, src, schema, max_files=1), ck, out)
+    rates = ST.progress_rates(q)
+    assert rates["batch_id"] is not None and rates["input_rows"] is not None
     first = spark.read.parquet(out).count()
     ST.run_available_now(ST.read_stream(spark, src, schema, max_files=1), ck, out)   # restart: nothing new
     assert spark.read.parquet(out).count() == first == 1000
