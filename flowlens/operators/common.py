@@ -21,10 +21,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 
 
 def with_total(df: DataFrame, count_col: str = "n", total_col: str = "total") -> DataFrame:
-    """Attach the sum of ``count_col`` over the whole (already aggregated, small) frame."""
-    from pyspark.sql import Window
+    """Attach the sum of ``count_col`` over the whole frame as a literal.
 
-    return df.withColumn(total_col, F.sum(count_col).over(Window.partitionBy()))
+    The total is one scalar aggregate (partial sums per task), so no single-partition
+    window is needed however many rows ``df`` has.
+    """
+    total = df.agg(F.sum(count_col)).first()[0]
+    return df.withColumn(total_col, F.lit(total if total is not None else 0).cast("bigint"))
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:

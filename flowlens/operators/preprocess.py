@@ -43,7 +43,11 @@ def string_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """PP4 fit table: (column, value, code) with codes in lexicographic order per column."""
+    """PP4 fit table: (column, value, code) with codes in lexicographic order per column.
+
+    Meant for columns within the cardinality limit (the preprocessor only encodes those);
+    each column's distinct values are ranked in one window partition.
+    """
     from pyspark.sql import Window
 
     pairs = long_strings(df, cols).where(F.col("value").isNotNull()).distinct()

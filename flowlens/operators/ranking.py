@@ -18,6 +18,8 @@ The result is exact; only the bucket balance depends on the sketch.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ SKETCH_ACCURACY = 10_000
 # Up to this many distinct (key, value) rows in total, one window partition per key is
 # bounded and cheaper than the sketch + bucket stages.
 SMALL_DISTINCT = 2_000_000
+# Upper bound on the rows of the broadcast bounds / offsets tables (keys x buckets).
+BROADCAST_ROWS = 1_000_000
 
 
 def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: list[str],
@@ -47,8 +51,14 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
         tmp_key = "__all"
         agg = agg.withColumn(tmp_key, F.lit(0))
         keys = [tmp_key]
-    if materialize and agg.limit(SMALL_DISTINCT + 1).count() <= SMALL_DISTINCT:
-        # Bounded: at most SMALL_DISTINCT rows in all key partitions together.
+    n_groups = 1 if tmp_key else agg.select(*keys).distinct().count()
+    if n_groups * 2 ** steps > BROADCAST_ROWS:
+        # Keep keys x buckets under the broadcast bound; with that many keys the keys
+        # themselves spread the windows over tasks.
+        steps = int(math.log2(BROADCAST_ROWS / n_groups)) if n_groups < BROADCAST_ROWS else 0
+    if steps <= 0 or (materialize and agg.limit(SMALL_DISTINCT + 1).count() <= SMALL_DISTINCT):
+        # Bounded: at most SMALL_DISTINCT rows in all key partitions together (or so many
+        # keys that each key's window is its own unit of parallelism).
         before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*keys)
         out = agg.select(*[c for c in agg.columns if c != tmp_key], *([tmp_key] if tmp_key else []),
@@ -59,7 +69,7 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
     probs = [i / (n_bounds + 1) for i in range(1, n_bounds + 1)]
     bounds = agg.groupBy(*keys).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("__bounds"))
-    # One row per key group; keys are column names or class labels, a small bounded set.
+    # n_groups rows of 2**steps - 1 doubles: bounded by BROADCAST_ROWS (checked above).
     placed = (agg.join(F.broadcast(bounds), keys)
               .withColumn("__bk", binary_search_expr(F.col("__bounds"), F.col(value).cast("double"), steps))
               .drop("__bounds"))
@@ -71,7 +81,7 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
         *[F.coalesce(F.sum(f"__bt_{m}").over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
         *[F.sum(f"__bt_{m}").over(whole).alias(f"{m}_total") for m in measures],
     )
-    # At most (#keys x 2**steps) rows: safe to broadcast.
+    # n_groups x 2**steps <= BROADCAST_ROWS rows (checked above): safe to broadcast.
     joined = placed.join(F.broadcast(offsets), keys + ["__bk"])
     local = Window.partitionBy(*keys, "__bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = joined.select(

@@ -222,3 +222,21 @@ def test_roc_thinning_keeps_endpoints_and_bounds_size(spark):
     thin = {r.threshold: (r.fpr, r.tpr) for r in EV.roc_points(df, F.col("y") == 1, "s", max_points=10).collect()}
     assert len(thin) <= 11 and min(thin) == min(full) and thin[min(thin)] == (1.0, 1.0)
     assert all(full[t] == v for t, v in thin.items())
+
+
+@pytest.mark.parametrize("bound", [8, 2])
+def test_rank_buckets_shrink_with_many_keys(spark, monkeypatch, bound):
+    """keys x buckets stays under the broadcast bound; results stay exact."""
+    import numpy as np
+
+    from flowlens.operators import ranking
+
+    monkeypatch.setattr(ranking, "SMALL_DISTINCT", 0)
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", bound)
+    rows = [(f"k{i % 3}", float((i * 7919) % 101), 1) for i in range(600)]
+    agg = spark.createDataFrame(rows, "k string, v double, n int").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    cum = ranking.cumulative_by_value(agg, ["k"], "v", ["n"]).toPandas()
+    for _, part in cum.groupby("k"):
+        part = part.sort_values("v")
+        assert (part["n_below"].to_numpy() == np.concatenate([[0], np.cumsum(part["n"])[:-1]])).all()
+        assert (part["n_total"] == part["n"].sum()).all()
