@@ -36,8 +36,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if active is not None:
         ensure_checkpoint_dir(active)
         return active
+    from pyspark import SparkConf
+
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
+    builder = SparkSession.builder.appName(app_name)
+    # Under spark-submit the master comes from the launcher; only default to local otherwise.
+    if master or not SparkConf().contains("spark.master"):
+        builder = builder.master(master or f"local[{cpus}]")
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf["spark.driver.memory"] = os.environ.get("FLOWLENS_DRIVER_MEMORY", "16g")
