@@ -36,7 +36,7 @@ BROADCAST_ROWS = 1_000_000
 
 def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: list[str],
                         steps: int = DEFAULT_STEPS, accuracy: int = SKETCH_ACCURACY,
-                        materialize: bool = True) -> DataFrame:
+                        materialize: bool = True, n_keys: int | None = None) -> DataFrame:
     """Add ``<m>_below`` (sum of m over smaller values of the same key) and ``<m>_total``.
 
     ``agg`` must hold one row per (keys, value) with non-null values.  It is read by three
@@ -51,12 +51,17 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
         tmp_key = "__all"
         agg = agg.withColumn(tmp_key, F.lit(0))
         keys = [tmp_key]
-    n_groups = 1 if tmp_key else agg.select(*keys).distinct().count()
+    # One aggregate gives the table size and (unless the caller knows it) the key count.
+    if tmp_key or n_keys is not None:
+        n_rows, n_groups = agg.count(), (1 if tmp_key else n_keys)
+    else:
+        row = agg.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("k")).first()
+        n_rows, n_groups = row["n"], row["k"]
     if n_groups * 2 ** steps > BROADCAST_ROWS:
         # Keep keys x buckets under the broadcast bound; with that many keys the keys
         # themselves spread the windows over tasks.
         steps = int(math.log2(BROADCAST_ROWS / n_groups)) if n_groups < BROADCAST_ROWS else 0
-    if steps <= 0 or (materialize and agg.limit(SMALL_DISTINCT + 1).count() <= SMALL_DISTINCT):
+    if steps <= 0 or n_rows <= SMALL_DISTINCT:
         # Bounded: at most SMALL_DISTINCT rows in all key partitions together (or so many
         # keys that each key's window is its own unit of parallelism).
         before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +117,8 @@ def value_counts_long(df: DataFrame, cols: list[str], finite: bool = True) -> Da
 
 def ranked_values(df: DataFrame, cols: list[str], steps: int = DEFAULT_STEPS, finite: bool = True) -> DataFrame:
     """(column, v, n, n_below, n_total) for every distinct value of each column."""
-    return cumulative_by_value(value_counts_long(df, cols, finite), ["column"], "v", ["n"], steps=steps)
+    return cumulative_by_value(value_counts_long(df, cols, finite), ["column"], "v", ["n"], steps=steps,
+                               n_keys=len(cols))
 
 
 def quantiles_from_ranked(ranked: DataFrame, probs: list[float]) -> DataFrame:
