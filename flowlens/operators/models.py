@@ -23,6 +23,25 @@ from flowlens.operators import evaluate as EV
 from flowlens.operators.split import assign_folds
 
 
+# Independent fits run one after another by default: a fit over large data already uses the
+# whole cluster, and on one machine concurrent fits only contend for the same cores
+# (measured: stacking 87 s sequential vs 112 s with 4 concurrent fits at sf0.01, local[8]).
+# Raise it when many small fits meet a large, idle cluster.
+FIT_PARALLELISM = 1
+
+
+def parallel_fits(fn, items: list, parallelism: int | None = None) -> list:
+    """Run independent fits, optionally concurrently (as CrossValidator(parallelism=...) does):
+    each thread submits its own Spark jobs and the scheduler interleaves them."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    parallelism = FIT_PARALLELISM if parallelism is None else parallelism
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """ML3: balanced weights n / (k * n_c) from the class counts (a class-sized table)."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
@@ -150,16 +169,15 @@ def train_and_compare(train: DataFrame, test: DataFrame, features: list[str], la
 def cross_val_scores(df: DataFrame, features: list[str], estimator_fn, label_col: str, key: str,
                      k: int = C.CV_FOLDS, categorical: list[str] = ()) -> dict:
     """SP3: k stratified folds, accuracy per fold, mean and 2 x population std."""
-    folds = assign_folds(df, label_col, key, k).cache()
-    scores = []
-    try:
-        for f in range(k):
-            model = fit_pipeline(folds.where(F.col("fold") != f), features, estimator_fn(), label_col,
-                                 categorical=categorical)
-            out = model.transform(folds.where(F.col("fold") == f))
-            scores.append(out.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0])
-    finally:
-        folds.unpersist()
+    folds = assign_folds(df, label_col, key, k).checkpoint()
+
+    def one(f: int) -> float:
+        model = fit_pipeline(folds.where(F.col("fold") != f), features, estimator_fn(), label_col,
+                             categorical=categorical)
+        out = model.transform(folds.where(F.col("fold") == f))
+        return out.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+
+    scores = parallel_fits(one, list(range(k)))
     mean = sum(scores) / k
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / k)
     return {"scores": scores, "mean": mean, "pm2std": 2 * std}
@@ -175,17 +193,24 @@ def stacking(train: DataFrame, test: DataFrame, features: list[str], label_col:
     neither should re-run its lineage (nor depend on executor-local state).
     """
     folds = assign_folds(train, label_col, key, k).checkpoint()
+    # Every (fold, base model) fit and every full refit is independent: fit them concurrently.
+    tasks = [(f, name) for f in range(k) for name in base] + [(None, name) for name in base]
+
+    def fit_one(task):
+        f, name = task
+        data = train if f is None else folds.where(F.col("fold") != f)
+        return task, fit_pipeline(data, features, base[name](), label_col, categorical=categorical)
+
+    fitted = dict(parallel_fits(fit_one, tasks))
     oof = None
     for f in range(k):
         scored_part = folds.where(F.col("fold") == f)
-        for name, est_fn in base.items():
-            m = fit_pipeline(folds.where(F.col("fold") != f), features, est_fn(), label_col, categorical=categorical)
-            s = m.transform(scored_part).withColumn(f"meta_{name}", F.col("probability"))
+        for name in base:
+            s = fitted[(f, name)].transform(scored_part).withColumn(f"meta_{name}", F.col("probability"))
             scored_part = s.select(*scored_part.columns, f"meta_{name}")
         oof = scored_part if oof is None else oof.unionByName(scored_part)
     oof = oof.checkpoint()
-    full = {name: fit_pipeline(train, features, est_fn(), label_col, categorical=categorical)
-            for name, est_fn in base.items()}
+    full = {name: fitted[(None, name)] for name in base}
     label_model = list(full.values())[0].stages[0]
     meta_cols = [f"meta_{n}" for n in base]
     meta_train = label_model.transform(oof)

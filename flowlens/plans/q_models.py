@@ -68,11 +68,11 @@ def ml3(spark, sf_dir):
 @query("ML4_out_of_bag_score")
 def ml4(spark, sf_dir):
     """Out-of-bag estimate: k sub-forests, each row scored by the one that did not see its fold."""
-    f = SP.assign_folds(model_frame(spark, sf_dir), LABEL, "flow_id", C.CV_FOLDS)
+    f = SP.assign_folds(model_frame(spark, sf_dir), LABEL, "flow_id", C.CV_FOLDS).checkpoint()
+    fitted = M.parallel_fits(lambda k: M.fit_pipeline(f.where(F.col("fold") != k), FEATURES, M.random_forest("binary"),
+                                                      LABEL, categorical=CATEGORICAL), list(range(C.CV_FOLDS)))
     scored = None
-    for k in range(C.CV_FOLDS):
-        m = M.fit_pipeline(f.where(F.col("fold") != k), FEATURES, M.random_forest("binary"), LABEL,
-                           categorical=CATEGORICAL)
+    for k, m in enumerate(fitted):
         s = M.score(m, f.where(F.col("fold") == k), keep=["flow_id", LABEL])
         s = s.select("flow_id", LABEL, "predicted_class")
         scored = s if scored is None else scored.unionByName(s)
