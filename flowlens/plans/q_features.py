@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from flowlens import config as C
 from flowlens.operators import features as FE
