@@ -31,11 +31,14 @@ def infer_csv_schema(spark: SparkSession, path: str, sample_ratio: float = 0.01)
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None,
-             nrows: int | None = None) -> DataFrame:
+             nrows: int | None = None, cap_key: str | None = None, seed: int = 42) -> DataFrame:
     """IO5: reader chosen by format or by file suffix.
 
     ``nrows`` (IO3) caps the read like the reference's ``nrows``; it is off by default
-    because a cap silently drops data.  Parquet, CSV (header) and JSON are supported.
+    because a cap silently drops data.  Without ``cap_key`` the first rows in file order are
+    kept; with ``cap_key`` the cap is repeatable: rows whose ``md5(seed:key)`` falls below
+    nrows / total are kept (about ``nrows`` rows, the same ones on every run, no shuffle).
+    Parquet, CSV (header) and JSON are supported.
     """
     fmt = (fmt or ("csv" if path.lower().endswith(".csv") else
                    "json" if path.lower().endswith((".json", ".jsonl")) else "parquet")).lower()
@@ -49,7 +52,18 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, schema: T.S
         df = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
-    return df.limit(nrows) if nrows else df
+    if not nrows:
+        return df
+    if cap_key is None:
+        return df.limit(nrows)
+    from pyspark.sql import functions as F
+
+    total = df.count()
+    if total <= nrows:
+        return df
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(cap_key).cast("string"))), 1, 8), 16, 10) \
+        .cast("double") / float(16 ** 8)
+    return df.where(u < F.lit(nrows / total))
 
 
 def load_dataset(spark: SparkSession, spec: DatasetSpec, schema: T.StructType | None = None,

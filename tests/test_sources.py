@@ -28,3 +28,13 @@ def test_row_cap_missing_sources_and_csv_inference(spark):
     assert types["flow_duration"] == "double" and types["Label"] == "string"
     df = readers.read_any(spark, csv, fmt="csv", schema=schema)   # folder without suffix: name the format
     assert df.count() == 1500 and df.where(F.col("Label") == "BENIGN").count() > 0
+
+
+def test_repeatable_hash_cap(spark):
+    path = tables.table_path(SF_SMALL, "events")
+    a = readers.read_any(spark, path, nrows=300, cap_key="event_id").select("event_id")
+    b = readers.read_any(spark, path, nrows=300, cap_key="event_id").select("event_id")
+    n = a.count()
+    assert 200 <= n <= 400                       # about nrows, from a hash threshold
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert readers.read_any(spark, path, nrows=5000, cap_key="event_id").count() == 1000   # cap above size
