@@ -17,7 +17,9 @@ from flowlens.llm.common import prepare, written
 from flowlens.sources.tables import read_table
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.drop_toxic),
     ("near_dedup", stages.drop_near_copies),
+    ("pii", stages.redact),
     ("mixing", stages.mix_sources),
     ("bpe", stages.tokenize),
 ]

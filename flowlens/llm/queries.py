@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import bpe, golay, mixing, simhash, warc
+from flowlens.llm import bpe, golay, langid, mixing, mtree, ngram_lm, pii, simhash, toxicity, warc
 from flowlens.llm.common import prepare
 from flowlens.sources.tables import read_table
 
@@ -39,6 +39,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_mtree_top_k", mtree.ORACLE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector."""
+    return mtree.top_k(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
 @query("op2_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
@@ -68,3 +74,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     return warc.query(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return toxicity.query(docs, read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return langid.query(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.query(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@query("op10_backoff_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return ngram_lm.query(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))

@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, golay, mixing
+from flowlens.llm import bpe, golay, mixing, pii, toxicity
 from flowlens.llm.common import prepare
 from flowlens.llm.queries import tokenizer_path
+from flowlens.sources.tables import read_table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go; the model learns from all labelled documents it is given."""
+    prepare(spark)
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +39,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in every text gives way to its kind; n_chars follows."""
+    prepare(spark)
+    return pii.redact(docs, pii.train(docs))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
     prepare(spark)
