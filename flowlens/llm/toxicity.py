@@ -34,11 +34,10 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import crc_mod, doc_text, map_arrow
 
 MAX_TRAIN = 6000
-MIN_DOCS = 3  # a feature occurs in so many training documents at least
-PREFIXES = (3, 4, 5)
-LIFT = 3  # see fit()
-STEPS, RATE, L1 = 250, 0.15, 2e-4
-START_BIAS = -7.0
+PREFIXES = (4, 5)
+SCREEN = 20.0  # see screened()
+STEPS, RATE, L1 = 150, 0.1, 1e-5
+START_BIAS = -10.0  # and its upper bound: plain sentences must not add up in long texts
 WEIGHT_CACHE = 500_000
 # A sentence ends at a stop mark, line end or bar; words are runs of letters.
 SENTENCE = re.compile(r"[^.!?\n\r|]+")
@@ -98,6 +97,20 @@ def _sigmoid(z: float) -> float:
     return float(1.0 / (1.0 + np.exp(-max(-60.0, min(60.0, z)))))
 
 
+def screened(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """Features that sentences of toxic documents hold more often, by a likelihood-ratio (G squared) of at
+    least ``SCREEN``: the many that a small sample favours by chance are left out."""
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+
+    share = all_toxic / (all_toxic + all_clean)
+    n = toxic + clean
+    ratio = 2 * (part(toxic, n * share) + part(clean, n * (1 - share)) + part(all_toxic - toxic, (all_toxic + all_clean - n) * share)
+                 + part(all_clean - clean, (all_toxic + all_clean - n) * (1 - share)))
+    return (ratio >= SCREEN) & (toxic > n * share)
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Fit on a bounded list of texts (see ``MAX_TRAIN``)."""
     y = np.array(labels, bool)
@@ -105,11 +118,12 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model({}, -60.0, 0.0)
     index: dict[str, int] = {}
     word_ids: dict[str, list[int]] = {}
-    docs_of: list[int] = []
+    seen_in: list[int] = []  # distinct sentences that hold the feature, so copies count once
     in_clean: list[int] = []
+    sentences: set[tuple[bool, str]] = set()
+    of_toxic = of_clean = 0
     sent_doc, rows, cols = [], [], []
     for d, text in enumerate(texts):
-        in_doc: set[int] = set()
         for sentence in SENTENCE.findall(text.lower()):
             found: list[int] = []
             for w in set(LETTERS.findall(sentence)):
@@ -118,26 +132,31 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                 found += word_ids[w]
             rows.extend([len(sent_doc)] * len(found))
             cols.extend(found)
-            in_doc.update(found)
             sent_doc.append(d)
-        for column in (docs_of, in_clean):
-            column.extend([0] * (len(index) - len(column)))
-        for f in in_doc:
-            docs_of[f] += 1
-            in_clean[f] += not y[d]
+            if (bool(y[d]), sentence) in sentences:
+                continue
+            sentences.add((bool(y[d]), sentence))
+            of_toxic, of_clean = of_toxic + bool(y[d]), of_clean + (not y[d])
+            for column in (seen_in, in_clean):
+                column.extend([0] * (len(index) - len(column)))
+            for f in set(found):
+                seen_in[f] += 1
+                in_clean[f] += not y[d]
     rows_a, cols_a = np.array(rows, np.int32), np.array(cols, np.int32)
     del rows, cols
-    counts, clean_docs = np.array(docs_of), np.array(in_clean)
-    # Screening: a feature that is not at least LIFT times as frequent in toxic documents as
-    # in clean ones marks no offence, so weights need not go below zero either.
-    lift = (counts - clean_docs) * (~y).sum() >= LIFT * clean_docs * y.sum()
-    kept = np.flatnonzero((counts >= MIN_DOCS) & lift & (counts > clean_docs))
+    every = [*seen_in, *[0] * (len(index) - len(seen_in))]
+    clean = np.array([*in_clean, *[0] * (len(index) - len(in_clean))], np.int64)
+    toxic_in = np.array(every, np.int64) - clean
+    kept = np.flatnonzero(screened(toxic_in, clean, of_toxic, of_clean))
     new = np.full(len(index), -1, np.int32)
     new[kept] = np.arange(kept.size)
     use = new[cols_a] >= 0 if cols_a.size else np.empty(0, bool)
     rows_a, cols_a = rows_a[use], new[cols_a[use]]
     doc = np.array(sent_doc, np.int32)
-    w, bias, leak = np.zeros(kept.size), START_BIAS, -4.0
+    # Start from the log odds of each feature by itself, so that words which always come
+    # together all keep their share of the blame.
+    w = np.log((toxic_in[kept] + 0.5) / (of_toxic + 1)) - np.log((clean[kept] + 0.5) / (of_clean + 1))
+    bias, leak = START_BIAS, -4.0
     # Adam steps on the mean negative log likelihood, then the L1 shrinkage of the weights.
     m, v = np.zeros(kept.size + 2), np.zeros(kept.size + 2)
     n_sent, n_doc = doc.size, y.size
