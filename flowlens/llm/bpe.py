@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from flowlens.llm.common import doc_text, map_arrow, utf8
 
@@ -217,7 +218,7 @@ def with_ids(docs: DataFrame, path: str, column: str = "text", ids: str = "ids",
     names = [c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded)]
     source = "__bpe_text"
     df = docs.select(*names, docs[column].cast("string").alias(source))
-    schema = df.select(*names).schema.add(ids, "array<int>")
+    schema = df.select(*names).schema.add(ids, ArrayType(IntegerType()))
     if decoded:
         schema = schema.add(decoded, "string")
     return map_arrow(df, coder(docs.sparkSession, path, source, ids, decoded, names), schema)

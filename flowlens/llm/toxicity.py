@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import crc_mod, doc_text, map_arrow
 
 MAX_TRAIN = 6000
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
 SCREEN = 20.0  # see screened()
-STEPS, RATE, L1 = 150, 0.1, 1e-5
+GENERAL = 0.75  # share of a longer feature's log odds at which a prefix replaces it
+STEPS, RATE, L1 = 150, 0.1, 1e-3
 START_BIAS = -10.0  # and its upper bound: plain sentences must not add up in long texts
 WEIGHT_CACHE = 500_000
 # A sentence ends at a stop mark, line end or bar; words are runs of letters.
@@ -147,7 +148,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     every = [*seen_in, *[0] * (len(index) - len(seen_in))]
     clean = np.array([*in_clean, *[0] * (len(index) - len(in_clean))], np.int64)
     toxic_in = np.array(every, np.int64) - clean
-    kept = np.flatnonzero(screened(toxic_in, clean, of_toxic, of_clean))
+    odds = np.log((toxic_in + 0.5) / (of_toxic + 1)) - np.log((clean + 0.5) / (of_clean + 1))
+    names = list(index)
+    strong = dict.fromkeys(np.flatnonzero(screened(toxic_in, clean, of_toxic, of_clean)).tolist())
+    # Of a word and its prefixes the shortest that is about as telling stands for all: it
+    # also covers forms that the sample does not hold.
+    kept = np.array([f for f in strong if not any(
+        odds[g] >= GENERAL * odds[f] for p in features(names[f].rstrip("*"))[1:]
+        if p != names[f] and len(p) <= len(names[f]) and (g := index.get(p)) in strong)], np.int64)
     new = np.full(len(index), -1, np.int32)
     new[kept] = np.arange(kept.size)
     use = new[cols_a] >= 0 if cols_a.size else np.empty(0, bool)
@@ -155,7 +163,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     doc = np.array(sent_doc, np.int32)
     # Start from the log odds of each feature by itself, so that words which always come
     # together all keep their share of the blame.
-    w = np.log((toxic_in[kept] + 0.5) / (of_toxic + 1)) - np.log((clean[kept] + 0.5) / (of_clean + 1))
+    w = odds[kept].copy()
     bias, leak = START_BIAS, -4.0
     # Adam steps on the mean negative log likelihood, then the L1 shrinkage of the weights.
     m, v = np.zeros(kept.size + 2), np.zeros(kept.size + 2)
@@ -174,9 +182,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         v = 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-6)
         w -= move[:-2]
-        w = np.maximum(w - RATE * L1 / (np.sqrt(v[:-2] / (1 - 0.999 ** step)) + 1e-6), 0.0)
+        w = np.maximum(w - RATE * L1, 0.0)
         bias, leak = min(bias - move[-2], START_BIAS), leak - move[-1]
-    names = list(index)
     weights = {names[kept[i]]: float(w[i]) for i in np.flatnonzero(w > 1e-3)}
     return Model(weights, float(bias), float(1.0 / (1.0 + np.exp(-leak))))
 
