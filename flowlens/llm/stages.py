@@ -30,13 +30,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     prepare(spark)
     found = golay.near_duplicates(docs.select("doc_id", "text"))
+    own = "_".join(["kept", *docs.columns])  # a name that no column has
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep"))).drop("__keep")
+        F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
     # The join has laid rows out by id already; a repeated id keeps its first text by hash.
     first = W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.xxhash64("text"))
-    once = kept.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.withColumn(own, F.row_number().over(first)).filter(F.col(own) == 1)
+    return once.drop(own)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
