@@ -11,7 +11,7 @@ from flowlens.functions import labels as L
 from flowlens.operators import alerts as A
 from flowlens.operators import scoring as S
 from flowlens.plans.registry import query
-from flowlens.sources import tables
+from flowlens.sources import readers, tables
 from flowlens.sources.sinks import write_table
 from flowlens.session import scratch_path
 
@@ -172,7 +172,7 @@ def al11_export(spark, sf_dir):
     """Export the alerts as CSV into the shared folder and read the export back."""
     path = scratch_path(spark, "alert-export")
     write_table(alert_rows(spark, sf_dir), path, fmt="csv")
-    return spark.read.option("header", True).schema(ALERT_SCHEMA).csv(path)
+    return readers.read_any(spark, path, "csv", ALERT_SCHEMA)
 
 
 @query("AL12_run_summary", f"""WITH {SCORED_SQL},

@@ -78,12 +78,6 @@ def io2_csv(spark, sf_dir):
     return LB.prepare_labels(df, spec, "cicids2017").drop("source_dataset")
 
 
-@query("IO3_row_cap", "SELECT least(count(*), 100000) AS n_rows FROM lineitem")
-def io3_row_cap(spark, sf_dir):
-    df = readers.read_any(spark, tables.table_path(sf_dir, "lineitem"), nrows=100000)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 @query("IO4_skip_missing", "SELECT 'events' AS dataset, count(*) AS n_rows FROM events")
 def io4_skip_missing(spark, sf_dir):
     specs = {"events": DatasetSpec("events", tables.table_path(sf_dir, "events"), "event_type", "view"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from flowlens.config import DatasetSpec
+from flowlens.sources.sinks import CSV_TIMESTAMP, TEXT_TIMES
 
 log = logging.getLogger(__name__)
 
@@ -24,56 +25,39 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def infer_csv_schema(spark: SparkSession, path: str, sample_ratio: float = 0.01) -> T.StructType:
-    """Infer a CSV schema once on a sample; pin it for the real read (IO2)."""
+def infer_csv_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Infer a CSV schema over all rows, once, to pin it for later reads (IO2)."""
     return (spark.read.option("header", True).option("inferSchema", True)
-            .option("samplingRatio", sample_ratio).csv(path).schema)
+            .option("timestampFormat", CSV_TIMESTAMP).csv(path).schema)
 
 
-def read_any(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None,
-             nrows: int | None = None, cap_key: str | None = None, seed: int = 42) -> DataFrame:
-    """IO5: reader chosen by format or by file suffix.
+def read_any(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """IO5: reader chosen by format or by file suffix; always the whole source.
 
-    ``nrows`` (IO3) caps the read like the reference's ``nrows``; it is off by default
-    because a cap silently drops data.  Without ``cap_key`` the first rows in file order are
-    kept; with ``cap_key`` the cap is repeatable: rows whose ``md5(seed:key)`` falls below
-    nrows / total are kept (about ``nrows`` rows, the same ones on every run, no shuffle).
-    Parquet, CSV (header) and JSON are supported.
+    Parquet, CSV (header) and JSON are supported.  With a pinned ``schema`` a CSV or JSON
+    value that does not parse fails the read instead of turning into NULL.
     """
     fmt = (fmt or ("csv" if path.lower().endswith(".csv") else
                    "json" if path.lower().endswith((".json", ".jsonl")) else "parquet")).lower()
     if fmt == "parquet":
-        df = spark.read.parquet(path)
-    elif fmt == "csv":
-        reader = spark.read.option("header", True)
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        df = reader.csv(path)
-    elif fmt == "json":
-        df = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
-    else:
+        return spark.read.parquet(path)
+    if fmt not in ("csv", "json"):
         raise ValueError(f"unsupported format {fmt!r}")
-    if not nrows:
-        return df
-    if cap_key is None:
-        return df.limit(nrows)
-    from pyspark.sql import functions as F
-
-    total = df.count()
-    if total <= nrows:
-        return df
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(cap_key).cast("string"))), 1, 8), 16, 10) \
-        .cast("double") / float(16 ** 8)
-    return df.where(u < F.lit(nrows / total))
-
-
-def load_dataset(spark: SparkSession, spec: DatasetSpec, schema: T.StructType | None = None,
-                 nrows: int | None = None) -> DataFrame:
+    reader = spark.read.options(**TEXT_TIMES)
+    if schema is not None:
+        reader = reader.schema(schema).option("mode", "FAILFAST")
+    if fmt == "json":
+        return reader.json(path)
+    reader = reader.option("header", True)
+    return (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
+
+
+def load_dataset(spark: SparkSession, spec: DatasetSpec, schema: T.StructType | None = None) -> DataFrame:
     """IO1/IO2: load one dataset by its descriptor."""
-    return read_any(spark, spec.path, spec.format, schema, nrows)
+    return read_any(spark, spec.path, spec.format, schema)
 
 
-def load_datasets(spark: SparkSession, specs: Mapping[str, DatasetSpec], on_missing: str = "skip",
-                  nrows: int | None = None) -> dict[str, DataFrame]:
+def load_datasets(spark: SparkSession, specs: Mapping[str, DatasetSpec], on_missing: str = "skip") -> dict[str, DataFrame]:
     """IO4: load several datasets; a missing one is skipped (or raises), none left -> error."""
     out: dict[str, DataFrame] = {}
     for name, spec in specs.items():
@@ -82,7 +66,7 @@ def load_datasets(spark: SparkSession, specs: Mapping[str, DatasetSpec], on_miss
                 raise MissingSource(spec.path)
             log.warning("skipping missing dataset %s at %s", name, spec.path)
             continue
-        out[name] = load_dataset(spark, spec, nrows=nrows)
+        out[name] = load_dataset(spark, spec)
     if not out:
         raise MissingSource("no dataset could be loaded")
     return out

@@ -7,19 +7,26 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Spark's default text formats stop at milliseconds; these keep all six digits, and readers
+# use the same ones.
+CSV_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+TEXT_TIMES = {"timestampFormat": CSV_TIMESTAMP, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> str:
     """IO6 / AL11: write a result (predictions, FP/FN rows, alerts, importances).
 
-    Parquet by default; CSV gets a header; JSON writes one object per line.
+    Parquet by default; CSV gets a header; JSON writes one object per line; both keep
+    microseconds.  ``mode="overwrite"`` with no rows clears an earlier export (AL11 reset).
     """
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**TEXT_TIMES).option("header", True).csv(path)
     elif fmt == "json":
-        w.json(path)
+        w.options(**TEXT_TIMES).json(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:

@@ -22,7 +22,7 @@ def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
     if isinstance(v, (dt.datetime, dt.date)):
-        return str(v)[:19]
+        return str(v)
     if isinstance(v, bool):
         return int(v)
     if hasattr(v, "item"):

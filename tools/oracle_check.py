@@ -39,7 +39,7 @@ def norm(v):
         except Exception:
             pass
     if isinstance(v, (dt.datetime, dt.date)):
-        return str(v)[:19]
+        return str(v)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dict):
