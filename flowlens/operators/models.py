@@ -7,14 +7,15 @@ batches and streams alike (every stage is row-local at transform time).
 
 from __future__ import annotations
 
+import logging
 import math
 import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import config as C
@@ -22,6 +23,7 @@ from flowlens.functions.exprs import quote
 from flowlens.operators import evaluate as EV
 from flowlens.operators.split import assign_folds
 
+log = logging.getLogger(__name__)
 
 # Independent fits run one after another by default: a fit over large data already uses the
 # whole cluster, and on one machine concurrent fits only contend for the same cores
@@ -29,6 +31,8 @@ from flowlens.operators.split import assign_folds
 # Raise it when many small fits meet a large, idle cluster.
 FIT_PARALLELISM = 1
 
+MAX_CLASSES = 10_000  # a label with more values than this is no class label: an error
+
 
 def parallel_fits(fn, items: list, parallelism: int | None = None) -> list:
     """Run independent fits, optionally concurrently (as CrossValidator(parallelism=...) does):
@@ -44,7 +48,10 @@ def parallel_fits(fn, items: list, parallelism: int | None = None) -> list:
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """ML3: balanced weights n / (k * n_c) from the class counts (a class-sized table)."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    counts = {r[0]: r[1] for r in rows}
     n, k = sum(counts.values()), len(counts)
     m = F.create_map(*[x for c, cnt in counts.items() for x in (F.lit(c), F.lit(n / (k * cnt)))])
     return df.withColumn(out, F.element_at(m, F.col(label)))
@@ -92,19 +99,36 @@ def logistic_meta(label: str = "label", weight: str | None = "weight", features:
     return lr
 
 
+FILLED = "__filled"  # suffix of the assembled copies of the features
+
+
+def fill_stage(features: list[str]) -> SQLTransformer:
+    """Missing features (NULL, NaN) become 0 inside the pipeline, so raw batch rows and raw
+    stream rows are scored alike by a saved model."""
+    filled = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), 0D), 0D) AS `{c}{FILLED}`" for c in features)
+    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+
+
 def fit_pipeline(train: DataFrame, features: list[str], estimator, label_col: str, indexed: str = "label",
                  categorical: list[str] = ()) -> PipelineModel:
-    """Label index (alphabetical, so the order is stable) + categorical indexes + assembler + estimator."""
+    """Label index (alphabetical, so the order is stable), zero fill, categorical indexes,
+    assembler and estimator; rows without a label are left out.
+
+    The classes are those of the training rows and no more; at scoring time a label that
+    training never saw gets an index of its own and changes nothing else.
+    """
     stages = [StringIndexer(inputCol=label_col, outputCol=indexed, stringOrderType="alphabetAsc",
-                            handleInvalid="keep")]
+                            handleInvalid="error"), fill_stage(features)]
     cat_out = []
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
                                     handleInvalid="keep"))
         cat_out.append(f"{c}_idx")
-    stages.append(assembler(features + cat_out))
+    stages.append(assembler([f"{c}{FILLED}" for c in features] + cat_out))
     stages.append(estimator)
-    return Pipeline(stages=stages).fit(train)
+    model = Pipeline(stages=stages).fit(train.where(F.col(label_col).isNotNull()))
+    model.stages[0].setHandleInvalid("keep")
+    return model
 
 
 def labels_of(model: PipelineModel) -> list[str]:
@@ -113,7 +137,7 @@ def labels_of(model: PipelineModel) -> list[str]:
 
 def feature_importances(model: PipelineModel, top: int | None = None) -> list[tuple[str, float]]:
     """ML5: (feature, importance) sorted descending, optionally the top k (driver side, #features rows)."""
-    names = model.stages[-2].getInputCols()
+    names = [c.removesuffix(FILLED) for c in model.stages[-2].getInputCols()]
     imp = model.stages[-1].featureImportances.toArray()
     pairs = sorted(zip(names, [float(v) for v in imp]), key=lambda t: (-t[1], t[0]))
     return pairs[:top] if top else pairs
@@ -135,6 +159,42 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str] = (), prob_col: s
     return out.select(*cols)
 
 
+def chain_probabilities(models: dict[str, PipelineModel], df: DataFrame, out: str = "p_{}") -> DataFrame:
+    """``df`` with one probability array per model, all in one pass: each model's working
+    columns are dropped before the next transforms the same rows."""
+    for name, model in models.items():
+        keep = df.columns
+        scored = model.transform(df)
+        if "probability" not in scored.columns:
+            scored = ovr_probabilities(scored)
+        df = scored.select(*[F.col(quote(c)) for c in keep], vector_to_array("probability").alias(out.format(name)))
+    return df
+
+
+def out_of_bag(df: DataFrame, features: list[str], label_col: str, key: str, bags: int = 5,
+               categorical: list[str] = (), preset: str = "binary", seed: int = C.SEED) -> DataFrame:
+    """ML4: rows with the class that the forests which did not see them vote for.
+
+    Bag b leaves out the rows whose hash for (b, key) falls in its last third, as a bootstrap
+    sample leaves out about 37 %; a row is scored by all forests whose bag left it out (rows
+    that every bag holds get no vote).
+    """
+    bag = lambda b: F.pmod(F.xxhash64(F.lit(seed), F.lit(b), F.col(key)), F.lit(1000)) < 632
+    models = dict(enumerate(parallel_fits(
+        lambda b: fit_pipeline(df.where(bag(b)), features, random_forest(preset, seed=seed + b), label_col,
+                               categorical=categorical), list(range(bags)))))
+    labels = sorted({x for m in models.values() for x in labels_of(m)})
+    out = chain_probabilities(models, df)
+    votes = []
+    for x in labels:
+        parts = [F.when(~bag(b), F.col(f"p_{b}")[labels_of(m).index(x)]).otherwise(0.0)
+                 for b, m in models.items() if x in labels_of(m)]
+        votes.append(F.struct(sum(parts, F.lit(0.0)).alias("p"), F.lit(x).alias("c")))
+    seen = sum((bag(b).cast("int") for b in models), F.lit(0))
+    best = F.array_max(F.array(*votes))
+    return out.withColumn("oob_class", F.when(seen < bags, best["c"])).drop(*[f"p_{b}" for b in models])
+
+
 def evaluate_scored(scored: DataFrame, truth: str, model_name: str, labels: list[str]) -> DataFrame:
     """EN5 / ML6: accuracy, weighted F1 and one-vs-rest AUC (weighted) of one scored frame."""
     idx = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(truth)) - 1
@@ -149,16 +209,18 @@ def evaluate_scored(scored: DataFrame, truth: str, model_name: str, labels: list
 
 def train_and_compare(train: DataFrame, test: DataFrame, features: list[str], label_col: str,
                       candidates: dict, categorical: list[str] = (), keep: list[str] = ()) -> tuple[DataFrame, str, dict]:
-    """ML6: fit every candidate, record metrics and fit time, pick the best by accuracy."""
-    tables, models, timings = [], {}, {}
+    """ML6: fit every candidate, evaluate it on the test rows, pick the best by accuracy.
+
+    Fit times go to the log: they are no part of a repeatable result.
+    """
+    tables, models = [], {}
     for name, est in candidates.items():
         t0 = time.time()
         model = fit_pipeline(train, features, est, label_col, categorical=categorical)
-        timings[name] = time.time() - t0
+        log.info("fitted %s in %.1f s", name, time.time() - t0)
         models[name] = model
         scored = score(model, test, keep=[label_col, *keep])
-        tables.append(evaluate_scored(scored, label_col, name, labels_of(model))
-                      .withColumn("fit_seconds", F.lit(timings[name])))
+        tables.append(evaluate_scored(scored, label_col, name, labels_of(model)))
     table = tables[0]
     for t in tables[1:]:
         table = table.unionByName(t)
@@ -193,6 +255,7 @@ def stacking(train: DataFrame, test: DataFrame, features: list[str], label_col:
     neither should re-run its lineage (nor depend on executor-local state).
     """
     folds = assign_folds(train, label_col, key, k).checkpoint()
+    train = folds.drop("fold")  # the full refits read the same stored rows
     # Every (fold, base model) fit and every full refit is independent: fit them concurrently.
     tasks = [(f, name) for f in range(k) for name in base] + [(None, name) for name in base]
 
@@ -233,7 +296,3 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

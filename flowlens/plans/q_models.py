@@ -25,19 +25,33 @@ CATEGORICAL = ["service"]
 LABEL = "attack_type"
 
 
-def model_frame(spark, sf_dir):
+def raw_frame(spark, sf_dir):
+    """Flows with their class as they come: the fill is part of the fitted pipeline."""
     f = LB.add_attack_type(tables.flows(spark, sf_dir), "kdd", "target")
-    f = f.select("flow_id", "ts", "src_ip", "dst_ip", "service", *FEATURES, LABEL)
-    return PR.fill_zero(f, FEATURES)
+    return f.select("flow_id", "ts", "src_ip", "dst_ip", "service", *FEATURES, LABEL)
 
 
-def split(spark, sf_dir):
-    return SP.stratified_split(model_frame(spark, sf_dir), LABEL, "flow_id", C.TEST_FRACTION)
+def model_frame(spark, sf_dir):
+    return PR.fill_zero(raw_frame(spark, sf_dir), FEATURES)
 
 
-def fitted_forest(spark, sf_dir, preset="advanced"):
+def split(spark, sf_dir):
+    """The exact split, assigned once: its rows are written to the shared folder and every
+    pass of a fit reads them there instead of running the split again."""
+    train, test = SP.stratified_split(raw_frame(spark, sf_dir), LABEL, "flow_id", C.TEST_FRACTION)
+    both = train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    path = scratch_path(spark, "split")
+    both.write.partitionBy("is_test").parquet(path)
+    rows = spark.read.schema(both.schema).parquet(path)
+    return rows.where(~F.col("is_test")).drop("is_test"), rows.where("is_test").drop("is_test")
+
+
+def fitted_forest(spark, sf_dir, preset="advanced", weighted=True):
+    """Balanced class weights as in the reference's presets."""
     train, test = split(spark, sf_dir)
-    model = M.fit_pipeline(train, FEATURES, M.random_forest(preset), LABEL, categorical=CATEGORICAL)
+    weight = "weight" if weighted else None
+    fit_rows = M.class_weights(train, LABEL) if weighted else train
+    model = M.fit_pipeline(fit_rows, FEATURES, M.random_forest(preset, weight=weight), LABEL, categorical=CATEGORICAL)
     return model, train, test
 
 
@@ -67,17 +81,11 @@ def ml3(spark, sf_dir):
 
 @query("ML4_out_of_bag_score")
 def ml4(spark, sf_dir):
-    """Out-of-bag estimate: k sub-forests, each row scored by the one that did not see its fold."""
-    f = SP.assign_folds(model_frame(spark, sf_dir), LABEL, "flow_id", C.CV_FOLDS).checkpoint()
-    fitted = M.parallel_fits(lambda k: M.fit_pipeline(f.where(F.col("fold") != k), FEATURES, M.random_forest("binary"),
-                                                      LABEL, categorical=CATEGORICAL), list(range(C.CV_FOLDS)))
-    scored = None
-    for k, m in enumerate(fitted):
-        s = M.score(m, f.where(F.col("fold") == k), keep=["flow_id", LABEL])
-        s = s.select("flow_id", LABEL, "predicted_class")
-        scored = s if scored is None else scored.unionByName(s)
-    return scored.agg(F.avg((F.col(LABEL) == F.col("predicted_class")).cast("double")).alias("oob_score"),
-                      F.count(F.lit(1)).alias("rows"))
+    """Accuracy over the rows that some bag left out, voted by the forests that did not see them."""
+    train, _ = split(spark, sf_dir)
+    s = M.out_of_bag(train, FEATURES, LABEL, "flow_id", categorical=CATEGORICAL)
+    return s.agg(F.avg((F.col(LABEL) == F.col("oob_class")).cast("double")).alias("oob_score"),
+                 F.count("oob_class").alias("rows"))
 
 
 @query("ML5_feature_importances")
@@ -120,36 +128,59 @@ def en3(spark, sf_dir):
 
 @query("EN5_ensemble_evaluation")
 def en5(spark, sf_dir):
-    """Accuracy / weighted F1 / AUC of each base model and of their soft vote."""
-    from flowlens.operators import ensemble as EN
-
+    """Accuracy / weighted F1 / AUC of each base model, their soft vote and their weighted vote
+    (by training accuracy), all scored in one pass over the test rows."""
     train, test = split(spark, sf_dir)
-    rf = M.fit_pipeline(train, FEATURES, M.random_forest("binary"), LABEL, categorical=CATEGORICAL)
-    lr = M.fit_pipeline(train, FEATURES, LogisticRegression(labelCol="label", featuresCol="features", maxIter=100),
-                        LABEL, categorical=CATEGORICAL)
-    labels = M.labels_of(rf)
-    s_rf = M.score(rf, test, keep=["flow_id", LABEL])
-    s_lr = M.score(lr, test, keep=["flow_id", LABEL])
-    both = s_rf.select("flow_id", LABEL, F.array(*[f"prob_{x}" for x in labels]).alias("p_rf")).join(
-        s_lr.select("flow_id", F.array(*[f"prob_{x}" for x in labels]).alias("p_lr")), "flow_id")
-    vote = EN.soft_vote(both, ["p_rf", "p_lr"], "prediction")
-    vote = vote.select(LABEL, "prediction", "prediction_probs",
-                       *[F.col("prediction_probs")[i].alias(f"prob_{x}") for i, x in enumerate(labels)])
-    return (M.evaluate_scored(s_rf, LABEL, "random_forest", labels)
-            .unionByName(M.evaluate_scored(s_lr, LABEL, "logistic_regression", labels))
-            .unionByName(M.evaluate_scored(vote, LABEL, "soft_vote", labels)))
+    lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=100)
+    models = {"random_forest": M.fit_pipeline(train, FEATURES, M.random_forest("binary"), LABEL, categorical=CATEGORICAL),
+              "logistic_regression": M.fit_pipeline(train, FEATURES, lr, LABEL, categorical=CATEGORICAL)}
+    labels = M.labels_of(models["random_forest"])
+    names = [f"p_{m}" for m in models]
+    hit = lambda p: F.col(LABEL) == F.array(*[F.lit(x) for x in labels])[
+        (F.array_position(F.col(p), F.array_max(p)) - 1).cast("int")]
+    trained = M.chain_probabilities(models, train).agg(*[F.avg(hit(p).cast("double")).alias(p) for p in names]).first()
+    path = scratch_path(spark, "en5-scored")
+    M.chain_probabilities(models, test).select(LABEL, *names).write.parquet(path)
+    scored = spark.read.parquet(path)
+    total = sum(trained[p] for p in names)
+    mixes = {m: [float(p == f"p_{m}") for p in names] for m in models}
+    mixes["soft_vote"] = [1.0 / len(names)] * len(names)
+    mixes["weighted_vote"] = [trained[p] / total for p in names]
+    table = None
+    for name, weights in mixes.items():
+        mean = [sum((F.col(p)[i] * w for p, w in zip(names, weights)), F.lit(0.0)) for i in range(len(labels))]
+        s = scored.select(LABEL, F.array(*mean).alias("__p"))
+        s = s.select(LABEL, (F.array_position("__p", F.array_max("__p")) - 1).cast("int").alias("prediction"),
+                     *[F.col("__p")[i].alias(f"prob_{x}") for i, x in enumerate(labels)])
+        row = M.evaluate_scored(s, LABEL, name, labels)
+        table = row if table is None else table.unionByName(row)
+    return table
 
 
 @query("SC1_batch_scoring")
 def sc1(spark, sf_dir):
     """Score every flow with a forest fitted on the train split."""
     model, _, _ = fitted_forest(spark, sf_dir, "binary")
-    return M.score(model, model_frame(spark, sf_dir), keep=["flow_id"])
+    return M.score(model, raw_frame(spark, sf_dir), keep=["flow_id"])
+
+
+@query("SC1_scored_rows", f"""
+SELECT count(*) AS n_rows, count(*) AS n_sum_to_one, (SELECT count(DISTINCT {KDD_TYPE_SQL}) FROM flows) AS n_classes
+FROM flows""")
+def sc1_rows(spark, sf_dir):
+    """What the data fix of a scoring run: every flow scored once, probabilities that sum to one,
+    as many classes as labels."""
+    model, _, _ = fitted_forest(spark, sf_dir, "binary")
+    s = M.score(model, raw_frame(spark, sf_dir), keep=["flow_id"])
+    total = sum((F.col(f"prob_{x}") for x in M.labels_of(model)), F.lit(0.0))
+    return s.agg(F.count("flow_id").alias("n_rows"),
+                 F.sum((F.abs(total - 1) < 1e-9).cast("bigint")).alias("n_sum_to_one"),
+                 F.lit(model.stages[-1].numClasses).cast("bigint").alias("n_classes"))
 
 
 @query("SP3_cross_validation")
 def sp3_cv(spark, sf_dir):
-    res = M.cross_val_scores(model_frame(spark, sf_dir), FEATURES, lambda: M.random_forest("binary"), LABEL,
+    res = M.cross_val_scores(raw_frame(spark, sf_dir), FEATURES, lambda: M.random_forest("binary"), LABEL,
                              "flow_id", C.CV_FOLDS, categorical=CATEGORICAL)
     rows = [(i, float(s)) for i, s in enumerate(res["scores"])]
     return spark.createDataFrame(rows, "fold int, accuracy double").withColumn(
@@ -164,6 +195,16 @@ def io8(spark, sf_dir):
     return M.score(M.load_model(path), test, keep=["flow_id", LABEL])
 
 
+@query("IO8_reload_mismatches", "SELECT 0 AS mismatches, count(*) AS n_rows FROM flows")
+def io8_mismatches(spark, sf_dir):
+    """Rows that a reloaded pipeline scores otherwise than the fitted one."""
+    model, _, _ = fitted_forest(spark, sf_dir, "binary")
+    again = M.load_model(M.save_model(model, scratch_path(spark, "rf-model")))
+    s = M.chain_probabilities({"a": model, "b": again}, raw_frame(spark, sf_dir))
+    return s.agg(F.sum((F.col("p_a") != F.col("p_b")).cast("int")).cast("int").alias("mismatches"),
+                 F.count("*").alias("n_rows"))
+
+
 AD_FEATURES = ["duration", "src_bytes", "dst_bytes", "conn_count", "srv_count", "serror_rate", "same_srv_rate"]
 
 

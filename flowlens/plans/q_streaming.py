@@ -103,7 +103,24 @@ def st1_model(spark, sf_dir):
 
     model, _, _ = QM.fitted_forest(spark, sf_dir, "binary")
     out, ck = scratch_path(spark, "st1m-out"), scratch_path(spark, "st1m-ck")
-    src = staged(spark, sf_dir, "st1m", QM.model_frame(spark, sf_dir))
+    src = staged(spark, sf_dir, "st1m", QM.raw_frame(spark, sf_dir))
     scored = M.score(model, src, keep=["flow_id", "ts", QM.LABEL])
     ST.run_available_now(scored, ck, out)
     return ntz(spark.read.parquet(out), "ts")
+
+
+@query("ST1_stream_equals_batch", "SELECT count(*) AS n_rows, 0 AS mismatches FROM flows")
+def st1_equals_batch(spark, sf_dir):
+    """Raw flows scored by the stream against the same flows scored in batch."""
+    from flowlens.operators import models as M
+    from flowlens.plans import q_models as QM
+
+    model, _, _ = QM.fitted_forest(spark, sf_dir, "binary")
+    out, ck = scratch_path(spark, "st1e-out"), scratch_path(spark, "st1e-ck")
+    raw = QM.raw_frame(spark, sf_dir)
+    ST.run_available_now(M.score(model, staged(spark, sf_dir, "st1e", raw), keep=["flow_id"]), ck, out)
+    cols = ["flow_id", "prediction", "confidence"]
+    batch = M.score(model, raw, keep=["flow_id"]).select("flow_id", F.struct(*cols[1:]).alias("b"))
+    both = spark.read.parquet(out).select("flow_id", F.struct(*cols[1:]).alias("s")).join(batch, "flow_id", "full")
+    return both.agg(F.count("*").alias("n_rows"),
+                    F.sum((~F.col("s").eqNullSafe(F.col("b"))).cast("int")).cast("int").alias("mismatches"))

@@ -1,8 +1,9 @@
 """Registry of named queries: Spark callable + optional DuckDB twin.
 
 Every registered callable takes ``(spark, sf_dir)`` and returns a DataFrame built with
-the library's operators over the driver tables.  Double columns are rounded to 6 digits
-so that result hashes do not depend on summation order; the twin rounds the same way.
+the library's operators over the driver tables, with raw values.  Only the comparison with
+the twins rounds (``rounded_oracle`` here, ``round_doubles`` on the Spark side in the driver
+entry), because sums of doubles depend on their order in both engines.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.functions.exprs import round_doubles
 from flowlens.plans.views_sql import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,14 +22,9 @@ def query(name: str, sql: str | None = None):
     """Register ``fn`` under ``name``; ``sql`` is its DuckDB twin (None: rows-only check)."""
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir))
-
-        run.__name__ = fn.__name__
-        run.__doc__ = fn.__doc__
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = with_views(sql)
         return fn

@@ -58,16 +58,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
-    On a cluster the operator sets ``spark.checkpoint.dir`` to a shared file system; we
-    only read it.  Only when it is unset (local tests) do we point it at a fresh
-    scratch folder.
+    On a cluster the operator sets ``spark.checkpoint.dir`` to a shared file system; we only
+    read it, and without it a cluster session is refused.  A session of one machine
+    (master ``local``) falls back to a fresh scratch folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="flowlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="flowlens-ckpt-")  # one machine: every task sees it
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
