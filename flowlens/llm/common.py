@@ -80,6 +80,21 @@ def crc_mod(col: str | Column, k: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % k).cast("int")
 
 
+def hash_sample(rows: DataFrame, size: int, by: str = "doc_id") -> DataFrame:
+    """The ``size`` rows of least md5 of ``by`` (all, if fewer): the same on every layout.
+
+    Rows are first cut at a hash that leaves about twice ``size``, so no task hands on more
+    than its share of the sample.  ``by`` should tell rows apart; rows with equal ids are
+    kept or left out in the order of their other columns.
+    """
+    n = rows.count()
+    key = F.md5(F.coalesce(F.col(by).cast("string"), F.lit("")))
+    if n > 2 * size:
+        share = min(1.0, 2.0 * size / n + 1e-4)
+        rows = rows.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") < share * 16.0 ** 8)
+    return rows.orderBy(key, *rows.columns).limit(size)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

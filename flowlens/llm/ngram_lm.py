@@ -3,8 +3,8 @@
 Tokens.  A-Z lower-cased, words split at ASCII white space, one end token per text.
 
 Counts.  Word counts are exact over all training documents: workers count, Spark sums, the
-vocabulary lies in the shared folder.  Its ``HEAD`` most frequent words with their counts
-(a bounded table) are broadcast; counts of all other words reach the documents that hold
+vocabulary lies in the shared folder.  Its most frequent words with their counts (at most
+``HEAD``, a bounded table) are broadcast; counts of all other words reach the documents that hold
 them through a join on the word.  No word of that join is frequent - the frequent ones are
 in the head - so it has no hot key.
 
@@ -107,9 +107,27 @@ class Vocabulary:
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows whose n is at least the least threshold that leaves at most ``most`` rows.
+
+    Ties at the threshold stand or fall together, so the result is the same on every run and
+    only the chosen rows ever leave Spark.  The threshold is narrowed 64 values at a time.
+    """
+    low, high = 0, int(counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]) + 1
+    while high - low > 1:  # high leaves few enough rows, low (unless 0) too many
+        step = max(1, -(-(high - low) // 64))
+        cuts = list(range(low + step, high, step))
+        if not cuts:
+            break
+        sizes = counts.agg(*[F.count(F.when(F.col("n") >= c, 1)) for c in cuts]).first()
+        fits = [c for c, size in zip(cuts, sizes) if size <= most]
+        high, low = (fits[0] if fits else high), max([low, *[c for c, size in zip(cuts, sizes) if size > most]])
+    return counts.filter(F.col("n") >= high)
+
+
 def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
+    top = sorted(frequent(counts, head).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     return Vocabulary(total["n"], total["v"], [bytes(r["word"]) for r in top],
                       np.array([r["n"] for r in top], np.int64), classes)
 
@@ -157,7 +175,7 @@ def count_ngrams(docs: DataFrame, vocab: Vocabulary, order: int, states: np.ndar
 
 def kept_ngrams(counts: DataFrame, most: int = NGRAMS) -> tuple[np.ndarray, np.ndarray]:
     """Codes (sorted) and counts of the most frequent n-grams."""
-    rows = counts.filter(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "gram").limit(most).collect()
+    rows = frequent(written(counts.filter(F.col("n") >= MIN_COUNT), "ngrams"), most).collect()
     codes = np.array([r["gram"] for r in rows], np.int64)
     order = np.argsort(codes)
     return codes[order], np.array([r["n"] for r in rows], np.int64)[order]

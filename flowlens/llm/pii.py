@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import doc_text, map_arrow
+from flowlens.llm.common import doc_text, hash_sample, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
@@ -263,9 +263,9 @@ def fit(texts: list[str]) -> np.ndarray | None:
 
 
 def train(docs: DataFrame) -> np.ndarray | None:
-    order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("doc_id"), F.col("text")]
-    ids = doc_text(docs).filter(F.col("text").rlike("[0-9@]"))
-    return fit([r["text"] for r in ids.orderBy(*order).limit(MAX_TRAIN).collect()])
+    """The weights learned from a bounded sample of the documents that have a trigger."""
+    found = doc_text(docs).filter(F.col("text").rlike("[0-9@]"))
+    return fit([r["text"] for r in hash_sample(found, MAX_TRAIN).collect()])
 
 
 def find(text: str, w: np.ndarray | None) -> tuple[list[Span], list[Span]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_mod, doc_text, map_arrow
+from flowlens.llm.common import crc_mod, doc_text, hash_sample, map_arrow
 
 MAX_TRAIN = 6000
 PREFIXES = (4, 5, 6, 7)
@@ -195,10 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, where=None) -> Model:
     known = known.filter("toxic IN (0, 1)")
     if where is not None:
         known = known.filter(where)
-    # Ids are chosen first, so only the sample's texts move.
-    order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("doc_id"), F.col("toxic")]
-    chosen = known.join(rows.select("doc_id"), "doc_id").orderBy(*order).limit(MAX_TRAIN)
-    sample = rows.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(MAX_TRAIN).collect()
+    # Ids are chosen first (MAX_TRAIN rows of two numbers), so only the sample's texts move.
+    chosen = hash_sample(known.join(rows.select("doc_id"), "doc_id"), MAX_TRAIN)
+    sample = hash_sample(rows.join(F.broadcast(chosen), "doc_id"), MAX_TRAIN).collect()
     return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
 
 
