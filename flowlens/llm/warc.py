@@ -44,7 +44,7 @@ from flowlens.llm.common import shared_path
 MIN_REVISIT = 100
 SHARD_ROWS = 4096
 ROLL_BYTES = 64 << 20
-CELLS = 65_536
+CELLS = 16_384
 DATE = "2020-01-01T00:00:00Z"
 # Names of the WARC 1.1 standard.
 VERSION = b"WARC/1.1\r\n"
