@@ -117,10 +117,6 @@ ANOMALY_SCORE_ALERT = 0.85       # README anomaly threshold
 README_ENSEMBLE_WEIGHTS = [0.4, 0.3, 0.3]
 HIGH_CARDINALITY = 100           # strings with more distinct values are dropped
 FEATURE_CAP = 50                 # first N numeric columns per source
-ZSCORE_MIN_ROWS = 100            # statistical features only above this row count
-ZSCORE_COLUMNS = 10              # first N numeric columns get statistical features
-ENTROPY_STRING_COLUMNS = 5
-ENTROPY_BYTE_COLUMNS = 3
 ENTROPY_BINS = 10
 ENTROPY_EPS = 1e-10
 QUANTILE_BINS = 5
@@ -135,7 +131,6 @@ GRADE_ACCURACY_BANDS = (0.95, 0.90, 0.80)
 GRADE_TYPE_BANDS = (0.9, 0.7)
 ATTACK_RATE_LOW, ATTACK_RATE_HIGH = 5.0, 70.0
 RECENT_ALERTS = 10
-ALERT_RETENTION = 1000
 ALERT_INFO_CHARS = 100
 
 # Random-forest presets of the different training scripts: (trees, depth, min leaf).

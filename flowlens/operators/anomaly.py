@@ -94,9 +94,10 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: str, n_trees:
                          seed: int = C.SEED) -> dict:
     """AD1 fit: sample psi rows per tree by hash, grow the trees in parallel (one group per tree).
 
-    Only about ``n_trees * psi`` rows ever reach Python.  Sampling: a Bernoulli pre-sample
-    down to ~4 * n_trees * psi rows, then each kept row joins the trees whose hash for it is
-    below the per-tree rate, and every tree keeps its psi smallest hashes.
+    Only about ``n_trees * psi`` rows ever reach Python.  ``key`` must be unique: a row joins
+    the trees whose hash for it is below a rate that leaves each tree about twice psi rows,
+    and every tree keeps its psi smallest hashes, so the forest is the same on every layout
+    and the plan the same at every size.
     """
     from flowlens.session import ensure_python_package
 
@@ -104,14 +105,11 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: str, n_trees:
     n = df.count()
     psi = int(min(psi, n))
     base = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    frac = min(1.0, 4.0 * n_trees * psi / max(n, 1))
-    pre = base.sample(False, frac, seed) if frac < 1.0 else base
-    m = max(1.0, n * frac)
-    rate = min(1.0, 2.0 * psi / m)
+    rate = min(1.0, 2.0 * psi / max(n, 1) + 64.0 / max(n, 1))
     h = lambda t: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), t, F.col(key).cast("string"))), 1, 8),
                           16, 10).cast("double") / float(16 ** 8))
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(rate))
-    cand = pre.select("*", F.explode(trees).alias("tree"))
+    cand = base.select("*", F.explode(trees).alias("tree"))
     cand = cand.withColumn("__h", h(F.col("tree")))
     from pyspark.sql import Window
 
@@ -184,52 +182,54 @@ def isolation_scores(df: DataFrame, model: dict, keep: list[str], out: str = "an
 # AD2: one-class model on random Fourier features (Rahimi & Recht, 2007)
 # ---------------------------------------------------------------------------------------------
 
-def fit_one_class(df: DataFrame, features: list[str], nu: float = C.CONTAMINATION, n_components: int = 100,
-                  iterations: int = 30, lr: float = 0.5, seed: int = C.SEED) -> dict:
+# Rows that the one-class fit uses at most: those of least key hash, the same on every run.
+ONE_CLASS_ROWS = 20_000
+
+
+def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CONTAMINATION, n_components: int = 100,
+                  iterations: int = 200, lr: float = 0.5, tolerance: float = 1e-4, max_rows: int = ONE_CLASS_ROWS,
+                  seed: int = C.SEED) -> dict:
     """AD2 fit: RBF kernel approximated by random Fourier features, gamma = 1 / (d * Var(X)).
 
-    Objective 1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.z) - rho, by subgradient steps whose
-    sums are Spark aggregates over the (checkpointed) embedded rows; rho is finally set to
-    the nu-quantile of w.z so that about nu of the training rows fall outside.
+    Var(X) comes from one aggregate over all rows.  Objective
+    1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.z) - rho, by subgradient steps on the embedding of
+    at most ``max_rows`` rows chosen by key hash, until a step moves w and rho by less than
+    ``tolerance``; rho is finally set to the nu-quantile of w.z so that about nu of the
+    training rows fall outside.
     """
     import numpy as np
 
     d = len(features)
-    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    x = df.select(F.col(key).alias("__key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
     # Var(X) over all values = E[x^2] - E[x]^2 across every feature.
     st = x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
                *[F.avg(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(features)],
                F.count(F.lit(1)).alias("n")).first()
+    if not st["n"]:
+        raise ValueError("no training rows")
     mean_all = sum(st[f"m{i}"] for i in range(d)) / d
     sq_all = sum(st[f"q{i}"] for i in range(d)) / d
-    var = max(sq_all - mean_all ** 2, 1e-12)
-    gamma = 1.0 / (d * var)
+    gamma = 1.0 / (d * max(sq_all - mean_all ** 2, 1e-12))
     rng = np.random.default_rng(seed)
     W = rng.normal(0.0, np.sqrt(2 * gamma), size=(n_components, d))
     bias = rng.uniform(0, 2 * np.pi, size=n_components)
     model = {"features": features, "W": W.tolist(), "b": bias.tolist(), "gamma": gamma, "nu": nu}
-    z = embed(x, model, keep=[]).checkpoint()
-    n = st["n"]
-    zsum = np.array(z.agg(F.array(*[F.sum(F.col("z")[i]) for i in range(n_components)])).first()[0])
-    w = zsum / n
-    rho = 0.0
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.col("__key").cast("string")))
+    share = min(1.0, (1.5 * max_rows + 64) / st["n"])
+    near = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") < share * 16.0 ** 8
+    rows = x.where(near).orderBy(h, "__key").limit(max_rows).drop("__key").toPandas().to_numpy("float64")
+    z = np.cos(rows @ W.T + bias) * np.sqrt(2.0 / n_components)
+    n = len(z)
+    w, rho = z.mean(axis=0), 0.0
     for it in range(iterations):
-        margin = F.aggregate(F.zip_with(F.col("z"), F.array(*[F.lit(float(v)) for v in w]), lambda a, c: a * c),
-                             F.lit(0.0), lambda acc, v: acc + v)
-        viol = z.where(margin < F.lit(rho))
-        row = viol.agg(F.count(F.lit(1)).alias("k"),
-                       F.array(*[F.sum(F.col("z")[i]) for i in range(n_components)]).alias("s")).first()
-        k = row["k"]
-        s = np.array(row["s"]) if k else np.zeros(n_components)
-        grad_w = w - s / (nu * n)
-        grad_rho = k / (nu * n) - 1.0
+        viol = z @ w < rho
         step = lr / (1 + it)
-        w = w - step * grad_w
-        rho = rho - step * grad_rho
-    margin = F.aggregate(F.zip_with(F.col("z"), F.array(*[F.lit(float(v)) for v in w]), lambda a, c: a * c),
-                         F.lit(0.0), lambda acc, v: acc + v)
-    q = quantile_table(z.select(margin.alias("__m")), ["__m"], [nu])
-    model.update({"w": w.tolist(), "rho": q["__m"][round(nu, 12)]})
+        move_w = step * (w - z[viol].sum(axis=0) / (nu * n))
+        move_rho = step * (viol.sum() / (nu * n) - 1.0)
+        w, rho = w - move_w, rho - move_rho
+        if np.abs(move_w).max() < tolerance and abs(move_rho) < tolerance:
+            break
+    model.update({"w": w.tolist(), "rho": float(np.quantile(z @ w, nu))})
     return model
 
 

@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is checked to be under this limit.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it to a shuffle join.
+def with_total(df: DataFrame, count_col: str = "n", total_col: str = "total") -> DataFrame:
+    """Attach the sum of ``count_col`` over the whole frame, in the same pass.
 
-    The count runs on ``df`` itself, which callers only pass when it is an aggregate
-    (labels, classes, bucket tables), so the check is cheap.  ``limit(max_rows + 1)``
-    stops the count early on a large input.
+    Meant for aggregates with one row per class or label: the window sees those rows only.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    total = F.coalesce(F.sum(count_col).over(Window.partitionBy()), F.lit(0))
+    return df.withColumn(total_col, total.cast("bigint"))
 
 
-def with_total(df: DataFrame, count_col: str = "n", total_col: str = "total") -> DataFrame:
-    """Attach the sum of ``count_col`` over the whole frame as a literal.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet to the shared folder and read back.
 
-    The total is one scalar aggregate (partial sums per task), so no single-partition
-    window is needed however many rows ``df`` has.
+    Several readers then share one computation (a checkpoint would run the last stage twice),
+    and a lost executor costs a re-read.
     """
-    total = df.agg(F.sum(count_col)).first()[0]
-    return df.withColumn(total_col, F.lit(total if total is not None else 0).cast("bigint"))
+    from flowlens.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:

@@ -21,6 +21,9 @@ def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(F.avg((F.col(y) == F.col(p)).cast("double")).alias("accuracy"))
 
 
+MAX_LABELS = 1_000  # the confusion matrix is a full grid of labels: more than this is an error
+
+
 def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:
     """EV2: (y, p, n) over the full grid of labels seen in truth or prediction (zeros kept).
 
@@ -28,7 +31,9 @@ def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:
     """
     counts = df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     labels = (counts.select(F.explode(F.array("y", "p")).alias("c")).distinct()
-              .agg(F.collect_set("c").alias("cs")))
+              .agg(F.collect_set("c").alias("cs"))
+              .select(F.when(F.size("cs") <= MAX_LABELS, F.col("cs")).otherwise(
+                  F.raise_error(F.lit(f"more than {MAX_LABELS} labels: not a class column"))).alias("cs")))
     grid = labels.select(F.explode("cs").alias("y"), "cs").select("y", F.explode("cs").alias("p"))
     return grid.join(counts, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
@@ -174,8 +179,7 @@ def score_histogram(df: DataFrame, score: str, cls: str, bins: int = 30) -> Data
     """EV11: equal-width histogram per class over that class's score range (last bin closed)."""
     s = F.col(score).cast("double")
     rng = df.where(s.isNotNull()).groupBy(cls).agg(F.min(s).alias("lo"), F.max(s).alias("hi"))
-    # One row per class: broadcast.
-    ranged = df.select(cls, s.alias("s")).where(F.col("s").isNotNull()).join(F.broadcast(rng), cls)
+    ranged = df.select(cls, s.alias("s")).where(F.col("s").isNotNull()).join(rng, cls)
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).cast("int")
     return ranged.groupBy(cls, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

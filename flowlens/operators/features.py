@@ -9,8 +9,7 @@ batch helper does.
 
 The one statistic that is per row and data dependent, the percentile rank (FE3), is
 computed on the frame it is applied to: exact average-tie ranks over distinct values
-(``operators.ranking``), joined back on the value; the distinct-value table is broadcast
-only when its size is checked to be small.
+(``operators.ranking``), joined back on the value.
 
 Order of the families: statistical, time, connection, traffic pattern, entropy.
 """
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 
 from flowlens import config as C
 from flowlens.functions.exprs import numeric_columns, quote, safe_div, string_columns
+from flowlens.operators.common import stored
 from flowlens.operators.ranking import quantiles_from_ranked, ranked_values
 
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
@@ -104,71 +104,66 @@ class FeatureModel:
         return out
 
 
-def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile",
-                     broadcast_max: int = 1_000_000, key: str | None = None,
+def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile", key: str | None = None,
                      ranked: DataFrame | None = None) -> DataFrame:
     """FE3: rank(pct=True) with average ties over non-null values, one column per input.
 
-    One shuffle ranks all columns.  The (column, value, pct) table is checkpointed to the
-    shared checkpoint folder and its per-column sizes (one aggregate) choose the join-back:
-
-    * a column with at most ``broadcast_max`` distinct values joins a broadcast table
-      (no shuffle of the frame);
-    * larger columns, when ``key`` identifies rows, share one long-format join on
-      (column, value) and one regroup by key, instead of one shuffle join per column;
-      without a key each large column is a shuffle join (AQE splits skewed values).
+    One shuffle ranks all columns.  With ``key`` (a unique row key) all columns share one
+    long-format join on (column, value) and one regroup by key; without a key each column is
+    a join of its own.  No side is hinted: adaptive execution broadcasts by measured bytes
+    and splits skewed values.
     """
     if ranked is None:
         ranked = ranked_values(df, cols, finite=False)
     ranked = ranked.where(F.col("column").isin(cols)).select(
-        "column", "v", ((F.col("n_below") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias("pct")).checkpoint()
-    sizes = {r["column"]: r["count"] for r in ranked.groupBy("column").count().collect()}
+        "column", "v", ((F.col("n_below") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias("pct"))
 
     def value(c: str) -> Column:
         x = F.col(quote(c)).cast("double")
         return F.when(F.isnan(x), None).otherwise(x)
 
-    large = [c for c in cols if sizes.get(c, 0) > broadcast_max]
-    out = df
-    if key is not None and len(large) > 1:
+    if key is not None:
         long = df.select(F.col(quote(key)).alias("__key"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in large])).alias("__e")).select(
+            F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in cols])).alias("__e")).select(
             "__key", "__e.column", "__e.v")
-        hit = long.join(ranked.where(F.col("column").isin(large)), ["column", "v"])
+        hit = long.join(ranked, ["column", "v"])
         wide = hit.groupBy("__key").agg(*[F.max(F.when(F.col("column") == c, F.col("pct"))).alias(f"{c}{suffix}")
-                                          for c in large])
-        out = out.join(wide, out[key] == wide["__key"], "left").drop("__key")
-        done = set(large)
-    else:
-        done = set()
+                                          for c in cols])
+        return df.join(wide, df[key] == wide["__key"], "left").drop("__key")
+    ranked = stored(ranked, "percentiles")  # read once per column
+    out = df
     for c in cols:
-        if c in done:
-            continue
         table = ranked.where(F.col("column") == c).select(F.col("v").alias(f"__v_{c}"), F.col("pct").alias(f"{c}{suffix}"))
-        if sizes.get(c, 0) <= broadcast_max:
-            table = F.broadcast(table)
         out = out.withColumn(f"__k_{c}", value(c)).join(
             table, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left").drop(f"__k_{c}", f"__v_{c}")
     return out
 
 
+FAMILIES = ("statistical", "time", "flow", "entropy")
+
+
 class FeatureEngineer:
-    def __init__(self, exclude: list[str] = ("unified_label",), stat_columns: int = C.ZSCORE_COLUMNS,
-                 min_rows: int = C.ZSCORE_MIN_ROWS, misspelt_suffix: bool = False, key: str | None = None):
+    """Fits the families asked for and nothing else: flow features need no pass at all.
+
+    ``stat_columns``, ``entropy_strings`` and ``entropy_bytes`` list the columns of a family;
+    by default all that qualify.  The result's columns never depend on the number of rows.
+    """
+
+    def __init__(self, exclude: list[str] = ("unified_label",), stat_columns: list[str] | None = None,
+                 misspelt_suffix: bool = False, key: str | None = None, families: tuple[str, ...] = FAMILIES,
+                 entropy_strings: list[str] | None = None, entropy_bytes: list[str] | None = None):
         self.key = key
         self.exclude = list(exclude)
-        self.n_stat = stat_columns
-        self.min_rows = min_rows
+        self.stat_columns = stat_columns
+        self.families = families
+        self.entropy_strings, self.entropy_bytes = entropy_strings, entropy_bytes
         self.suffix = "_percetile" if misspelt_suffix else "_percentile"
 
     def fit(self, df: DataFrame) -> FeatureModel:
         types = {f.name: f.dataType for f in df.schema.fields}
-        nums = numeric_columns(df, self.exclude)
-        stat_cols = nums[: self.n_stat]
-        n_rows = df.count()
-        if n_rows <= self.min_rows:
-            stat_cols = []
-        time_cols = [c for c in C.TIME_COLUMNS if c in df.columns]
+        stat_cols = self.stat_columns if self.stat_columns is not None else numeric_columns(df, self.exclude)
+        stat_cols = list(stat_cols) if "statistical" in self.families else []
+        time_cols = [c for c in C.TIME_COLUMNS if c in df.columns] if "time" in self.families else []
         stats = {}
         # One rank pass serves the quartiles of the statistical columns and the quintile
         # edges of the time columns (timestamps ranked as epoch seconds).
@@ -178,7 +173,7 @@ class FeatureEngineer:
         self.ranked = None
         if qcols:
             # The rank table serves the quantiles here and, on the same frame, FE3's ranks.
-            self.ranked = ranked_values(qdf, qcols, finite=False)
+            self.ranked = stored(ranked_values(qdf, qcols, finite=False), "ranks")
             probs = sorted(set([0.25, 0.5, 0.75] + QUINTILE_PROBS))
             for r in quantiles_from_ranked(self.ranked, probs).collect():
                 q[r["column"]][round(r["p"], 12)] = r["value"]
@@ -192,7 +187,7 @@ class FeatureEngineer:
         for c in time_cols:
             vals = [q[c].get(p) for p in QUINTILE_PROBS]
             edges[c] = sorted({v for v in vals if v is not None})
-        entropies = self._entropies(df)
+        entropies = self._entropies(df) if "entropy" in self.families else {}
         return FeatureModel({"stat_columns": stat_cols, "stats": stats, "time_columns": time_cols,
                              "quintile_edges": edges, "entropies": entropies, "percentile_suffix": self.suffix,
                              "key": self.key})
@@ -204,21 +199,25 @@ class FeatureEngineer:
         byte_cols = [c for c in df.columns if "byte" in c.lower() and c in numeric_columns(df)]
         if not strs and not byte_cols:
             return out
-        # Pass 1: distinct counts (NULL counts as a value for the string test) and byte ranges.
-        first = df.agg(*[(F.count_distinct(quote(c)) + F.max(F.col(quote(c)).isNull().cast("int"))).alias(f"d{i}")
-                         for i, c in enumerate(strs)],
-                       *[F.count(quote(c)).alias(f"sn{i}") for i, c in enumerate(strs)],
-                       *[F.min(quote(c)).alias(f"lo{i}") for i, c in enumerate(byte_cols)],
-                       *[F.max(quote(c)).alias(f"hi{i}") for i, c in enumerate(byte_cols)],
-                       *[F.count(quote(c)).alias(f"bn{i}") for i, c in enumerate(byte_cols)],
-                       *[F.count_distinct(quote(c)).alias(f"nd{i}") for i, c in enumerate(byte_cols)]).first()
-        picked = [c for i, c in enumerate(strs) if (first[f"d{i}"] or 0) > 1][: C.ENTROPY_STRING_COLUMNS]
-        chosen = [(i, c) for i, c in enumerate(byte_cols) if (first[f"nd{i}"] or 0) > 1][: C.ENTROPY_BYTE_COLUMNS]
+        strs = self.entropy_strings if self.entropy_strings is not None else strs
+        byte_cols = self.entropy_bytes if self.entropy_bytes is not None else byte_cols
+        # Pass 1: whether a column varies (least and greatest value differ, or it has a null
+        # beside a value), non-null counts and byte ranges: plain partial aggregates.
+        aggregates = []
+        for tag, cols in (("s", strs), ("b", byte_cols)):
+            for i, c in enumerate(cols):
+                x = F.col(quote(c))
+                aggregates += [F.min(x).alias(f"{tag}lo{i}"), F.max(x).alias(f"{tag}hi{i}"), F.count(x).alias(f"{tag}n{i}"),
+                               F.max(x.isNull()).alias(f"{tag}null{i}")]
+        first = df.agg(*aggregates).first()
+        varies = lambda tag, i: first[f"{tag}n{i}"] > 0 and first[f"{tag}lo{i}"] != first[f"{tag}hi{i}"]
+        picked = [c for i, c in enumerate(strs) if varies("s", i) or (first[f"sn{i}"] > 0 and first[f"snull{i}"])]
+        chosen = [(i, c) for i, c in enumerate(byte_cols) if varies("b", i)]
         items = [F.struct(F.lit(f"{c}_entropy").alias("k"), F.col(quote(c)).cast("string").alias("v")) for c in picked]
         totals = {f"{c}_entropy": first[f"sn{strs.index(c)}"] for c in picked}
         totals.update({f"{c}_entropy": first[f"bn{i}"] for i, c in chosen})
         for i, c in chosen:
-            lo, hi = float(first[f"lo{i}"]), float(first[f"hi{i}"])
+            lo, hi = float(first[f"blo{i}"]), float(first[f"bhi{i}"])
             inner = [lo + k * (hi - lo) / C.ENTROPY_BINS for k in range(1, C.ENTROPY_BINS)]
             b = bin_by_edges(F.col(quote(c)).cast("double"), [lo] + inner + [hi])
             items.append(F.struct(F.lit(f"{c}_entropy").alias("k"), b.cast("string").alias("v")))
@@ -239,9 +238,9 @@ class FeatureEngineer:
 
 
 def create_advanced_features(df: DataFrame, exclude: list[str] = ("unified_label",),
-                             key: str | None = None) -> DataFrame:
+                             key: str | None = None, **options) -> DataFrame:
     """All families, statistics fitted on the same frame (the batch helper's behaviour)."""
-    fe = FeatureEngineer(exclude, key=key)
+    fe = FeatureEngineer(exclude, key=key, **options)
     model = fe.fit(df)
     return model.transform(df, ranked=fe.ranked)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import config as C
 from flowlens.config import DatasetSpec
 from flowlens.functions import labels as L
-from flowlens.operators.common import checked_broadcast
 
 
 def find_alt_label(df: DataFrame, fragments: list[str] = C.ALT_LABEL_FRAGMENTS) -> str | None:
@@ -107,21 +106,21 @@ class LabelIndex:
     def fit(cls, df: DataFrame, input_col: str, output_col: str = "label_index") -> "LabelIndex":
         distinct = df.select(F.col(input_col).cast("string").alias("__label")).where(
             F.col("__label").isNotNull()).distinct()
-        if distinct.limit(cls.MAX_LABELS + 1).count() > cls.MAX_LABELS:
+        # One job, at most MAX_LABELS + 1 rows: classes, never raw rows.
+        labels = sorted((r[0] for r in distinct.limit(cls.MAX_LABELS + 1).collect()), key=str.encode)
+        if len(labels) > cls.MAX_LABELS:
             raise ValueError(f"{input_col}: more than {cls.MAX_LABELS} distinct labels; not a class column")
-        # Window over the distinct labels only (classes, bounded above), never over raw rows.
-        mapping = distinct.select("__label", (F.dense_rank().over(Window.orderBy("__label")) - 1)
-                                  .alias(output_col))
+        mapping = df.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))),
+                                                  f"__label string, `{output_col}` int")
         return cls(mapping, input_col, output_col)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        m = checked_broadcast(self.mapping)
+        m = self.mapping
         return (df.withColumn("__label", F.col(self.input_col).cast("string"))
                 .join(m, "__label", "left").drop("__label"))
 
     def inverse(self, df: DataFrame, index_col: str, out: str) -> DataFrame:
-        m = checked_broadcast(self.mapping.select(F.col("__label").alias(out),
-                                                  F.col(self.output_col).alias("__idx")))
+        m = self.mapping.select(F.col("__label").alias(out), F.col(self.output_col).alias("__idx"))
         return df.join(m, df[index_col] == m["__idx"], "left").drop("__idx")
 
     def labels(self) -> list[str]:

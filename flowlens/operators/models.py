@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from flowlens import config as C
 from flowlens.functions.exprs import quote
 from flowlens.operators import evaluate as EV
+from flowlens.operators.common import stored
 from flowlens.operators.split import assign_folds
 
 log = logging.getLogger(__name__)
@@ -231,7 +232,7 @@ def train_and_compare(train: DataFrame, test: DataFrame, features: list[str], la
 def cross_val_scores(df: DataFrame, features: list[str], estimator_fn, label_col: str, key: str,
                      k: int = C.CV_FOLDS, categorical: list[str] = ()) -> dict:
     """SP3: k stratified folds, accuracy per fold, mean and 2 x population std."""
-    folds = assign_folds(df, label_col, key, k).checkpoint()
+    folds = stored(assign_folds(df, label_col, key, k), "folds")
 
     def one(f: int) -> float:
         model = fit_pipeline(folds.where(F.col("fold") != f), features, estimator_fn(), label_col,
@@ -254,7 +255,7 @@ def stacking(train: DataFrame, test: DataFrame, features: list[str], label_col:
     folder: every fold fit reads the first, the iterative meta fit reads the second, and
     neither should re-run its lineage (nor depend on executor-local state).
     """
-    folds = assign_folds(train, label_col, key, k).checkpoint()
+    folds = stored(assign_folds(train, label_col, key, k), "folds")
     train = folds.drop("fold")  # the full refits read the same stored rows
     # Every (fold, base model) fit and every full refit is independent: fit them concurrently.
     tasks = [(f, name) for f in range(k) for name in base] + [(None, name) for name in base]
@@ -272,7 +273,7 @@ def stacking(train: DataFrame, test: DataFrame, features: list[str], label_col:
             s = fitted[(f, name)].transform(scored_part).withColumn(f"meta_{name}", F.col("probability"))
             scored_part = s.select(*scored_part.columns, f"meta_{name}")
         oof = scored_part if oof is None else oof.unionByName(scored_part)
-    oof = oof.checkpoint()
+    oof = stored(oof, "out-of-fold")
     full = {name: fitted[(None, name)] for name in base}
     label_model = list(full.values())[0].stages[0]
     meta_cols = [f"meta_{n}" for n in base]

@@ -10,7 +10,7 @@ from flowlens import config as C
 from flowlens.functions.exprs import finite_or_null, numeric_columns, quote
 
 
-def select_features(df: DataFrame, cap: int | None = C.FEATURE_CAP, keep: list[str] = (),
+def select_features(df: DataFrame, cap: int | None = None, keep: list[str] = (),
                     exclude: list[str] = ()) -> DataFrame:
     """PR1 + PR2: first ``cap`` numeric columns (excluding label / id columns) plus ``keep``."""
     ex = set(exclude) | set(keep)
@@ -20,7 +20,7 @@ def select_features(df: DataFrame, cap: int | None = C.FEATURE_CAP, keep: list[s
     return df.select(*[quote(c) for c in feats + [k for k in keep if k in df.columns]])
 
 
-def feature_names(df: DataFrame, cap: int | None = C.FEATURE_CAP, exclude: list[str] = ()) -> list[str]:
+def feature_names(df: DataFrame, cap: int | None = None, exclude: list[str] = ()) -> list[str]:
     feats = numeric_columns(df, exclude)
     return feats[:cap] if cap is not None else feats
 

@@ -18,64 +18,40 @@ The result is exact; only the bucket balance depends on the sketch.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import binary_search_expr, finite_or_null, quote
+from flowlens.operators.common import stored
 
 DEFAULT_STEPS = 10          # 1023 bounds -> 1024 buckets per key
 SKETCH_ACCURACY = 10_000
-# Up to this many distinct (key, value) rows in total, one window partition per key is
-# bounded and cheaper than the sketch + bucket stages.
-SMALL_DISTINCT = 2_000_000
-# Upper bound on the rows of the broadcast bounds / offsets tables (keys x buckets).
-BROADCAST_ROWS = 1_000_000
 
 
 def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: list[str],
                         steps: int = DEFAULT_STEPS, accuracy: int = SKETCH_ACCURACY,
-                        materialize: bool = True, n_keys: int | None = None) -> DataFrame:
+                        materialize: bool = True) -> DataFrame:
     """Add ``<m>_below`` (sum of m over smaller values of the same key) and ``<m>_total``.
 
     ``agg`` must hold one row per (keys, value) with non-null values.  It is read by three
-    branches (sketch, bucket totals, final window), so by default it is checkpointed once
-    to the shared checkpoint folder instead of being recomputed from the raw scan.
+    branches (sketch, bucket totals, final window), so by default it is written once to the
+    shared folder instead of being recomputed from the raw scan.  The plan is the same at
+    every size: a key's values always spread over 2**steps buckets.
     """
     if materialize:
-        agg = agg.checkpoint()
+        agg = stored(agg, "distinct-values")
     keys = list(keys)
     tmp_key = None
     if not keys:
         tmp_key = "__all"
         agg = agg.withColumn(tmp_key, F.lit(0))
         keys = [tmp_key]
-    # One aggregate gives the table size and (unless the caller knows it) the key count.
-    if tmp_key or n_keys is not None:
-        n_rows, n_groups = agg.count(), (1 if tmp_key else n_keys)
-    else:
-        row = agg.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("k")).first()
-        n_rows, n_groups = row["n"], row["k"]
-    if n_groups * 2 ** steps > BROADCAST_ROWS:
-        # Keep keys x buckets under the broadcast bound; with that many keys the keys
-        # themselves spread the windows over tasks.
-        steps = int(math.log2(BROADCAST_ROWS / n_groups)) if n_groups < BROADCAST_ROWS else 0
-    if steps <= 0 or n_rows <= SMALL_DISTINCT:
-        # Bounded: at most SMALL_DISTINCT rows in all key partitions together (or so many
-        # keys that each key's window is its own unit of parallelism).
-        before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*keys)
-        out = agg.select(*[c for c in agg.columns if c != tmp_key], *([tmp_key] if tmp_key else []),
-                         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_below") for m in measures],
-                         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
-        return out.drop(tmp_key) if tmp_key else out
     n_bounds = 2 ** steps - 1
     probs = [i / (n_bounds + 1) for i in range(1, n_bounds + 1)]
     bounds = agg.groupBy(*keys).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("__bounds"))
-    # n_groups rows of 2**steps - 1 doubles: bounded by BROADCAST_ROWS (checked above).
-    placed = (agg.join(F.broadcast(bounds), keys)
+    # One row of bounds per key: adaptive execution broadcasts it while it is small in bytes.
+    placed = (agg.join(bounds, keys)
               .withColumn("__bk", binary_search_expr(F.col("__bounds"), F.col(value).cast("double"), steps))
               .drop("__bounds"))
     per_bucket = placed.groupBy(*keys, "__bk").agg(*[F.sum(m).alias(f"__bt_{m}") for m in measures])
@@ -86,8 +62,7 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
         *[F.coalesce(F.sum(f"__bt_{m}").over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
         *[F.sum(f"__bt_{m}").over(whole).alias(f"{m}_total") for m in measures],
     )
-    # n_groups x 2**steps <= BROADCAST_ROWS rows (checked above): safe to broadcast.
-    joined = placed.join(F.broadcast(offsets), keys + ["__bk"])
+    joined = placed.join(offsets, keys + ["__bk"])
     local = Window.partitionBy(*keys, "__bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = joined.select(
         *[c for c in agg.columns],
@@ -117,8 +92,7 @@ def value_counts_long(df: DataFrame, cols: list[str], finite: bool = True) -> Da
 
 def ranked_values(df: DataFrame, cols: list[str], steps: int = DEFAULT_STEPS, finite: bool = True) -> DataFrame:
     """(column, v, n, n_below, n_total) for every distinct value of each column."""
-    return cumulative_by_value(value_counts_long(df, cols, finite), ["column"], "v", ["n"], steps=steps,
-                               n_keys=len(cols))
+    return cumulative_by_value(value_counts_long(df, cols, finite), ["column"], "v", ["n"], steps=steps)
 
 
 def quantiles_from_ranked(ranked: DataFrame, probs: list[float]) -> DataFrame:

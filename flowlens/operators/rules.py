@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import safe_div
-from flowlens.operators.common import checked_broadcast
 
 
 def rate_per_window(df: DataFrame, key: str, ts_col: str = "ts", window: str = "1 second") -> DataFrame:
@@ -39,7 +38,7 @@ def port_scan_alerts(df: DataFrame, threshold: int = 50, **kw) -> DataFrame:
 def whitelist_filter(df: DataFrame, whitelist: DataFrame, key: str, max_rows: int = 1_000_000) -> DataFrame:
     """DR4: drop rows whose key is whitelisted (anti join; the list is broadcast after a size check)."""
     wl = whitelist.select(F.col(whitelist.columns[0]).alias(key)).distinct()
-    return df.join(checked_broadcast(wl, max_rows), key, "left_anti")
+    return df.join(wl, key, "left_anti")
 
 
 def tune_threshold(roc: DataFrame, target_fpr: float = 0.01) -> DataFrame:
@@ -55,7 +54,7 @@ def baseline_deviation(df: DataFrame, key: str, value: str, normal_flag: str) ->
     """
     base = df.where(F.col(normal_flag)).groupBy(key).agg(F.avg(value).alias("base_mean"),
                                                           F.stddev_samp(value).alias("base_std"))
-    out = df.join(checked_broadcast(base), key, "left")
+    out = df.join(base, key, "left")
     return out.withColumn("deviation", safe_div(F.col(value) - F.col("base_mean"), F.col("base_std")))
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import config as C
-from flowlens.operators.common import checked_broadcast
 
 
 def hash_key(key: str, seed: int = C.SEED) -> Column:
@@ -33,7 +32,7 @@ def stratified_rank(df: DataFrame, label: str, key: str, seed: int = C.SEED, dig
                             F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"),
                             F.sum("__c").over(Window.partitionBy(label)).alias("__n"))
     # labels x 16**digits rows at most (4096 per label for digits=3).
-    joined = base.join(checked_broadcast(offsets), [label, "__bk"])
+    joined = base.join(offsets, [label, "__bk"])
     local = Window.partitionBy(label, "__bk").orderBy("__h", key)
     return joined.withColumn("__rn", F.col("__off") + F.row_number().over(local)).drop("__off", "__bk", "__h")
 

@@ -30,15 +30,20 @@ def q(c: str) -> str:
     return f'"{c}"'
 
 
-def engineer(spark, sf_dir):
+# The columns of the reference's families on these frames, stated rather than cut by position.
+STRINGS, BYTES = ["protocol_type", "service", "flag"], ["src_bytes", "dst_bytes"]
+COLUMNS = {"stat_columns": STAT, "entropy_strings": STRINGS, "entropy_bytes": BYTES}
+
+
+def engineer(spark, sf_dir, *families):
     fe = fe_frame(spark, sf_dir)
-    return fe, FE.FeatureEngineer(exclude=["flow_id", "unified_label"]).fit(fe)
+    return fe, FE.FeatureEngineer(exclude=["flow_id", "unified_label"], families=families, **COLUMNS).fit(fe)
 
 
 @query("FE1_zscore", f"WITH {FE_SQL}\nSELECT flow_id, " + ", ".join(
     f"({q(c)} - avg({q(c)}) OVER ()) / nullif(stddev_samp({q(c)}) OVER (), 0) AS {c}_zscore" for c in STAT) + " FROM fe")
 def fe1(spark, sf_dir):
-    fe, model = engineer(spark, sf_dir)
+    fe, model = engineer(spark, sf_dir, "statistical")
     return model.transform(fe, with_percentile=False).select("flow_id", *[f"{c}_zscore" for c in STAT])
 
 
@@ -47,7 +52,7 @@ def fe1(spark, sf_dir):
     for c in STAT) + " FROM fe)\nSELECT flow_id, " + ", ".join(
     f"({q(c)} - {c}_q50) / nullif({c}_q75 - {c}_q25, 0) AS {c}_robust_scaled" for c in STAT) + " FROM fe CROSS JOIN st")
 def fe2(spark, sf_dir):
-    fe, model = engineer(spark, sf_dir)
+    fe, model = engineer(spark, sf_dir, "statistical")
     return model.transform(fe, with_percentile=False).select("flow_id", *[f"{c}_robust_scaled" for c in STAT])
 
 
@@ -67,7 +72,7 @@ SELECT flow_id, ln(1 + abs(duration)) AS duration_log,
        ELSE CAST(len(list_filter(list_slice(edges, 2, len(edges) - 1), lambda x: duration > x)) AS INTEGER) END AS duration_binned
 FROM fe CROSS JOIN e""")
 def fe4_fe5(spark, sf_dir):
-    fe, model = engineer(spark, sf_dir)
+    fe, model = engineer(spark, sf_dir, "time")
     return model.transform(fe, with_percentile=False).select("flow_id", "duration_log", "duration_binned")
 
 
@@ -83,7 +88,7 @@ SELECT flow_id,
     / nullif(CAST(same_srv_rate IS NOT NULL AS int) + CAST(diff_srv_rate IS NOT NULL AS int), 0), 6) AS service_concentration
 FROM fe""")
 def fe6_fe11(spark, sf_dir):
-    fe, model = engineer(spark, sf_dir)
+    fe, model = engineer(spark, sf_dir, "flow")
     return model.transform(fe, with_percentile=False).select(
         "flow_id", "bytes_per_seconds", "count_log", "count_rate", "srv_count_log", "srv_count_rate",
         "total_error_rate", "bytes_ratio", "total_bytes", "bytes_diff", "service_concentration")
@@ -106,7 +111,7 @@ def _byte_entropy_sql(c: str) -> str:
     [_cat_entropy_sql(c) for c in ["protocol_type", "service", "flag"]] +
     [_byte_entropy_sql(c) for c in ["src_bytes", "dst_bytes"]]))
 def fe12_fe13(spark, sf_dir):
-    _, model = engineer(spark, sf_dir)
+    _, model = engineer(spark, sf_dir, "entropy")
     rows = sorted(model.state["entropies"].items())
     return spark.createDataFrame(rows, "feature string, entropy double")
 
@@ -136,7 +141,7 @@ def fe15(spark, sf_dir):
 @query("FE_all_families")
 def fe_all(spark, sf_dir):
     """Every family on the whole frame (statistics fitted on the same frame)."""
-    return FE.create_advanced_features(fe_frame(spark, sf_dir), exclude=["flow_id", "unified_label"], key="flow_id")
+    return FE.create_advanced_features(fe_frame(spark, sf_dir), exclude=["flow_id", "unified_label"], key="flow_id", **COLUMNS)
 
 
 @query("FE15_pca_variance")

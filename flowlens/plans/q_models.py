@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowlens import config as C
 from flowlens.operators import labelling as LB
 from flowlens.operators import models as M
+from flowlens.operators.common import stored
 from flowlens.operators import projection as PR
 from flowlens.operators import split as SP
 from flowlens.plans.q_labels import KDD_TYPE_SQL
@@ -25,9 +26,9 @@ CATEGORICAL = ["service"]
 LABEL = "attack_type"
 
 
-def raw_frame(spark, sf_dir):
+def raw_frame(spark, sf_dir, events=None):
     """Flows with their class as they come: the fill is part of the fitted pipeline."""
-    f = LB.add_attack_type(tables.flows(spark, sf_dir), "kdd", "target")
+    f = LB.add_attack_type(tables.flows(spark, sf_dir, events), "kdd", "target")
     return f.select("flow_id", "ts", "src_ip", "dst_ip", "service", *FEATURES, LABEL)
 
 
@@ -215,7 +216,7 @@ def ad1(spark, sf_dir):
 
     f = model_frame(spark, sf_dir)
     forest = AD.fit_isolation_forest(f.where(F.col(LABEL) == "Normal"), AD_FEATURES, "flow_id")
-    scored = AD.isolation_scores(f, forest, keep=["flow_id", LABEL])
+    scored = stored(AD.isolation_scores(f, forest, keep=["flow_id", LABEL]), "isolation-scores")
     # Offset fitted on the training (normal) rows, applied to every row.
     _, offset = AD.decision_rule(scored.where(F.col(LABEL) == "Normal"), "anomaly_score", C.CONTAMINATION)
     out, _ = AD.decision_rule(scored, "anomaly_score", C.CONTAMINATION, offset=offset)
@@ -228,5 +229,5 @@ def ad2(spark, sf_dir):
     from flowlens.operators import anomaly as AD
 
     f = model_frame(spark, sf_dir)
-    model = AD.fit_one_class(f.where(F.col(LABEL) == "Normal"), AD_FEATURES)
+    model = AD.fit_one_class(f.where(F.col(LABEL) == "Normal"), AD_FEATURES, "flow_id")
     return AD.one_class_scores(f, model, keep=["flow_id", LABEL])

@@ -1,4 +1,4 @@
-"""Streaming queries (ST1-ST6): each runs a checkpointed stream over staged flow files to
+"""Streaming queries (ST1-ST6): each runs a checkpointed stream over the events table to
 completion and returns what its sink holds; the twin is the batch SQL of the same logic."""
 
 from __future__ import annotations
@@ -14,19 +14,14 @@ from flowlens.session import scratch_path
 from flowlens.sources import tables
 from flowlens.streaming import stream as ST
 
-N_FILES = 8
-
-
 def scorer(df):
     """The decision used on the stream: fixed score p_c through the 0.55 rule, KDD type."""
     return S.threshold_rule(df, "p_c", C.ATTACK_THRESHOLD).withColumn("attack_type", L.kdd_category("target"))
 
 
-def staged(spark, sf_dir, name, frame=None, max_files=2):
-    src = scratch_path(spark, f"{name}-src")
-    frame = frame if frame is not None else tables.scored_flows(spark, sf_dir)
-    schema = ST.stage_source(frame, src, N_FILES)
-    return ST.read_stream(spark, src, schema, max_files=max_files)
+def scored_stream(spark, sf_dir):
+    """The events table read as a stream and scored; nothing is copied first."""
+    return ST.score_stream(tables.scored_flows(spark, sf_dir, tables.event_stream(spark, sf_dir)), scorer)
 
 
 def ntz(df, *cols):
@@ -36,7 +31,7 @@ def ntz(df, *cols):
 @query("ST1_stream_scoring", f"WITH {SCORED_SQL} SELECT flow_id, ts, is_attack, confidence, attack_type FROM scored")
 def st1(spark, sf_dir):
     out, ck = scratch_path(spark, "st1-out"), scratch_path(spark, "st1-ck")
-    scored = ST.score_stream(staged(spark, sf_dir, "st1"), scorer)
+    scored = scored_stream(spark, sf_dir)
     ST.run_available_now(scored.select("flow_id", "ts", "is_attack", "confidence", "attack_type"), ck, out)
     return ntz(spark.read.parquet(out), "ts")
 
@@ -44,7 +39,7 @@ def st1(spark, sf_dir):
 @query("ST2_alert_sink", ALERTS_SQL + "SELECT * FROM alerts")
 def st2(spark, sf_dir):
     out, ck = scratch_path(spark, "st2-out"), scratch_path(spark, "st2-ck")
-    alerts = ST.alert_stream(ST.score_stream(staged(spark, sf_dir, "st2"), scorer))
+    alerts = ST.alert_stream(scored_stream(spark, sf_dir))
     ST.run_available_now(alerts, ck, out)
     return ntz(spark.read.parquet(out), "ts")
 
@@ -54,7 +49,7 @@ SELECT time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS total,
        cast(sum(CAST(is_attack AS int)) AS bigint) AS attacks FROM scored GROUP BY 1""")
 def st3(spark, sf_dir):
     out, ck = scratch_path(spark, "st3-out"), scratch_path(spark, "st3-ck")
-    scored = ST.score_stream(staged(spark, sf_dir, "st3"), scorer)
+    scored = scored_stream(spark, sf_dir)
 
     def per_batch(batch, batch_id):
         ST.batch_writer(out)(ST.periodic_stats(batch), batch_id)
@@ -68,7 +63,7 @@ SELECT count(*) AS total, cast(sum(CAST(is_attack AS int)) AS bigint) AS attacks
        cast(count(*) - sum(CAST(is_attack AS int)) AS bigint) AS normal FROM scored""")
 def st4(spark, sf_dir):
     out, ck = scratch_path(spark, "st4-out"), scratch_path(spark, "st4-ck")
-    totals = ST.running_totals(ST.score_stream(staged(spark, sf_dir, "st4"), scorer))
+    totals = ST.running_totals(scored_stream(spark, sf_dir))
     ST.run_available_now(totals, ck, mode="complete", batch_fn=ST.batch_writer(out))
     return ST.latest_batch(spark, out)
 
@@ -76,9 +71,10 @@ def st4(spark, sf_dir):
 @query("ST5_hourly_live", f"""
 SELECT date_trunc('hour', ts) AS hour, count(*) AS total, cast(sum({ATTACK_SQL}) AS bigint) AS attacks FROM flows GROUP BY 1""")
 def st5(spark, sf_dir):
-    """Watermarked hourly windows in update mode; all files in one trigger so nothing is late."""
+    """Watermarked hourly windows in update mode; one trigger reads the table, so nothing is late
+    (late rows over several triggers: ``test_models_streaming``)."""
     out, ck = scratch_path(spark, "st5-out"), scratch_path(spark, "st5-ck")
-    src = staged(spark, sf_dir, "st5", tables.flows(spark, sf_dir), max_files=N_FILES)
+    src = tables.flows(spark, sf_dir, tables.event_stream(spark, sf_dir))
     flagged = src.withColumn("is_attack", L.binary_label("target", "normal") == 1)
     ST.run_available_now(ST.hourly_live(flagged), ck, mode="update", batch_fn=ST.batch_writer(out))
     return ntz(ST.latest_updates(spark, out, "hour"), "hour")
@@ -87,10 +83,9 @@ def st5(spark, sf_dir):
 @query("ST6_dedupe_deliveries", "SELECT flow_id, ts FROM flows")
 def st6(spark, sf_dir):
     """Every tenth flow is delivered twice; the stream keeps one copy."""
-    f = tables.flows(spark, sf_dir).select("flow_id", "ts")
-    redelivered = f.unionByName(f.where(F.col("flow_id") % 10 == 0))
+    deliver = lambda: tables.flows(spark, sf_dir, tables.event_stream(spark, sf_dir)).select("flow_id", "ts")
+    src = deliver().unionByName(deliver().where(F.col("flow_id") % 10 == 0))
     out, ck = scratch_path(spark, "st6-out"), scratch_path(spark, "st6-ck")
-    src = staged(spark, sf_dir, "st6", redelivered)
     ST.run_available_now(ST.dedupe_stream(src), ck, out)
     return ntz(spark.read.parquet(out), "ts")
 
@@ -103,7 +98,7 @@ def st1_model(spark, sf_dir):
 
     model, _, _ = QM.fitted_forest(spark, sf_dir, "binary")
     out, ck = scratch_path(spark, "st1m-out"), scratch_path(spark, "st1m-ck")
-    src = staged(spark, sf_dir, "st1m", QM.raw_frame(spark, sf_dir))
+    src = QM.raw_frame(spark, sf_dir, tables.event_stream(spark, sf_dir))
     scored = M.score(model, src, keep=["flow_id", "ts", QM.LABEL])
     ST.run_available_now(scored, ck, out)
     return ntz(spark.read.parquet(out), "ts")
@@ -118,7 +113,8 @@ def st1_equals_batch(spark, sf_dir):
     model, _, _ = QM.fitted_forest(spark, sf_dir, "binary")
     out, ck = scratch_path(spark, "st1e-out"), scratch_path(spark, "st1e-ck")
     raw = QM.raw_frame(spark, sf_dir)
-    ST.run_available_now(M.score(model, staged(spark, sf_dir, "st1e", raw), keep=["flow_id"]), ck, out)
+    stream = QM.raw_frame(spark, sf_dir, tables.event_stream(spark, sf_dir))
+    ST.run_available_now(M.score(model, stream, keep=["flow_id"]), ck, out)
     cols = ["flow_id", "prediction", "confidence"]
     batch = M.score(model, raw, keep=["flow_id"]).select("flow_id", F.struct(*cols[1:]).alias("b"))
     both = spark.read.parquet(out).select("flow_id", F.struct(*cols[1:]).alias("s")).join(batch, "flow_id", "full")

@@ -28,13 +28,30 @@ def _mod(c: str, k: int) -> Column:
     return F.col(c) % F.lit(k)
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+FLOW_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The events table as a file stream: read where it lies, in its own files.
+
+    Event time becomes a session-zone ``timestamp`` (watermarks need it).
+    """
+    from flowlens.streaming.stream import read_stream
+
+    path = table_path(sf_dir, "events")
+    e = read_stream(spark, path, spark.read.parquet(path).schema, max_files=max_files).select(*FLOW_COLUMNS)
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def flows(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """KDD-like flows: one row per event, label column ``target`` (normal label ``normal``).
 
+    ``events`` may be a stream of the events table instead of the table itself.
+
     Carries on purpose: a padded / mixed-case label, a label unknown to every taxonomy,
     nulls in ``flag``, ``diff_srv_rate`` and ``ttl``, +inf and NaN in ``flow_rate``.
     """
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    e = events if events is not None else read_table(spark, sf_dir, "events", FLOW_COLUMNS)
     eid, val, etype = F.col("event_id"), F.col("value"), F.col("event_type")
     target = (F.when((etype == "error") & (val > 50), "neptune")
               .when(etype == "error", " Smurf ")
@@ -124,9 +141,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_flows(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """``flows`` with the ``scores`` columns added in the same projection (no join)."""
-    f = flows(spark, sf_dir)
+    f = flows(spark, sf_dir, events)
     normal = F.lower(F.trim("target")) == "normal"
     fid = F.col("flow_id")
     return f.select(

@@ -27,38 +27,6 @@ from flowlens.operators import alerts as A
 WATERMARK = "10 minutes"
 
 
-def stage_source(df: DataFrame, path: str, n_files: int = 8, ts_col: str = "ts") -> T.StructType:
-    """Write a batch frame as ``n_files`` parquet files cut by event time (a replayable source).
-
-    Event time becomes a session-zone ``timestamp`` (watermarks need it).
-    """
-    out = df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    out.repartitionByRange(n_files, ts_col).sortWithinPartitions(ts_col).write.mode("overwrite").parquet(path)
-    order_by_event_time(out.sparkSession, path)
-    return out.schema
-
-
-def order_by_event_time(spark: SparkSession, path: str) -> None:
-    """The file source picks files up in modification-time order.  Range partition i holds
-    the i-th slice of event time, so stamp part-i's mtime i seconds after part-0."""
-    import time as _time
-
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = sorted((st.getPath() for st in fs.listStatus(root) if st.getPath().getName().startswith("part-")),
-                   key=lambda p: p.getName())
-    base = int(_time.time() * 1000) - 1000 * (len(files) + 1)
-    try:
-        for i, f in enumerate(files):
-            fs.setTimes(f, base + 1000 * i, -1)
-    except Exception as e:  # noqa: BLE001 - some object stores keep their own modification times
-        import logging
-
-        logging.getLogger(__name__).warning("cannot order staged files by event time (%s); a watermark may then "
-                                            "drop rows that arrive in a later file", e)
-
-
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None,
                 fmt: str = "parquet", options: dict | None = None) -> DataFrame:
     """A flow stream.  Files (parquet / json / csv) by default; ``fmt='kafka'`` with the

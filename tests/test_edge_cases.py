@@ -163,18 +163,13 @@ def test_taxonomy_join_folds_web_attack_dashes(spark):
     assert got["BENIGN"] == "Normal" and got["Heartbleed"] == "Other" and got["DDoS"] == "DDoS"
 
 
-@pytest.mark.parametrize("small_distinct", [0, 2_000_000])
-def test_rank_machinery_with_a_hot_value_and_keys(spark, monkeypatch, small_distinct):
-    """One value holds a third of the rows; ranks, quantiles and keyed running sums stay exact
-    on both the bucketed path (forced with a zero bound) and the bounded single-window path."""
+def test_rank_machinery_with_a_hot_value_and_keys(spark):
+    """One value holds a third of the rows; ranks, quantiles and keyed running sums stay exact."""
     import numpy as np
     import pandas as pd
 
-    from flowlens.operators import ranking
     from flowlens.operators.ranking import cumulative_by_value, ranked_values
 
-    monkeypatch.setattr(ranking, "SMALL_DISTINCT", small_distinct)
-
     rng = np.random.default_rng(7)
     x = np.concatenate([np.full(3000, 42.0), rng.normal(40, 10, 6000)])
     pdf = pd.DataFrame({"x": x, "g": np.where(np.arange(9000) % 2 == 0, "a", "b")})
@@ -196,7 +191,7 @@ def test_percentile_rank_long_join_equals_per_column_joins(spark):
     rows = [(i, float(i % 7), None if i % 5 == 0 else float(i % 3), float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, a double, b double, c double")
     by_col = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"]).collect()}
-    long = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"], broadcast_max=0, key="id").collect()}
+    long = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"], key="id").collect()}
     assert by_col.keys() == long.keys()
     for i in by_col:
         for c in ("a_percentile", "b_percentile", "c_percentile"):
@@ -207,7 +202,7 @@ def test_full_feature_set_reuses_ranks_without_changing_them(spark):
     from flowlens.plans import q_features as QF
 
     fe = QF.fe_frame(spark, "/root/testdata/sf0.001")
-    full = FE.create_advanced_features(fe, exclude=["flow_id", "unified_label"], key="flow_id")
+    full = FE.create_advanced_features(fe, exclude=["flow_id", "unified_label"], key="flow_id", **QF.COLUMNS)
     alone = FE.percentile_ranks(fe.select("flow_id", *QF.STAT), QF.STAT, key="flow_id")
     cols = [f"{c}_percentile" for c in QF.STAT]
     a = full.select("flow_id", *cols).exceptAll(alone.select("flow_id", *cols)).count()
@@ -224,15 +219,11 @@ def test_roc_thinning_keeps_endpoints_and_bounds_size(spark):
     assert all(full[t] == v for t, v in thin.items())
 
 
-@pytest.mark.parametrize("bound", [8, 2])
-def test_rank_buckets_shrink_with_many_keys(spark, monkeypatch, bound):
-    """keys x buckets stays under the broadcast bound; results stay exact."""
+def test_ranks_within_several_keys(spark):
     import numpy as np
 
     from flowlens.operators import ranking
 
-    monkeypatch.setattr(ranking, "SMALL_DISTINCT", 0)
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", bound)
     rows = [(f"k{i % 3}", float((i * 7919) % 101), 1) for i in range(600)]
     agg = spark.createDataFrame(rows, "k string, v double, n int").groupBy("k", "v").agg(F.sum("n").alias("n"))
     cum = ranking.cumulative_by_value(agg, ["k"], "v", ["n"]).toPandas()
@@ -240,3 +231,18 @@ def test_rank_buckets_shrink_with_many_keys(spark, monkeypatch, bound):
         part = part.sort_values("v")
         assert (part["n_below"].to_numpy() == np.concatenate([[0], np.cumsum(part["n"])[:-1]])).all()
         assert (part["n_total"] == part["n"].sum()).all()
+
+
+def test_feature_columns_do_not_depend_on_the_number_of_rows(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(300)], "src_bytes double, y double")
+    cols = [FE.create_advanced_features(d).columns for d in (df, df.limit(3))]
+    assert cols[0] == cols[1] and "y_zscore" in cols[0]
+
+
+def test_forest_sample_does_not_depend_on_layout(spark):
+    from flowlens.operators import anomaly as AD
+
+    df = spark.range(3000).selectExpr("id", "double(id % 97) AS a", "double((id * 31) % 53) AS b")
+    trees = [AD.fit_isolation_forest(df.repartition(n), ["a", "b"], "id", n_trees=3, psi=32)["trees"] for n in (1, 7)]
+    key = lambda t: t["tree"]
+    assert sorted(trees[0], key=key) == sorted(trees[1], key=key)

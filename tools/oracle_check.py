@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
+from flowlens.functions.exprs import round_doubles  # noqa: E402
 from flowlens.plans.registry import load_all  # noqa: E402
 from flowlens.plans import registry  # noqa: E402
 from flowlens.session import get_session  # noqa: E402
@@ -76,7 +77,7 @@ def main():
             continue
         t0 = time.time()
         try:
-            sdf = fn(spark, sf_dir)
+            sdf = round_doubles(fn(spark, sf_dir))
             scols = sdf.columns
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
