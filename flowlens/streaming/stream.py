@@ -40,7 +40,20 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     for k, v in (options or {}).items():
         r = r.option(k, v)
-    return r.format(fmt).load(path)
+    folder, name = one_file(spark, path)
+    if name:
+        r = r.option("pathGlobFilter", name)
+    return r.format(fmt).load(folder)
+
+
+def one_file(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """(folder, None) of a folder, (its folder, its name) of a single file: a file source
+    watches folders."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(jpath) and fs.getFileStatus(jpath).isFile():
+        return jpath.getParent().toString(), jpath.getName()
+    return path, None
 
 
 def run_available_now(df: DataFrame, checkpoint: str, sink: str | None = None, mode: str = "append",

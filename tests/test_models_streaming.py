@@ -80,7 +80,9 @@ def test_voting_rules(spark):
 
 def test_stream_restart_from_checkpoint_neither_loses_nor_duplicates(spark):
     src = scratch_path(spark, "restart-src")
-    schema = ST.stage_source(tables.flows(spark, SF_SMALL).select("flow_id", "ts"), src, n_files=4)
+    flows = tables.flows(spark, SF_SMALL).select("flow_id", "ts")
+    flows.repartition(4).write.parquet(src)
+    schema = flows.schema
     out, ck = scratch_path(spark, "restart-out"), scratch_path(spark, "restart-ck")
     q = ST.run_available_now(ST.read_stream(spark, src, schema, max_files=1), ck, out)
     rates = ST.progress_rates(q)
@@ -117,8 +119,21 @@ def test_stream_model_scoring_equals_batch(spark):
     registry.load_all()
     stream_out = registry.QUERIES["ST1_stream_model_scoring"](spark, SF_SMALL)
     model, _, _ = QM.fitted_forest(spark, SF_SMALL, "binary")
-    batch = M.score(model, QM.model_frame(spark, SF_SMALL), keep=["flow_id"])
+    batch = M.score(model, QM.raw_frame(spark, SF_SMALL), keep=["flow_id"])
     joined = stream_out.select("flow_id", F.col("prediction").alias("s")).join(
         batch.select("flow_id", F.col("prediction").alias("b")), "flow_id")
     assert joined.count() == 1000
     assert joined.where(F.col("s") != F.col("b")).count() == 0
+
+
+def test_classes_are_those_of_the_training_rows(spark):
+    model, train, _ = QM.fitted_forest(spark, SF_SMALL, "binary")
+    assert model.stages[-1].numClasses == train.select(QM.LABEL).distinct().count()
+    unseen = QM.raw_frame(spark, SF_SMALL).withColumn(QM.LABEL, F.lit("never seen"))
+    assert M.score(model, unseen, keep=["flow_id"]).where(F.col("predicted_class").isNull()).count() == 0
+
+
+def test_exact_split_is_stored_once(spark):
+    train, test = QM.split(spark, SF_SMALL)
+    assert "events" not in train._jdf.queryExecution().optimizedPlan().toString()
+    assert train.count() + test.count() == 1000 and train.join(test, "flow_id").count() == 0
