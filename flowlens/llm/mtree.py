@@ -44,7 +44,7 @@ from flowlens.llm.common import batch_rows, shared_path, written
 SCALE = 1024
 MAX_PIVOTS = 256
 GROUP_ROWS = 4096
-PAGE_ROWS = 64
+PAGE_ROWS = 256
 QUERY_BLOCK = 8192
 TREES_AT_ONCE = 16  # subtrees a task holds
 SLACK = 1e-7
@@ -83,14 +83,14 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def exact_scores(v: np.ndarray, q: np.ndarray) -> list[int]:
-    """Integer inner products; beyond the exact range of doubles by Python integers."""
-    s = v @ q
-    if float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, q.size) < 2.0 ** 52:
-        return s.astype(np.int64).tolist()
+def exact_scores(v: np.ndarray, q: np.ndarray, peak: float) -> np.ndarray:
+    """Integer inner products; beyond the exact range of doubles by Python integers.
+    ``peak``: the largest absolute component of ``v``."""
+    if peak * float(np.abs(q).max(initial=0)) * max(1, q.size) < 2.0 ** 52:
+        return (v @ q).astype(np.int64)
     ints = [int(x) for x in q]
     low, high = -(1 << 63), (1 << 63) - 1
-    return [max(low, min(high, sum(int(a) * b for a, b in zip(row, ints)))) for row in v]
+    return np.array([max(low, min(high, sum(int(a) * b for a, b in zip(row, ints)))) for row in v], np.int64)
 
 
 class Subtree:
@@ -159,6 +159,7 @@ class Subtree:
     def load(data: bytes) -> Subtree:
         tree = pickle.loads(data)
         tree.vectors = tree.vectors.astype(np.float64)
+        tree.peak = float(np.abs(tree.vectors).max(initial=0))
         return tree
 
 
@@ -197,7 +198,11 @@ def search(trees: list[Subtree], query_id: int, q: np.ndarray, top: float, k: in
         at = at[tree.ids[at] != query_id]
         if not at.size:
             continue
-        for score, vec in zip(exact_scores(tree.vectors[at], q), tree.ids[at].tolist()):
+        scores = exact_scores(tree.vectors[at], q, tree.peak)
+        if len(best) == k:  # only what could enter the list is looked at one by one
+            could = scores >= best[0][0]
+            scores, at = scores[could], at[could]
+        for score, vec in zip(scores.tolist(), tree.ids[at].tolist()):
             if len(best) < k:
                 heapq.heappush(best, (score, -vec))
             elif (score, -vec) > best[0]:

@@ -53,12 +53,12 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
 def test_search_skips_distances():
     """The stored bounds save work on clustered data and change nothing."""
     rnd = np.random.default_rng(0)
-    v = np.floor((rnd.normal(size=(40, 1, 8)) * 2000 + rnd.normal(size=(40, 50, 8)) * 20).reshape(-1, 8))
+    v = np.floor((rnd.normal(size=(40, 1, 8)) * 2000 + rnd.normal(size=(40, 300, 8)) * 20).reshape(-1, 8))
     top = float((v * v).sum(axis=1).max())
     tree = mtree.Subtree.load(mtree.Subtree(np.arange(len(v)), v, top).seal())
     seen = []
     plain = mtree.exact_scores
-    mtree.exact_scores = lambda x, q: seen.append(len(x)) or plain(x, q)
+    mtree.exact_scores = lambda x, q, peak: seen.append(len(x)) or plain(x, q, peak)
     try:
         best = sorted(mtree.search([tree], -1, v[7], top, 5, np.inf), key=lambda x: (-x[0], x[1]))
     finally:
