@@ -9,9 +9,8 @@ the document's log likelihood shares the blame among its sentences.  An L1 penal
 documents only.
 
 Training.  A sample of at most ``MAX_TRAIN`` labelled training rows (least md5 of the id, so
-the same rows on every run and layout) is split into sentences by Spark; the sample is
-bounded by that parameter, and so are the feature table and the fit, which runs once on
-the driver.  The model (one float per kept feature) is broadcast.
+the same rows on every run and layout) is the only data that reaches the driver: that
+parameter bounds the sample, the feature table and the fit.  The model (one float per kept feature) is broadcast.
 
 Scoring.  Every whole text is scored row by row; ``locate`` names the offending sentences.
 
@@ -24,6 +23,8 @@ an id count as often as they occur.  An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import crc_mod, doc_text, hash_sample, map_arrow
 
-MAX_TRAIN = 6000
+MAX_TRAIN = 3000
 PREFIXES = (4, 5, 6, 7)
 SCREEN = 20.0  # see screened()
 GENERAL = 0.75  # share of a longer feature's log odds at which a prefix replaces it
@@ -117,50 +118,45 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, bool)
     if not y.any():
         return Model({}, -60.0, 0.0)
-    index: dict[str, int] = {}
-    word_ids: dict[str, list[int]] = {}
-    seen_in: list[int] = []  # distinct sentences that hold the feature, so copies count once
-    in_clean: list[int] = []
-    sentences: set[tuple[bool, str]] = set()
+    # First pass: in how many distinct sentences of toxic and of clean documents a feature
+    # occurs (copies count once).  Only counts are kept, so memory follows the vocabulary.
+    toxic_counts: Counter = Counter()
+    clean_counts: Counter = Counter()
+    seen: set[int] = set()
     of_toxic = of_clean = 0
-    sent_doc, rows, cols = [], [], []
-    for d, text in enumerate(texts):
+    for text, bad in zip(texts, y):
         for sentence in SENTENCE.findall(text.lower()):
-            found: list[int] = []
-            for w in set(LETTERS.findall(sentence)):
-                if w not in word_ids:
-                    word_ids[w] = [index.setdefault(f, len(index)) for f in features(w)]
-                found += word_ids[w]
-            rows.extend([len(sent_doc)] * len(found))
-            cols.extend(found)
-            sent_doc.append(d)
-            if (bool(y[d]), sentence) in sentences:
+            if (mark := hash((bool(bad), sentence))) in seen:
                 continue
-            sentences.add((bool(y[d]), sentence))
-            of_toxic, of_clean = of_toxic + bool(y[d]), of_clean + (not y[d])
-            for column in (seen_in, in_clean):
-                column.extend([0] * (len(index) - len(column)))
-            for f in set(found):
-                seen_in[f] += 1
-                in_clean[f] += not y[d]
-    rows_a, cols_a = np.array(rows, np.int32), np.array(cols, np.int32)
-    del rows, cols
-    every = [*seen_in, *[0] * (len(index) - len(seen_in))]
-    clean = np.array([*in_clean, *[0] * (len(index) - len(in_clean))], np.int64)
-    toxic_in = np.array(every, np.int64) - clean
+            seen.add(mark)
+            of_toxic, of_clean = of_toxic + bool(bad), of_clean + (not bad)
+            found = {f for w in set(LETTERS.findall(sentence)) for f in features(w)}
+            (toxic_counts if bad else clean_counts).update(found)
+    # Without a toxic sentence a feature cannot pass the screening.
+    names = sorted(toxic_counts)
+    index = {f: i for i, f in enumerate(names)}
+    toxic_in = np.array([toxic_counts[f] for f in names], np.int64)
+    clean = np.array([clean_counts[f] for f in names], np.int64)
+    del toxic_counts, clean_counts, seen
     odds = np.log((toxic_in + 0.5) / (of_toxic + 1)) - np.log((clean + 0.5) / (of_clean + 1))
-    names = list(index)
     strong = dict.fromkeys(np.flatnonzero(screened(toxic_in, clean, of_toxic, of_clean)).tolist())
     # Of a word and its prefixes the shortest that is about as telling stands for all: it
     # also covers forms that the sample does not hold.
     kept = np.array([f for f in strong if not any(
         odds[g] >= GENERAL * odds[f] for p in features(names[f].rstrip("*"))[1:]
         if p != names[f] and len(p) <= len(names[f]) and (g := index.get(p)) in strong)], np.int64)
-    new = np.full(len(index), -1, np.int32)
-    new[kept] = np.arange(kept.size)
-    use = new[cols_a] >= 0 if cols_a.size else np.empty(0, bool)
-    rows_a, cols_a = rows_a[use], new[cols_a[use]]
-    doc = np.array(sent_doc, np.int32)
+    # Second pass: where the kept features occur.
+    column = {names[f]: i for i, f in enumerate(kept.tolist())}
+    rows, cols, sent_doc = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for sentence in SENTENCE.findall(text.lower()):
+            for w in set(LETTERS.findall(sentence)):
+                for f in features(w):
+                    if f in column:
+                        rows.append(len(sent_doc))
+                        cols.append(column[f])
+            sent_doc.append(d)
+    rows_a, cols_a, doc = (np.frombuffer(x, np.int32) if x else np.empty(0, np.int32) for x in (rows, cols, sent_doc))
     # Start from the log odds of each feature by itself, so that words which always come
     # together all keep their share of the blame.
     w = odds[kept].copy()
