@@ -3,12 +3,16 @@
 Commands
   queries                              list registered queries (* = has a SQL twin)
   run NAME --data DIR [--out PATH]     run a registered query over the tables in DIR; print or write it
-  train --data DIR --model-out PATH    fit the forest pipeline on the stratified train split, evaluate on
-                                       the test split, save the pipeline and a feature-info JSON
-  score --data DIR --model PATH --out PATH
-                                       batch-score every flow with a saved pipeline
+  train --input PATH --label COL [--features A,B] [--categorical C] [--key K] --model-out PATH
+                                       fit the forest pipeline on the stratified train split of a parquet /
+                                       CSV / JSON source (default features: its numeric columns), evaluate
+                                       on the test split, save the pipeline and a feature-info JSON;
+                                       --data DIR instead of --input uses the test view of the tables in DIR
+  score --input PATH --model PATH --out PATH [--keep A,B]
+                                       batch-score every row with a saved pipeline (missing features: 0)
   stream --source DIR --model PATH --out PATH --checkpoint PATH [--once]
-                                       score flow files as they arrive (availableNow with --once)
+                                       score flow files as they arrive (availableNow with --once), by the
+                                       same alignment and pipeline as the batch command
 """
 
 from __future__ import annotations
@@ -53,20 +57,52 @@ def cmd_run(args) -> int:
     return 0
 
 
-def cmd_train(args) -> int:
+def _list(text: str | None) -> list[str]:
+    return [x for x in (text or "").split(",") if x]
+
+
+def _training_rows(spark, args):
+    """(train, test, features, categorical, label, key) of the user's source or of the test view."""
+    from flowlens import config as C
+    from flowlens.functions.exprs import numeric_columns
     from flowlens.operators import models as M
+    from flowlens.operators import split as SP
+    from flowlens.operators.common import stored
     from flowlens.plans import q_models as QM
+    from flowlens.sources import readers
+
+    if not args.input:
+        train, test = QM.split(spark, args.data)
+        return train, test, QM.FEATURES, QM.CATEGORICAL, QM.LABEL, "flow_id"
+    label = "__target"  # so that a label column of any name fits
+    df = readers.read_any(spark, args.input, args.input_format).where(F.col(args.label).isNotNull())
+    df = df.withColumn(label, F.trim(F.col(args.label).cast("string"))).drop(args.label, *M.RESERVED)
+    key = args.key or "__row_key"
+    if not args.key:  # equal rows share a key and land on the same side
+        df = df.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    categorical = _list(args.categorical)
+    features = _list(args.features) or numeric_columns(df, [label, key, *categorical])
+    df = stored(df, "training-rows")
+    train, test = SP.stratified_split(df, label, key, C.TEST_FRACTION)
+    both = stored(train.withColumn("__test", F.lit(False)).unionByName(test.withColumn("__test", F.lit(True))), "split")
+    return (both.where(~F.col("__test")).drop("__test"), both.where("__test").drop("__test"), features, categorical,
+            label, key)
+
+
+def cmd_train(args) -> int:
+    from flowlens.operators import models as M
     from flowlens.sources.sinks import write_report
 
     spark = _session()
-    train, test = QM.split(spark, args.data)
-    model = M.fit_pipeline(train, QM.FEATURES, M.random_forest(args.preset), QM.LABEL, categorical=QM.CATEGORICAL)
+    train, test, features, categorical, label, key = _training_rows(spark, args)
+    model = M.fit_pipeline(M.class_weights(train, label), features, M.random_forest(args.preset, weight="weight"), label,
+                           categorical=categorical)
     labels = M.labels_of(model)
-    scored = M.score(model, test, keep=["flow_id", QM.LABEL])
-    metrics = M.evaluate_scored(scored, QM.LABEL, f"random_forest_{args.preset}", labels).first().asDict()
+    scored = M.score(model, test, keep=[key, label])
+    metrics = M.evaluate_scored(scored, label, f"random_forest_{args.preset}", labels).first().asDict()
     M.save_model(model, args.model_out)
-    info = {"features": QM.FEATURES + [f"{c}_idx" for c in QM.CATEGORICAL], "classes": labels,
-            "preset": args.preset, "metrics": metrics,
+    info = {"features": features + [f"{c}_idx" for c in categorical], "classes": labels, "label": args.label or label,
+            "preset": args.preset, "train_rows": train.count(), "test_rows": test.count(), "metrics": metrics,
             "importances": M.feature_importances(model, top=10)}
     write_report(spark, info, args.model_out.rstrip("/") + "_info")
     print(json.dumps(info, default=str))
@@ -76,11 +112,16 @@ def cmd_train(args) -> int:
 def cmd_score(args) -> int:
     from flowlens.operators import models as M
     from flowlens.plans import q_models as QM
+    from flowlens.sources import readers
     from flowlens.sources.sinks import write_table
 
     spark = _session()
     model = M.load_model(args.model)
-    scored = M.score(model, QM.model_frame(spark, args.data), keep=["flow_id"])
+    if args.input:
+        rows, keep = readers.read_any(spark, args.input, args.input_format), _list(args.keep)
+    else:
+        rows, keep = QM.raw_frame(spark, args.data), ["flow_id"]
+    scored = M.score(model, M.aligned(model, rows), keep=keep)
     write_table(scored, args.out, fmt=args.format)
     summary = scored.groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n")).orderBy("predicted_class")
     summary.show(truncate=False)
@@ -95,7 +136,7 @@ def cmd_stream(args) -> int:
     model = M.load_model(args.model)
     schema = spark.read.parquet(args.source).schema
     src = ST.read_stream(spark, args.source, schema, max_files=args.max_files)
-    scored = M.score(model, src, keep=[c for c in ("flow_id", "ts") if c in schema.fieldNames()])
+    scored = M.score(model, M.aligned(model, src), keep=[c for c in ("flow_id", "ts") if c in schema.fieldNames()])
     if args.once:
         q = ST.run_available_now(scored, args.checkpoint, args.out)
         print(json.dumps(ST.progress_rates(q)))
@@ -117,12 +158,21 @@ def main(argv=None) -> int:
     r.add_argument("--show", type=int, default=20)
     r.set_defaults(fn=cmd_run)
     t = sub.add_parser("train")
-    t.add_argument("--data", required=True)
+    t.add_argument("--data")
+    t.add_argument("--input")
+    t.add_argument("--input-format", choices=["parquet", "csv", "json"])
+    t.add_argument("--label")
+    t.add_argument("--features")
+    t.add_argument("--categorical")
+    t.add_argument("--key")
     t.add_argument("--model-out", required=True)
     t.add_argument("--preset", default="advanced", choices=["binary", "advanced", "complete", "training"])
     t.set_defaults(fn=cmd_train)
     s = sub.add_parser("score")
-    s.add_argument("--data", required=True)
+    s.add_argument("--data")
+    s.add_argument("--input")
+    s.add_argument("--input-format", choices=["parquet", "csv", "json"])
+    s.add_argument("--keep", default="")
     s.add_argument("--model", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
@@ -137,6 +187,10 @@ def main(argv=None) -> int:
     st.add_argument("--once", action="store_true")
     st.set_defaults(fn=cmd_stream)
     args = p.parse_args(argv)
+    if args.cmd in ("train", "score") and bool(args.data) == bool(args.input):
+        p.error("give either --input or --data")
+    if args.cmd == "train" and args.input and not args.label:
+        p.error("--input needs --label")
     return args.fn(args)
 
 

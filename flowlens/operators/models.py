@@ -160,6 +160,29 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str] = (), prob_col: s
     return out.select(*cols)
 
 
+# Columns that fitting and scoring make; a source's own columns of these names go.
+RESERVED = ("label", "weight", "features", "rawPrediction", "probability", "prediction")
+
+
+def inputs_of(model: PipelineModel) -> tuple[list[str], list[str]]:
+    """(numeric features, categorical columns) that a fitted pipeline reads."""
+    assembled = model.stages[-2].getInputCols()
+    categorical = [s.getInputCol() for s in model.stages[2:-2]]
+    return [c.removesuffix(FILLED) for c in assembled if c.endswith(FILLED)], categorical
+
+
+def aligned(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with every column the pipeline reads: numeric features as doubles (text that is
+    no number counts as missing), columns the source lacks as missing.  Row-local, so the
+    same call serves batches and streams."""
+    features, categorical = inputs_of(model)
+    have = set(df.columns)
+    cols = [F.col(quote(c)) for c in df.columns if c not in features and c not in RESERVED]
+    cols += [(F.col(quote(c)).try_cast("double") if c in have else F.lit(None).cast("double")).alias(c) for c in features]
+    cols += [F.lit("").alias(c) for c in categorical if c not in have]
+    return df.select(*cols)
+
+
 def chain_probabilities(models: dict[str, PipelineModel], df: DataFrame, out: str = "p_{}") -> DataFrame:
     """``df`` with one probability array per model, all in one pass: each model's working
     columns are dropped before the next transforms the same rows."""
