@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.exprs import safe_div
+from flowlens.functions.exprs import quote, safe_div
 
 
 def rate_per_window(df: DataFrame, key: str, ts_col: str = "ts", window: str = "1 second") -> DataFrame:
@@ -15,7 +15,11 @@ def rate_per_window(df: DataFrame, key: str, ts_col: str = "ts", window: str = "
         F.col("w.start").alias("window_start"), key, "n")
 
 
-def rate_alerts(df: DataFrame, key: str, threshold: int, ts_col: str = "ts", window: str = "1 second") -> DataFrame:
+# Documented thresholds (fixed values): packets and connections per second, ports per minute.
+PACKET_RATE, CONNECTION_RATE, PORT_SCAN_PORTS = 1000, 100, 50
+
+
+def rate_alerts(df: DataFrame, key: str, threshold: int = PACKET_RATE, ts_col: str = "ts", window: str = "1 second") -> DataFrame:
     """DR1: keys whose row count in a window exceeds ``threshold`` (packets / connections per second)."""
     return rate_per_window(df, key, ts_col, window).where(F.col("n") > threshold)
 
@@ -30,7 +34,7 @@ def distinct_ports(df: DataFrame, key: str = "src_ip", port: str = "dst_port", t
         F.col("w.start").alias("window_start"), key, "n_ports")
 
 
-def port_scan_alerts(df: DataFrame, threshold: int = 50, **kw) -> DataFrame:
+def port_scan_alerts(df: DataFrame, threshold: int = PORT_SCAN_PORTS, **kw) -> DataFrame:
     """DR2: more than ``threshold`` distinct ports in a window."""
     return distinct_ports(df, **kw).where(F.col("n_ports") > threshold)
 
@@ -58,15 +62,32 @@ def baseline_deviation(df: DataFrame, key: str, value: str, normal_flag: str) ->
     return out.withColumn("deviation", safe_div(F.col(value) - F.col("base_mean"), F.col("base_std")))
 
 
+def f_scores(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """DR5: (feature, f_score), the ANOVA F of each feature against a class label.
+
+    One aggregate per class (partial sums per task); the classes are then combined.  Missing
+    values count as 0; a feature without variance inside the classes has no score.
+    """
+    x = {c: F.coalesce(F.nanvl(F.col(quote(c)).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features}
+    per_class = df.where(F.col(label).isNotNull()).groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), *[a for i, c in enumerate(features) for a in (
+            F.avg(x[c]).alias(f"m{i}"), F.var_pop(x[c]).alias(f"v{i}"))])
+    long = per_class.select("n", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
+        for i, c in enumerate(features)])).alias("s")).select("n", "s.*")
+    total = long.groupBy("feature").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("k"),
+                                        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    both = long.join(total, "feature")
+    sums = both.groupBy("feature").agg(
+        F.max("rows").alias("rows"), F.max("k").alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.sum(F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))).alias("between"))
+    return sums.select("feature", safe_div(F.col("between") / (F.col("k") - 1),
+                                           F.col("within") / (F.col("rows") - F.col("k"))).alias("f_score"))
+
+
 def select_top_features(df: DataFrame, features: list[str], label: str, k: int = 50) -> tuple[DataFrame, list[str]]:
-    """DR5: keep the k features with the highest ANOVA F score against the label."""
-    from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
-
-    va = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="keep")
-    data = va.transform(df.na.fill(0.0, subset=features))
-    sel = UnivariateFeatureSelector(featuresCol="__f", labelCol=label, outputCol="__sel",
-                                    selectionMode="numTopFeatures").setFeatureType("continuous") \
-        .setLabelType("categorical").setSelectionThreshold(min(k, len(features)))
-    model = sel.fit(data)
-    chosen = [features[i] for i in model.selectedFeatures]
+    """DR5: keep the k features with the highest ANOVA F score (ties by name; no score: last)."""
+    top = f_scores(df, features, label).orderBy(F.col("f_score").desc_nulls_last(), "feature").limit(k).collect()
+    picked = {r["feature"] for r in top}
+    chosen = [c for c in features if c in picked]
     return df.select(*[c for c in df.columns if c not in features or c in chosen]), chosen

@@ -7,7 +7,7 @@ from flowlens import config as C
 from flowlens.operators import features as FE
 from flowlens.operators import labelling as LB
 from flowlens.plans.q_labels import LB1_SQL
-from flowlens.plans.registry import query
+from flowlens.plans.registry import ORACLE, query
 from flowlens.sources import tables
 
 KDD = C.default_datasets("/")["nsl_kdd_train"]
@@ -138,7 +138,16 @@ def fe15(spark, sf_dir):
     return out
 
 
-@query("FE_all_families")
+def _all_families_sql() -> str:
+    """The families' own twins joined on the flow, the entropies as constants."""
+    parts = ["FE1_zscore", "FE2_robust_scale", "FE3_percentile_rank", "FE4_FE5_time_features", "FE6_FE11_flow_features"]
+    joins = "\n".join(f"JOIN (SELECT * FROM ({ORACLE[n]}) t{i}) x{i} USING (flow_id)" for i, n in enumerate(parts))
+    entropies = ", ".join(f"(SELECT entropy FROM ({ORACLE['FE12_FE13_entropy']}) e WHERE feature = '{c}_entropy') AS {c}_entropy"
+                          for c in STRINGS + BYTES)
+    return f"WITH {FE_SQL}\nSELECT *, {entropies} FROM fe\n{joins}"
+
+
+@query("FE_all_families", _all_families_sql())
 def fe_all(spark, sf_dir):
     """Every family on the whole frame (statistics fitted on the same frame)."""
     return FE.create_advanced_features(fe_frame(spark, sf_dir), exclude=["flow_id", "unified_label"], key="flow_id", **COLUMNS)
