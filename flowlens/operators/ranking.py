@@ -44,7 +44,8 @@ def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: l
     tmp_key = None
     if not keys:
         tmp_key = "__all"
-        agg = agg.withColumn(tmp_key, F.lit(0))
+        # Always 0, but not a literal: a join on literals would lose its key.
+        agg = agg.withColumn(tmp_key, F.pmod(F.xxhash64(value), F.lit(1)).cast("int"))
         keys = [tmp_key]
     n_bounds = 2 ** steps - 1
     probs = [i / (n_bounds + 1) for i in range(1, n_bounds + 1)]
