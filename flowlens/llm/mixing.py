@@ -14,8 +14,8 @@ stops where the words taken come nearest to what the whole copies leave open.
 
 Scale.  Within a source the rank grows with U, so U's leading 16 bits cut each source into
 65,536 ordered buckets.  One partial aggregate over (source, bucket) gives sizes, targets
-and the bucket in which a source's sample ends; only rows of those few buckets are ordered
-by a window.  Documents meet the one-row-per-source table by a join; no source, however
+and the bucket in which a source's sample ends (found 256 steps at a time); only rows of
+those few buckets are ordered by a window.  Documents meet the one-row-per-source table by a join; no source, however
 hot, is gathered anywhere.
 
 Results.  No source's words, or none open: whole copies only (0 of 0-word sources).
@@ -72,6 +72,17 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: in
     return df.withColumn("target", target).drop("__w", "__cap", "__level", "__common")
 
 
+def _first_above(steps: DataFrame, limits: DataFrame) -> DataFrame:
+    """(source, __open, __last, __before): each source's first step (of at most 256) at which
+    __start plus the running total passes __open, and that total before it."""
+    so_far = W.partitionBy("source").orderBy("__step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = F.col("__start") + F.sum("__cell").over(so_far)
+    rows = steps.join(limits, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__upto", total)
+    end = F.min_by(F.struct("__step", (F.col("__upto") - F.col("__cell")).alias("before")), "__step")
+    return (rows.filter(F.col("__upto") > F.col("__open")).groupBy("source", "__open").agg(end.alias("__end"))
+            .select("source", "__open", F.col("__end.__step").alias("__last"), F.col("__end.before").alias("__before")))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES,
         seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target (of its source), copies and taken."""
@@ -87,15 +98,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX
     plan = (plan.withColumn("__whole", F.least(F.floor(rate), F.lit(max_copies)).cast("int"))
             .withColumn("__p", rate - F.col("__whole"))
             .withColumn("__open", F.col("target") - F.col("__whole") * F.col("source_size")))
-    # The bucket in which each source's sample ends, and the words taken before it.
-    up_to = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = (cells.withColumn("__upto", F.sum("__cell").over(up_to))
-            .join(plan.select(F.col("source").alias("__s"), "__open"), F.col("source").eqNullSafe(F.col("__s")))
-            .filter(F.col("__upto") > F.col("__open"))
-            .groupBy("source").agg(F.min_by(F.struct("__bucket", (F.col("__upto") - F.col("__cell")).alias("before")),
-                                            "__bucket").alias("__end")))
-    plan = (plan.join(ends.select(F.col("source").alias("__s"), F.col("__end.__bucket").alias("__last"),
-                                  F.col("__end.before").alias("__before")),
+    # The bucket in which each source's sample ends, and the words taken before it: first
+    # among 256 stretches of buckets, then among the 256 buckets of that stretch.
+    limits = plan.select(F.col("source").alias("__s"), "__open", F.lit(0).cast("long").alias("__start"))
+    stretch = F.shiftright("__bucket", BUCKET_BITS // 2)
+    stretches = cells.groupBy("source", stretch.alias("__step")).agg(F.sum("__cell").alias("__cell"))
+    coarse = _first_above(stretches, limits)
+    inside = cells.join(coarse.select(F.col("source").alias("__t"), F.col("__last").alias("__stretch")),
+                        F.col("source").eqNullSafe(F.col("__t")) & (stretch == F.col("__stretch")))
+    fine = _first_above(inside.select("source", F.col("__bucket").alias("__step"), "__cell"),
+                        coarse.select(F.col("source").alias("__s"), "__open", F.col("__before").alias("__start")))
+    plan = (plan.join(fine.select(F.col("source").alias("__s"), "__last", "__before"),
                       F.col("source").eqNullSafe(F.col("__s")), "left")
             .select(F.col("source").alias("__s"), "source_size", "target", "__whole", "__p", "__open",
                     F.coalesce("__last", F.lit(1 << BUCKET_BITS)).alias("__last"), "__before"))
@@ -104,7 +117,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX
     u = (F.col("__u") + 0.5) / float(1 << 52)
     odds = F.col("__p") / (1 - F.col("__p"))
     due = due.withColumn("__rank", F.when(F.col("__p") > 0, (u / (1 - u)) / odds))
-    inside = due.filter(F.col("__bucket") != F.col("__last")).withColumn(
+    settled = due.filter(F.col("__bucket") != F.col("__last")).withColumn(
         "__extra", F.when((F.col("__p") > 0) & (F.col("__bucket") < F.col("__last")), 1).otherwise(0))
     in_order = W.partitionBy("source").orderBy("__rank", "__u", "doc_id", "size")
     upto = F.col("__before") + F.sum("size").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -112,7 +125,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX
     nearer = 2 * (F.col("__open") - F.col("__upto")) + F.col("size") > 0
     edge = (due.filter(F.col("__bucket") == F.col("__last")).withColumn("__upto", upto)
             .withColumn("__extra", F.when((F.col("__p") > 0) & nearer, 1).otherwise(0)).drop("__upto"))
-    out = inside.unionByName(edge).withColumn("copies", (F.col("__whole") + F.col("__extra")).cast("int"))
+    out = settled.unionByName(edge).withColumn("copies", (F.col("__whole") + F.col("__extra")).cast("int"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*[c for c in docs.columns if c not in RESULT], *RESULT)
 
