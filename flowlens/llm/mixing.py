@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import WORD
+from flowlens.llm.common import WORD, written
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -112,6 +112,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX
                       F.col("source").eqNullSafe(F.col("__s")), "left")
             .select(F.col("source").alias("__s"), "source_size", "target", "__whole", "__p", "__open",
                     F.coalesce("__last", F.lit(1 << BUCKET_BITS)).alias("__last"), "__before"))
+    # One row per source, stored: its size is then known, so Spark broadcasts it while it is
+    # below the session's threshold and documents are not shuffled by source.
+    plan = written(plan.coalesce(1), "mix-plan")
     due = rows.join(plan, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     # Pareto rank: random odds over inclusion odds.
     u = (F.col("__u") + 0.5) / float(1 << 52)
