@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ from flowlens import config as C
 from flowlens.functions.exprs import numeric_columns, quote, safe_div, string_columns
 from flowlens.operators.common import stored
 from flowlens.operators.ranking import quantiles_from_ranked, ranked_values
+from flowlens.sources.sinks import read_report, write_report
 
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
@@ -47,9 +48,18 @@ def bin_by_edges(x: Column, edges: list[float]) -> Column:
 
 
 class FeatureModel:
+    """Fitted statistics; ``save`` and ``load`` carry them to another process or a stream."""
+
     def __init__(self, state: dict):
         self.state = state
 
+    def save(self, spark: SparkSession, path: str) -> str:
+        return write_report(spark, self.state, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FeatureModel":
+        return cls(read_report(spark, path))
+
     def transform(self, df: DataFrame, with_percentile: bool = True, ranked: DataFrame | None = None) -> DataFrame:
         """Apply the fitted features.  ``ranked`` (the fit's rank table) may be passed when
         ``df`` is the frame the model was fitted on, so FE3 does not rank it again."""
@@ -95,7 +105,7 @@ class FeatureModel:
             n = sum((F.col(c).isNotNull().cast("int") for c in svc), F.lit(0))
             cols.append(safe_div(total, n).alias("service_concentration"))
         # FE12 / FE13: constant entropy columns.
-        for name, value in s["entropies"].items():
+        for name, value in sorted(s["entropies"].items()):
             cols.append(F.lit(value).cast("double").alias(name))
         out = df.select(*cols)
         if with_percentile and s["stat_columns"]:

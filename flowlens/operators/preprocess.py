@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens import config as C
 from flowlens.functions.exprs import finite_or_null, numeric_columns, quote, string_columns
 from flowlens.operators.profile import long_strings
 from flowlens.operators.ranking import quantile_table
+from flowlens.sources.sinks import read_report, write_report
 
 
 def string_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -67,6 +68,13 @@ class PreprocessorModel:
     def from_json(cls, text: str) -> "PreprocessorModel":
         return cls(json.loads(text))
 
+    def save(self, spark: SparkSession, path: str) -> str:
+        return write_report(spark, self.state, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "PreprocessorModel":
+        return cls(read_report(spark, path))
+
     @property
     def feature_order(self) -> list[str]:
         return list(self.state["feature_order"])
@@ -158,8 +166,3 @@ class Preprocessor:
                 state["means"][c] = row[f"m_{i}"]
                 state["stds"][c] = row[f"s_{i}"]
         return model
-
-
-def standard_scale_expr(c: str, mean: float, std: float | None) -> Column:
-    """PP6 as a bare expression: (x - mean) / std_pop, zero std -> divide by 1."""
-    return (F.col(quote(c)) - F.lit(mean)) / F.lit(std if std else 1.0)

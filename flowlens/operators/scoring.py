@@ -57,17 +57,6 @@ def correctness_mark(df: DataFrame, expected: str, predicted: str, out: str = "c
     return df.withColumn(out, F.col(expected) == F.col(predicted))
 
 
-def probability_columns(df: DataFrame, prob_col: str, classes: list[str], prefix: str = "prob_") -> DataFrame:
-    """SC1 helper: one ``prob_<class>`` column per class and confidence = max probability."""
-    from pyspark.ml.functions import vector_to_array
-
-    arr = vector_to_array(F.col(prob_col))
-    out = df.withColumn("__p", arr)
-    for i, c in enumerate(classes):
-        out = out.withColumn(f"{prefix}{c}", F.col("__p")[i])
-    return out.withColumn("confidence", F.array_max("__p")).drop("__p")
-
-
 def split_quarantine(df: DataFrame, valid_col: str = "valid") -> tuple[DataFrame, DataFrame]:
     """SC6: (scored rows, quarantined rows) so that bad input can go to its own sink."""
     return df.where(F.col(valid_col)), df.where(~F.col(valid_col))

@@ -246,3 +246,20 @@ def test_forest_sample_does_not_depend_on_layout(spark):
     trees = [AD.fit_isolation_forest(df.repartition(n), ["a", "b"], "id", n_trees=3, psi=32)["trees"] for n in (1, 7)]
     key = lambda t: t["tree"]
     assert sorted(trees[0], key=key) == sorted(trees[1], key=key)
+
+
+def test_fitted_state_survives_saving(spark):
+    from flowlens.operators.preprocess import Preprocessor, PreprocessorModel
+    from flowlens.plans import q_features as QF
+    from flowlens.session import scratch_path
+
+    fe = QF.fe_frame(spark, "/root/testdata/sf0.001")
+    for model in (FE.FeatureEngineer(exclude=["flow_id", "unified_label"], **QF.COLUMNS).fit(fe),
+                  Preprocessor(passthrough=["flow_id", "unified_label"]).fit(fe)):
+        path = scratch_path(spark, "fitted-state")
+        model.save(spark, path)
+        again = type(model).load(spark, path)
+        extra = {"with_percentile": False} if isinstance(model, FE.FeatureModel) else {}
+        a, b = model.transform(fe, **extra), again.transform(fe, **extra)
+        assert a.columns == b.columns and a.exceptAll(b).count() == 0
+    assert isinstance(again, PreprocessorModel)
