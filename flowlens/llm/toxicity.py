@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, where=None) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text, score) of every row."""
+    """(doc_id, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[str, float] = {}
 
