@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens import config as C
 from flowlens.functions.exprs import finite_or_null, numeric_columns, quote
 
 
