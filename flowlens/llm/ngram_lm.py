@@ -2,24 +2,31 @@
 
 Tokens.  A-Z lower-cased, words split at ASCII white space, one end token per text.
 
-Counts.  Word counts are exact over all training documents: workers count, Spark sums, the
-vocabulary lies in the shared folder.  Its most frequent words with their counts (at most
-``HEAD``, a bounded table) are broadcast; counts of all other words reach the documents that hold
-them through a join on the word.  No word of that join is frequent - the frequent ones are
-in the head - so it has no hot key.
-
-Model.  The ``CLASSES`` most frequent words, the end token and one class for all other words
-are the automaton's alphabet.  Pairs and triples of classes are counted over all training
-documents (triples only where both of their pairs are states); the ``NGRAMS`` most frequent
-of each order are kept.  Contexts of kept n-grams become states.  With absolute discounting
-P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | h'), an n-gram that is kept has an arc of its own
-and the state of h a failure arc of weight g(h) to the state of h', its longest suffix that
-is one; the root has an arc for every class (add-one).  A word of the open class further
-costs (c + 1) / (N' + V' + 1), N' and V' counting that class, so probabilities over all words
-and "any unseen word" sum to one.
-
-Scoring.  One pass from left to right carries the state: follow failure arcs, adding their
-weights, until an arc for the token is found; add its weight and move.
+Model.  Every word is a symbol of the automaton, every pair and triple of words within a text
+(which starts behind an end token) that occurs ``MIN_COUNT`` times or more in the training
+documents is an arc, every context of such an arc a state; nothing else is left out.  With
+absolute discounting P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | h'), an arc of h w weighs that
+and the failure arc of h leads to h without its first word at weight g(h); the root has
+an arc for every word, (c + 1) / (N + V + 1), so probabilities over all words and "any unseen
+word" sum to one.
+
+Tables.  Symbols and arcs are rows of a table in the shared folder, by a 64-bit key: XXH64 of
+a word, and key(h w) = key(h) * ``BASE`` + key(w), so two keys of billions of n-grams hardly
+ever agree.  Counts come from one grouped sum; the weights from joins of the arcs with the
+tables of their contexts and of the arcs that they replace.
+
+Scoring.  The automaton reads a text from left to right, follows failure arcs until it has an
+arc for the token, takes it and moves to the longest suffix that is a state.  Each arc's
+weight is held against the failure path it replaces (weights pushed towards the root): the
+state's failure weight is charged when the state is reached, and an arc gives back what
+the longer context gains over failing.  So a text's path weighs the sum of the weights of its
+n-grams, no matter in which order they are found, and texts fetch only those they hold: the
+``HEAD`` most frequent n-grams are broadcast, all others come through a join on the key of
+each text's distinct n-grams.  No n-gram of that join is frequent in training.
+
+In memory.  ``train``, ``Automaton`` and ``score`` are the same model as one automaton on the
+driver, over the ``classes`` most frequent words (others share an open class) and the
+``ngrams`` most frequent n-grams, for small training sets; no registered query uses them.
 
 Results.  Null texts count as empty: one end token.  Without training text every count is
 zero and N = V = 0.  Repeated rows are scored as rows of their own; an empty table gives no
@@ -34,6 +41,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +57,10 @@ FLUSH_WORDS = 400_000
 FLUSH_TOKENS = 2_000_000
 END = b"\n"  # no word holds white space
 END_CLASS, OPEN_CLASS, FIRST_CLASS = 0, 1, 2
+BASE = np.uint64(0x9E3779B97F4A7C15)
+END_KEY = xxhash.xxh64_intdigest(END)
+FLUSH_BYTES = 8_000_000
+NAMES = ["row", "key", "k", "doc_id", "n_tokens", "known", "logs", "lm"]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -303,8 +315,148 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, automaton: Auto
         (F.col("lm") + F.col("open_logs") + more - F.col("n_open") * open_cost).alias("score"))
 
 
+def word_keys(texts: list[bytes]) -> np.ndarray:
+    """Keys of all tokens, an end token in front and behind every text."""
+    keys = [END_KEY]
+    for text in texts:
+        keys.extend(map(xxhash.xxh64_intdigest, words_of(text)))
+        keys.append(END_KEY)
+    return np.array(keys, np.uint64)
+
+
+def gram_keys(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(key, position of the last token) of all words, pairs and triples; the first end
+    token counts as context only and no n-gram has an end token inside."""
+    end, at = np.uint64(END_KEY), np.arange(1, words.size)
+    pairs = words[:-1] * BASE + words[1:]
+    inside = at[1:][words[1:-1] != end]
+    return [(words[1:], at), (pairs, at), (pairs[inside - 2] * BASE + words[inside], inside)]
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(size, key, context, low, n) of all words and of the pairs and triples that occur
+    ``MIN_COUNT`` times; context and low are the keys without the last and first word."""
+
+    def batch_of(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        words = word_keys(texts)
+        grams = gram_keys(words)
+        for size, (keys, at) in enumerate(grams, 1):
+            found, first, n = np.unique(keys, return_index=True, return_counts=True)
+            last = at[first]
+            context, low = np.zeros_like(found), np.zeros_like(found)
+            if size > 1:  # pairs stand at the position of their last word less one
+                context = words[last - 1] if size == 2 else grams[1][0][last - 2]
+                low = words[last] if size == 2 else grams[1][0][last - 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(found.size, size, np.int32)), *[pa.array(x.view(np.int64)) for x in (found, context, low)],
+                 pa.array(n.astype(np.int64))], ["size", "key", "context", "low", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, size = [], 0
+        for b in batches:
+            for text in utf8(b.column("text")):
+                texts.append(text)
+                size += len(text)
+                if size > FLUSH_BYTES:  # bounds the worker's memory
+                    yield from batch_of(texts)
+                    texts, size = [], 0
+        if texts:
+            yield from batch_of(texts)
+
+    by = ["size", "key", "context", "low"]
+    grams = doc_text(docs).select("text").mapInArrow(run, "size int, key long, context long, low long, n long")
+    return grams.groupBy(*by).agg(F.sum("n").alias("n")).filter((F.col("size") == 1) | (F.col("n") >= MIN_COUNT))
+
+
+def weigh(grams: DataFrame) -> tuple[DataFrame, int, int]:
+    """((key, n, known, log, weight), N, V): what an n-gram adds to the score of a text for
+    each time it occurs, ``log`` and ``known`` for words only."""
+    total = grams.filter("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tokens, types = int(total[0]), int(total[1])
+
+    def states(known: DataFrame, size: int) -> DataFrame:
+        """``known`` (key, n, p, gain) and left: the weight of failing, 1 without arcs."""
+        arcs = grams.filter(F.col("size") == size + 1).groupBy(F.col("context").alias("key")).agg(
+            F.sum(F.col("n") - DISCOUNT).alias("taken"))
+        left = F.coalesce(F.greatest(1.0 - F.col("taken") / F.col("n"), F.lit(1e-12)), F.lit(1.0))
+        left = F.when(F.col("taken").isNull(), 1.0).otherwise(left)
+        return known.join(arcs, "key", "left").select("key", "n", "p", "gain", left.alias("left"))
+
+    def arcs(size: int, lower: DataFrame) -> DataFrame:
+        """(key, n, p, gain) of the arcs of that many words; gain is over failing."""
+        context = lower.select(F.col("key").alias("context"), F.col("n").alias("seen"), "left")
+        low = lower.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
+        own = grams.filter(F.col("size") == size).join(context, "context").join(low, "low")
+        failing = F.col("left") * F.col("p_low")
+        p = (F.col("n") - DISCOUNT) / F.col("seen") + failing
+        return own.select("key", "n", p.alias("p"), (F.log10(p) - F.log10(failing)).alias("gain"))
+
+    words = grams.filter("size = 1").select(
+        "key", "n", ((F.col("n") + 1.0) / (tokens + types + 1.0)).alias("p"), F.lit(0.0).alias("gain"))
+    words = written(states(words, 1), "lm-words")
+    pairs = written(states(arcs(2, words), 2), "lm-pairs")
+    triples = arcs(3, pairs)
+    weight = F.col("gain") + F.log10("left")
+    table = (words.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("log"), weight.alias("weight"))
+             .unionByName(pairs.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("log"), weight.alias("weight")))
+             .unionByName(triples.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("log"),
+                                         F.col("gain").alias("weight"))))
+    return written(table, "lm-weights"), tokens, types
+
+
+def score_all(docs: DataFrame, weights: DataFrame, tokens: int, types: int, head: int = HEAD) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    top = np.array(frequent(weights, head).select("key", "known", "log", "weight").collect(),
+                   [("key", "<i8"), ("known", "<i8"), ("log", "<f8"), ("weight", "<f8")])
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(top, order="key"))
+    schema = "row long, key long, k long, doc_id long, n_tokens long, known long, logs double, lm double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = word_keys(utf8(b.column("text")))
+            grams = gram_keys(words)
+            # The text of each position: end tokens close texts.
+            text = np.cumsum(words == np.uint64(END_KEY)) - 1
+            text[words == np.uint64(END_KEY)] -= 1
+            keys = np.concatenate([k for k, _ in grams]).view(np.int64)
+            of = np.concatenate([text[at] for _, at in grams])
+            at = np.searchsorted(top["key"], keys)
+            at[at == top.size] = 0
+            hit = top["key"][at] == keys if top.size else np.zeros(keys.size, bool)
+            sums = [np.bincount(of[hit], top[c][at[hit]], b.num_rows) for c in ("known", "log", "weight")]
+            # One row for each text (k = 0) and one for each of its n-grams outside the head.
+            row = np.asarray(b.column("row"))
+            n_tokens = np.bincount(text[1:], minlength=b.num_rows)
+            none = np.zeros(b.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row), pa.array(row), pa.array(none), b.column("doc_id"), pa.array(n_tokens),
+                 pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], NAMES)
+            keys, of = keys[~hit], of[~hit]
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])][:keys.size])
+            k = np.diff(np.r_[first, keys.size])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[of[first]]), pa.array(keys[first]), pa.array(k.astype(np.int64)),
+                 *[pa.nulls(first.size, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], NAMES)
+
+    rows = doc_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
+    more = weights.select("key", F.col("known").alias("is_known"), "log", "weight")
+    found = rows.join(more, "key", "left").filter("k = 0 OR weight IS NOT NULL")
+    total = lambda own, each: F.sum(F.coalesce(own, F.lit(0)) + F.col("k") * F.coalesce(each, F.lit(0)))
+    out = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), total("known", "is_known").alias("n_known"),
+        total("logs", "log").alias("logs"), total("lm", "weight").alias("lm"))
+    base = F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + types + 1))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+                      base.alias("base_score"), (base + F.col("lm")).alias("score"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     """Scores of all rows, learned from those whose crc32(doc_id) mod 7 is not 2."""
-    model = train(docs.filter(crc_mod("doc_id", 7) != 2))
-    return score(docs, *model).withColumn("held_out", crc_mod("doc_id", 7) == 2).select(
+    grams = written(count_grams(docs.filter(crc_mod("doc_id", 7) != 2)), "ngrams")
+    return score_all(docs, *weigh(grams)).withColumn("held_out", crc_mod("doc_id", 7) == 2).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

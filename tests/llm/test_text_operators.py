@@ -277,3 +277,18 @@ def test_lm_automaton_is_a_distribution_and_beats_the_base(spark, docs):
         assert total == pytest.approx(1.0, abs=1e-9)
     held = [r for r in ngram_lm.query(read_table(spark, "/root/testdata/sf0.01", "documents")).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_query_keeps_every_word_and_ngram(spark, docs):
+    """The tables hold the automaton over all words and all repeated n-grams, whatever lies in the head."""
+    from flowlens.llm.common import crc_mod, written
+
+    for table in (docs, awkward_docs(spark, extra=True)):
+        train = table.filter(crc_mod("doc_id", 7) != 2)
+        want = sorted(map(tuple, ngram_lm.score(table, *ngram_lm.train(
+            train, head=1 << 20, classes=1 << 20, ngrams=1 << 30)).collect()), key=repr)
+        model = ngram_lm.weigh(written(ngram_lm.count_grams(train), "ngrams"))
+        got = [ngram_lm.query(table).drop("held_out"), ngram_lm.score_all(table, *model, head=50)]
+        for rows in (sorted(map(tuple, x.collect()), key=repr) for x in got):
+            assert [x[:4] for x in rows] == [x[:4] for x in want]
+            assert np.allclose([x[4:] for x in rows], [x[4:] for x in want], atol=1e-6)
