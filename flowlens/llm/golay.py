@@ -76,14 +76,15 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > h.size, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
+    """(doc_id, fp) and the long columns ``keep``: one row per row of ``docs``."""
+    names = ["doc_id", *keep]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, shingle) for t in utf8(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(fps, pa.int64())], [*names, "fp"])
 
-    return map_arrow(doc_text(docs), run, "doc_id long, fp long")
+    return map_arrow(doc_text(docs, *keep), run, ", ".join(f"`{c}` long" for c in [*names, "fp"]))
 
 
 @lru_cache(maxsize=1)
@@ -251,15 +252,31 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
         _in_runs(split, ["key", "lo", "hi"], distance)).distinct()
 
 
+def rooted(known: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, first, root) of a table of distinct fingerprints: root is the least fingerprint
+    of those reachable at ``distance`` or fewer differing bits."""
+    known = written(known, "distinct-fingerprints")
+    with batch_rows(known.sparkSession, KEY_BATCH):
+        roots = components(links(known, distance)).select(F.col("node").alias("fp"), "root")
+    return known.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def first_rows(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(row) of one row of each component: the least by doc_id (nulls last), text hash and row.
+
+    ``rows`` has doc_id, fp, hash and row, a number of its own for each row.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "row")
+    linked = rooted(rows.groupBy("fp").agg(F.min(rank).alias("first")), distance)
+    return linked.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable through
     fingerprints at ``distance`` or fewer differing bits."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
     # One row per fingerprint; its least doc_id is found by partial aggregation.
-    known = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    with batch_rows(docs.sparkSession, KEY_BATCH):
-        roots = components(links(known, distance)).select(F.col("node").alias("fp"), "root")
-    linked = known.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), distance)
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")

@@ -6,11 +6,10 @@ All but ``tokenize`` return exactly the columns of their input, extra columns in
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens.llm import bpe, golay, mixing, pii, toxicity
-from flowlens.llm.common import prepare
+from flowlens.llm.common import prepare, written
 from flowlens.llm.queries import tokenizer_path
 from flowlens.sources.tables import read_table
 
@@ -23,21 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id.
+    """One row of each group of near copies stays: the one with the smallest doc_id, of
+    several the one with the least text hash.
 
-    Rows that repeat a kept doc_id are copies too and go; a null doc_id cannot be told from
-    others and its row stays only if its group has no other id.
+    Rows are told apart by a number of their own, not by doc_id: a null doc_id comes after all
+    others and never makes rows copies, and an id with two texts is judged by each text.
     """
     prepare(spark)
-    found = golay.near_duplicates(docs.select("doc_id", "text"))
-    own = "_".join(["kept", *docs.columns])  # a name that no column has
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
-    # The join has laid rows out by id already; a repeated id keeps its first text by hash.
-    first = W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.xxhash64("text"))
-    once = kept.withColumn(own, F.row_number().over(first)).filter(F.col(own) == 1)
-    return once.drop(own)
+    own = "_".join(["row", *docs.columns])  # a name that no column has
+    # The numbers are stored with the rows, so that both readers see the same.
+    docs = written(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    numbered = docs.select("doc_id", "text", F.col(own).alias("row"), F.xxhash64("text").alias("hash"))
+    rows = written(golay.fingerprints(numbered, golay.SHINGLE, "row", "hash"), "fingerprints")
+    keep = golay.first_rows(rows).withColumnRenamed("row", own)
+    return docs.join(keep, own).drop(own)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

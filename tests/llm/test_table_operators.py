@@ -349,3 +349,15 @@ def test_pipeline_stages_on_awkward_rows(spark):
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
             assert name == "bpe" or docs.columns == columns
+
+
+def test_near_dedup_tells_rows_apart_without_ids(spark):
+    """Null ids and an id with two texts: only copies go, and the survivor is a row of its own group."""
+    from flowlens.llm import stages
+
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in ("one", "two", "six", "sun", "tea")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]),
+            (3, texts[3]), (5, texts[4]), (5, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(stages.drop_near_copies(spark, docs, ""), "doc_id", "text")
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (5, texts[4])], key=repr)
