@@ -8,9 +8,12 @@ the document's log likelihood shares the blame among its sentences.  An L1 penal
 (proximal step, weights stay at or above zero) leaves weight on features that mark toxic
 documents only.
 
-Training.  A sample of at most ``MAX_TRAIN`` labelled training rows (least md5 of the id, so
-the same rows on every run and layout) is the only data that reaches the driver: that
-parameter bounds the sample, the feature table and the fit.  The model (one float per kept feature) is broadcast.
+Training.  Features are chosen over all labelled training rows: Spark counts the distinct
+sentences of toxic and of clean documents that hold each feature, and only those that pass
+the screening reach the driver.  The gradient steps run on a sample of at most ``MAX_TRAIN``
+labelled training rows (least md5 of the id, so the same rows on every run and layout), of
+which workers hand over the chosen features' places in each sentence, no text.  The model
+(one float per kept feature) is broadcast.
 
 Scoring.  Every whole text is scored row by row; ``locate`` names the offending sentences.
 
@@ -25,22 +28,25 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_mod, doc_text, hash_sample, map_arrow
+from flowlens.llm.common import crc_mod, doc_text, hash_sample, map_arrow, written
 
-MAX_TRAIN = 3000
+MAX_TRAIN = 6000
 PREFIXES = (4, 5, 6, 7)
 SCREEN = 20.0  # see screened()
 GENERAL = 0.75  # share of a longer feature's log odds at which a prefix replaces it
 STEPS, RATE, L1 = 150, 0.1, 1e-3
 START_BIAS = -10.0  # and its upper bound: plain sentences must not add up in long texts
 WEIGHT_CACHE = 500_000
+FLUSH_FEATURES = 300_000
+ALL = ""  # stands for all sentences in the feature counts; no feature is empty
 # A sentence ends at a stop mark, line end or bar; words are runs of letters.
 SENTENCE = re.compile(r"[^.!?\n\r|]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -99,88 +105,127 @@ def _sigmoid(z: float) -> float:
     return float(1.0 / (1.0 + np.exp(-max(-60.0, min(60.0, z)))))
 
 
-def screened(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """(feature, toxic, clean): in how many distinct sentences of toxic and of clean documents
+    a feature occurs (copies count once); ``ALL`` counts them all.  ``rows``: (text, toxic)."""
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {(y, s) for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())
+                     for s in SENTENCE.findall(t.lower())}
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()),
+                                              pa.array([s for _, s in found], pa.string())], ["toxic", "sentence"])
+
+    def batch_of(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+        names = list(toxic.keys() | clean.keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[f] for f in names], pa.int64()) for c in (toxic, clean)]],
+                                          ["feature", "toxic", "clean"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in batches:
+            for sentence, y in zip(b.column("sentence").to_pylist(), b.column("toxic").to_pylist()):
+                held[1 - y].update({ALL, *[f for w in set(LETTERS.findall(sentence)) for f in features(w)]})
+            if len(held[0]) + len(held[1]) > FLUSH_FEATURES:  # bounds the worker's memory
+                yield batch_of(*held)
+                held = (Counter(), Counter())
+        yield batch_of(*held)
+
+    distinct = rows.select("text", "toxic").mapInArrow(sentences, "toxic int, sentence string").distinct()
+    return distinct.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def screened(counts: DataFrame, all_toxic: int, all_clean: int) -> DataFrame:
     """Features that sentences of toxic documents hold more often, by a likelihood-ratio (G squared) of at
-    least ``SCREEN``: the many that a small sample favours by chance are left out."""
+    least ``SCREEN``: the many that are favoured by chance are left out."""
 
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
 
-    share = all_toxic / (all_toxic + all_clean)
+    total = float(all_toxic + all_clean)
+    share = all_toxic / total
+    toxic, clean = F.col("toxic"), F.col("clean")
     n = toxic + clean
-    ratio = 2 * (part(toxic, n * share) + part(clean, n * (1 - share)) + part(all_toxic - toxic, (all_toxic + all_clean - n) * share)
-                 + part(all_clean - clean, (all_toxic + all_clean - n) * (1 - share)))
-    return (ratio >= SCREEN) & (toxic > n * share)
+    ratio = 2 * (part(toxic, n * share) + part(clean, n * (1 - share)) + part(all_toxic - toxic, (total - n) * share)
+                 + part(all_clean - clean, (total - n) * (1 - share)))
+    return counts.filter((F.col("feature") != ALL) & (toxic > n * share) & (ratio >= SCREEN))
+
+
+def chosen_features(counts: DataFrame) -> dict[str, float]:
+    """Log odds of the features that the model may weigh."""
+    every = counts.filter(F.col("feature") == ALL).first()
+    of_toxic, of_clean = (every["toxic"], every["clean"]) if every else (0, 0)
+    if not of_toxic:
+        return {}
+    odds = {r["feature"]: float(np.log((r["toxic"] + 0.5) / (of_toxic + 1)) - np.log((r["clean"] + 0.5) / (of_clean + 1)))
+            for r in screened(counts, of_toxic, of_clean).collect()}
+    # Of a word and its prefixes the shortest that is about as telling stands for all: it
+    # also covers forms that the training rows do not hold.
+    return {f: odds[f] for f in sorted(odds) if not any(
+        odds[p] >= GENERAL * odds[f] for p in features(f.rstrip("*"))[1:]
+        if p != f and len(p) <= len(f) and p in odds)}
+
 
+def places(sample: DataFrame, column: dict[str, int]) -> DataFrame:
+    """(toxic, plain, cols): of every text the number of sentences without a chosen feature,
+    and the columns of the chosen features in each of the others."""
+    shared = sample.sparkSession.sparkContext.broadcast(column)
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Fit on a bounded list of texts (see ``MAX_TRAIN``)."""
-    y = np.array(labels, bool)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column, plain, cols = shared.value, [], []
+        for text in batch.column("text").to_pylist():
+            of = [[column[f] for w in sorted(set(LETTERS.findall(s))) for f in features(w) if f in column]
+                  for s in SENTENCE.findall(text.lower())]
+            plain.append(sum(not c for c in of))
+            cols.append([c for c in of if c])
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(plain, pa.int32()),
+                                           pa.array(cols, pa.list_(pa.list_(pa.int32())))], ["toxic", "plain", "cols"])
+
+    return map_arrow(sample.select("text", F.col("toxic").cast("int").alias("toxic")), run,
+                     "toxic int, plain int, cols array<array<int>>")
+
+
+def fit(odds: dict[str, float], texts: list) -> Model:
+    """Fit the chosen features on a bounded list of rows of ``places`` (see ``MAX_TRAIN``)."""
+    y = np.array([r["toxic"] for r in texts], bool)
     if not y.any():
         return Model({}, -60.0, 0.0)
-    # First pass: in how many distinct sentences of toxic and of clean documents a feature
-    # occurs (copies count once).  Only counts are kept, so memory follows the vocabulary.
-    toxic_counts: Counter = Counter()
-    clean_counts: Counter = Counter()
-    seen: set[int] = set()
-    of_toxic = of_clean = 0
-    for text, bad in zip(texts, y):
-        for sentence in SENTENCE.findall(text.lower()):
-            if (mark := hash((bool(bad), sentence))) in seen:
-                continue
-            seen.add(mark)
-            of_toxic, of_clean = of_toxic + bool(bad), of_clean + (not bad)
-            found = {f for w in set(LETTERS.findall(sentence)) for f in features(w)}
-            (toxic_counts if bad else clean_counts).update(found)
-    # Without a toxic sentence a feature cannot pass the screening.
-    names = sorted(toxic_counts)
-    index = {f: i for i, f in enumerate(names)}
-    toxic_in = np.array([toxic_counts[f] for f in names], np.int64)
-    clean = np.array([clean_counts[f] for f in names], np.int64)
-    del toxic_counts, clean_counts, seen
-    odds = np.log((toxic_in + 0.5) / (of_toxic + 1)) - np.log((clean + 0.5) / (of_clean + 1))
-    strong = dict.fromkeys(np.flatnonzero(screened(toxic_in, clean, of_toxic, of_clean)).tolist())
-    # Of a word and its prefixes the shortest that is about as telling stands for all: it
-    # also covers forms that the sample does not hold.
-    kept = np.array([f for f in strong if not any(
-        odds[g] >= GENERAL * odds[f] for p in features(names[f].rstrip("*"))[1:]
-        if p != names[f] and len(p) <= len(names[f]) and (g := index.get(p)) in strong)], np.int64)
-    # Second pass: where the kept features occur.
-    column = {names[f]: i for i, f in enumerate(kept.tolist())}
-    rows, cols, sent_doc = array("i"), array("i"), array("i")
+    names = list(odds)
+    # Sentences: first those without a feature, one entry per text with their number.
+    rows, cols, sent_doc = array("i"), array("i"), array("i", range(len(texts)))
     for d, text in enumerate(texts):
-        for sentence in SENTENCE.findall(text.lower()):
-            for w in set(LETTERS.findall(sentence)):
-                for f in features(w):
-                    if f in column:
-                        rows.append(len(sent_doc))
-                        cols.append(column[f])
+        for found in text["cols"]:
+            rows.extend([len(sent_doc)] * len(found))
+            cols.extend(found)
             sent_doc.append(d)
     rows_a, cols_a, doc = (np.frombuffer(x, np.int32) if x else np.empty(0, np.int32) for x in (rows, cols, sent_doc))
+    times = np.ones(doc.size)
+    times[:len(texts)] = [r["plain"] for r in texts]
     # Start from the log odds of each feature by itself, so that words which always come
     # together all keep their share of the blame.
-    w = odds[kept].copy()
+    w = np.array([odds[f] for f in names])
     bias, leak = START_BIAS, -4.0
     # Adam steps on the mean negative log likelihood, then the L1 shrinkage of the weights.
-    m, v = np.zeros(kept.size + 2), np.zeros(kept.size + 2)
+    m, v = np.zeros(w.size + 2), np.zeros(w.size + 2)
     n_sent, n_doc = doc.size, y.size
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(rows_a, w[cols_a], n_sent) if n_sent else np.empty(0)
+        z = bias + np.bincount(rows_a, w[cols_a], n_sent)
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
         q = 1.0 / (1.0 + np.exp(-leak))
-        log_clean = np.log1p(-q) + np.bincount(doc, np.log1p(-p), n_doc)
+        log_clean = np.log1p(-q) + np.bincount(doc, times * np.log1p(-p), n_doc)
         toxic = np.maximum(-np.expm1(log_clean), 1e-9)
         # d(-log likelihood)/d z_j = p_j for clean documents, -p_j (1 - P) / P for toxic ones.
         factor = np.where(y, -(1.0 - toxic) / toxic, 1.0) / n_doc
-        gz = p * factor[doc]
-        g = np.concatenate([np.bincount(cols_a, gz[rows_a], kept.size), [gz.sum(), q * factor.sum()]])
+        gz = times * p * factor[doc]
+        g = np.concatenate([np.bincount(cols_a, gz[rows_a], w.size), [gz.sum(), q * factor.sum()]])
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-6)
         w -= move[:-2]
         w = np.maximum(w - RATE * L1, 0.0)
         bias, leak = min(bias - move[-2], START_BIAS), leak - move[-1]
-    weights = {names[kept[i]]: float(w[i]) for i in np.flatnonzero(w > 1e-3)}
+    weights = {names[i]: float(w[i]) for i in np.flatnonzero(w > 1e-3)}
     return Model(weights, float(bias), float(1.0 / (1.0 + np.exp(-leak))))
 
 
@@ -191,10 +236,12 @@ def train(docs: DataFrame, labels: DataFrame, where=None) -> Model:
     known = known.filter("toxic IN (0, 1)")
     if where is not None:
         known = known.filter(where)
+    labelled = rows.join(known, "doc_id")
+    odds = chosen_features(written(feature_counts(labelled), "toxic-features"))
     # Ids are chosen first (MAX_TRAIN rows of two numbers), so only the sample's texts move.
     chosen = hash_sample(known.join(rows.select("doc_id"), "doc_id"), MAX_TRAIN)
-    sample = hash_sample(rows.join(F.broadcast(chosen), "doc_id"), MAX_TRAIN).collect()
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    sample = hash_sample(rows.join(F.broadcast(chosen), "doc_id"), MAX_TRAIN)
+    return fit(odds, places(sample, {f: i for i, f in enumerate(odds)}).collect())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

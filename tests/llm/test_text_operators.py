@@ -98,6 +98,16 @@ def test_toxicity_score_is_noisy_or():
     assert model.score("", {}) == pytest.approx(0.01)
 
 
+def test_toxicity_learns_words_outside_the_sample(spark, monkeypatch):
+    """Features are screened over all labelled rows; the sample serves the gradient only."""
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 12)
+    rows = [(i, f"plain{i} talk. " + (f"you zorgle number{i}" if i % 6 == 0 else f"word{i} here"), int(i % 6 == 0))
+            for i in range(360)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any(f.startswith("zorg") for f in model.weights) and not any(f.startswith("plai") for f in model.weights)
+
+
 def test_toxicity_awkward(spark):
     df = awkward_docs(spark, extra=True)
     labels = spark.createDataFrame([(1, 0), (2, 0), (6, 1), (9, 0), (None, 1), (8, None), (77, 1), (100, 0)],
