@@ -5,7 +5,7 @@ import json
 from flowlens.__main__ import main
 from flowlens.session import scratch_path
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_cli_run_train_score(spark, capsys):

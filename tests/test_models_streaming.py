@@ -14,7 +14,7 @@ from flowlens.session import scratch_path
 from flowlens.sources import tables
 from flowlens.streaming import stream as ST
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 
 
 def test_forest_learns_separable_labels_and_probabilities_sum_to_one(spark):

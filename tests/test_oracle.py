@@ -10,7 +10,7 @@ from flowlens.functions.exprs import round_doubles
 from flowlens.plans import registry
 from flowlens.sources.tables import TABLES, table_path
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 registry.load_all()
 TWINNED = sorted(registry.ORACLE)

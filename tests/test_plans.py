@@ -8,7 +8,7 @@ import pytest
 
 from flowlens.plans import registry
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 registry.load_all()
 

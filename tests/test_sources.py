@@ -7,7 +7,7 @@ from flowlens.config import DatasetSpec
 from flowlens.session import scratch_path
 from flowlens.sources import readers, tables
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_missing_sources_and_csv_inference(spark):
