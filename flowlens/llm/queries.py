@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import bpe, golay, langid, mixing, mtree, ngram_lm, pii, simhash, toxicity, warc
+from flowlens.llm import bpe, fim, fmindex, golay, langid, mixing, mtree, ngram_lm, orchard, pii, simhash, toxicity, warc
 from flowlens.llm.common import prepare
 from flowlens.sources.tables import read_table
 
@@ -99,3 +99,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents."""
     return ngram_lm.query(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@query("op11_fill_in_middle", fim.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of every document, as digests of the output and of the text restored from it."""
+    return fim.query(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@query("op12_fm_decontamination", fmindex.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return fmindex.query(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+@query("op13_orchard_codes", orchard.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors under codebooks learned from them."""
+    return orchard.query(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
