@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import config as C
-from flowlens.operators.ranking import quantile_table
+from flowlens.operators.selection import quantile_table
 
 
 def decision_rule(df: DataFrame, anomaly_score: str, contamination: float = C.CONTAMINATION,

@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from flowlens import config as C
 from flowlens.functions.exprs import numeric_columns, quote, safe_div, string_columns
 from flowlens.operators.common import stored
-from flowlens.operators.ranking import quantiles_from_ranked, ranked_values
+from flowlens.operators.ranking import ranked_values
+from flowlens.operators.selection import quantile_table
 from flowlens.sources.sinks import read_report, write_report
 
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
@@ -60,9 +61,8 @@ class FeatureModel:
     def load(cls, spark: SparkSession, path: str) -> "FeatureModel":
         return cls(read_report(spark, path))
 
-    def transform(self, df: DataFrame, with_percentile: bool = True, ranked: DataFrame | None = None) -> DataFrame:
-        """Apply the fitted features.  ``ranked`` (the fit's rank table) may be passed when
-        ``df`` is the frame the model was fitted on, so FE3 does not rank it again."""
+    def transform(self, df: DataFrame, with_percentile: bool = True) -> DataFrame:
+        """Apply the fitted features; the percentile ranks (FE3) are those of ``df`` itself."""
         s = self.state
         types = {f.name: f.dataType for f in df.schema.fields}
         cols = [F.col(quote(c)) for c in df.columns]
@@ -109,44 +109,47 @@ class FeatureModel:
             cols.append(F.lit(value).cast("double").alias(name))
         out = df.select(*cols)
         if with_percentile and s["stat_columns"]:
-            out = percentile_ranks(out, s["stat_columns"], s.get("percentile_suffix", "_percentile"),
-                                   key=s.get("key"), ranked=ranked)
+            out = percentile_ranks(out, s["stat_columns"], s.get("percentile_suffix", "_percentile"), key=s.get("key"))
         return out
 
 
-def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile", key: str | None = None,
-                     ranked: DataFrame | None = None) -> DataFrame:
+RANK_ROW_BYTES = 64  # of a hashed (value, rank) pair, generously
+
+
+def percentile_ranks(df: DataFrame, cols: list[str], suffix: str = "_percentile", key: str | None = None) -> DataFrame:
     """FE3: rank(pct=True) with average ties over non-null values, one column per input.
 
-    One shuffle ranks all columns.  With ``key`` (a unique row key) all columns share one
-    long-format join on (column, value) and one regroup by key; without a key each column is
-    a join of its own.  No side is hinted: adaptive execution broadcasts by measured bytes
-    and splits skewed values.
+    One pass ranks the distinct values of all columns.  A column whose rank table stays below
+    ``spark.sql.autoBroadcastJoinThreshold`` (its rows are counted) is looked up by a broadcast
+    join; all others share, with ``key`` (a unique row key), one join on (column, value) and
+    one regroup by key; without a key each is a join of its own that Spark plans by size.
     """
-    if ranked is None:
-        ranked = ranked_values(df, cols, finite=False)
-    ranked = ranked.where(F.col("column").isin(cols)).select(
+    ranked = ranked_values(df, cols, finite=False).select(
         "column", "v", ((F.col("n_below") + (F.col("n") + 1) / 2.0) / F.col("n_total")).alias("pct"))
+    ranked = stored(ranked, "percentiles")
+    sizes = {r["column"]: r["n"] for r in ranked.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    small = [c for c in cols if sizes.get(c, 0) * RANK_ROW_BYTES <= limit]
+    large = [c for c in cols if c not in small]
 
     def value(c: str) -> Column:
         x = F.col(quote(c)).cast("double")
         return F.when(F.isnan(x), None).otherwise(x)
 
-    if key is not None:
+    out = df
+    for i, c in enumerate(small if key is not None else cols):
+        table = ranked.where(F.col("column") == c).select(F.col("v").alias(f"__v{i}"), F.col("pct").alias(f"{c}{suffix}"))
+        table = F.broadcast(table) if c in small else table
+        out = out.join(table, value(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+    if key is not None and large:
         long = df.select(F.col(quote(key)).alias("__key"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in cols])).alias("__e")).select(
+            F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in large])).alias("__e")).select(
             "__key", "__e.column", "__e.v")
         hit = long.join(ranked, ["column", "v"])
         wide = hit.groupBy("__key").agg(*[F.max(F.when(F.col("column") == c, F.col("pct"))).alias(f"{c}{suffix}")
-                                          for c in cols])
-        return df.join(wide, df[key] == wide["__key"], "left").drop("__key")
-    ranked = stored(ranked, "percentiles")  # read once per column
-    out = df
-    for c in cols:
-        table = ranked.where(F.col("column") == c).select(F.col("v").alias(f"__v_{c}"), F.col("pct").alias(f"{c}{suffix}"))
-        out = out.withColumn(f"__k_{c}", value(c)).join(
-            table, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left").drop(f"__k_{c}", f"__v_{c}")
-    return out
+                                          for c in large])
+        out = out.join(wide, F.col(quote(key)) == F.col("__key"), "left").drop("__key")
+    return out.select(*[F.col(quote(c)) for c in df.columns], *[F.col(quote(f"{c}{suffix}")) for c in cols])
 
 
 FAMILIES = ("statistical", "time", "flow", "entropy")
@@ -175,18 +178,13 @@ class FeatureEngineer:
         stat_cols = list(stat_cols) if "statistical" in self.families else []
         time_cols = [c for c in C.TIME_COLUMNS if c in df.columns] if "time" in self.families else []
         stats = {}
-        # One rank pass serves the quartiles of the statistical columns and the quintile
-        # edges of the time columns (timestamps ranked as epoch seconds).
+        # The quartiles of the statistical columns and the quintile edges of the time columns
+        # (timestamps as epoch seconds) share their scans.
         qcols = list(dict.fromkeys(stat_cols + time_cols))
         qdf = df.select(*[_num(c, types).alias(c) for c in qcols])
-        q: dict = {c: {} for c in qcols}
-        self.ranked = None
-        if qcols:
-            # The rank table serves the quantiles here and, on the same frame, FE3's ranks.
-            self.ranked = stored(ranked_values(qdf, qcols, finite=False), "ranks")
-            probs = sorted(set([0.25, 0.5, 0.75] + QUINTILE_PROBS))
-            for r in quantiles_from_ranked(self.ranked, probs).collect():
-                q[r["column"]][round(r["p"], 12)] = r["value"]
+        quartiles = [0.25, 0.5, 0.75]
+        q = quantile_table(qdf, qcols, {c: quartiles * (c in stat_cols) + QUINTILE_PROBS * (c in time_cols) for c in qcols},
+                           finite=False)
         if stat_cols:
             row = df.agg(*[F.avg(quote(c)).alias(f"m{i}") for i, c in enumerate(stat_cols)],
                          *[F.stddev_samp(quote(c)).alias(f"s{i}") for i, c in enumerate(stat_cols)]).first()
@@ -250,9 +248,7 @@ class FeatureEngineer:
 def create_advanced_features(df: DataFrame, exclude: list[str] = ("unified_label",),
                              key: str | None = None, **options) -> DataFrame:
     """All families, statistics fitted on the same frame (the batch helper's behaviour)."""
-    fe = FeatureEngineer(exclude, key=key, **options)
-    model = fe.fit(df)
-    return model.transform(df, ranked=fe.ranked)
+    return FeatureEngineer(exclude, key=key, **options).fit(df).transform(df)
 
 
 def one_hot(df: DataFrame, cols: list[str], categories: dict[str, list[str]] | None = None,

@@ -7,7 +7,7 @@ column expressions with the fitted values as literals, so it streams, stays insi
 whole-stage codegen, and never joins.
 
 Fitted from scratch:
-* numeric medians: exact, linear interpolation (``operators.ranking``), for *all*
+* numeric medians: exact, linear interpolation (``operators.selection``), for *all*
   numeric columns so that train and serve see the same imputer;
 * string modes: count per (column, value) then ``min_by(value, (-n, value))`` (ties to
   the smallest value), bounded memory per column;
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from flowlens import config as C
 from flowlens.functions.exprs import finite_or_null, numeric_columns, quote, string_columns
 from flowlens.operators.profile import long_strings
-from flowlens.operators.ranking import quantile_table
+from flowlens.operators.selection import quantile_table
 from flowlens.sources.sinks import read_report, write_report
 
 

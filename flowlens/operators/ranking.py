@@ -1,19 +1,18 @@
-"""Exact ranks and quantiles without a single-partition window.
+"""Exact ranks and running sums over distinct values without a single-partition window.
 
-Several operators need the cumulative distribution of a column: percentile rank (FE3),
-exact median / quartiles / quintile edges (PP1, FE2, FE5), ROC and PR running sums
-(EV5, EV7, EV8).  A global ``Window.orderBy`` would pull every row into one task.
-Instead:
+Several operators need the cumulative distribution of a column: percentile rank (FE3), ROC
+and PR running sums (EV5-EV8, DR6).  A global ``Window.orderBy`` would pull every row into one
+task.  Instead:
 
 1. aggregate to one row per distinct value (map-side partial aggregation; a value that
    holds a third of all rows becomes one row),
-2. cut the value range into ordered buckets whose bounds come from ``percentile_approx``
-   (a bounded array per key, 2**steps - 1 doubles),
-3. place every distinct value in its bucket with an O(steps) binary search,
-4. prefix-sum the per-bucket totals (a table of at most keys x 2**steps rows),
-5. finish with a running sum inside each (key, bucket) window partition.
+2. range-partition these rows by (key, value) and store them with the number of their
+   partition: partitions are consecutive slices of the order, and there are as many as
+   ``spark.sql.shuffle.partitions`` allows and the bytes ask for,
+3. add up each slice (a table of partitions and keys) and prefix-sum the slices,
+4. finish with a running sum inside each (key, partition).
 
-The result is exact; only the bucket balance depends on the sketch.
+The result is exact; no bound on the number of values or buckets is built in.
 """
 
 from __future__ import annotations
@@ -21,62 +20,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.exprs import binary_search_expr, finite_or_null, quote
+from flowlens.functions.exprs import finite_or_null, quote
 from flowlens.operators.common import stored
+from flowlens.operators.selection import not_nan, quantile_table
 
-DEFAULT_STEPS = 10          # 1023 bounds -> 1024 buckets per key
-SKETCH_ACCURACY = 10_000
+SLICE = "__slice"
 
 
-def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: list[str],
-                        steps: int = DEFAULT_STEPS, accuracy: int = SKETCH_ACCURACY,
-                        materialize: bool = True) -> DataFrame:
+def sliced(agg: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``agg`` in order of (keys, value), stored once with the number of its range partition."""
+    ranged = agg.repartitionByRange(*keys, value)
+    return stored(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
+
+
+def cumulative_by_value(agg: DataFrame, keys: list[str], value: str, measures: list[str]) -> DataFrame:
     """Add ``<m>_below`` (sum of m over smaller values of the same key) and ``<m>_total``.
 
-    ``agg`` must hold one row per (keys, value) with non-null values.  It is read by three
-    branches (sketch, bucket totals, final window), so by default it is written once to the
-    shared folder instead of being recomputed from the raw scan.  The plan is the same at
-    every size: a key's values always spread over 2**steps buckets.
+    ``agg`` must hold one row per (keys, value) with non-null values.
     """
-    if materialize:
-        agg = stored(agg, "distinct-values")
-    keys = list(keys)
-    tmp_key = None
-    if not keys:
-        tmp_key = "__all"
-        # Always 0, but not a literal: a join on literals would lose its key.
-        agg = agg.withColumn(tmp_key, F.pmod(F.xxhash64(value), F.lit(1)).cast("int"))
-        keys = [tmp_key]
-    n_bounds = 2 ** steps - 1
-    probs = [i / (n_bounds + 1) for i in range(1, n_bounds + 1)]
-    bounds = agg.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("__bounds"))
-    # One row of bounds per key: adaptive execution broadcasts it while it is small in bytes.
-    placed = (agg.join(bounds, keys)
-              .withColumn("__bk", binary_search_expr(F.col("__bounds"), F.col(value).cast("double"), steps))
-              .drop("__bounds"))
-    per_bucket = placed.groupBy(*keys, "__bk").agg(*[F.sum(m).alias(f"__bt_{m}") for m in measures])
-    before = Window.partitionBy(*keys).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    keys, rows = list(keys), sliced(agg, keys, value)
+    # One row per slice and key; the prefix sums of a key are over its slices only.
+    sums = rows.groupBy(*keys, SLICE).agg(*[F.sum(m).alias(f"__sum_{m}") for m in measures])
     whole = Window.partitionBy(*keys)
-    offsets = per_bucket.select(
-        *keys, "__bk",
-        *[F.coalesce(F.sum(f"__bt_{m}").over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
-        *[F.sum(f"__bt_{m}").over(whole).alias(f"{m}_total") for m in measures],
-    )
-    joined = placed.join(offsets, keys + ["__bk"])
-    local = Window.partitionBy(*keys, "__bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = joined.select(
-        *[c for c in agg.columns],
-        *[(F.col(f"__off_{m}") + F.coalesce(F.sum(m).over(local), F.lit(0))).alias(f"{m}_below")
-          for m in measures],
-        *[F.col(f"{m}_total") for m in measures],
-    )
-    return out.drop(tmp_key) if tmp_key else out
-
-
-def not_nan(c) -> "F.Column":
-    x = F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+    before = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(k).alias(f"__of_{k}") for k in keys], F.col(SLICE).alias("__of"),
+        *[F.coalesce(F.sum(f"__sum_{m}").over(before), F.lit(0)).alias(f"__off_{m}") for m in measures],
+        *[F.sum(f"__sum_{m}").over(whole).alias(f"{m}_total") for m in measures])
+    same = F.col(SLICE) == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    local = Window.partitionBy(*keys, SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(offsets, same).select(
+        *agg.columns,
+        *[(F.col(f"__off_{m}") + F.coalesce(F.sum(m).over(local), F.lit(0))).alias(f"{m}_below") for m in measures],
+        *[F.col(f"{m}_total") for m in measures])
 
 
 def value_counts_long(df: DataFrame, cols: list[str], finite: bool = True) -> DataFrame:
@@ -91,49 +69,14 @@ def value_counts_long(df: DataFrame, cols: list[str], finite: bool = True) -> Da
     return long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_values(df: DataFrame, cols: list[str], steps: int = DEFAULT_STEPS, finite: bool = True) -> DataFrame:
+def ranked_values(df: DataFrame, cols: list[str], finite: bool = True) -> DataFrame:
     """(column, v, n, n_below, n_total) for every distinct value of each column."""
-    return cumulative_by_value(value_counts_long(df, cols, finite), ["column"], "v", ["n"], steps=steps)
+    return cumulative_by_value(value_counts_long(df, cols, finite), ["column"], "v", ["n"])
 
 
-def quantiles_from_ranked(ranked: DataFrame, probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics (pandas default).
-
-    Returns (column, p, value); a column without finite values yields no rows.
-    """
-    pr = F.array(*[F.lit(float(p)) for p in probs])
-    last = F.col("n_total") - 1
-    lo_idx = F.col("n_below")
-    hi_idx = F.col("n_below") + F.col("n") - 1
-
-    def touches(p):
-        pos = p * last
-        return ((F.floor(pos) <= hi_idx) & (F.floor(pos) >= lo_idx)) | \
-               ((F.ceil(pos) <= hi_idx) & (F.ceil(pos) >= lo_idx))
-
-    hits = (ranked.where(F.exists(pr, touches))
-            .select("column", "v", "n_below", "n", "n_total", F.explode(pr).alias("p"))
-            .where(touches(F.col("p"))))
-    pos = F.col("p") * (F.col("n_total") - 1)
-    agg = hits.groupBy("column", "p").agg(
-        F.max(F.when((F.floor(pos) >= lo_idx) & (F.floor(pos) <= hi_idx), F.col("v"))).alias("v_lo"),
-        F.max(F.when((F.ceil(pos) >= lo_idx) & (F.ceil(pos) <= hi_idx), F.col("v"))).alias("v_hi"),
-        F.max(pos - F.floor(pos)).alias("frac"),
-    )
-    return agg.select("column", "p",
-                      (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
-
-
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], steps: int = DEFAULT_STEPS) -> DataFrame:
-    """(column, p, value) exact linear-interpolated quantiles of several columns at once."""
-    return quantiles_from_ranked(ranked_values(df, cols, steps), probs)
-
-
-def quantile_table(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, dict[float, float]]:
-    """Fit-time helper: collect the (small, #cols x #probs) quantile table to the driver."""
-    out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    if not cols:
-        return out
-    for r in exact_quantiles(df, cols, probs).collect():
-        out[r["column"]][round(r["p"], 12)] = r["value"]
-    return out
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """(column, p, value): exact linear-interpolated quantiles of several columns at once, as a
+    table of columns x probabilities; a column without finite values yields no rows."""
+    table = quantile_table(df, cols, probs)
+    rows = [(c, float(p), float(v)) for c in cols for p, v in table[c].items()]
+    return df.sparkSession.createDataFrame(rows, "column string, p double, value double")

@@ -174,14 +174,14 @@ def test_rank_machinery_with_a_hot_value_and_keys(spark):
     x = np.concatenate([np.full(3000, 42.0), rng.normal(40, 10, 6000)])
     pdf = pd.DataFrame({"x": x, "g": np.where(np.arange(9000) % 2 == 0, "a", "b")})
     df = spark.createDataFrame(pdf)
-    r = ranked_values(df, ["x"], steps=6).toPandas()
+    r = ranked_values(df, ["x"]).toPandas()
     pct = dict(zip(r.v, (r.n_below + (r.n + 1) / 2) / r.n_total))
     assert np.allclose(pdf["x"].map(pct), pdf["x"].rank(pct=True))
     q = {row.p: row.value for row in exact_quantiles(df, ["x"], [0.1, 0.5, 0.9]).collect()}
     for p in (0.1, 0.5, 0.9):
         assert abs(q[p] - pdf["x"].quantile(p)) < 1e-9
     agg = df.groupBy("g", "x").count()
-    cum = cumulative_by_value(agg, ["g"], "x", ["count"], steps=4).toPandas()
+    cum = cumulative_by_value(agg, ["g"], "x", ["count"]).toPandas()
     for g, part in cum.groupby("g"):
         part = part.sort_values("x")
         assert (part["count_below"].to_numpy() == np.concatenate([[0], np.cumsum(part["count"])[:-1]])).all()
@@ -192,10 +192,16 @@ def test_percentile_rank_long_join_equals_per_column_joins(spark):
     df = spark.createDataFrame(rows, "id int, a double, b double, c double")
     by_col = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"]).collect()}
     long = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"], key="id").collect()}
-    assert by_col.keys() == long.keys()
-    for i in by_col:
-        for c in ("a_percentile", "b_percentile", "c_percentile"):
-            assert by_col[i][c] == long[i][c]
+    # Beyond the broadcast threshold the columns share one join and one regroup by key.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 200)
+    try:
+        shuffled = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"], key="id").collect()}
+        each = {r.id: r for r in FE.percentile_ranks(df, ["a", "b", "c"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert by_col == long == shuffled == each
+    assert by_col[3]["b_percentile"] is not None and by_col[5]["b_percentile"] is None
 
 
 def test_full_feature_set_reuses_ranks_without_changing_them(spark):
