@@ -100,11 +100,9 @@ def hourly_traffic(df: DataFrame, flag_col: str = "is_attack", ts_col: str = "ts
 
 def type_distribution(df: DataFrame, type_col: str = "type") -> DataFrame:
     """AL7 / AG3: count and percentage per type, largest first."""
-    from flowlens.operators.common import with_total
+    from flowlens.operators.profile import distribution
 
-    out = with_total(df.groupBy(F.col(type_col).alias("type")).agg(F.count(F.lit(1)).alias("n")))
-    return (out.select("type", "n", (F.col("n") * 100.0 / F.col("total")).alias("percentage"))
-            .orderBy(F.col("n").desc(), F.col("type")))
+    return distribution(df.select(F.col(type_col).alias("type")), "type", "n", "percentage").orderBy(F.col("n").desc(), F.col("type"))
 
 
 def monitoring_report(scored: DataFrame, alert_df: DataFrame, flag_col: str = "is_attack", ts_col: str = "ts",

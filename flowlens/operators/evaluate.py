@@ -152,27 +152,46 @@ def top_counts(df: DataFrame, col: str, k: int = 5) -> DataFrame:
 
 def metric_row(df: DataFrame, y: str, p: str) -> DataFrame:
     """EV10 helper: accuracy and weighted precision / recall / F1 of one model, one row."""
-    from flowlens.operators.common import combine_rows
+    return metric_rows(df.select(F.lit("").alias("model"), F.col(y).alias("y"), F.col(p).alias("p"))).drop("model")
 
-    rep = class_report(confusion_matrix(df, y, p)).where(F.col("label") == "weighted avg")
-    return combine_rows(rep.select("precision", "recall", "f1"), accuracy(df, y, p))
+
+def metric_rows(long: DataFrame) -> DataFrame:
+    """(model, accuracy, precision, recall, f1) from (model, y, p) rows of any number of models.
+
+    One count of (model, y, p); all metrics follow from that class-sized table.  Averages are
+    weighted by support, zero division counts as 0.
+    """
+    counts = long.groupBy("model", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.sum(F.when(F.col("c") == F.col("other"), F.col("n")).otherwise(0))
+    # Each count serves its true class and its predicted class.
+    sides = counts.select("model", F.explode(F.array(
+        F.struct(F.col("y").alias("c"), F.col("p").alias("other"), F.col("n"), F.lit(True).alias("truth")),
+        F.struct(F.col("p").alias("c"), F.col("y").alias("other"), F.col("n"), F.lit(False).alias("truth")))).alias("s")).select("model", "s.*")
+    per = sides.where(F.col("c").isNotNull()).groupBy("model", "c").agg(
+        F.sum(F.when(F.col("truth"), F.col("n")).otherwise(0)).alias("support"),
+        F.sum(F.when(~F.col("truth"), F.col("n")).otherwise(0)).alias("predicted"), (hit / 2).alias("tp"))
+    prec = F.coalesce(safe_div(F.col("tp"), F.col("predicted")), F.lit(0.0))
+    rec = F.coalesce(safe_div(F.col("tp"), F.col("support")), F.lit(0.0))
+    per = per.select("model", "support", "tp", prec.alias("prec"), rec.alias("rec"))
+    f1 = F.coalesce(safe_div(2 * F.col("prec") * F.col("rec"), F.col("prec") + F.col("rec")), F.lit(0.0))
+    mean = lambda x: safe_div(F.sum(x * F.col("support")), F.sum("support"))
+    return per.groupBy("model").agg(
+        safe_div(F.sum("tp"), F.sum("support")).alias("accuracy"), mean(F.col("prec")).alias("precision"),
+        mean(F.col("rec")).alias("recall"), mean(f1).alias("f1"))
 
 
 def model_comparison(df: DataFrame, y: str, models: dict[str, tuple[str, str]]) -> DataFrame:
     """EV10: one row per model: accuracy, weighted precision / recall / F1 and AUC.
 
-    ``models`` maps name -> (prediction column, attack-probability column).
+    ``models`` maps name -> (prediction column, attack-probability column).  The rows are
+    unpivoted to (model, y, prediction, score) once: one count table gives the class metrics
+    and one keyed running sum the AUCs of all models.
     """
-    from flowlens.operators.common import combine_rows
-
-    rows = []
-    for name, (pcol, score) in models.items():
-        one = combine_rows(metric_row(df, y, pcol), auc(df, F.col(y) == 1, score))
-        rows.append(one.select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "auc"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col(y).alias("y"), F.col(p).alias("p"), F.col(s).cast("double").alias("s"))
+        for name, (p, s) in models.items()])).alias("r")).select("r.*")
+    areas = auc(long, F.col("y") == 1, "s", ["model"])
+    return metric_rows(long).join(areas, "model", "left").select("model", "accuracy", "precision", "recall", "f1", "auc")
 
 
 def score_histogram(df: DataFrame, score: str, cls: str, bins: int = 30) -> DataFrame:

@@ -21,39 +21,50 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens import config as C
 from flowlens.functions.exprs import finite_or_null, numeric_columns, quote, string_columns
 from flowlens.operators.profile import long_strings
+from flowlens.operators.ranking import cumulative_by_value
 from flowlens.operators.selection import quantile_table
 from flowlens.sources.sinks import read_report, write_report
 
 
-def string_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """PP2 + PP3 fit table: (column, n_distinct, mode) from one (column, value) count table.
+def _string_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    return (long_strings(df, cols).where(F.col("value").isNotNull())
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
-    Mode = most frequent value, ties to the smallest (``min_by`` keeps bounded state).
+
+def string_stats(df: DataFrame, cols: list[str], most: int | None = None) -> DataFrame:
+    """PP2 + PP3 fit table: (column, n_distinct, mode) from one (column, value) count table;
+    with ``most`` also ``values``, the first ``most`` + 1 values of each column in order.
+
+    Mode = most frequent value, ties to the smallest (``min_by`` keeps bounded state).  The
+    values are cut before they move (a group limit below the shuffle), so columns with any
+    number of values cost as little as others.
     """
-    counts = (long_strings(df, cols).where(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    return counts.groupBy("column").agg(
+    counts = _string_counts(df, cols)
+    stats = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_distinct"),
         F.min_by("value", F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))).alias("mode"))
+    if most is None:
+        return stats
+    first = counts.withColumn("__r", F.row_number().over(Window.partitionBy("column").orderBy("value")))
+    first = first.where(F.col("__r") <= most + 1).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    return stats.join(first, "column")
 
 
 def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """PP4 fit table: (column, value, code) with codes in lexicographic order per column.
 
-    Meant for columns within the cardinality limit (the preprocessor only encodes those);
-    each column's distinct values are ranked in one window partition.
+    A value's code is the number of smaller values of its column, a running sum over range
+    partitions: any number of values per column.
     """
-    from pyspark.sql import Window
-
-    pairs = long_strings(df, cols).where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return pairs.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    pairs = long_strings(df, cols).where(F.col("value").isNotNull()).distinct().withColumn("__one", F.lit(1))
+    return cumulative_by_value(pairs, ["column"], "value", ["__one"]).select(
+        "column", "value", F.col("__one_below").cast("int").alias("code"))
 
 
 class PreprocessorModel:
@@ -133,25 +144,14 @@ class Preprocessor:
         # PP2 / PP3 / PP4: one count table of (column, value) for all string columns.
         modes, categories, dropped, n_distinct = {}, {}, [], {}
         if strs:
-            stats = {r["column"]: (r["n_distinct"], r["mode"]) for r in string_stats(df, strs).collect()}
+            stats = {r["column"]: r for r in string_stats(df, strs, self.high_cardinality).collect()}
             for c in strs:
-                nd, mode = stats.get(c, (0, None))
-                n_distinct[c] = nd
-                if nd > self.high_cardinality:
+                n_distinct[c] = stats[c]["n_distinct"] if c in stats else 0
+                if n_distinct[c] > self.high_cardinality:
                     dropped.append(c)
                     continue
-                modes[c] = mode
-            kept = [c for c in strs if c not in dropped]
-            if kept:
-                # At most high_cardinality values per kept column: a bounded collect.
-                pairs = long_strings(df, kept).where(F.col("value").isNotNull()).distinct()
-                cats = pairs.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("cats")).collect()
-                found = {r["column"]: list(r["cats"]) for r in cats}
-                for c in kept:
-                    values = set(found.get(c, []))
-                    if modes.get(c) is None:
-                        values.add("nan")
-                    categories[c] = sorted(values)
+                modes[c] = stats[c]["mode"] if c in stats else None
+                categories[c] = sorted({*(stats[c]["values"] if c in stats else ()), *(["nan"] if modes[c] is None else [])})
         feature_order = [c for c in df.columns if c in set(nums) | set(categories)]
         state = {"medians": medians, "modes": {c: (m if m is not None else "nan") for c, m in modes.items()},
                  "categories": categories, "dropped": dropped, "n_distinct": n_distinct,

@@ -7,13 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.exprs import quote
-from flowlens.operators.common import with_total
+
+
+def distributions(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, n, total) of several columns by grouping sets: one scan, one shuffle.
+
+    The empty grouping set gives the total, which reaches the other rows as a scalar
+    subquery over the same exchange, so no task ever sees all values of a column.
+    """
+    sets = df.groupingSets([[F.col(quote(c))] for c in cols] + [[]], *[F.col(quote(c)) for c in cols])
+    found = sets.agg(F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__set"))
+    none = 2 ** len(cols) - 1  # all columns rolled up
+    total = found.where(F.col("__set") == none).select(F.col("__n")).scalar()
+    which, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        own = F.col("__set") == none - 2 ** (len(cols) - 1 - i)
+        which, value = F.when(own, c).otherwise(which), F.when(own, F.col(quote(c)).cast("string")).otherwise(value)
+    return found.where(F.col("__set") != none).select(
+        which.alias("column"), value.alias("value"), F.col("__n").alias("n"), total.alias("total"))
 
 
 def distribution(df: DataFrame, col: str, count_name: str = "n", pct_name: str = "pct") -> DataFrame:
-    """AG1 / AG2: count and percentage per value (the total comes from the tiny aggregate)."""
-    out = with_total(df.groupBy(col).agg(F.count(F.lit(1)).alias(count_name)), count_name, "__total")
-    return out.select(col, count_name, (F.col(count_name) * 100.0 / F.col("__total")).alias(pct_name))
+    """AG1 / AG2: count and percentage per value; the total is the empty grouping set's."""
+    found = df.groupingSets([[F.col(quote(col))], []], F.col(quote(col))).agg(
+        F.count(F.lit(1)).alias(count_name), F.grouping_id().alias("__set"))
+    total = found.where(F.col("__set") == 1).select(F.col(count_name)).scalar()
+    return found.where(F.col("__set") == 0).select(col, count_name, (F.col(count_name) * 100.0 / total).alias(pct_name))
 
 
 def value_counts_desc(df: DataFrame, col: str) -> DataFrame:

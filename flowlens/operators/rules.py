@@ -39,12 +39,34 @@ def port_scan_alerts(df: DataFrame, threshold: int = PORT_SCAN_PORTS, **kw) -> D
     return distinct_ports(df, **kw).where(F.col("n_ports") > threshold)
 
 
-def whitelist_filter(df: DataFrame, whitelist: DataFrame, key: str, max_rows: int = 1_000_000) -> DataFrame:
-    """DR4: drop rows whose key is whitelisted (anti join; the list is broadcast after a size check)."""
+def whitelist_filter(df: DataFrame, whitelist: DataFrame, key: str) -> DataFrame:
+    """DR4: drop rows whose key is in the first column of ``whitelist`` (anti join; Spark broadcasts
+    the list while it is small in bytes)."""
     wl = whitelist.select(F.col(whitelist.columns[0]).alias(key)).distinct()
     return df.join(wl, key, "left_anti")
 
 
+SKETCH_BITS = 12  # 4,096 registers: standard error 1.6 %
+
+
+def port_sketches(df: DataFrame, key: str = "src_ip", port: str = "dst_port", ts_col: str = "ts",
+                  window: str = "1 minute", bits: int = SKETCH_BITS) -> DataFrame:
+    """DR2 store: (window_start, key, sketch), a mergeable distinct-count state of at most some 2**bits
+    bytes per (key, window), whatever the traffic."""
+    w = F.window(F.col(ts_col).cast("timestamp"), window)
+    return df.groupBy(w.alias("w"), F.col(key)).agg(F.hll_sketch_agg(port, F.lit(bits)).alias("sketch")).select(
+        F.col("w.start").alias("window_start"), key, "sketch")
+
+
+def merged_ports(sketches: DataFrame, key: str = "src_ip", window: str = "1 day") -> DataFrame:
+    """DR2 roll-up: (window_start, key, n_ports) of longer windows from stored sketches alone; ports
+    seen in several short windows count once."""
+    w = F.window("window_start", window)
+    return sketches.groupBy(w.alias("w"), F.col(key)).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_ports")).select(
+        F.col("w.start").alias("window_start"), key, "n_ports")
+
+
 def tune_threshold(roc: DataFrame, target_fpr: float = 0.01) -> DataFrame:
     """DR6: the threshold with the highest TPR whose FPR stays within the target (ties: highest threshold)."""
     ok = roc.where(F.col("fpr") <= F.lit(target_fpr))
@@ -54,7 +76,8 @@ def tune_threshold(roc: DataFrame, target_fpr: float = 0.01) -> DataFrame:
 def baseline_deviation(df: DataFrame, key: str, value: str, normal_flag: str) -> DataFrame:
     """DR7: per-key mean / std of ``value`` over normal rows, joined back, z-score of every row.
 
-    The baseline table has one row per key; it is broadcast only after a size check.
+    The baseline has one row per key; Spark broadcasts it while it is small in bytes and splits
+    hot keys otherwise.  ``operators.baseline`` keeps it between runs.
     """
     base = df.where(F.col(normal_flag)).groupBy(key).agg(F.avg(value).alias("base_mean"),
                                                           F.stddev_samp(value).alias("base_std"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from flowlens.operators import scoring as S
 from flowlens.plans.registry import query
 from flowlens.sources import readers, tables
 from flowlens.sources.sinks import write_table
+from flowlens.sources.versioned import VersionedTable
 from flowlens.session import scratch_path
 
 KDD = C.default_datasets("/")["nsl_kdd_train"]
@@ -175,6 +178,31 @@ def al11_export(spark, sf_dir):
     return readers.read_any(spark, path, "csv", ALERT_SCHEMA)
 
 
+@query("AL11_clear_and_reset", ALERTS_SQL + """
+SELECT step, CASE WHEN step IN ('cleared') THEN 0 WHEN step IN ('exported') THEN (SELECT count(*) FROM alerts WHERE alert_id % 2 = 0)
+             ELSE (SELECT count(*) FROM alerts) END AS n_alerts, version
+FROM (VALUES ('exported', 1), ('appended', 2), ('after a failed write', 2), ('cleared', 3), ('before the reset', 2)) s(step, version)""")
+def al11_clear(spark, sf_dir):
+    """Export, append, a write that fails half way, clear, and the version from before the reset."""
+    alerts = alert_rows(spark, sf_dir)
+    table = VersionedTable(spark, scratch_path(spark, "alert-log"), alerts.schema)
+    even = F.col("alert_id") % 2 == 0
+    steps = [("exported", table.replace(alerts.where(even)))]
+    steps.append(("appended", table.append(alerts.where(~even))))
+    bad = F.when(F.col("alert_id") > 0, F.raise_error(F.lit("sink lost")).cast("string")).otherwise(F.col("type"))
+    try:
+        table.append(alerts.withColumn("type", bad))
+    except Exception as e:  # noqa: BLE001 - the failure is the point of this step
+        if "sink lost" not in str(e):
+            raise
+    steps.append(("after a failed write", table.versions()[-1]))
+    steps.append(("cleared", table.clear()))
+    steps.append(("before the reset", steps[1][1]))
+    counted = [table.read(v).agg(F.count(F.lit(1)).alias("n_alerts")).select(
+        F.lit(s).alias("step"), "n_alerts", F.lit(v).alias("version")) for s, v in steps]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query("AL12_run_summary", f"""WITH {SCORED_SQL},
 c AS (SELECT count(*) AS total, sum(CAST(is_attack AS int)) AS attack, count(DISTINCT attack_type) AS classes FROM scored)
 SELECT 'rows' AS key, cast(total AS varchar) AS value FROM c

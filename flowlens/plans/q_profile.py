@@ -42,6 +42,15 @@ def ag2(spark, sf_dir):
     return P.distribution(unified(spark, sf_dir), "source_dataset")
 
 
+@query("AG1_AG2_grouping_sets", UNIFIED_SQL + """
+SELECT 'unified_label' AS column, CAST(unified_label AS VARCHAR) AS value, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total
+FROM u GROUP BY unified_label
+UNION ALL SELECT 'source_dataset', source_dataset, count(*), CAST(sum(count(*)) OVER () AS BIGINT) FROM u GROUP BY source_dataset""")
+def ag1_ag2(spark, sf_dir):
+    """Labels, sources and the total of the unified set in one scan."""
+    return P.distributions(unified(spark, sf_dir), ["unified_label", "source_dataset"])
+
+
 @query("AG3_attack_type_distribution", f"""
 WITH t AS (
   SELECT {KDD_TYPE_SQL} AS attack_type FROM flows

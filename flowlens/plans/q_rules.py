@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from flowlens import config as C
 from flowlens.operators import evaluate as EV
+from flowlens.operators import baseline as B
 from flowlens.operators import rules as R
+from flowlens.operators.common import stored
 from flowlens.plans.q_labels import KDD_TYPE_SQL, LB1_SQL
 from flowlens.plans.registry import query
+from flowlens.session import scratch_path
 from flowlens.sources import tables
+from flowlens.sources.versioned import VersionedTable
 
 
 @query("DR1_rate_per_source", """
@@ -51,6 +55,18 @@ def dr2_daily(spark, sf_dir):
     return R.distinct_ports(tables.flows(spark, sf_dir), window="1 day")
 
 
+@query("DR2_distinct_ports_sketched", """
+SELECT dst_ip, count(DISTINCT dst_port) AS n_ports, true AS within_five_percent FROM flows GROUP BY 1""")
+def dr2_sketched(spark, sf_dir):
+    """Ports per destination of the whole period from stored minute sketches, against the exact count."""
+    f = tables.flows(spark, sf_dir).select("ts", "dst_ip", "dst_port")
+    minutes = stored(R.port_sketches(f, "dst_ip"), "port-sketches")
+    days = R.merged_ports(minutes, "dst_ip", "3650 days").groupBy("dst_ip").agg(F.max("n_ports").alias("estimate"))
+    exact = f.groupBy("dst_ip").agg(F.count_distinct("dst_port").alias("n_ports"))
+    near = F.abs(F.col("estimate") - F.col("n_ports")) <= 0.05 * F.col("n_ports")
+    return exact.join(days, "dst_ip").select("dst_ip", "n_ports", near.alias("within_five_percent"))
+
+
 @query("DR3_anomaly_score_alerts", "SELECT flow_id, p_a AS anomaly_score FROM scores WHERE p_a > 0.85")
 def dr3(spark, sf_dir):
     s = tables.scores(spark, sf_dir)
@@ -115,3 +131,42 @@ def dr7(spark, sf_dir):
     f = tables.flows(spark, sf_dir).select("flow_id", "service", "src_bytes",
                                            (binary_label("target", "normal") == 0).alias("is_normal"))
     return R.baseline_deviation(f, "service", "src_bytes", "is_normal")
+
+
+def grown_baseline(spark, sf_dir, runs=3):
+    """Normal traffic merged into a stored baseline run by run."""
+    from flowlens.functions.labels import binary_label
+
+    f = tables.flows(spark, sf_dir).where(binary_label("target", "normal") == 0).select("flow_id", "service", "src_bytes")
+    table = VersionedTable(spark, scratch_path(spark, "baseline"), B.baseline_schema(f.schema["service"]))
+    for i in range(runs):
+        B.update_baseline(table, f.where(F.col("flow_id") % runs == i), "service", "src_bytes")
+    return table
+
+
+@query("DR7_merged_baseline", f"""
+SELECT service, count(src_bytes) AS n, avg(src_bytes) AS mean, stddev_samp(src_bytes) AS std, 3 AS version
+FROM flows WHERE {LB1_SQL} = 0 GROUP BY 1""")
+def dr7_merged(spark, sf_dir):
+    """Three runs merged give the baseline of all rows."""
+    table = grown_baseline(spark, sf_dir)
+    return table.read().select("service", "n", "mean", F.sqrt(F.col("m2") / (F.col("n") - 1)).alias("std"),
+                               F.lit(table.versions()[-1]).alias("version"))
+
+
+@query("DR7_stream_deviation", f"""
+WITH b AS (SELECT service, avg(src_bytes) AS base_mean, stddev_samp(src_bytes) AS base_std FROM flows WHERE {LB1_SQL} = 0 GROUP BY 1)
+SELECT flow_id, service, src_bytes, base_mean, base_std, (src_bytes - base_mean) / nullif(base_std, 0) AS deviation
+FROM flows LEFT JOIN b USING (service) WHERE service <> 'view'""")
+def dr7_stream(spark, sf_dir):
+    """The flow stream against the stored baseline and whitelist, read anew by every micro-batch."""
+    from flowlens.streaming import stream as ST
+
+    table = grown_baseline(spark, sf_dir)
+    trusted = spark.createDataFrame([("view",)], "service string")
+    whitelist = VersionedTable(spark, scratch_path(spark, "whitelist"), trusted.schema)
+    whitelist.replace(trusted)
+    out, ck = scratch_path(spark, "dr7-out"), scratch_path(spark, "dr7-ck")
+    rows = tables.flows(spark, sf_dir, tables.event_stream(spark, sf_dir)).select("flow_id", "service", "src_bytes")
+    ST.run_available_now(rows, ck, batch_fn=B.live_deviation(table, "service", "src_bytes", ST.batch_writer(out), whitelist))
+    return spark.read.parquet(out).drop("batch_id")

@@ -12,6 +12,7 @@ from flowlens.plans.q_alerts import ALERTS_SQL, ATTACK_SQL, SCORED_SQL
 from flowlens.plans.registry import query
 from flowlens.session import scratch_path
 from flowlens.sources import tables
+from flowlens.streaming import state as STATE
 from flowlens.streaming import stream as ST
 
 def scorer(df):
@@ -120,3 +121,32 @@ def st1_equals_batch(spark, sf_dir):
     both = spark.read.parquet(out).select("flow_id", F.struct(*cols[1:]).alias("s")).join(batch, "flow_id", "full")
     return both.agg(F.count("*").alias("n_rows"),
                     F.sum((~F.col("s").eqNullSafe(F.col("b"))).cast("int")).cast("int").alias("mismatches"))
+
+
+FLUSH, NEWEST = 100, 20
+
+
+@query("ST3_flush_every_100", f"""
+WITH {SCORED_SQL},
+r AS (SELECT dst_ip, CAST(is_attack AS int) AS a, row_number() OVER (PARTITION BY dst_ip ORDER BY ts, flow_id) - 1 AS i FROM scored)
+SELECT dst_ip AS key, i // {FLUSH} + 1 AS flush, count(*) AS total, CAST(sum(a) AS BIGINT) AS attacks, true AS complete
+FROM r GROUP BY 1, 2 HAVING count(*) = {FLUSH}""")
+def st3_flush(spark, sf_dir):
+    """Statistics after every 100 packets of a destination, the counters reset each time."""
+    out, ck = scratch_path(spark, "st3f-out"), scratch_path(spark, "st3f-ck")
+    with STATE.rocksdb(spark):
+        ST.run_available_now(STATE.flush_counts(scored_stream(spark, sf_dir), "dst_ip", "flow_id", FLUSH, idle_ms=0), ck, out)
+    return spark.read.parquet(out)
+
+
+@query("ST2_newest_alerts", ALERTS_SQL + f"""
+SELECT source AS key, CAST(rank AS INTEGER) AS rank, alert_id AS id, type, confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts DESC, alert_id DESC) AS rank FROM alerts) WHERE rank <= {NEWEST}""")
+def st2_newest(spark, sf_dir):
+    """The newest alerts of every source, as state that the stream keeps (20 here, 1,000 by default)."""
+    out, ck = scratch_path(spark, "st2n-out"), scratch_path(spark, "st2n-ck")
+    alerts = ST.alert_stream(scored_stream(spark, sf_dir))
+    with STATE.rocksdb(spark):
+        ST.run_available_now(STATE.newest(alerts, "source", "alert_id", NEWEST), ck, mode="update", batch_fn=ST.batch_writer(out))
+    row = F.from_json("row", "type string, confidence double")
+    return STATE.current_lists(spark, out).withColumn("r", row).select("key", "rank", "id", "r.type", "r.confidence")
