@@ -8,19 +8,20 @@ the document's log likelihood shares the blame among its sentences.  An L1 penal
 (proximal step, weights stay at or above zero) leaves weight on features that mark toxic
 documents only.
 
-Training.  Features are chosen over all labelled training rows: Spark counts the distinct
-sentences of toxic and of clean documents that hold each feature, and only those that pass
-the screening reach the driver.  The gradient steps run on a sample of at most ``MAX_TRAIN``
-labelled training rows (least md5 of the id, so the same rows on every run and layout), of
-which workers hand over the chosen features' places in each sentence, no text.  The model
-(one float per kept feature) is broadcast.
+Training.  The classifier learns from a bounded sample: ``SCREEN_ROWS`` labelled training rows
+(least md5 of the id, so the same rows on every run and layout).  Ids are chosen before any
+text moves, so neither the shuffle nor the model grows with the table.  Spark counts the
+distinct sentences of the sample's toxic and clean documents that hold each feature, and only
+features that pass the screening reach the driver.  The gradient steps run on the first
+``MAX_TRAIN`` rows of the same order, of which workers hand over the chosen features' places
+in each sentence, no text.  The model (one float per kept feature) is broadcast.
 
 Scoring.  Every whole text is scored row by row; ``locate`` names the offending sentences.
 
 Results.  Scores are in [0, 1]; a null or empty text has no sentence and scores the leak.
 Labels that are null or not 0/1 are left out of training; without any toxic training row
-every score is 0.  Rows are independent, repeated rows score alike; labels that repeat for
-an id count as often as they occur.  An empty table gives no rows.
+every score is 0.  Rows are independent, repeated rows score alike; training takes equal
+rows of (id, text, label) once.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import crc_mod, doc_text, hash_sample, map_arrow, written
 
+SCREEN_ROWS = 20_000
 MAX_TRAIN = 6000
 PREFIXES = (4, 5, 6, 7)
 SCREEN = 20.0  # see screened()
@@ -229,19 +231,22 @@ def fit(odds: dict[str, float], texts: list) -> Model:
     return Model(weights, float(bias), float(1.0 / (1.0 + np.exp(-leak))))
 
 
-def train(docs: DataFrame, labels: DataFrame, where=None) -> Model:
-    """The model of the labelled rows of ``docs`` (``where``: a condition on doc_id)."""
+def train(docs: DataFrame, labels: DataFrame, where=None, screen_rows: int | None = None, max_train: int | None = None) -> Model:
+    """The model of at most ``screen_rows`` labelled rows of ``docs`` (``where``: a condition on doc_id)."""
+    screen_rows, max_train = screen_rows or SCREEN_ROWS, max_train or MAX_TRAIN
     rows = doc_text(docs) if where is None else doc_text(docs).filter(where)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("toxic IN (0, 1)")
     if where is not None:
         known = known.filter(where)
-    labelled = rows.join(known, "doc_id")
-    odds = chosen_features(written(feature_counts(labelled), "toxic-features"))
-    # Ids are chosen first (MAX_TRAIN rows of two numbers), so only the sample's texts move.
-    chosen = hash_sample(known.join(rows.select("doc_id"), "doc_id"), MAX_TRAIN)
-    sample = hash_sample(rows.join(F.broadcast(chosen), "doc_id"), MAX_TRAIN)
-    return fit(odds, places(sample, {f: i for i, f in enumerate(odds)}).collect())
+    # Rows are chosen by id and text hash, so only the sample's texts move, equal rows once.
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    chosen = written(hash_sample(rows.select("doc_id", "h").join(known, "doc_id").distinct(), screen_rows), "toxic-ids")
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text"))
+    sample = written(sample, "toxic-sample")
+    odds = chosen_features(written(feature_counts(sample), "toxic-features"))
+    steps = sample.join(F.broadcast(hash_sample(chosen, max_train)), ["doc_id", "h", "toxic"])
+    return fit(odds, places(steps, {f: i for i, f in enumerate(odds)}).collect())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

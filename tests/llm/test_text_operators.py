@@ -108,6 +108,30 @@ def test_toxicity_learns_words_outside_the_sample(spark, monkeypatch):
     assert any(f.startswith("zorg") for f in model.weights) and not any(f.startswith("plai") for f in model.weights)
 
 
+def test_toxicity_feature_counts_are_brute_force(spark):
+    rows = [("You loser! Fine day.", 1), ("You loser! Fine day.", 1), ("Fine day|loser", 0), ("", 0), ("losers' Überlosers", 1)]
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    want = collections.Counter()
+    for y, s in {(y, s) for t, y in rows for s in toxicity.SENTENCE.findall(t.lower())}:
+        for f in {toxicity.ALL, *[f for w in toxicity.LETTERS.findall(s) for f in toxicity.features(w)]}:
+            want[f, y] += 1
+    got = {r["feature"]: (r["toxic"], r["clean"]) for r in toxicity.feature_counts(df).collect()}
+    assert got == {f: (want[f, 1], want[f, 0]) for f, _ in want}
+
+
+def test_toxicity_sample_is_bounded_and_takes_equal_rows_once(spark, monkeypatch):
+    seen = []
+    count = toxicity.feature_counts
+    monkeypatch.setattr(toxicity, "feature_counts", lambda rows: seen.append(rows.count()) or count(rows))
+    rows = [(i, f"word{i} is fine. you awful{i % 2} loser!" if i % 4 == 0 else f"word{i} is fine.", int(i % 4 == 0)) for i in range(300)]
+    rows += [(5000, "one hot id.", 0)] * 400 + [(5001, f"hot id {i}.", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").distinct()
+    toxicity.train(df.select("doc_id", "text"), labels, None, 120, 60)
+    model = toxicity.train(df.select("doc_id", "text"), labels)
+    assert seen == [120, 501] and model.score("you awful loser", {}) > 0.5 > model.score("word7 is fine", {})
+
+
 def test_toxicity_awkward(spark):
     df = awkward_docs(spark, extra=True)
     labels = spark.createDataFrame([(1, 0), (2, 0), (6, 1), (9, 0), (None, 1), (8, None), (77, 1), (100, 0)],
