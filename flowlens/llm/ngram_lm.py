@@ -2,31 +2,30 @@
 
 Tokens.  A-Z lower-cased, words split at ASCII white space, one end token per text.
 
-Model.  Every word is a symbol of the automaton, every pair and triple of words within a text
-(which starts behind an end token) that occurs ``MIN_COUNT`` times or more in the training
-documents is an arc, every context of such an arc a state; nothing else is left out.  With
-absolute discounting P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | h'), an arc of h w weighs that
-and the failure arc of h leads to h without its first word at weight g(h); the root has
-an arc for every word, (c + 1) / (N + V + 1), so probabilities over all words and "any unseen
-word" sum to one.
-
-Tables.  Symbols and arcs are rows of a table in the shared folder, by a 64-bit key: XXH64 of
-a word, and key(h w) = key(h) * ``BASE`` + key(w), so two keys of billions of n-grams hardly
-ever agree.  Counts come from one grouped sum; the weights from joins of the arcs with the
-tables of their contexts and of the arcs that they replace.
-
-Scoring.  The automaton reads a text from left to right, follows failure arcs until it has an
-arc for the token, takes it and moves to the longest suffix that is a state.  Each arc's
-weight is held against the failure path it replaces (weights pushed towards the root): the
-state's failure weight is charged when the state is reached, and an arc gives back what
-the longer context gains over failing.  So a text's path weighs the sum of the weights of its
-n-grams, no matter in which order they are found, and texts fetch only those they hold: the
-``HEAD`` most frequent n-grams are broadcast, all others come through a join on the key of
-each text's distinct n-grams.  No n-gram of that join is frequent in training.
-
-In memory.  ``train``, ``Automaton`` and ``score`` are the same model as one automaton on the
-driver, over the ``classes`` most frequent words (others share an open class) and the
-``ngrams`` most frequent n-grams, for small training sets; no registered query uses them.
+Model.  Every word, and every pair and triple of words within a text (which starts behind an
+end token) that occurs ``MIN_COUNT`` times or more in the training documents, is an n-gram of
+the model; nothing else is left out.  States are the contexts that are followed by such an
+n-gram, arcs the n-grams.  With absolute discounting the arc of h w weighs
+P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | h'), the failure arc of h leads to h without its first
+word at weight g(h), the share that discounting frees; the root has an arc for every word,
+(c + 1) / (N + V + 1), so probabilities over all words and "any unseen word" sum to one.
+
+Scoring.  A text is read once from left to right.  The state is the longest suffix of what
+was read that has arcs.  Without an arc for the token the automaton follows failure arcs,
+adding their weights, until there is one; it adds the arc's weight and moves on.
+
+Tables.  N-grams go by a 64-bit key: a polynomial hash of a word's bytes, mixed, and
+key(h w) = key(h) * ``BASE`` + key(w), so two keys of billions of n-grams hardly ever agree.
+The key's bucket (its mixed top bits) decides where an n-gram is counted, stored and looked up;
+buckets are even whatever the text, and a word with a third of all tokens is one entry a
+task.  What moves between tasks are packed arrays of a bucket, not a row per n-gram.
+
+Rounds.  Counting goes through the texts ``COUNT_ROUNDS`` times, each for a slice of the
+buckets, so the shuffle holds a slice of the n-grams at a time.  Scoring goes
+through slices of the texts (``SCORE_ROUNDS``): texts come in chunks by hash; a chunk asks
+every bucket for its distinct n-grams, the answers (count and failure weight) come back to
+the chunk, whose texts are then traversed.  Every table is written to the shared folder and
+deleted when the next one stands; a lost executor costs the tasks that it ran.
 
 Results.  Null texts count as empty: one end token.  Without training text every count is
 zero and N = V = 0.  Repeated rows are scored as rows of their own; an empty table gives no
@@ -35,321 +34,138 @@ rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import LOWER, crc_mod, doc_text, utf8, written
+from flowlens.llm.common import LOWER, batch_rows, crc_mod, doc_text, dropped, utf8, written
 
-HEAD = 131_072
-CLASSES = 4096
-NGRAMS = 100_000
-ORDER = 3
 DISCOUNT = 0.75
 MIN_COUNT = 2
-FLUSH_WORDS = 400_000
-FLUSH_TOKENS = 2_000_000
-END = b"\n"  # no word holds white space
-END_CLASS, OPEN_CLASS, FIRST_CLASS = 0, 1, 2
+COUNT_ROUNDS = 4
+SCORE_ROUNDS = 8
+BUCKET_BYTES = 8_000_000     # of training text for each bucket of n-grams
+CHUNK_BYTES = 8_000_000      # of text whose n-grams are looked up together
+FLUSH_BYTES = 16_000_000     # of text counted together
+STRETCH = 1_000_000          # bytes hashed together
+TEXT_ROWS = 512              # texts of an Arrow batch
+PACKED_ROWS = 8              # packed rows of an Arrow batch
+HOT_ROWS = 1_000             # equal rows (id and text) beyond which they are scored once
 BASE = np.uint64(0x9E3779B97F4A7C15)
-END_KEY = xxhash.xxh64_intdigest(END)
-FLUSH_BYTES = 8_000_000
-NAMES = ["row", "key", "k", "doc_id", "n_tokens", "known", "logs", "lm"]
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
+BYTE_BASE = 0xD6E8FEB86659FD93
+MASK = (1 << 64) - 1
+WORD = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
+FOLD = np.frombuffer(LOWER, np.uint8)
+GRAMS = "bucket int, key binary, context binary, n binary"
+SCORED = "doc_id long, times long, n_tokens long, n_known long, base_score double, score double"
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose high bits depend on all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+END_KEY = mixed(np.array([1], np.uint64))[0]  # of no word: a word's key mixes its length and bytes
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    out = np.ones(1, np.uint64)
+    while out.size < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, out.size, 1 << 64))])
+    return out[:n]
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all tokens with an end token in front and behind every text, number of tokens of each
+    text, its end included)."""
+    data = FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    edges = np.flatnonzero(np.diff(np.r_[False, WORD[data], False].view(np.int8)))
+    starts, ends = edges[0::2], edges[1::2]
+    # A word's hash is the difference of two prefix sums, shifted back to the power zero.  Stretches of
+    # whole words are summed one after another, so the sums take no more memory than the keys.
+    keys, at = np.empty(starts.size, np.uint64), 0
+    up = down = np.ones(1, np.uint64)
+    while at < starts.size:
+        origin = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, origin + STRETCH, "right")))
+        size = int(ends[to - 1] - origin)
+        if up.size < size:
+            up, down = powers(size, BYTE_BASE), powers(size, pow(BYTE_BASE, -1, 1 << 64))
+        sums = np.r_[np.uint64(0), np.cumsum((data[origin:origin + size].astype(np.uint64) + np.uint64(1)) * up[:size])]
+        a, b = starts[at:to] - origin, ends[at:to] - origin
+        keys[at:to] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * BASE)
+        at = to
+    text_ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    before = np.searchsorted(starts, text_ends)  # words up to the end of each text
+    out = np.full(keys.size + len(texts) + 1, END_KEY, np.uint64)
+    out[1 + np.arange(keys.size) + np.searchsorted(text_ends, starts, "right")] = keys
+    return out, np.diff(np.r_[0, before]) + 1
+
+
+def gram_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the word, pair and triple that end at each token but the first; where a pair
+    would reach in front of its text's end token, or a triple over it, the key is 0."""
+    pairs = words[:-1] * BASE + words[1:]
+    triples = np.zeros_like(pairs)
+    triples[1:] = pairs[:-1] * BASE + words[2:]
+    triples[1:][words[1:-1] == END_KEY] = 0
+    return words[1:], pairs, triples
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows, the end token included."""
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mixed(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
-    def batch_of(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(held.values(), pa.int64())],
-                                          ["word", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for b in batches:
-            for text in utf8(b.column("text")):
-                held.update(words_of(text))
-            held[END] += b.num_rows
-            if len(held) > FLUSH_WORDS:  # bounds the worker's memory
-                yield batch_of(held)
-                held = Counter()
-        if held:
-            yield batch_of(held)
-
-    return doc_text(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Vocabulary:
-    """Totals, and the head's words and counts by falling count."""
-
-    tokens: int
-    types: int
-    words: list[bytes]
-    counts: np.ndarray
-    classes: int = CLASSES
-    index: dict[bytes, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.index = {w: i for i, w in enumerate(self.words)}
-        inside = [i for i, w in enumerate(self.words) if w != END][:self.classes]
-        self.class_of = np.full(len(self.words) + 1, OPEN_CLASS, np.int64)  # the last serves all other words
-        self.class_of[inside] = FIRST_CLASS + np.arange(len(inside))
-        self.class_counts = np.zeros(FIRST_CLASS + len(inside), np.int64)
-        self.class_counts[FIRST_CLASS:] = self.counts[inside]
-        if END in self.index:
-            self.class_of[self.index[END]] = END_CLASS
-            self.class_counts[END_CLASS] = self.counts[self.index[END]]
-        self.class_counts[OPEN_CLASS] = self.tokens - self.class_counts.sum()
-        self.open_types = self.types - len(inside) - (END in self.index)
-
-    def head_ids(self, words: list[bytes]) -> np.ndarray:
-        """Head positions, -1 for other words."""
-        get = self.index.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows whose n is at least the least threshold that leaves at most ``most`` rows.
-
-    Ties at the threshold stand or fall together, so the result is the same on every run and
-    only the chosen rows ever leave Spark.  The threshold is narrowed 64 values at a time.
-    """
-    low, high = 0, int(counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]) + 1
-    while high - low > 1:  # high leaves few enough rows, low (unless 0) too many
-        step = max(1, -(-(high - low) // 64))
-        cuts = list(range(low + step, high, step))
-        if not cuts:
-            break
-        sizes = counts.agg(*[F.count(F.when(F.col("n") >= c, 1)) for c in cuts]).first()
-        fits = [c for c, size in zip(cuts, sizes) if size <= most]
-        high, low = (fits[0] if fits else high), max([low, *[c for c, size in zip(cuts, sizes) if size > most]])
-    return counts.filter(F.col("n") >= high)
-
-
-def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Vocabulary:
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = sorted(frequent(counts, head).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    return Vocabulary(total["n"], total["v"], [bytes(r["word"]) for r in top],
-                      np.array([r["n"] for r in top], np.int64), classes)
-
-
-def count_ngrams(docs: DataFrame, vocab: Vocabulary, order: int, states: np.ndarray | None) -> DataFrame:
-    """(gram, n) of class n-grams, as numbers in base (classes); texts start behind an end
-    token.  ``states``: sorted codes of kept n-grams of the order below, both of which a
-    counted n-gram must contain."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, states))
-    base = vocab.class_counts.size
-
-    def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
-        ids = np.concatenate(parts)
-        code, ok = np.zeros(ids.size - order + 1, np.int64), np.ones(ids.size - order + 1, bool)
-        for k in range(order):
-            code = code * base + ids[k:k + code.size]
-            if 0 < k < order - 1:
-                ok &= ids[k:k + code.size] != END_CLASS  # an end token inside: two texts
-        if order > 2 and states is not None:
-            low, kept = base ** (order - 1), shared.value[1]
-            for part in (code // base, code % low):
-                at = np.searchsorted(kept, part)
-                at[at >= kept.size] = 0
-                ok &= (kept[at] == part) if kept.size else False
-        grams, n = np.unique(code[ok], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], ["gram", "n"])
+def summed(keys: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, with a context and the sum of n."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:keys.size])
+    total = np.add.reduceat(n[order], first) if first.size else np.empty(0, np.int64)
+    return keys[first], context[order[first]], total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value[0]
-        parts, size = [np.array([END_CLASS])], 1
-        for b in batches:
-            for text in utf8(b.column("text")):
-                ids = np.append(v.class_of[v.head_ids(words_of(text))], END_CLASS)
-                parts.append(ids)
-                size += ids.size
-            if size > FLUSH_TOKENS:
-                yield batch_of(parts)
-                parts, size = [np.array([END_CLASS])], 1
-        if size >= order:
-            yield batch_of(parts)
 
-    grams = doc_text(docs).select("text").mapInArrow(run, "gram long, n long")
-    return grams.groupBy("gram").agg(F.sum("n").alias("n"))
+def packed(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, the columns' bytes) of rows sorted by bucket."""
+    edges = np.flatnonzero(np.diff(np.r_[-1, bucket, -1]))
+    for a, b in zip(edges, edges[1:]):
+        yield int(bucket[a]), [c[a:b].tobytes() for c in columns]
 
 
-def kept_ngrams(counts: DataFrame, most: int = NGRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (sorted) and counts of the most frequent n-grams."""
-    rows = frequent(written(counts.filter(F.col("n") >= MIN_COUNT), "ngrams"), most).collect()
-    codes = np.array([r["gram"] for r in rows], np.int64)
-    order = np.argsort(codes)
-    return codes[order], np.array([r["n"] for r in rows], np.int64)[order]
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, kind) if data else np.empty(0, kind)
 
 
-class Automaton:
-    """States are contexts (tuples of classes); arcs carry log10 weights.
+def batch_of(rows: list[tuple[int, list[bytes]]], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32()] + [pa.binary()] * (len(names) - 1)
+    columns = list(zip(*[(b, *c) for b, c in rows])) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    ``arcs[state * alphabet + class]`` is (next state, weight); ``failure[state]`` is (state
-    of the longest shorter suffix, weight).  State 0 is the root, with an arc per class.
-    """
 
-    def __init__(self, class_counts: np.ndarray, ngrams: list[tuple[np.ndarray, np.ndarray]]):
-        size = self.alphabet = class_counts.size
-        counts: dict[tuple[int, ...], int] = {(w,): int(n) for w, n in enumerate(class_counts)}
-        follows: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for order, (codes, n) in enumerate(ngrams, 2):
-            for code, c in zip(codes.tolist(), n.tolist()):
-                gram = tuple(code // size ** k % size for k in reversed(range(order)))
-                counts[gram] = c
-                follows.setdefault(gram[:-1], []).append((gram[-1], c))
-        states = {(): 0}
-        for context in sorted(follows, key=lambda h: (len(h), h)):
-            if counts.get(context, 0) > 0:
-                states[context] = len(states)
-        suffix = lambda h: next(states[h[i:]] for i in range(len(h) + 1) if h[i:] in states)
-        total = float(class_counts.sum()) + size
-        p = (class_counts + 1) / total
-        probability: dict[tuple[int, ...], float] = {(w,): float(p[w]) for w in range(size)}
-        self.arcs = {w: (suffix((w,)), float(np.log10(p[w]))) for w in range(size)}
-        self.failure: list[tuple[int, float]] = [(0, 0.0)] * len(states)
-
-        left: dict[tuple[int, ...], float] = {}
-
-        def given(context: tuple[int, ...], w: int) -> float:
-            """P(w | context), backing off where there is no arc."""
-            weight = 1.0
-            while (known := probability.get((*context, w))) is None:
-                weight *= left.get(context, 1.0)
-                context = context[1:]
-            return weight * known
-
-        for context, state in states.items():  # shorter contexts come first
-            if not context:
-                continue
-            seen = counts[context]
-            taken = sum(c - DISCOUNT for _, c in follows[context]) / seen
-            left[context] = max(1.0 - taken, 1e-12)
-            for w, c in follows[context]:
-                x = (c - DISCOUNT) / seen + left[context] * given(context[1:], w)
-                probability[(*context, w)] = x
-                self.arcs[state * size + w] = (suffix((*context, w)), float(np.log10(x)))
-            self.failure[state] = (suffix(context[1:]), float(np.log10(left[context])))
-        self.start = suffix((END_CLASS,))
-
-    def score(self, classes: list[int]) -> float:
-        """log10 probability of a token sequence that ends with the end token."""
-        arcs, failure, size = self.arcs.get, self.failure, self.alphabet
-        state, total = self.start, 0.0
-        for w in classes:
-            arc = arcs(state * size + w)
-            while arc is None:
-                state, weight = failure[state]
-                total += weight
-                arc = arcs(state * size + w)
-            state = arc[0]
-            total += arc[1]
-        return total
-
-
-def train(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, ngrams: int = NGRAMS,
-          order: int = ORDER) -> tuple[DataFrame, Vocabulary, Automaton]:
-    """(word counts in the shared folder, vocabulary, automaton) of all rows of ``docs``."""
-    counts = written(count_words(docs), "word-counts")
-    vocab = vocabulary(counts, head, classes)
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in range(2, order + 1):
-        kept.append(kept_ngrams(count_ngrams(docs, vocab, n, kept[-1][0] if kept else None), ngrams))
-    return counts, vocab, Automaton(vocab.class_counts, kept)
-
-
-def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, automaton: Automaton) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, automaton))
-    n, v = vocab.tokens, vocab.types
-    base_cost = float(np.log10(n + v + 1))
-    open_cost = float(np.log10(vocab.class_counts[OPEN_CLASS] + vocab.open_types + 1))
-    schema = ("doc_id long, n_tokens long, known long, logs double, lm double, open_logs double, "
-              "n_open long, others array<binary>")
+def count_grams(docs: DataFrame, buckets: int, part: int, rounds: int) -> DataFrame:
+    """Packed (bucket, key, context, n) of the n-grams whose bucket modulo ``rounds`` is ``part``: all words
+    (context 0), and the pairs and triples that occur ``MIN_COUNT`` times."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, automaton = shared.value
-        logs = np.append(np.log10(vocab.counts + 1.0), 0.0)
-        for b in batches:
-            rows = []
-            for text in utf8(b.column("text")):
-                words = words_of(text)
-                words.append(END)
-                ids = vocab.head_ids(words)
-                classes = vocab.class_of[ids]
-                classes[-1] = END_CLASS  # also where nothing was learned
-                open_ids = ids[(classes == OPEN_CLASS) & (ids >= 0)]
-                others = [words[i] for i in np.flatnonzero(ids[:-1] < 0)]
-                rows.append((len(words), int((ids >= 0).sum()), float(logs[ids].sum()),
-                             automaton.score(classes.tolist()), float(logs[open_ids].sum()),
-                             int((classes == OPEN_CLASS).sum()), others))
-            columns = list(zip(*rows))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                ["doc_id", "n_tokens", "known", "logs", "lm", "open_logs", "n_open", "others"])
-
-    rows = doc_text(docs).mapInArrow(run, schema)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    # Counts of words outside the head, for the documents that hold them.
-    others = rows.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    found = (others.join(counts, "word").groupBy("row")
-             .agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_logs")))
-    out = rows.drop("others").join(found, "row", "left")
-    more = F.coalesce("more_logs", F.lit(0.0))
-    return out.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * base_cost).alias("base_score"),
-        (F.col("lm") + F.col("open_logs") + more - F.col("n_open") * open_cost).alias("score"))
-
-
-def word_keys(texts: list[bytes]) -> np.ndarray:
-    """Keys of all tokens, an end token in front and behind every text."""
-    keys = [END_KEY]
-    for text in texts:
-        keys.extend(map(xxhash.xxh64_intdigest, words_of(text)))
-        keys.append(END_KEY)
-    return np.array(keys, np.uint64)
-
-
-def gram_keys(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(key, position of the last token) of all words, pairs and triples; the first end
-    token counts as context only and no n-gram has an end token inside."""
-    end, at = np.uint64(END_KEY), np.arange(1, words.size)
-    pairs = words[:-1] * BASE + words[1:]
-    inside = at[1:][words[1:-1] != end]
-    return [(words[1:], at), (pairs, at), (pairs[inside - 2] * BASE + words[inside], inside)]
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(size, key, context, low, n) of all words and of the pairs and triples that occur
-    ``MIN_COUNT`` times; context and low are the keys without the last and first word."""
-
-    def batch_of(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words = word_keys(texts)
+    def counted(texts: list[bytes]) -> pa.RecordBatch:
+        words, _ = word_keys(texts)
         grams = gram_keys(words)
-        for size, (keys, at) in enumerate(grams, 1):
-            found, first, n = np.unique(keys, return_index=True, return_counts=True)
-            last = at[first]
-            context, low = np.zeros_like(found), np.zeros_like(found)
-            if size > 1:  # pairs stand at the position of their last word less one
-                context = words[last - 1] if size == 2 else grams[1][0][last - 2]
-                low = words[last] if size == 2 else grams[1][0][last - 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(found.size, size, np.int32)), *[pa.array(x.view(np.int64)) for x in (found, context, low)],
-                 pa.array(n.astype(np.int64))], ["size", "key", "context", "low", "n"])
+        contexts = (np.zeros_like(grams[0]), words[:-1], np.r_[np.uint64(0), grams[1][:-1]])
+        found = []
+        for keys, context in zip(grams, contexts):
+            mine = (bucket_of(keys, buckets) % rounds == part) & (keys != 0)
+            found.append(summed(keys[mine], context[mine], np.ones(int(mine.sum()), np.int64)))
+        keys, context, n = (np.concatenate(c) for c in zip(*found))
+        bucket = bucket_of(keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows = list(packed(bucket[order], keys[order], context[order], n[order].astype(np.uint32)))
+        return batch_of(rows, ["bucket", "key", "context", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, size = [], 0
@@ -358,105 +174,204 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 texts.append(text)
                 size += len(text)
                 if size > FLUSH_BYTES:  # bounds the worker's memory
-                    yield from batch_of(texts)
+                    yield counted(texts)
                     texts, size = [], 0
         if texts:
-            yield from batch_of(texts)
-
-    by = ["size", "key", "context", "low"]
-    grams = doc_text(docs).select("text").mapInArrow(run, "size int, key long, context long, low long, n long")
-    return grams.groupBy(*by).agg(F.sum("n").alias("n")).filter((F.col("size") == 1) | (F.col("n") >= MIN_COUNT))
-
-
-def weigh(grams: DataFrame) -> tuple[DataFrame, int, int]:
-    """((key, n, known, log, weight), N, V): what an n-gram adds to the score of a text for
-    each time it occurs, ``log`` and ``known`` for words only."""
-    total = grams.filter("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens, types = int(total[0]), int(total[1])
-
-    def states(known: DataFrame, size: int) -> DataFrame:
-        """``known`` (key, n, p, gain) and left: the weight of failing, 1 without arcs."""
-        arcs = grams.filter(F.col("size") == size + 1).groupBy(F.col("context").alias("key")).agg(
-            F.sum(F.col("n") - DISCOUNT).alias("taken"))
-        left = F.coalesce(F.greatest(1.0 - F.col("taken") / F.col("n"), F.lit(1e-12)), F.lit(1.0))
-        left = F.when(F.col("taken").isNull(), 1.0).otherwise(left)
-        return known.join(arcs, "key", "left").select("key", "n", "p", "gain", left.alias("left"))
-
-    def arcs(size: int, lower: DataFrame) -> DataFrame:
-        """(key, n, p, gain) of the arcs of that many words; gain is over failing."""
-        context = lower.select(F.col("key").alias("context"), F.col("n").alias("seen"), "left")
-        low = lower.select(F.col("key").alias("low"), F.col("p").alias("p_low"))
-        own = grams.filter(F.col("size") == size).join(context, "context").join(low, "low")
-        failing = F.col("left") * F.col("p_low")
-        p = (F.col("n") - DISCOUNT) / F.col("seen") + failing
-        return own.select("key", "n", p.alias("p"), (F.log10(p) - F.log10(failing)).alias("gain"))
-
-    words = grams.filter("size = 1").select(
-        "key", "n", ((F.col("n") + 1.0) / (tokens + types + 1.0)).alias("p"), F.lit(0.0).alias("gain"))
-    words = written(states(words, 1), "lm-words")
-    pairs = written(states(arcs(2, words), 2), "lm-pairs")
-    triples = arcs(3, pairs)
-    weight = F.col("gain") + F.log10("left")
-    table = (words.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("log"), weight.alias("weight"))
-             .unionByName(pairs.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("log"), weight.alias("weight")))
-             .unionByName(triples.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("log"),
-                                         F.col("gain").alias("weight"))))
-    return written(table, "lm-weights"), tokens, types
-
-
-def score_all(docs: DataFrame, weights: DataFrame, tokens: int, types: int, head: int = HEAD) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    top = np.array(frequent(weights, head).select("key", "known", "log", "weight").collect(),
-                   [("key", "<i8"), ("known", "<i8"), ("log", "<f8"), ("weight", "<f8")])
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(top, order="key"))
-    schema = "row long, key long, k long, doc_id long, n_tokens long, known long, logs double, lm double"
+            yield counted(texts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = shared.value
+    def merged(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, context, n = summed(unpacked(rows["key"], np.uint64), unpacked(rows["context"], np.uint64),
+                                  unpacked(rows["n"], np.uint32).astype(np.int64))
+        kept = (n >= MIN_COUNT) | (context == 0)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "key": pa.array([keys[kept].tobytes()]),
+                         "context": pa.array([context[kept].tobytes()]), "n": pa.array([n[kept].tobytes()])})
+
+    return doc_text(docs).select("text").mapInArrow(run, GRAMS).groupBy("bucket").applyInArrow(merged, GRAMS)
+
+
+def build(docs: DataFrame, rounds: int = COUNT_ROUNDS) -> tuple[DataFrame, int, int, int]:
+    """(packed arcs, number of buckets, N, V) learned from all rows of ``docs``.
+
+    Arcs are (bucket, key, n, left): the n-grams with their counts and, for those that are
+    contexts, the weight of failing (1 for others), keys in order.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = rounds * max(2, -(-size // (BUCKET_BYTES * rounds)))
+    with batch_rows(spark, TEXT_ROWS):
+        parts = [written(count_grams(docs, buckets, r, rounds), "lm-grams") for r in range(rounds)]
+    grams = parts[0]
+    for p in parts[1:]:
+        grams = grams.unionByName(p)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            words = word_keys(utf8(b.column("text")))
-            grams = gram_keys(words)
-            # The text of each position: end tokens close texts.
-            text = np.cumsum(words == np.uint64(END_KEY)) - 1
-            text[words == np.uint64(END_KEY)] -= 1
-            keys = np.concatenate([k for k, _ in grams]).view(np.int64)
-            of = np.concatenate([text[at] for _, at in grams])
-            at = np.searchsorted(top["key"], keys)
-            at[at == top.size] = 0
-            hit = top["key"][at] == keys if top.size else np.zeros(keys.size, bool)
-            sums = [np.bincount(of[hit], top[c][at[hit]], b.num_rows) for c in ("known", "log", "weight")]
-            # One row for each text (k = 0) and one for each of its n-grams outside the head.
-            row = np.asarray(b.column("row"))
-            n_tokens = np.bincount(text[1:], minlength=b.num_rows)
-            none = np.zeros(b.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(row), pa.array(none), b.column("doc_id"), pa.array(n_tokens),
-                 pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], NAMES)
-            keys, of = keys[~hit], of[~hit]
-            order = np.lexsort((keys, of))
-            keys, of = keys[order], of[order]
-            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])][:keys.size])
-            k = np.diff(np.r_[first, keys.size])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[of[first]]), pa.array(keys[first]), pa.array(k.astype(np.int64)),
-                 *[pa.nulls(first.size, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], NAMES)
-
-    rows = doc_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
-    more = weights.select("key", F.col("known").alias("is_known"), "log", "weight")
-    found = rows.join(more, "key", "left").filter("k = 0 OR weight IS NOT NULL")
-    total = lambda own, each: F.sum(F.coalesce(own, F.lit(0)) + F.col("k") * F.coalesce(each, F.lit(0)))
-    out = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), total("known", "is_known").alias("n_known"),
-        total("logs", "log").alias("logs"), total("lm", "weight").alias("lm"))
-    base = F.col("logs") - F.col("n_tokens") * float(np.log10(tokens + types + 1))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
-                      base.alias("base_score"), (base + F.col("lm")).alias("score"))
+            for context, n in zip(b.column("context").to_pylist(), b.column("n").to_pylist()):
+                own = np.frombuffer(n, np.int64)[np.frombuffer(context, np.uint64) == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([int(own.sum())]), pa.array([own.size])], ["n", "v"])
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the arcs of a context take of its count, to the context's bucket."""
+        for b in batches:
+            for context, n in zip(b.column("context").to_pylist(), b.column("n").to_pylist()):
+                context, n = np.frombuffer(context, np.uint64), np.frombuffer(n, np.int64)
+                arcs = context != 0
+                keys, _, total = summed(context[arcs], context[arcs], np.round((n[arcs] - DISCOUNT) * 4).astype(np.int64))
+                bucket = bucket_of(keys, buckets)
+                order = np.argsort(bucket, kind="stable")
+                yield batch_of(list(packed(bucket[order], keys[order], total[order])), ["bucket", "key", "quarters"])
+
+    def joined(key: tuple, grams: pa.Table, taken: pa.Table) -> pa.Table:
+        keys, n = unpacked(grams["key"], np.uint64), unpacked(grams["n"], np.int64)
+        of, _, quarters = summed(*(unpacked(taken["key"], np.uint64),) * 2, unpacked(taken["quarters"], np.int64))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        left = np.ones(keys.size, np.float32)
+        at, found = lookup(keys, of)
+        # Below 1 for every context, so that a state shows by its weight.
+        left[at[found]] = np.clip(1.0 - quarters[found] / 4.0 / n[at[found]], 1e-7, 1.0 - 1e-7)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "key": pa.array([keys.tobytes()]),
+                         "n": pa.array([n.tobytes()]), "left": pa.array([left.tobytes()])})
+
+    with batch_rows(spark, PACKED_ROWS):
+        total = grams.select("context", "n").mapInArrow(totals, "n long, v long").agg(
+            F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        shares = grams.select("context", "n").mapInArrow(taken, "bucket int, key binary, quarters binary")
+        arcs = written(grams.select("bucket", "key", "n").groupBy("bucket").cogroup(shares.groupBy("bucket")).applyInArrow(
+            joined, "bucket int, key binary, n binary, left binary"), "lm-arcs")
+    dropped(*parts)
+    return arcs, buckets, int(total[0]), int(total[1])
+
+
+def lookup(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted ``keys``, whether they hold what was asked)."""
+    at = np.searchsorted(keys, asked)
+    at[at == keys.size] = 0
+    return at, (keys[at] == asked) if keys.size else np.zeros(asked.size, bool)
+
+
+def traverse(words: np.ndarray, sizes: np.ndarray, known: np.ndarray, counts: np.ndarray, left: np.ndarray,
+             tokens: int, types: int) -> list[tuple[int, int, float, float]]:
+    """(tokens, known tokens, base score, score) of every text, read from left to right.
+
+    ``known`` are sorted keys of n-grams with their counts and failure weights.
+    """
+    n, weight = [], []   # of the n-grams of 1, 2, 3 words that end at each token
+    for keys in gram_keys(words):
+        at, found = lookup(known, keys)
+        found &= keys != 0
+        n.append(np.where(found, counts[at], 0) if known.size else np.zeros(keys.size, np.int64))
+        weight.append(np.where(found, left[at], 1.0).astype(np.float64) if known.size else np.ones(keys.size))
+    end_at, end_known = lookup(known, np.array([END_KEY], np.uint64))
+    end_n = int(counts[end_at[0]]) if end_known[0] else 0
+    end_left = float(left[end_at[0]]) if end_known[0] else 1.0
+    # The context of a token's pair is the token before it, that of its triple the pair before it.
+    n1, left1 = np.r_[end_n, n[0][:-1]], np.r_[end_left, weight[0][:-1]]
+    n2, left2 = np.r_[0, n[1][:-1]], np.r_[1.0, weight[1][:-1]]
+    p1 = (n[0] + 1.0) / (tokens + types + 1.0)
+    arc2, arc3 = n[1] > 0, n[2] > 0
+    p2 = np.where(arc2, (n[1] - DISCOUNT) / np.maximum(n1, 1) + left1 * p1, 0.0)
+    # Below a triple's arc stands the pair's, or the failure arc of the pair's context.
+    low = np.where(arc2, p2, left1 * p1)
+    p3 = np.where(arc3, (n[2] - DISCOUNT) / np.maximum(n2, 1) + left2 * low, 0.0)
+    log = lambda p: np.log10(np.maximum(p, 1e-300))
+    base = np.log10(n[0] + 1.0) - np.log10(tokens + types + 1.0)
+    # States: 2 if the pair that ends here has arcs, else 1 if the word has, else the root.
+    state_of = np.where(weight[1] < 1.0, 2, np.where(weight[0] < 1.0, 1, 0))
+    start = 1 if end_left < 1.0 else 0
+    steps = zip(arc3.tolist(), arc2.tolist(), log(p3).tolist(), log(p2).tolist(), log(p1).tolist(), log(left2).tolist(),
+                log(left1).tolist(), state_of.tolist())
+    ends = np.cumsum(sizes)
+    base_sums, known_sums = np.r_[0.0, np.cumsum(base)], np.r_[0, np.cumsum(n[0] > 0)]
+    out, at = [], 0
+    for size, end in zip(sizes.tolist(), ends.tolist()):
+        state, total = start, 0.0
+        for _ in range(size):
+            has3, has2, w3, w2, w1, fail2, fail1, after = next(steps)
+            if state == 2 and has3:
+                total += w3
+            else:
+                if state == 2:  # the failure arc leads to the pair's last word, a state if it has arcs
+                    total += fail2
+                if state and has2:
+                    total += w2
+                else:
+                    total += (fail1 if state else 0.0) + w1
+            state = after
+        out.append((size, int(known_sums[end] - known_sums[at]), float(base_sums[end] - base_sums[at]), total))
+        at = end
+    return out
+
+
+def score(docs: DataFrame, arcs: DataFrame, buckets: int, tokens: int, types: int, rounds: int = SCORE_ROUNDS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every row, written to the shared folder."""
+    spark = docs.sparkSession
+    rows = doc_text(docs)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = rounds * max(1, -(-size // (CHUNK_BYTES * rounds)))
+    own = F.xxhash64("doc_id", "text")
+    rows = rows.withColumn("h", own).withColumn("times", F.lit(1).cast("long"))
+    # A row may be repeated any number of times; its copies would share a chunk, so they are scored once.
+    hot = written(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select("h"), "lm-hot")
+    if not hot.isEmpty():
+        once = rows.join(hot, "h", "left_semi").groupBy("doc_id", "text", "h").agg(F.count("*").alias("times"))
+        rows = rows.join(hot, "h", "left_anti").unionByName(once)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(chunks)).cast("int")).drop("h")
+
+    def asked(key: tuple, texts: pa.Table) -> pa.Table:
+        """The distinct n-grams of a chunk, packed for each bucket."""
+        keys = np.unique(np.concatenate([*gram_keys(word_keys(utf8(texts["text"].combine_chunks()))[0]),
+                                         np.array([END_KEY], np.uint64)]))
+        keys = keys[keys != 0]
+        bucket = bucket_of(keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        out = batch_of(list(packed(bucket[order], keys[order])), ["bucket", "key"])
+        return pa.table({"chunk": pa.array([key[0].as_py()] * out.num_rows, pa.int32()), "bucket": out["bucket"], "key": out["key"]})
+
+    def answered(key: tuple, arcs: pa.Table, asked: pa.Table) -> pa.Table:
+        """What the bucket knows of each chunk's n-grams."""
+        keys, n, left = unpacked(arcs["key"], np.uint64), unpacked(arcs["n"], np.int64), unpacked(arcs["left"], np.float32)
+        out = []
+        for chunk, own in zip(asked["chunk"].to_pylist(), asked["key"].to_pylist()):
+            own = np.frombuffer(own, np.uint64)
+            at, found = lookup(keys, own)
+            at = at[found]
+            out.append((chunk, [own[found].tobytes(), n[at].tobytes(), left[at].tobytes()]))
+        answer = batch_of(out, ["chunk", "key", "n", "left"])
+        return pa.Table.from_batches([answer])
+
+    def scored(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.schema([(c, pa.int64()) for c in ("doc_id", "times", "n_tokens", "n_known")]
+                             + [(c, pa.float64()) for c in ("base_score", "score")]).empty_table()
+        known = unpacked(answers["key"], np.uint64)
+        order = np.argsort(known)
+        words, sizes = word_keys(utf8(texts["text"].combine_chunks()))
+        found = traverse(words, sizes, known[order], unpacked(answers["n"], np.int64)[order],
+                         unpacked(answers["left"], np.float32)[order], tokens, types)
+        n, seen, base, lm = (list(c) for c in zip(*found))
+        return pa.table({"doc_id": texts["doc_id"], "times": texts["times"], "n_tokens": pa.array(n, pa.int64()),
+                         "n_known": pa.array(seen, pa.int64()), "base_score": pa.array(base, pa.float64()),
+                         "score": pa.array(lm, pa.float64())})
+
+    parts = []
+    for r in range(rounds):
+        mine = rows.filter(F.col("chunk") % rounds == r)
+        with batch_rows(spark, TEXT_ROWS):
+            requests = mine.select("chunk", "text").groupBy("chunk").applyInArrow(asked, "chunk int, bucket int, key binary")
+            answers = written(arcs.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(
+                answered, "chunk int, key binary, n binary, left binary"), "lm-answers")
+            parts.append(written(mine.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, SCORED), "lm-scores"))
+        dropped(answers)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("copy", "times")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Scores of all rows, learned from those whose crc32(doc_id) mod 7 is not 2."""
-    grams = written(count_grams(docs.filter(crc_mod("doc_id", 7) != 2)), "ngrams")
-    return score_all(docs, *weigh(grams)).withColumn("held_out", crc_mod("doc_id", 7) == 2).select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    arcs, buckets, tokens, types = build(docs.filter(crc_mod("doc_id", 7) != 2))
+    return score(docs, arcs, buckets, tokens, types).select(
+        "doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
