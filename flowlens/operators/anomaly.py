@@ -94,10 +94,10 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: str, n_trees:
                          seed: int = C.SEED) -> dict:
     """AD1 fit: sample psi rows per tree by hash, grow the trees in parallel (one group per tree).
 
-    Only about ``n_trees * psi`` rows ever reach Python.  ``key`` must be unique: a row joins
-    the trees whose hash for it is below a rate that leaves each tree about twice psi rows,
-    and every tree keeps its psi smallest hashes, so the forest is the same on every layout
-    and the plan the same at every size.
+    Only about ``n_trees * psi`` rows ever reach Python.  ``key`` must be unique: hashes of a row
+    decide whether it joins a tree and which one, at a rate that leaves each tree about
+    twice psi rows (one hash a row once the table is larger than all samples together), and
+    every tree keeps its psi smallest hashes, so the forest is the same on every layout.
     """
     from flowlens.session import ensure_python_package
 
@@ -105,12 +105,18 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key: str, n_trees:
     n = df.count()
     psi = int(min(psi, n))
     base = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    rate = min(1.0, 2.0 * psi / max(n, 1) + 64.0 / max(n, 1))
-    h = lambda t: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), t, F.col(key).cast("string"))), 1, 8),
-                          16, 10).cast("double") / float(16 ** 8))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(rate))
+    rate = min(1.0, 2.0 * psi / max(n, 1) + 64.0 / max(n, 1))  # of a row for each tree
+    u = lambda j: F.pmod(F.xxhash64(F.lit(seed), j, F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    if rate < 1.0:
+        # A row draws ``draws`` times; a draw below its share is a tree, at even odds.
+        draws = max(1, -(-int(n_trees * rate * 1000) // 1000))
+        share = n_trees * rate / draws
+        hits = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda j: F.floor(u(j) / F.lit(share) * n_trees).cast("int"))
+        trees = F.array_distinct(F.filter(hits, lambda t: t < n_trees))
+    else:
+        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     cand = base.select("*", F.explode(trees).alias("tree"))
-    cand = cand.withColumn("__h", h(F.col("tree")))
+    cand = cand.withColumn("__h", F.xxhash64(F.lit(seed), F.lit("order"), F.col("tree"), F.col(key).cast("string")))
     from pyspark.sql import Window
 
     w = Window.partitionBy("tree").orderBy("__h", key)
@@ -182,29 +188,32 @@ def isolation_scores(df: DataFrame, model: dict, keep: list[str], out: str = "an
 # AD2: one-class model on random Fourier features (Rahimi & Recht, 2007)
 # ---------------------------------------------------------------------------------------------
 
-# Rows that the one-class fit uses at most: those of least key hash, the same on every run.
-ONE_CLASS_ROWS = 20_000
+BATCH_ROWS = 8_192  # rows of a subgradient step, about: chosen by hash, others for every step
 
 
 def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CONTAMINATION, n_components: int = 100,
-                  iterations: int = 200, lr: float = 0.5, tolerance: float = 1e-4, max_rows: int = ONE_CLASS_ROWS,
-                  seed: int = C.SEED) -> dict:
+                  steps: int = 30, lr: float = 0.5, batch_rows: int = BATCH_ROWS, seed: int = C.SEED) -> dict:
     """AD2 fit: RBF kernel approximated by random Fourier features, gamma = 1 / (d * Var(X)).
 
     Var(X) comes from one aggregate over all rows.  Objective
-    1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.z) - rho, by subgradient steps on the embedding of
-    at most ``max_rows`` rows chosen by key hash, until a step moves w and rho by less than
-    ``tolerance``; rho is finally set to the nu-quantile of w.z so that about nu of the
-    training rows fall outside.
+    1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.z) - rho, by mini-batch subgradients: each step
+    takes the rows whose hash falls into its slice (about ``batch_rows``), embeds them where
+    they lie and adds up the embedding of the violators, so a task hands over ``n_components``
+    sums.  rho is finally the exact nu-quantile of w.z over all training rows.
     """
+    from collections.abc import Iterator
+
     import numpy as np
+    import pyarrow as pa
+
+    from flowlens.session import ensure_python_package
 
-    d = len(features)
-    x = df.select(F.col(key).alias("__key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    spark, d = df.sparkSession, len(features)
+    ensure_python_package(spark)
+    x = df.select(F.col(key).alias("__key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)])
     # Var(X) over all values = E[x^2] - E[x]^2 across every feature.
-    st = x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
-               *[F.avg(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(features)],
-               F.count(F.lit(1)).alias("n")).first()
+    st = x.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)],
+               *[F.avg(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in range(d)], F.count(F.lit(1)).alias("n")).first()
     if not st["n"]:
         raise ValueError("no training rows")
     mean_all = sum(st[f"m{i}"] for i in range(d)) / d
@@ -214,22 +223,38 @@ def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CO
     W = rng.normal(0.0, np.sqrt(2 * gamma), size=(n_components, d))
     bias = rng.uniform(0, 2 * np.pi, size=n_components)
     model = {"features": features, "W": W.tolist(), "b": bias.tolist(), "gamma": gamma, "nu": nu}
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.col("__key").cast("string")))
-    share = min(1.0, (1.5 * max_rows + 64) / st["n"])
-    near = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") < share * 16.0 ** 8
-    rows = x.where(near).orderBy(h, "__key").limit(max_rows).drop("__key").toPandas().to_numpy("float64")
-    z = np.cos(rows @ W.T + bias) * np.sqrt(2.0 / n_components)
-    n = len(z)
-    w, rho = z.mean(axis=0), 0.0
-    for it in range(iterations):
-        viol = z @ w < rho
+    slices = max(1, st["n"] // batch_rows)
+    slot = F.pmod(F.xxhash64(F.lit(seed), F.col("__key").cast("string")), F.lit(slices))
+
+    def sums(step: int, w, rho: float) -> "np.ndarray":
+        """(rows, violators, sum of the violators' embedding) of the step's slice."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n_components + 2)
+            for b in batches:
+                rows = np.stack([np.asarray(c) for c in b.columns], axis=1)
+                z = np.cos(rows @ W.T + bias) * np.sqrt(2.0 / n_components)
+                viol = z @ w < rho if step else np.ones(len(z), bool)
+                total += np.r_[len(z), viol.sum(), z[viol].sum(axis=0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total)], ["i", "x"])
+
+        own = x.where(slot == step % slices).drop("__key")
+        found = own.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(n_components + 2)
+        out[[r["i"] for r in found]] = [r["x"] for r in found]
+        return out
+
+    first = sums(0, None, 0.0)
+    w, rho = first[2:] / max(first[0], 1.0), 0.0
+    for it in range(steps):
+        got = sums(it + 1, w, rho)
+        n = max(got[0], 1.0)
         step = lr / (1 + it)
-        move_w = step * (w - z[viol].sum(axis=0) / (nu * n))
-        move_rho = step * (viol.sum() / (nu * n) - 1.0)
-        w, rho = w - move_w, rho - move_rho
-        if np.abs(move_w).max() < tolerance and abs(move_rho) < tolerance:
-            break
-    model.update({"w": w.tolist(), "rho": float(np.quantile(z @ w, nu))})
+        w = w - step * (w - got[2:] / (nu * n))
+        rho = rho - step * (got[1] / (nu * n) - 1.0)
+    model.update({"w": w.tolist(), "rho": 0.0})
+    margins = one_class_scores(df, model, keep=[]).select("decision")
+    model["rho"] = quantile_table(margins, ["decision"], [nu])["decision"][round(nu, 12)]
     return model
 
 

@@ -13,7 +13,7 @@ import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,16 +110,28 @@ def fill_stage(features: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
 
 
+def class_labels(df: DataFrame, label_col: str) -> list[str]:
+    """The classes of a table, in the order of their index."""
+    rows = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string")).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label_col} has more than {MAX_CLASSES} classes")
+    return sorted(r[0] for r in rows)
+
+
 def fit_pipeline(train: DataFrame, features: list[str], estimator, label_col: str, indexed: str = "label",
-                 categorical: list[str] = ()) -> PipelineModel:
+                 categorical: list[str] = (), labels: list[str] | None = None) -> PipelineModel:
     """Label index (alphabetical, so the order is stable), zero fill, categorical indexes,
     assembler and estimator; rows without a label are left out.
 
-    The classes are those of the training rows and no more; at scoring time a label that
+    The classes are those of the training rows, or ``labels`` where several models must agree
+    on them (folds: a class may have no row outside its fold); at scoring time a label that
     training never saw gets an index of its own and changes nothing else.
     """
-    stages = [StringIndexer(inputCol=label_col, outputCol=indexed, stringOrderType="alphabetAsc",
-                            handleInvalid="error"), fill_stage(features)]
+    if labels is None:
+        index = StringIndexer(inputCol=label_col, outputCol=indexed, stringOrderType="alphabetAsc", handleInvalid="error")
+    else:
+        index = StringIndexerModel.from_labels(labels, label_col, indexed, "error")
+    stages = [index, fill_stage(features)]
     cat_out = []
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
@@ -195,28 +207,48 @@ def chain_probabilities(models: dict[str, PipelineModel], df: DataFrame, out: st
     return df
 
 
-def out_of_bag(df: DataFrame, features: list[str], label_col: str, key: str, bags: int = 5,
-               categorical: list[str] = (), preset: str = "binary", seed: int = C.SEED) -> DataFrame:
-    """ML4: rows with the class that the forests which did not see them vote for.
+# Cumulative probabilities of a Poisson(1) count; beyond the last the count is one more.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def bootstrap_count(tree: int, key: str, seed: int = C.SEED) -> F.Column:
+    """How often a tree's bootstrap sample draws a row: Poisson(1) by the hash of tree and key, the
+    limit of drawing n of n rows, known to every task without a shuffle."""
+    u, count = _tree_draw(tree, key, seed), F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        count = F.when(u < POISSON[k], k).otherwise(count)
+    return count
+
 
-    Bag b leaves out the rows whose hash for (b, key) falls in its last third, as a bootstrap
-    sample leaves out about 37 %; a row is scored by all forests whose bag left it out (rows
-    that every bag holds get no vote).
+def _tree_draw(tree: int, key: str, seed: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def out_of_bag(df: DataFrame, features: list[str], label_col: str, key: str, trees: int = 30, categorical: list[str] = (),
+               preset: str = "binary", seed: int = C.SEED, parallelism: int = 4) -> DataFrame:
+    """ML4: rows with the class that the trees which did not draw them vote for, and the number of
+    those trees (``oob_trees``; without any, ``oob_class`` is NULL).
+
+    Every tree is grown on its own bootstrap sample (``bootstrap_count`` as row weights) with
+    random feature subsets, as in a forest; a row's votes are the mean class
+    probabilities of the trees whose count for it is 0, some 37 per cent of them.
     """
-    bag = lambda b: F.pmod(F.xxhash64(F.lit(seed), F.lit(b), F.col(key)), F.lit(1000)) < 632
-    models = dict(enumerate(parallel_fits(
-        lambda b: fit_pipeline(df.where(bag(b)), features, random_forest(preset, seed=seed + b), label_col,
-                               categorical=categorical), list(range(bags)))))
-    labels = sorted({x for m in models.values() for x in labels_of(m)})
+    labels = class_labels(df, label_col)
+    drawn = "_".join(["drawn", *df.columns])  # a name that no column has
+
+    def one(t: int) -> PipelineModel:
+        tree = random_forest(preset, weight=drawn, seed=seed + t).setNumTrees(1).setBootstrap(False)
+        mine = df.withColumn(drawn, bootstrap_count(t, key, seed)).where(F.col(drawn) > 0)
+        return fit_pipeline(mine.where(F.col(label_col).isNotNull()), features, tree, label_col, categorical=categorical, labels=labels)
+
+    models = dict(enumerate(parallel_fits(one, list(range(trees)), parallelism)))
     out = chain_probabilities(models, df)
-    votes = []
-    for x in labels:
-        parts = [F.when(~bag(b), F.col(f"p_{b}")[labels_of(m).index(x)]).otherwise(0.0)
-                 for b, m in models.items() if x in labels_of(m)]
-        votes.append(F.struct(sum(parts, F.lit(0.0)).alias("p"), F.lit(x).alias("c")))
-    seen = sum((bag(b).cast("int") for b in models), F.lit(0))
-    best = F.array_max(F.array(*votes))
-    return out.withColumn("oob_class", F.when(seen < bags, best["c"])).drop(*[f"p_{b}" for b in models])
+    unseen = {t: _tree_draw(t, key, seed) < POISSON[0] for t in models}
+    votes = [F.struct(sum((F.when(unseen[t], F.col(f"p_{t}")[i]).otherwise(0.0) for t in models), F.lit(0.0)).alias("p"),
+                      F.lit(-i).alias("first"), F.lit(x).alias("c")) for i, x in enumerate(labels)]
+    n = sum((unseen[t].cast("int") for t in models), F.lit(0))
+    return (out.withColumn("oob_trees", n).withColumn("oob_class", F.when(F.col("oob_trees") > 0, F.array_max(F.array(*votes))["c"]))
+            .drop(*[f"p_{t}" for t in models]))
 
 
 def evaluate_scored(scored: DataFrame, truth: str, model_name: str, labels: list[str]) -> DataFrame:
@@ -273,20 +305,21 @@ def stacking(train: DataFrame, test: DataFrame, features: list[str], label_col:
              base: dict, k: int = C.CV_FOLDS, categorical: list[str] = ()) -> DataFrame:
     """EN3: out-of-fold base probabilities (k folds) -> logistic meta learner; bases refit on all rows.
 
-    Returns the test rows scored by the stack (prediction, probability, label index).
-    The fold table and the out-of-fold table are checkpointed to the shared checkpoint
-    folder: every fold fit reads the first, the iterative meta fit reads the second, and
-    neither should re-run its lineage (nor depend on executor-local state).
+    Returns the test rows scored by the stack (prediction, probability, label index).  The
+    label index is that of all training rows: a class whose rows lie in one fold has a
+    place in every fold's probabilities.  The fold table and the out-of-fold table are
+    written once to the shared folder, for every fit that reads them.
     """
     folds = stored(assign_folds(train, label_col, key, k), "folds")
     train = folds.drop("fold")  # the full refits read the same stored rows
-    # Every (fold, base model) fit and every full refit is independent: fit them concurrently.
+    labels = class_labels(train, label_col)
+    # Every (fold, base model) fit and every full refit is independent (see ``parallel_fits``).
     tasks = [(f, name) for f in range(k) for name in base] + [(None, name) for name in base]
 
     def fit_one(task):
         f, name = task
         data = train if f is None else folds.where(F.col("fold") != f)
-        return task, fit_pipeline(data, features, base[name](), label_col, categorical=categorical)
+        return task, fit_pipeline(data, features, base[name](), label_col, categorical=categorical, labels=labels)
 
     fitted = dict(parallel_fits(fit_one, tasks))
     oof = None
@@ -298,9 +331,10 @@ def stacking(train: DataFrame, test: DataFrame, features: list[str], label_col:
         oof = scored_part if oof is None else oof.unionByName(scored_part)
     oof = stored(oof, "out-of-fold")
     full = {name: fitted[(None, name)] for name in base}
-    label_model = list(full.values())[0].stages[0]
     meta_cols = [f"meta_{n}" for n in base]
-    meta_train = label_model.transform(oof)
+    # As many classes as the bases have: unknown labels get their index on the test rows only.
+    indexed = lambda unknown: StringIndexerModel.from_labels(labels, label_col, "label", unknown)
+    meta_train = indexed("error").transform(oof.where(F.col(label_col).isNotNull()))
     meta_train = class_weights(meta_train, "label")
     meta = Pipeline(stages=[VectorAssembler(inputCols=meta_cols, outputCol="meta"),
                             logistic_meta()]).fit(meta_train)
@@ -308,7 +342,7 @@ def stacking(train: DataFrame, test: DataFrame, features: list[str], label_col:
     for name, m in full.items():
         s = m.transform(scored_test).withColumn(f"meta_{name}", F.col("probability"))
         scored_test = s.select(*scored_test.columns, f"meta_{name}")
-    scored_test = label_model.transform(scored_test)
+    scored_test = indexed("keep").transform(scored_test)
     return meta.transform(scored_test)
 
 

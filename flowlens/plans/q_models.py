@@ -6,10 +6,14 @@ rows-only checks with invariant tests in ``tests/``; the class-weight table has
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowlens import config as C
+from flowlens.operators import evaluate as EV
 from flowlens.operators import labelling as LB
 from flowlens.operators import models as M
 from flowlens.operators.common import stored
@@ -82,7 +86,7 @@ def ml3(spark, sf_dir):
 
 @query("ML4_out_of_bag_score")
 def ml4(spark, sf_dir):
-    """Accuracy over the rows that some bag left out, voted by the forests that did not see them."""
+    """Accuracy over all training rows, each voted by the trees whose bootstrap sample left it out."""
     train, _ = split(spark, sf_dir)
     s = M.out_of_bag(train, FEATURES, LABEL, "flow_id", categorical=CATEGORICAL)
     return s.agg(F.avg((F.col(LABEL) == F.col("oob_class")).cast("double")).alias("oob_score"),
@@ -98,11 +102,11 @@ def ml5(spark, sf_dir):
 
 @query("ML6_model_selection")
 def ml6(spark, sf_dir):
-    """Forest against logistic regression on the same split; best by accuracy."""
+    """Balanced forest against gradient boosting and logistic regression on the same split; best by accuracy."""
     train, test = split(spark, sf_dir)
     table, best, _ = M.train_and_compare(
-        train, test, FEATURES, LABEL,
-        {"random_forest": M.random_forest("advanced"),
+        M.class_weights(train, LABEL), test, FEATURES, LABEL,
+        {"random_forest": M.random_forest("advanced", weight="weight"), "gradient_boosting": M.boosted_ovr(rounds=20),
          "logistic_regression": LogisticRegression(labelCol="label", featuresCol="features", maxIter=100)},
         categorical=CATEGORICAL, keep=["flow_id"])
     return table.withColumn("best", F.col("model") == F.lit(best))
@@ -127,10 +131,9 @@ def en3(spark, sf_dir):
     return out.select("flow_id", LABEL, F.col("prediction").cast("int").alias("prediction"))
 
 
-@query("EN5_ensemble_evaluation")
-def en5(spark, sf_dir):
-    """Accuracy / weighted F1 / AUC of each base model, their soft vote and their weighted vote
-    (by training accuracy), all scored in one pass over the test rows."""
+def ensemble_scores(spark, sf_dir):
+    """(labels, {model: scored test rows}) of the base models, their soft vote, their weighted vote
+    (by training accuracy) and their stack; base models and votes come from one pass."""
     train, test = split(spark, sf_dir)
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=100)
     models = {"random_forest": M.fit_pipeline(train, FEATURES, M.random_forest("binary"), LABEL, categorical=CATEGORICAL),
@@ -140,22 +143,71 @@ def en5(spark, sf_dir):
     hit = lambda p: F.col(LABEL) == F.array(*[F.lit(x) for x in labels])[
         (F.array_position(F.col(p), F.array_max(p)) - 1).cast("int")]
     trained = M.chain_probabilities(models, train).agg(*[F.avg(hit(p).cast("double")).alias(p) for p in names]).first()
-    path = scratch_path(spark, "en5-scored")
-    M.chain_probabilities(models, test).select(LABEL, *names).write.parquet(path)
-    scored = spark.read.parquet(path)
+    scored = stored(M.chain_probabilities(models, test).select(LABEL, *names), "en5-scored")
     total = sum(trained[p] for p in names)
     mixes = {m: [float(p == f"p_{m}") for p in names] for m in models}
     mixes["soft_vote"] = [1.0 / len(names)] * len(names)
     mixes["weighted_vote"] = [trained[p] / total for p in names]
-    table = None
+
+    def frame(rows, p):
+        return rows.select(LABEL, (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("prediction"),
+                           *[F.col(p)[i].alias(f"prob_{x}") for i, x in enumerate(labels)])
+
+    out = {}
     for name, weights in mixes.items():
         mean = [sum((F.col(p)[i] * w for p, w in zip(names, weights)), F.lit(0.0)) for i in range(len(labels))]
-        s = scored.select(LABEL, F.array(*mean).alias("__p"))
-        s = s.select(LABEL, (F.array_position("__p", F.array_max("__p")) - 1).cast("int").alias("prediction"),
-                     *[F.col("__p")[i].alias(f"prob_{x}") for i, x in enumerate(labels)])
-        row = M.evaluate_scored(s, LABEL, name, labels)
-        table = row if table is None else table.unionByName(row)
-    return table
+        out[name] = frame(scored.select(LABEL, F.array(*mean).alias("__p")), "__p")
+    base = {"rf": lambda: M.random_forest("binary"),
+            "lr": lambda: LogisticRegression(labelCol="label", featuresCol="features", maxIter=100)}
+    stack = M.stacking(train, test, FEATURES, LABEL, "flow_id", base, 2, categorical=CATEGORICAL)
+    out["stacking"] = frame(stored(stack.select(LABEL, vector_to_array("probability").alias("__p")), "en5-stack"), "__p")
+    return labels, out
+
+
+@query("EN5_ensemble_evaluation")
+def en5(spark, sf_dir):
+    """Accuracy / weighted F1 / AUC of the base models, the votes and the stack."""
+    labels, scored = ensemble_scores(spark, sf_dir)
+    return reduce(lambda a, b: a.unionByName(b), [M.evaluate_scored(s, LABEL, name, labels) for name, s in scored.items()])
+
+
+@query("EN5_class_report", f"""
+WITH t AS (SELECT {KDD_TYPE_SQL} AS label, flow_id FROM flows),
+r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', cast(flow_id AS varchar))), flow_id) AS i,
+             count(*) OVER (PARTITION BY label) AS n FROM t),
+s AS (SELECT label, count(*) AS support FROM r WHERE i <= round(0.2 * n) GROUP BY 1)
+SELECT m.model, s.label, s.support, true AS valid FROM s, (VALUES ('soft_vote'), ('stacking')) m(model)""")
+def en5_report(spark, sf_dir):
+    """Per-class report of the soft vote and the stack: the supports are the test split's, the
+    metrics lie between 0 and 1 and agree with each other."""
+    labels, scored = ensemble_scores(spark, sf_dir)
+    names = F.array(*[F.lit(x) for x in labels])
+    out = []
+    for model in ("soft_vote", "stacking"):
+        s = scored[model].select(F.col(LABEL).alias("y"), F.get(names, F.col("prediction")).alias("p"))
+        rep = EV.class_report(EV.confusion_matrix(s, "y", "p")).where(~F.col("label").endswith(" avg"))
+        f1 = F.col("f1") * (F.col("precision") + F.col("recall"))
+        valid = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & (F.abs(f1 - 2 * F.col("precision") * F.col("recall")) < 1e-9)
+        out.append(rep.select(F.lit(model).alias("model"), "label", "support", valid.alias("valid")))
+    return out[0].unionByName(out[1])
+
+
+@query("ML_split_rows", f"""
+WITH t AS (SELECT {KDD_TYPE_SQL} AS label, flow_id FROM flows),
+c AS (SELECT label, count(*) AS n FROM t GROUP BY 1)
+SELECT label, CAST(round(0.2 * n) AS BIGINT) AS test_rows, CAST(round(0.2 * n) AS BIGINT) AS scored_once,
+       CAST(n - round(0.2 * n) AS BIGINT) AS oob_rows FROM c""")
+def ml_split_rows(spark, sf_dir):
+    """What the data fix of ML1, ML4 and ML7: the scored test rows of each label with probabilities that
+    sum to one, and the training rows that out-of-bag trees vote on."""
+    train, test = split(spark, sf_dir)
+    model = M.fit_pipeline(M.class_weights(train, LABEL), FEATURES, M.random_forest("binary", weight="weight"), LABEL, categorical=CATEGORICAL)
+    total = sum((F.col(f"prob_{x}") for x in M.labels_of(model)), F.lit(0.0))
+    scored = M.score(model, test, keep=["flow_id", LABEL]).groupBy(F.col(LABEL).alias("label")).agg(
+        F.count("flow_id").alias("test_rows"), F.sum((F.abs(total - 1) < 1e-9).cast("bigint")).alias("scored_once"))
+    oob = M.out_of_bag(train, FEATURES, LABEL, "flow_id", trees=24, categorical=CATEGORICAL)
+    voted = oob.groupBy(F.col(LABEL).alias("label")).agg(F.count("oob_class").alias("oob_rows"))
+    return scored.join(voted, "label").select("label", "test_rows", "scored_once", "oob_rows")
 
 
 @query("SC1_batch_scoring")
@@ -231,3 +283,15 @@ def ad2(spark, sf_dir):
     f = model_frame(spark, sf_dir)
     model = AD.fit_one_class(f.where(F.col(LABEL) == "Normal"), AD_FEATURES, "flow_id")
     return AD.one_class_scores(f, model, keep=["flow_id", LABEL])
+
+
+@query("AD2_flagged_share", f"""
+SELECT count(*) AS train_rows, true AS near_nu FROM flows WHERE {KDD_TYPE_SQL} = 'Normal'""")
+def ad2_share(spark, sf_dir):
+    """The share of the training rows that the one-class model flags is nu, to a tenth of a per cent."""
+    from flowlens.operators import anomaly as AD
+
+    normal = model_frame(spark, sf_dir).where(F.col(LABEL) == "Normal")
+    scores = AD.one_class_scores(normal, AD.fit_one_class(normal, AD_FEATURES, "flow_id"), keep=["flow_id"])
+    flagged = F.avg((F.col("prediction") == -1).cast("double"))
+    return scores.agg(F.count("flow_id").alias("train_rows"), (F.abs(flagged - C.CONTAMINATION) <= 0.001 + 1 / F.count("flow_id")).alias("near_nu"))

@@ -137,3 +137,42 @@ def test_exact_split_is_stored_once(spark):
     train, test = QM.split(spark, SF_SMALL)
     assert "events" not in train._jdf.queryExecution().optimizedPlan().toString()
     assert train.count() + test.count() == 1000 and train.join(test, "flow_id").count() == 0
+
+
+def test_stacking_keeps_a_class_of_one_row(spark):
+    """The class is unknown to the models of all folds but one; the index is that of all rows."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from flowlens.operators import models as M
+
+    rows = [(i, "abc"[i % 3], float(i % 3) + (i % 7) / 100, float(i % 5)) for i in range(60)] + [(60, "aa", 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "id long, y string, u double, v double")
+    base = {"rf": lambda: M.random_forest("binary").setNumTrees(3),
+            "lr": lambda: LogisticRegression(labelCol="label", featuresCol="features", maxIter=20)}
+    out = M.stacking(df, df, ["u", "v"], "y", "id", base, 3).collect()
+    assert len(out) == 61 and {len(r["probability"]) for r in out} == {4}
+    assert sum(r["prediction"] == r["label"] for r in out) >= 55
+
+
+def test_out_of_bag_votes_are_those_of_unseen_trees(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.operators import models as M
+
+    rows = [(i, "pos" if i % 2 else "neg", float(i % 2) * 2 + (i % 11) / 10, float(i % 13)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, y string, u double, v double")
+    counts = df.select("id", *[M.bootstrap_count(t, "id").alias(f"n{t}") for t in range(6)]).collect()
+    drawn = {r["id"]: [r[f"n{t}"] for t in range(6)] for r in counts}
+    assert 0.75 < sum(map(sum, drawn.values())) / (6 * 150) < 1.25
+    out = {r["id"]: r for r in M.out_of_bag(df, ["u", "v"], "y", "id", trees=6).collect()}
+    assert len(out) == 150 and all(r["oob_trees"] == drawn[i].count(0) for i, r in out.items())
+    assert all((r["oob_class"] is None) == (r["oob_trees"] == 0) for r in out.values())
+    # One tree by hand: the rows that only it did not draw carry its own class.
+    t = 2
+    tree = M.random_forest("binary", weight="w", seed=M.C.SEED + t).setNumTrees(1).setBootstrap(False)
+    own = df.withColumn("w", M.bootstrap_count(t, "id")).where(F.col("w") > 0)
+    model = M.fit_pipeline(own, ["u", "v"], tree, "y", labels=["neg", "pos"])
+    alone = [i for i in drawn if [k for k in range(6) if drawn[i][k] == 0] == [t]]
+    got = {r["id"]: ["neg", "pos"][int(r["prediction"])] for r in model.transform(df).where(F.col("id").isin(alone)).collect()}
+    assert alone and all(out[i]["oob_class"] == got[i] for i in alone)
+    assert sum(r["oob_class"] == r["y"] for r in out.values()) >= 120
