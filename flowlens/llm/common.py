@@ -60,13 +60,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing reads any more, and lets Spark's cleaner remove the
-    shuffle files of the jobs that made them."""
+    """Deletes tables of ``written`` that nothing reads any more, and releases their jobs' shuffle files."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of jobs that nothing refers to any more (it waits
+    for the driver's garbage collection)."""
+    spark._jvm.System.gc()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:

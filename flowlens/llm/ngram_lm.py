@@ -14,11 +14,10 @@ Scoring.  A text is read once from left to right.  The state is the longest suff
 was read that has arcs.  Without an arc for the token the automaton follows failure arcs,
 adding their weights, until there is one; it adds the arc's weight and moves on.
 
-Tables.  N-grams go by a 64-bit key: a polynomial hash of a word's bytes, mixed, and
-key(h w) = key(h) * ``BASE`` + key(w), so two keys of billions of n-grams hardly ever agree.
-The key's bucket (its mixed top bits) decides where an n-gram is counted, stored and looked up;
-buckets are even whatever the text, and a word with a third of all tokens is one entry a
-task.  What moves between tasks are packed arrays of a bucket, not a row per n-gram.
+Tables.  N-grams go by a 64-bit key: a polynomial hash of a word's bytes, or of the words'
+keys, mixed, so two keys of billions of n-grams hardly ever agree.  The key's bucket (its top
+bits) decides where an n-gram is counted, stored and looked up; buckets are even whatever the
+text, and a word with a third of all tokens is one entry a task.  What moves between tasks are packed arrays of a bucket, not a row per n-gram.
 
 Rounds.  Counting goes through the texts ``COUNT_ROUNDS`` times, each for a slice of the
 buckets, so the shuffle holds a slice of the n-grams at a time.  Scoring goes
@@ -41,24 +40,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import LOWER, batch_rows, crc_mod, doc_text, dropped, utf8, written
+from flowlens.llm.common import LOWER, batch_rows, crc_mod, doc_text, dropped, released, utf8, written
 
 DISCOUNT = 0.75
 MIN_COUNT = 2
 COUNT_ROUNDS = 4
-SCORE_ROUNDS = 8
+SCORE_ROUNDS = 6
 BUCKET_BYTES = 8_000_000     # of training text for each bucket of n-grams
 CHUNK_BYTES = 8_000_000      # of text whose n-grams are looked up together
 FLUSH_BYTES = 16_000_000     # of text counted together
 STRETCH = 1_000_000          # bytes hashed together
+WINDOW = 100_000             # tokens whose arcs a traversal holds
 TEXT_ROWS = 512              # texts of an Arrow batch
 PACKED_ROWS = 8              # packed rows of an Arrow batch
 HOT_ROWS = 1_000             # equal rows (id and text) beyond which they are scored once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE_BASE = 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
-WORD = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
-FOLD = np.frombuffer(LOWER, np.uint8)
 GRAMS = "bucket int, key binary, context binary, n binary"
 SCORED = "doc_id long, times long, n_tokens long, n_known long, base_score double, score double"
 
@@ -84,8 +82,10 @@ def powers(n: int, base: int) -> np.ndarray:
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(keys of all tokens with an end token in front and behind every text, number of tokens of each
     text, its end included)."""
-    data = FOLD[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    edges = np.flatnonzero(np.diff(np.r_[False, WORD[data], False].view(np.int8)))
+    data = np.frombuffer(b"\n".join([*texts, b""]).translate(LOWER), np.uint8)
+    inside = np.zeros(data.size + 2, bool)
+    inside[1:-1] = (data != 32) & (data - np.uint8(9) > 4)  # bytes 9 to 13 and 32 are white space
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     # A word's hash is the difference of two prefix sums, shifted back to the power zero.  Stretches of
     # whole words are summed one after another, so the sums take no more memory than the keys.
@@ -109,17 +109,18 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the word, pair and triple that end at each token but the first; where a pair
-    would reach in front of its text's end token, or a triple over it, the key is 0."""
-    pairs = words[:-1] * BASE + words[1:]
-    triples = np.zeros_like(pairs)
-    triples[1:] = pairs[:-1] * BASE + words[2:]
+    """Keys of the word, pair and triple that end at each token but the first; where a triple
+    would reach over a text's end token or in front of the array, the key is 0."""
+    raw = words[:-1] * BASE + words[1:]
+    triples = np.zeros_like(raw)
+    triples[1:] = mixed((raw[:-1] * BASE + words[2:]) * BASE)
     triples[1:][words[1:-1] == END_KEY] = 0
-    return words[1:], pairs, triples
+    return words[1:], mixed(raw), triples
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mixed(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    """Buckets are slices of the keys' order."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def summed(keys: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +132,9 @@ def summed(keys: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return keys[first], context[order[first]], total
 
 
-def packed(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """(bucket, the columns' bytes) of rows sorted by bucket."""
+def packed(buckets: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, the bytes of its keys and of their columns) of sorted keys."""
+    bucket, columns = bucket_of(keys, buckets), (keys, *columns)
     edges = np.flatnonzero(np.diff(np.r_[-1, bucket, -1]))
     for a, b in zip(edges, edges[1:]):
         yield int(bucket[a]), [c[a:b].tobytes() for c in columns]
@@ -150,8 +152,10 @@ def batch_of(rows: list[tuple[int, list[bytes]]], names: list[str]) -> pa.Record
 
 
 def count_grams(docs: DataFrame, buckets: int, part: int, rounds: int) -> DataFrame:
-    """Packed (bucket, key, context, n) of the n-grams whose bucket modulo ``rounds`` is ``part``: all words
+    """Packed (bucket, key, context, n) of the n-grams in a slice of the buckets, one of ``rounds``: all words
     (context 0), and the pairs and triples that occur ``MIN_COUNT`` times."""
+    first, last = part * buckets // rounds, (part + 1) * buckets // rounds  # buckets of the slice
+    least, beyond = (np.uint64(-(-(b << 32) // buckets) << 32) if b < buckets else None for b in (first, last))
 
     def counted(texts: list[bytes]) -> pa.RecordBatch:
         words, _ = word_keys(texts)
@@ -159,12 +163,13 @@ def count_grams(docs: DataFrame, buckets: int, part: int, rounds: int) -> DataFr
         contexts = (np.zeros_like(grams[0]), words[:-1], np.r_[np.uint64(0), grams[1][:-1]])
         found = []
         for keys, context in zip(grams, contexts):
-            mine = (bucket_of(keys, buckets) % rounds == part) & (keys != 0)
+            mine = (keys >= least) & (keys != 0)
+            if beyond is not None:
+                mine &= keys < beyond
             found.append(summed(keys[mine], context[mine], np.ones(int(mine.sum()), np.int64)))
         keys, context, n = (np.concatenate(c) for c in zip(*found))
-        bucket = bucket_of(keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        rows = list(packed(bucket[order], keys[order], context[order], n[order].astype(np.uint32)))
+        order = np.argsort(keys)
+        rows = list(packed(buckets, keys[order], context[order], n[order].astype(np.uint32)))
         return batch_of(rows, ["bucket", "key", "context", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +204,10 @@ def build(docs: DataFrame, rounds: int = COUNT_ROUNDS) -> tuple[DataFrame, int,
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = rounds * max(2, -(-size // (BUCKET_BYTES * rounds)))
     with batch_rows(spark, TEXT_ROWS):
-        parts = [written(count_grams(docs, buckets, r, rounds), "lm-grams") for r in range(rounds)]
+        parts = []
+        for r in range(rounds):
+            parts.append(written(count_grams(docs, buckets, r, rounds), "lm-grams"))
+            released(spark)
     grams = parts[0]
     for p in parts[1:]:
         grams = grams.unionByName(p)
@@ -217,9 +225,7 @@ def build(docs: DataFrame, rounds: int = COUNT_ROUNDS) -> tuple[DataFrame, int,
                 context, n = np.frombuffer(context, np.uint64), np.frombuffer(n, np.int64)
                 arcs = context != 0
                 keys, _, total = summed(context[arcs], context[arcs], np.round((n[arcs] - DISCOUNT) * 4).astype(np.int64))
-                bucket = bucket_of(keys, buckets)
-                order = np.argsort(bucket, kind="stable")
-                yield batch_of(list(packed(bucket[order], keys[order], total[order])), ["bucket", "key", "quarters"])
+                yield batch_of(list(packed(buckets, keys, total)), ["bucket", "key", "quarters"])
 
     def joined(key: tuple, grams: pa.Table, taken: pa.Table) -> pa.Table:
         keys, n = unpacked(grams["key"], np.uint64), unpacked(grams["n"], np.int64)
@@ -250,56 +256,71 @@ def lookup(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == asked) if keys.size else np.zeros(asked.size, bool)
 
 
-def traverse(words: np.ndarray, sizes: np.ndarray, known: np.ndarray, counts: np.ndarray, left: np.ndarray,
-             tokens: int, types: int) -> list[tuple[int, int, float, float]]:
-    """(tokens, known tokens, base score, score) of every text, read from left to right.
-
-    ``known`` are sorted keys of n-grams with their counts and failure weights.
-    """
-    n, weight = [], []   # of the n-grams of 1, 2, 3 words that end at each token
-    for keys in gram_keys(words):
-        at, found = lookup(known, keys)
-        found &= keys != 0
-        n.append(np.where(found, counts[at], 0) if known.size else np.zeros(keys.size, np.int64))
-        weight.append(np.where(found, left[at], 1.0).astype(np.float64) if known.size else np.ones(keys.size))
-    end_at, end_known = lookup(known, np.array([END_KEY], np.uint64))
-    end_n = int(counts[end_at[0]]) if end_known[0] else 0
-    end_left = float(left[end_at[0]]) if end_known[0] else 1.0
-    # The context of a token's pair is the token before it, that of its triple the pair before it.
-    n1, left1 = np.r_[end_n, n[0][:-1]], np.r_[end_left, weight[0][:-1]]
-    n2, left2 = np.r_[0, n[1][:-1]], np.r_[1.0, weight[1][:-1]]
-    p1 = (n[0] + 1.0) / (tokens + types + 1.0)
-    arc2, arc3 = n[1] > 0, n[2] > 0
-    p2 = np.where(arc2, (n[1] - DISCOUNT) / np.maximum(n1, 1) + left1 * p1, 0.0)
-    # Below a triple's arc stands the pair's, or the failure arc of the pair's context.
-    low = np.where(arc2, p2, left1 * p1)
-    p3 = np.where(arc3, (n[2] - DISCOUNT) / np.maximum(n2, 1) + left2 * low, 0.0)
-    log = lambda p: np.log10(np.maximum(p, 1e-300))
-    base = np.log10(n[0] + 1.0) - np.log10(tokens + types + 1.0)
-    # States: 2 if the pair that ends here has arcs, else 1 if the word has, else the root.
-    state_of = np.where(weight[1] < 1.0, 2, np.where(weight[0] < 1.0, 1, 0))
-    start = 1 if end_left < 1.0 else 0
-    steps = zip(arc3.tolist(), arc2.tolist(), log(p3).tolist(), log(p2).tolist(), log(p1).tolist(), log(left2).tolist(),
-                log(left1).tolist(), state_of.tolist())
-    ends = np.cumsum(sizes)
-    base_sums, known_sums = np.r_[0.0, np.cumsum(base)], np.r_[0, np.cumsum(n[0] > 0)]
-    out, at = [], 0
-    for size, end in zip(sizes.tolist(), ends.tolist()):
-        state, total = start, 0.0
+class Arcs:
+    """What a chunk's texts need of the model: sorted keys of n-grams, their counts and failure weights."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, left: np.ndarray, tokens: int, types: int):
+        self.keys, self.counts, self.left, self.size = keys, counts, left, tokens + types + 1.0
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, failure weights) of n-grams: 0 and 1 of those that the model lacks."""
+        if not self.keys.size:
+            return np.zeros(keys.size, np.int64), np.ones(keys.size)
+        at, found = lookup(self.keys, keys)
+        return np.where(found, self.counts[at], 0), np.where(found, self.left[at], 1.0).astype(np.float64)
+
+    def steps(self, words: np.ndarray) -> Iterator[tuple]:
+        """For each token: whether its triple and its pair have an arc, the log weights of the triple's, pair's
+        and word's arc, those of failing from the pair and from the word before it, the state
+        behind it (the words of the longest suffix with arcs), its log base probability and
+        whether it is known."""
+        for a in range(0, words.size - 1, WINDOW):
+            # The window's tokens with the one before them, whose arcs are the contexts.
+            lead = min(a, 1)
+            grams = gram_keys(words[a - lead:a + WINDOW + 1])
+            (n1, left1), (n2, left2), (n3, _) = (self.of(g) for g in grams)
+            if not lead:  # in front of the first token stands an end token
+                n, left = self.of(words[:1])
+                n1, left1, n2, left2, n3 = np.r_[n, n1], np.r_[left, left1], np.r_[0, n2], np.r_[1.0, left2], np.r_[0, n3]
+            low1, low2 = left1[:-1], left2[:-1]
+            p1 = (n1[1:] + 1.0) / self.size
+            arc2, arc3 = n2[1:] > 0, n3[1:] > 0
+            low = low1 * p1
+            p2 = np.where(arc2, (n2[1:] - DISCOUNT) / np.maximum(n1[:-1], 1) + low, low)
+            p3 = np.where(arc3, (n3[1:] - DISCOUNT) / np.maximum(n2[:-1], 1) + low2 * p2, 1.0)
+            state = np.where(left2[1:] < 1.0, 2, np.where(left1[1:] < 1.0, 1, 0))
+            logs = (np.log10(x).tolist() for x in (p3, p2, p1, low2, low1))
+            yield from zip(arc3.tolist(), arc2.tolist(), *logs, state.tolist(), np.log10(p1).tolist(), (n1[1:] > 0).tolist())
+
+
+def traverse(words: np.ndarray, sizes: np.ndarray, arcs: Arcs) -> list[tuple[int, int, float, float]]:
+    """(tokens, known tokens, base score, score) of every text, each read once from left to right."""
+    start = int(arcs.of(np.array([END_KEY], np.uint64))[1][0] < 1.0)  # the end token in front is a state if it has arcs
+    steps, out = arcs.steps(words), []
+    for size in sizes.tolist():
+        state, total, base, seen = start, 0.0, 0.0, 0
         for _ in range(size):
-            has3, has2, w3, w2, w1, fail2, fail1, after = next(steps)
-            if state == 2 and has3:
-                total += w3
-            else:
-                if state == 2:  # the failure arc leads to the pair's last word, a state if it has arcs
+            has3, has2, w3, w2, w1, fail2, fail1, after, plain, known = next(steps)
+            if state == 2:
+                if has3:
+                    total += w3
+                    state = -1
+                else:  # to the pair's last word
                     total += fail2
-                if state and has2:
+                    state = 1
+            if state == 1:
+                if has2:
                     total += w2
-                else:
-                    total += (fail1 if state else 0.0) + w1
+                    state = -1
+                else:  # to the root, at no cost if the word has no arcs
+                    total += fail1
+                    state = 0
+            if state == 0:
+                total += w1
             state = after
-        out.append((size, int(known_sums[end] - known_sums[at]), float(base_sums[end] - base_sums[at]), total))
-        at = end
+            base += plain
+            seen += known
+        out.append((size, seen, base, total))
     return out
 
 
@@ -323,9 +344,7 @@ def score(docs: DataFrame, arcs: DataFrame, buckets: int, tokens: int, types: in
         keys = np.unique(np.concatenate([*gram_keys(word_keys(utf8(texts["text"].combine_chunks()))[0]),
                                          np.array([END_KEY], np.uint64)]))
         keys = keys[keys != 0]
-        bucket = bucket_of(keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        out = batch_of(list(packed(bucket[order], keys[order])), ["bucket", "key"])
+        out = batch_of(list(packed(buckets, keys)), ["bucket", "key"])
         return pa.table({"chunk": pa.array([key[0].as_py()] * out.num_rows, pa.int32()), "bucket": out["bucket"], "key": out["key"]})
 
     def answered(key: tuple, arcs: pa.Table, asked: pa.Table) -> pa.Table:
@@ -347,8 +366,8 @@ def score(docs: DataFrame, arcs: DataFrame, buckets: int, tokens: int, types: in
         known = unpacked(answers["key"], np.uint64)
         order = np.argsort(known)
         words, sizes = word_keys(utf8(texts["text"].combine_chunks()))
-        found = traverse(words, sizes, known[order], unpacked(answers["n"], np.int64)[order],
-                         unpacked(answers["left"], np.float32)[order], tokens, types)
+        found = traverse(words, sizes, Arcs(known[order], unpacked(answers["n"], np.int64)[order],
+                                            unpacked(answers["left"], np.float32)[order], tokens, types))
         n, seen, base, lm = (list(c) for c in zip(*found))
         return pa.table({"doc_id": texts["doc_id"], "times": texts["times"], "n_tokens": pa.array(n, pa.int64()),
                          "n_known": pa.array(seen, pa.int64()), "base_score": pa.array(base, pa.float64()),

@@ -333,7 +333,7 @@ def test_lm_traversal_is_the_brute_force_model(spark, docs, monkeypatch):
         want = sorted(((r["doc_id"], round(model.score(r["text"]), 2)) for r in table.select("doc_id", "text").collect()), key=repr)
         got = [ngram_lm.query(table)]
         with monkeypatch.context() as m:
-            for name, value in (("BUCKET_BYTES", 5_000), ("CHUNK_BYTES", 9_000), ("FLUSH_BYTES", 3_000), ("STRETCH", 100), ("HOT_ROWS", 1)):
+            for name, value in (("BUCKET_BYTES", 5_000), ("CHUNK_BYTES", 9_000), ("FLUSH_BYTES", 3_000), ("STRETCH", 100), ("WINDOW", 7), ("HOT_ROWS", 1)):
                 m.setattr(ngram_lm, name, value)
             arcs, buckets, n, v = ngram_lm.build(train, rounds=2)
             assert (n, v) == (model.n, model.v)
