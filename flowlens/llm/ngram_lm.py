@@ -12,7 +12,10 @@ word at weight g(h), the share that discounting frees; the root has an arc for e
 
 Scoring.  A text is read once from left to right.  The state is the longest suffix of what
 was read that has arcs.  Without an arc for the token the automaton follows failure arcs,
-adding their weights, until there is one; it adds the arc's weight and moves on.
+adding their weights, until there is one; it adds the arc's weight and moves on.  The state
+behind a token follows from the n-grams that end there, so the tokens of a window take
+their steps together, each from the state that the one before it leaves; the last state is
+carried into the next window.
 
 Tables.  N-grams go by a 64-bit key: a polynomial hash of a word's bytes, or of the words'
 keys, mixed, so two keys of billions of n-grams hardly ever agree.  The key's bucket (its top
@@ -269,59 +272,48 @@ class Arcs:
         at, found = lookup(self.keys, keys)
         return np.where(found, self.counts[at], 0), np.where(found, self.left[at], 1.0).astype(np.float64)
 
-    def steps(self, words: np.ndarray) -> Iterator[tuple]:
-        """For each token: whether its triple and its pair have an arc, the log weights of the triple's, pair's
-        and word's arc, those of failing from the pair and from the word before it, the state
-        behind it (the words of the longest suffix with arcs), its log base probability and
-        whether it is known."""
+    def read(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(log weight, log base probability, known) of the tokens, window by window."""
+        n, left = self.of(words[:1])  # the end token in front of the first text
+        start = int(left[0] < 1.0)
+        state = start
         for a in range(0, words.size - 1, WINDOW):
-            # The window's tokens with the one before them, whose arcs are the contexts.
+            # The window's tokens with the one before them, whose n-grams are the contexts.
             lead = min(a, 1)
-            grams = gram_keys(words[a - lead:a + WINDOW + 1])
-            (n1, left1), (n2, left2), (n3, _) = (self.of(g) for g in grams)
-            if not lead:  # in front of the first token stands an end token
-                n, left = self.of(words[:1])
+            window = words[a - lead:a + WINDOW + 1]
+            (n1, left1), (n2, left2), (n3, _) = (self.of(g) for g in gram_keys(window))
+            if not lead:
                 n1, left1, n2, left2, n3 = np.r_[n, n1], np.r_[left, left1], np.r_[0, n2], np.r_[1.0, left2], np.r_[0, n3]
-            low1, low2 = left1[:-1], left2[:-1]
+            fail = (np.zeros(n1.size - 1), np.log10(left1[:-1]), np.log10(left2[:-1]))
             p1 = (n1[1:] + 1.0) / self.size
-            arc2, arc3 = n2[1:] > 0, n3[1:] > 0
-            low = low1 * p1
-            p2 = np.where(arc2, (n2[1:] - DISCOUNT) / np.maximum(n1[:-1], 1) + low, low)
-            p3 = np.where(arc3, (n3[1:] - DISCOUNT) / np.maximum(n2[:-1], 1) + low2 * p2, 1.0)
-            state = np.where(left2[1:] < 1.0, 2, np.where(left1[1:] < 1.0, 1, 0))
-            logs = (np.log10(x).tolist() for x in (p3, p2, p1, low2, low1))
-            yield from zip(arc3.tolist(), arc2.tolist(), *logs, state.tolist(), np.log10(p1).tolist(), (n1[1:] > 0).tolist())
+            has = (np.ones(p1.size, bool), n2[1:] > 0, n3[1:] > 0)
+            low = left1[:-1] * p1
+            p2 = np.where(has[1], (n2[1:] - DISCOUNT) / np.maximum(n1[:-1], 1) + low, low)
+            p3 = np.where(has[2], (n3[1:] - DISCOUNT) / np.maximum(n2[:-1], 1) + left2[:-1] * p2, 1.0)
+            arc = np.log10(np.stack([p1, p2, p3]))
+            # The state behind each token: its pair or its word if that has arcs; behind an end
+            # token a new text starts.
+            behind = np.where(left2[1:] < 1.0, 2, np.where(left1[1:] < 1.0, 1, 0))
+            behind = np.where(window[1 + lead:] == END_KEY, start, behind)
+            at, weight = np.r_[state, behind[:-1]], np.zeros(p1.size)
+            for level in (2, 1):  # failure arcs, from the longest context down
+                failing = (at == level) & ~has[level]
+                weight[failing] += fail[level][failing]
+                at[failing] = level - 1
+            state = int(behind[-1])
+            yield weight + arc[at, np.arange(p1.size)], arc[0], n1[1:] > 0
 
 
 def traverse(words: np.ndarray, sizes: np.ndarray, arcs: Arcs) -> list[tuple[int, int, float, float]]:
     """(tokens, known tokens, base score, score) of every text, each read once from left to right."""
-    start = int(arcs.of(np.array([END_KEY], np.uint64))[1][0] < 1.0)  # the end token in front is a state if it has arcs
-    steps, out = arcs.steps(words), []
-    for size in sizes.tolist():
-        state, total, base, seen = start, 0.0, 0.0, 0
-        for _ in range(size):
-            has3, has2, w3, w2, w1, fail2, fail1, after, plain, known = next(steps)
-            if state == 2:
-                if has3:
-                    total += w3
-                    state = -1
-                else:  # to the pair's last word
-                    total += fail2
-                    state = 1
-            if state == 1:
-                if has2:
-                    total += w2
-                    state = -1
-                else:  # to the root, at no cost if the word has no arcs
-                    total += fail1
-                    state = 0
-            if state == 0:
-                total += w1
-            state = after
-            base += plain
-            seen += known
-        out.append((size, seen, base, total))
-    return out
+    text = np.repeat(np.arange(sizes.size), sizes)
+    sums, at = np.zeros((3, sizes.size)), 0
+    for weight, base, known in arcs.read(words):
+        own = text[at:at + weight.size]
+        for total, x in zip(sums, (weight, base, known)):
+            total += np.bincount(own, x, sizes.size)
+        at += weight.size
+    return list(zip(sizes.tolist(), np.rint(sums[2]).astype(np.int64).tolist(), sums[1].tolist(), sums[0].tolist()))
 
 
 def score(docs: DataFrame, arcs: DataFrame, buckets: int, tokens: int, types: int, rounds: int = SCORE_ROUNDS) -> DataFrame:
@@ -341,9 +333,9 @@ def score(docs: DataFrame, arcs: DataFrame, buckets: int, tokens: int, types: in
 
     def asked(key: tuple, texts: pa.Table) -> pa.Table:
         """The distinct n-grams of a chunk, packed for each bucket."""
-        keys = np.unique(np.concatenate([*gram_keys(word_keys(utf8(texts["text"].combine_chunks()))[0]),
-                                         np.array([END_KEY], np.uint64)]))
-        keys = keys[keys != 0]
+        keys = np.concatenate([*gram_keys(word_keys(utf8(texts["text"].combine_chunks()))[0]), np.array([END_KEY], np.uint64)])
+        keys.sort()
+        keys = keys[(keys != 0) & np.r_[True, keys[1:] != keys[:-1]]]
         out = batch_of(list(packed(buckets, keys)), ["bucket", "key"])
         return pa.table({"chunk": pa.array([key[0].as_py()] * out.num_rows, pa.int32()), "bucket": out["bucket"], "key": out["key"]})
 
