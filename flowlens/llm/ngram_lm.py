@@ -169,10 +169,10 @@ def count_grams(docs: DataFrame, buckets: int, part: int, rounds: int) -> DataFr
             mine = (keys >= least) & (keys != 0)
             if beyond is not None:
                 mine &= keys < beyond
-            found.append(summed(keys[mine], context[mine], np.ones(int(mine.sum()), np.int64)))
-        keys, context, n = (np.concatenate(c) for c in zip(*found))
-        order = np.argsort(keys)
-        rows = list(packed(buckets, keys[order], context[order], n[order].astype(np.uint32)))
+            found.append((keys[mine], context[mine]))
+        keys, context = (np.concatenate(c) for c in zip(*found))
+        keys, context, n = summed(keys, context, np.ones(keys.size, np.int64))
+        rows = list(packed(buckets, keys, context, n.astype(np.uint32)))
         return batch_of(rows, ["bucket", "key", "context", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +264,23 @@ class Arcs:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, left: np.ndarray, tokens: int, types: int):
         self.keys, self.counts, self.left, self.size = keys, counts, left, tokens + types + 1.0
+        # Keys are even, so their first bits lead next to a key's place.
+        bits = max(1, min(24, keys.size.bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.padded = np.r_[keys, np.uint64(MASK)]
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, failure weights) of n-grams: 0 and 1 of those that the model lacks."""
         if not self.keys.size:
             return np.zeros(keys.size, np.int64), np.ones(keys.size)
-        at, found = lookup(self.keys, keys)
+        at = self.first[(keys >> self.shift).astype(np.int64)]
+        behind = np.flatnonzero(self.padded[at] < keys)
+        while behind.size:
+            at[behind] += 1
+            behind = behind[self.padded[at[behind]] < keys[behind]]
+        found = self.padded[at] == keys
+        at[~found] = 0
         return np.where(found, self.counts[at], 0), np.where(found, self.left[at], 1.0).astype(np.float64)
 
     def read(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
