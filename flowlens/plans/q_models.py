@@ -185,7 +185,7 @@ def en5_report(spark, sf_dir):
     out = []
     for model in ("soft_vote", "stacking"):
         s = scored[model].select(F.col(LABEL).alias("y"), F.get(names, F.col("prediction")).alias("p"))
-        rep = EV.class_report(EV.confusion_matrix(s, "y", "p")).where(~F.col("label").endswith(" avg"))
+        rep = EV.class_report(EV.confusion_matrix(s, "y", "p")).where(~F.col("label").endswith(" avg") & (F.col("support") > 0))
         f1 = F.col("f1") * (F.col("precision") + F.col("recall"))
         valid = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & (F.abs(f1 - 2 * F.col("precision") * F.col("recall")) < 1e-9)
         out.append(rep.select(F.lit(model).alias("model"), "label", "support", valid.alias("valid")))
@@ -207,7 +207,8 @@ def ml_split_rows(spark, sf_dir):
         F.count("flow_id").alias("test_rows"), F.sum((F.abs(total - 1) < 1e-9).cast("bigint")).alias("scored_once"))
     oob = M.out_of_bag(train, FEATURES, LABEL, "flow_id", trees=24, categorical=CATEGORICAL)
     voted = oob.groupBy(F.col(LABEL).alias("label")).agg(F.count("oob_class").alias("oob_rows"))
-    return scored.join(voted, "label").select("label", "test_rows", "scored_once", "oob_rows")
+    return voted.join(scored, "label", "left").select(  # a class of one row has no test row
+        "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("test_rows", "scored_once")], "oob_rows")
 
 
 @query("SC1_batch_scoring")
