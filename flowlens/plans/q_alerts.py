@@ -204,16 +204,26 @@ def al11_clear(spark, sf_dir):
 
 
 @query("AL12_run_summary", f"""WITH {SCORED_SQL},
-c AS (SELECT count(*) AS total, sum(CAST(is_attack AS int)) AS attack, count(DISTINCT attack_type) AS classes FROM scored)
+c AS (SELECT count(*) AS total, sum(CAST(is_attack AS int)) AS attack, count(DISTINCT attack_type) AS classes FROM scored),
+t AS (SELECT CAST(sum(round(0.2 * n)) AS BIGINT) AS test_rows FROM (SELECT count(*) AS n FROM scored GROUP BY attack_type))
 SELECT 'rows' AS key, cast(total AS varchar) AS value FROM c
 UNION ALL SELECT 'attacks', cast(attack AS varchar) FROM c
 UNION ALL SELECT 'attack_rate', cast(round(attack * 100.0 / total, 6) AS DOUBLE)::varchar FROM c
-UNION ALL SELECT 'classes', cast(classes AS varchar) FROM c""")
+UNION ALL SELECT 'classes', cast(classes AS varchar) FROM c
+UNION ALL SELECT 'train_rows', cast(total - test_rows AS varchar) FROM c, t
+UNION ALL SELECT 'test_rows', cast(test_rows AS varchar) FROM t
+UNION ALL SELECT 'features', '12'""")
 def al12_run_summary(spark, sf_dir):
+    """Counters of a run with the sizes of its split, its features and classes."""
+    from flowlens.operators.split import stratified_split
+    from flowlens.plans.q_models import CATEGORICAL, FEATURES
+
     sc = scored(spark, sf_dir)
+    train, test = stratified_split(sc, "attack_type", "flow_id", C.TEST_FRACTION)
     c = A.counters(sc).first()
     facts = {"rows": c["total"], "attacks": c["attack"], "attack_rate": round(c["attack_rate"], 6),
-             "classes": sc.select("attack_type").distinct().count()}
+             "classes": sc.select("attack_type").distinct().count(), "train_rows": train.count(),
+             "test_rows": test.count(), "features": len(FEATURES) + len(CATEGORICAL)}
     return A.run_summary(spark, facts)
 
 
