@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -16,13 +18,16 @@ from flowlens import config as C
 from flowlens.operators import evaluate as EV
 from flowlens.operators import labelling as LB
 from flowlens.operators import models as M
+from flowlens.operators.boosting import BoostedTrees
 from flowlens.operators.common import stored
 from flowlens.operators import projection as PR
 from flowlens.operators import split as SP
+from flowlens.operators.stages import AssembleStage, FeatureStage, PreprocessStage
 from flowlens.plans.q_labels import KDD_TYPE_SQL
 from flowlens.plans.registry import query
 from flowlens.session import scratch_path
 from flowlens.sources import tables
+from flowlens.streaming import stream as ST
 
 FEATURES = ["duration", "src_bytes", "dst_bytes", "conn_count", "srv_count", "serror_rate", "srv_serror_rate",
             "same_srv_rate", "diff_srv_rate", "ttl", "dst_port"]
@@ -75,6 +80,34 @@ def ml2(spark, sf_dir):
     return M.score(model, test, keep=["flow_id", LABEL])
 
 
+@query("ML2_boosted_multinomial")
+def ml2_multinomial(spark, sf_dir):
+    """Boosted trees under one softmax over all classes (100 rounds, depth 5, rate 0.1), test rows scored."""
+    train, test = split(spark, sf_dir)
+    model = M.fit_pipeline(train, FEATURES, BoostedTrees(), LABEL, categorical=CATEGORICAL)
+    return M.score(model, test, keep=["flow_id", LABEL])
+
+
+@query("ML2_boosted_rows", f"""
+WITH t AS (SELECT {KDD_TYPE_SQL} AS label FROM flows), c AS (SELECT count(*) AS n FROM t GROUP BY label)
+SELECT CAST(sum(round(0.2 * n)) AS BIGINT) AS test_rows, CAST(sum(round(0.2 * n)) AS BIGINT) AS scored_once, true AS beats_majority,
+       true AS saved_alike FROM c""")
+def ml2_rows(spark, sf_dir):
+    """What the data fix of a boosted fit: every test row scored once, probabilities that sum to one,
+    more hits than the commonest class has, the same scores after a reload."""
+    train, test = split(spark, sf_dir)
+    model = M.fit_pipeline(train, FEATURES, BoostedTrees(rounds=5, depth=3), LABEL, categorical=CATEGORICAL)
+    again = M.load_model(M.save_model(model, scratch_path(spark, "boosted-model")))
+    names = F.array(*[F.lit(x) for x in M.labels_of(model)])
+    s = M.chain_probabilities({"a": model, "b": again}, test)
+    guess = names[(F.array_position("p_a", F.array_max("p_a")) - 1).cast("int")]
+    major = test.groupBy(LABEL).count().agg(F.max("count")).first()[0] or 0
+    return s.agg(F.count("*").alias("test_rows"),
+                 F.sum((F.abs(F.aggregate("p_a", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).cast("bigint")).alias("scored_once"),
+                 (F.sum((guess == F.col(LABEL)).cast("bigint")) >= major).alias("beats_majority"),
+                 F.every(F.col("p_a") == F.col("p_b")).alias("saved_alike"))
+
+
 @query("ML3_class_weights", f"""
 WITH t AS (SELECT {KDD_TYPE_SQL} AS attack_type FROM flows),
 c AS (SELECT attack_type, count(*) AS n FROM t GROUP BY 1)
@@ -106,7 +139,7 @@ def ml6(spark, sf_dir):
     train, test = split(spark, sf_dir)
     table, best, _ = M.train_and_compare(
         M.class_weights(train, LABEL), test, FEATURES, LABEL,
-        {"random_forest": M.random_forest("advanced", weight="weight"), "gradient_boosting": M.boosted_ovr(rounds=20),
+        {"random_forest": M.random_forest("advanced", weight="weight"), "gradient_boosting": BoostedTrees(rounds=20),
          "logistic_regression": LogisticRegression(labelCol="label", featuresCol="features", maxIter=100)},
         categorical=CATEGORICAL, keep=["flow_id"])
     return table.withColumn("best", F.col("model") == F.lit(best))
@@ -259,6 +292,42 @@ def io8_mismatches(spark, sf_dir):
                  F.count("*").alias("n_rows"))
 
 
+ENGINEERED = ["duration", "src_bytes", "dst_bytes", "conn_count", "serror_rate", "srv_serror_rate", "same_srv_rate", "diff_srv_rate"]
+KEPT = ["flow_id", "ts", "src_ip", "dst_ip", LABEL]
+
+
+def whole_pipeline(train):
+    """Features (FE6-FE13), preprocessing (PP1-PP7), label index and forest as one saved object."""
+    stages = [FeatureStage(exclude=KEPT, stat_columns=ENGINEERED, entropy_strings=["service"], entropy_bytes=["src_bytes"]),
+              PreprocessStage(passthrough=KEPT),
+              StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc"),
+              AssembleStage(passthrough=[*KEPT, "label"]),
+              M.random_forest("binary").setNumTrees(20)]
+    model = Pipeline(stages=stages).fit(train)
+    model.stages[2].setHandleInvalid("keep")
+    return model
+
+
+@query("IO8_whole_pipeline", "SELECT count(*) AS n_rows, 0 AS reload_mismatches, 0 AS stream_mismatches FROM flows")
+def io8_whole(spark, sf_dir):
+    """One pipeline of features, preprocessing and model: raw flows scored as fitted, after a reload,
+    and by the reloaded pipeline on the flow stream."""
+    train, _ = split(spark, sf_dir)
+    model = whole_pipeline(train)
+    again = M.load_model(M.save_model(model, scratch_path(spark, "whole-model")))
+
+    def scored(m, rows, out):
+        return m.transform(rows).select("flow_id", vector_to_array("probability").alias(out))
+
+    raw = raw_frame(spark, sf_dir)
+    out, ck = scratch_path(spark, "io8w-out"), scratch_path(spark, "io8w-ck")
+    ST.run_available_now(scored(again, raw_frame(spark, sf_dir, tables.event_stream(spark, sf_dir)), "s"), ck, out)
+    both = (scored(model, raw, "a").join(scored(again, raw, "b"), "flow_id", "full")
+            .join(spark.read.parquet(out), "flow_id", "full"))
+    differs = lambda c: F.sum((~F.col("a").eqNullSafe(F.col(c))).cast("int")).cast("int")
+    return both.agg(F.count("*").alias("n_rows"), differs("b").alias("reload_mismatches"), differs("s").alias("stream_mismatches"))
+
+
 AD_FEATURES = ["duration", "src_bytes", "dst_bytes", "conn_count", "srv_count", "serror_rate", "same_srv_rate"]
 
 
