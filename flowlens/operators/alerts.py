@@ -160,3 +160,10 @@ def run_summary(spark: SparkSession, facts: dict) -> DataFrame:
     """AL12: small key/value summary of a run (sizes, features, classes, model metrics)."""
     rows = [(str(k), str(v)) for k, v in facts.items()]
     return spark.createDataFrame(rows, "key string, value string")
+
+
+def model_facts(metrics: DataFrame) -> DataFrame:
+    """AL12: (key, value) of a table of metrics with one row per model."""
+    names = [c for c in metrics.columns if c != "model"]
+    facts = F.array(*[F.struct(F.concat_ws(": ", "model", F.lit(c)).alias("key"), F.col(c).cast("double").alias("value")) for c in names])
+    return metrics.select(F.explode(facts).alias("f")).select("f.*")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from flowlens import config as C
 from flowlens.functions import labels as L
 from flowlens.operators import alerts as A
+from flowlens.operators import evaluate as EV
 from flowlens.operators import scoring as S
 from flowlens.plans.registry import query
 from flowlens.sources import readers, tables
@@ -227,6 +228,33 @@ def al12_run_summary(spark, sf_dir):
     return A.run_summary(spark, facts)
 
 
+MODELS = ("p_a", "p_b", "p_c")
+
+
+def _model_facts_sql(m: str) -> str:
+    """Accuracy, weighted precision / recall / F1 of one score column cut at 0.5, as (key, value)."""
+    return f"""
+SELECT '{m}: ' || k AS key, v AS value FROM (
+  WITH s AS (SELECT y, CASE WHEN {m} > 0.5 THEN 1 ELSE 0 END AS p FROM scores),
+  c AS (SELECT l.c, (SELECT count(*) FROM s WHERE y = l.c) AS n, (SELECT count(*) FROM s WHERE p = l.c) AS np,
+               (SELECT count(*) FROM s WHERE y = l.c AND p = l.c) AS tp FROM (VALUES (0), (1)) l(c)),
+  r AS (SELECT n, tp, CASE WHEN np > 0 THEN tp::DOUBLE / np ELSE 0 END AS pr, CASE WHEN n > 0 THEN tp::DOUBLE / n ELSE 0 END AS re FROM c),
+  f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM r),
+  a AS (SELECT sum(tp)::DOUBLE / sum(n) AS accuracy, sum(n * pr) / sum(n) AS "precision", sum(n * re) / sum(n) AS recall,
+               sum(n * f1) / sum(n) AS f1 FROM f)
+  SELECT * FROM (SELECT 'accuracy' AS k, accuracy AS v FROM a UNION ALL SELECT 'precision', "precision" FROM a
+                 UNION ALL SELECT 'recall', recall FROM a UNION ALL SELECT 'f1', f1 FROM a))"""
+
+
+@query("AL12_model_metrics", " UNION ALL ".join(_model_facts_sql(m) for m in MODELS))
+def al12_model_metrics(spark, sf_dir):
+    """The run summary's metrics, one row per model and metric, from one count over all models."""
+    s = tables.scores(spark, sf_dir)
+    long = s.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col("y").alias("y"), (F.col(m) > 0.5).cast("int").alias("p"))
+                                        for m in MODELS])).alias("e")).select("e.*")
+    return A.model_facts(EV.metric_rows(long))
+
+
 # --- scoring rules on the fixed score table (SC2-SC7) ---------------------------------------
 
 
