@@ -45,9 +45,13 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: str = "doc_id", seed: str = SEED) -> Column:
-    """52 bits of md5(seed:doc_id) as an integer: U is this plus a half, over 2^52."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def uniform(doc_id: str = "doc_id", text: str = "text", seed: str = SEED) -> Column:
+    """52 bits of md5(seed:doc_id:md5 of the text) as an integer: U is this plus a half, over 2^52.
+
+    The text counts, so rows without an id, or with the same one, spread over all buckets.
+    """
+    parts = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))]
+    key = F.concat_ws(":", F.lit(seed), *parts)
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
 
 
@@ -151,7 +155,7 @@ def query(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || md5('mix-0:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13])::BIGINT AS u
+         ('0x' || md5('mix-0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))[1:13])::BIGINT AS u
   FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 + 1.0::DOUBLE AS w,
