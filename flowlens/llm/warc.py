@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and its reader.
 
-Writing.  Page ids are counted in equal cells of their range; running totals over the cells
-give shards of about ``shard_rows`` records in id order, the same for every layout of the
-input.  Rows are shuffled once, by shard, and sorted by id; a task writes its shards one
+Writing.  Page ids are counted in cells of their range, heavy cells again in smaller ones;
+running totals over the cells give shards of about ``shard_rows`` records in id order, the
+same for every layout of the input; the rows of one id (or without any) that fill several
+shards are spread over these by digest.  Rows are shuffled once, by shard, and sorted by id; a task writes its shards one
 record at a time, each a gzip member of its own, and rolls to the next file when the
 compressed size would pass ``roll_bytes``.  A file is written under a temporary name and
 moved to its final one when whole; its name depends on shard and number only, so a task
@@ -35,16 +36,18 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import shared_path
+from flowlens.llm.common import shared_path, written
 
 MIN_REVISIT = 100
 SHARD_ROWS = 4096
 ROLL_BYTES = 64 << 20
-CELLS = 16_384
+CELLS = 16_384              # cells of the id range that are counted first
+HEAVY, SPLIT_BITS = 4, 6    # times the mean that a cell may hold; bits a cut takes off a cell
+MAX_TASKS = 10_000          # that write; each takes its shards one after another
 DATE = "2020-01-01T00:00:00Z"
 # Names of the WARC 1.1 standard.
 VERSION = b"WARC/1.1\r\n"
@@ -122,18 +125,58 @@ class _Roll:
         return self.name, self.shard, self.count, self.size, self.sha.hexdigest(), self.first, self.last
 
 
-def shard_of(ids: DataFrame, shard_rows: int) -> tuple[DataFrame, int, int]:
-    """((cell, shard) table of at most ``CELLS`` rows, least id, cell width)."""
-    low, high = ids.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cells = ids.groupBy(_cell(low, width).alias("cell")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    return cells.select("cell", F.floor(before / shard_rows).alias("shard")), low, width
-
-
-def _cell(low: int, width: int):
-    return F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / width), F.lit(0)).cast("long")
+class Shards:
+    """Shards of about ``shard_rows`` rows in id order, from counts: the same for every layout.
+
+    Ids are counted in aligned cells of 2**k.  A cell with more rows than a shard and ``HEAVY``
+    times the mean is cut into 2**``SPLIT_BITS`` smaller ones, and again, until it is lighter
+    or holds one id; running totals over the cells number the shards.  A cell of one id (or
+    of the null ids) that fills several shards is spread over them by the payloads' digests, so
+    equal payloads stay together.  The tables hold some CELLS rows, and a level of cuts at most
+    CELLS / HEAVY cells, whatever the rows.
+    """
+
+    def __init__(self, ids: DataFrame, shard_rows: int):
+        low, high, total, nulls = ids.agg(F.min("page_id"), F.max("page_id"), F.count("page_id"),
+                                          F.count_if(F.col("page_id").isNull())).first()
+        bits = 0 if low is None else max(0, (high - low).bit_length() - (CELLS.bit_length() - 1))
+        self.bits, self.count, self.null_span = bits, (total + nulls) // shard_rows + 1, nulls // shard_rows
+        heavy = max(shard_rows, HEAVY * total // CELLS)
+        self.cuts: list[tuple[int, DataFrame]] = []  # (bits of the smaller cells, cells that are cut)
+        mine, leaves = ids.filter(F.col("page_id").isNotNull()), None
+        while True:
+            cells = written(mine.groupBy(_cell(bits).alias("start")).agg(
+                F.count("*").alias("n"), (F.min("page_id") == F.max("page_id")).alias("one")), "warc-cells")
+            over = (F.col("n") > heavy) & ~F.col("one")
+            light = cells.filter(~over)
+            leaves = light if leaves is None else leaves.unionByName(light)
+            cut = cells.filter(over).select(F.col("start").alias("__cut"))
+            if bits == 0 or cut.isEmpty():
+                break
+            mine = mine.join(F.broadcast(cut), _cell(bits) == F.col("__cut"), "left_semi")
+            bits = max(0, bits - SPLIT_BITS)
+            self.cuts.append((bits, cut))
+        before = F.sum("n").over(W.orderBy("start").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+        self.table = leaves.select(F.col("start").alias("__leaf"), F.floor((before + nulls) / shard_rows).alias("__first"),
+                                   F.when(F.col("one"), F.floor(F.col("n") / shard_rows)).otherwise(0).alias("__span"))
+
+    def place(self, rows: DataFrame, digest: Column) -> DataFrame:
+        """``rows`` with their shard; ``digest`` spreads the rows of one id."""
+        rows = rows.withColumn("__start", _cell(self.bits))
+        for bits, cut in self.cuts:
+            rows = rows.join(F.broadcast(cut), F.col("__start") == F.col("__cut"), "left").withColumn(
+                "__start", F.when(F.col("__cut").isNotNull(), _cell(bits)).otherwise(F.col("__start"))).drop("__cut")
+        rows = rows.join(F.broadcast(self.table), F.col("__start") == F.col("__leaf"), "left")
+        span = F.coalesce("__span", F.lit(self.null_span))
+        number = F.conv(F.hex(F.substring(digest, 1, 6)), 16, 10).cast("long")
+        spread = F.when(span > 1, F.pmod(number, F.greatest(span, F.lit(1)))).otherwise(0)
+        shard = (F.coalesce("__first", F.lit(0)) + spread).cast("long")
+        return rows.withColumn("shard", shard).drop("__start", "__leaf", "__first", "__span")
+
+
+def _cell(bits: int) -> Column:
+    """The first id of the aligned cell of 2**bits ids that the page's id lies in."""
+    return F.shiftleft(F.shiftright("page_id", bits), bits)
 
 
 def revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -153,8 +196,7 @@ def write(pages: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, roll_byte
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"))
-    shards, low, width = shard_of(pages.select("page_id"), shard_rows)
-    shards = F.broadcast(shards.select(F.col("cell").alias("__cell"), "shard"))  # at most CELLS rows of two numbers
+    shards = Shards(pages.select("page_id"), shard_rows)
     nothing = F.lit(None)
     records = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
                            nothing.cast("long").alias("refers_to"), nothing.cast("binary").alias("digest"),
@@ -163,9 +205,11 @@ def write(pages: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, roll_byte
                                                 nothing.cast("string").alias("html"), "refers_to", "digest",
                                                 F.lit(0).alias("kind"))
     rows = records.unionByName(marks)
-    rows = rows.join(shards, _cell(low, width) == F.col("__cell")).drop("__cell")
-    ordered = (rows.repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind",
-                                                              "html", "url"))
+    rows = shards.place(rows, F.coalesce("digest", F.unhex(F.sha2("html", 256))))
+    # Shards in turn, not by their hash: every task gets as many.
+    tasks = min(shards.count, MAX_TASKS)
+    ordered = (rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+               .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "html", "url"))
     out = f"{folder.rstrip('/')}/data"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

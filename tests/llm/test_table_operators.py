@@ -189,6 +189,14 @@ def test_mixing_hits_targets_and_reruns_agree(spark):
         assert sum(r["size"] for r in part) == part[0]["source_size"]
 
 
+def test_mixing_spreads_rows_without_id(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").withColumn("doc_id", F.lit(None).cast("long"))
+    u = docs.select(F.shiftright(mixing.uniform(), 52 - mixing.BUCKET_BITS).alias("b"), "text").distinct()
+    assert u.groupBy("b").count().agg(F.max("count")).first()[0] <= 4
+    rows = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m")).collect()
+    assert all(abs(r["t"] - r["g"]) <= r["m"] / 2 + 1 for r in rows)
+
+
 def test_mixing_awkward(spark):
     df = awkward_docs(spark, extra=True)
     got = mixing.mix(df)
@@ -293,6 +301,28 @@ def test_warc_awkward_pages_and_rolling(spark):
     assert warc.query(pages.limit(0)).count() == 0
 
 
+def test_warc_shards_hold_skewed_ids(spark, monkeypatch):
+    """A far id, ids of the whole range, a third of rows without id and a repeated id: no shard takes them all."""
+    monkeypatch.setattr(warc, "CELLS", 16)
+    monkeypatch.setattr(warc, "SPLIT_BITS", 2)
+    rows = [(i, "u", f"page {i} " * 20) for i in range(-300, 300)]
+    rows += [(None, "u", f"none {i % 250} " * 20) for i in range(400)] + [(7, "u", f"seven {i} " * 20) for i in range(300)]
+    rows += [(2 ** 63 - 1, "far", None), (-2 ** 63, "far", "x" * 200), (10 ** 15, "far", "x" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    files = warc.write(pages, shared_path(spark, "warc-test"), shard_rows=50)
+    assert files.groupBy("shard").agg(F.sum("records").alias("n")).agg(F.max("n")).first()[0] <= 200
+    got = warc.read(files.inputFiles()[0].split("/manifest")[0].removeprefix("file://").removeprefix("file:"), files).collect()
+    assert collections.Counter(r["page_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["payload_digest"]].append(r)
+    for same in by.values():  # one response of least id for each payload that counts
+        if same[0]["payload_bytes"] >= 100:
+            assert sum(r["record_type"] == "response" for r in same) == 1
+            ids = [r["page_id"] for r in same if r["page_id"] is not None]
+            assert all(r["refers_to"] == (min(ids) if ids else None) for r in same if r["record_type"] == "revisit")
+
+
 def test_warc_files_do_not_depend_on_layout(spark):
     pages = read_table(spark, SF, "pages")
     names = []
