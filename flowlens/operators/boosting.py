@@ -1,12 +1,14 @@
 """ML2: multinomial gradient boosting, one softmax over all classes.
 
 Rows are binned once (at most ``BINS`` bins a feature, edges from a quantile sketch of all
-rows) and stored with the margins of their classes.  A round grows one tree per class, all
-of them level by level together: a pass over the stored rows gives every task's sums of
+rows) and stored with the margins of their classes, ``BLOCK_ROWS`` to a record, so that a
+pass takes whole arrays out of the table and not rows.  A round grows one tree per class, all
+of them level by level together: a pass over the stored blocks gives every task's sums of
 gradients by (class, node, feature, bin), Spark adds them up, and the driver picks the
 splits from that table.  Its size is classes x nodes x features x bins whatever the rows,
-and is checked.  The sums are whole numbers (gradients in units of 2**-20), so reruns and
-lost executors give the same trees.
+and is checked.  Of two children only the one with fewer rows is summed: the other is their
+parent less that one, exactly, for the sums are whole numbers (gradients in units of 2**-20);
+so reruns and lost executors give the same trees, too.
 
 A pass applies the trees since the margins were last stored, every ``KEEP`` rounds; the
 table before is deleted then.
@@ -40,12 +42,12 @@ from flowlens.operators.common import dropped, stored
 
 BINS = 32
 UNIT = float(1 << 20)       # gradients are summed in parts of this
-KEEP = 10                   # rounds between stored margins
+KEEP = 5                    # rounds between stored margins
+BLOCK_ROWS = 32_768         # rows of a stored record
 TASK_ROWS = 50_000          # rows worth a task of their own
 MAX_CELLS = 20_000_000      # of a level's table of sums: more is an error
 RIDGE = 1e-3                # added to the second derivatives
-BLOCK = 1 << 21             # (row, tree) pairs routed at once
-ROWS = "bins binary, label int, weight double, margin binary"
+ROWS = "bins binary, label binary, weight binary, margin binary"  # arrays of a block, row after row innermost
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -54,71 +56,89 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 
 def routed(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """(rows, trees): the place within level ``levels`` where each row ends; trees are (trees, nodes) arrays."""
-    trees = np.arange(feature.shape[0])
-    rows = np.arange(bins.shape[0])[:, None]
-    at = np.zeros((bins.shape[0], feature.shape[0]), np.int64)
-    for level in range(levels):
-        node = at + (1 << level) - 1
-        at = 2 * at + (bins[rows, feature[trees, node]] > cut[trees, node])
-    return at
+    """The place within level ``levels`` where each row of (features, rows) bins ends in one tree.
+
+    Places come from the bottom up: at every node a choice between the places in its two halves,
+    by bits of small integers.
+    """
+    kind = np.uint8 if levels <= 8 else np.uint32
+    none = np.zeros(bins.shape[1], kind)
+
+    def below(node: int, left: int) -> np.ndarray:
+        if not left:
+            return none
+        low = below(2 * node + 1, left - 1)
+        if cut[node] >= BINS:
+            return low
+        right = (bins[feature[node]] > cut[node]).astype(kind, copy=False)
+        if left == 1:
+            return right
+        high = below(2 * node + 2, left - 1) | kind(1 << (left - 1))
+        return low ^ ((low ^ high) & np.negative(right))
+
+    return below(0, levels)
 
 
 def margins(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, leaf: np.ndarray, classes: int) -> np.ndarray:
-    """Sums of the leaves of trees (rounds x classes, nodes) by class."""
-    out = np.zeros((bins.shape[0], classes))
+    """(classes, rows): sums of the leaves of trees (rounds x classes, nodes) by class."""
+    out = np.zeros((classes, bins.shape[1]))
     if not feature.size:
         return out
     levels = leaf.shape[1].bit_length() - 1
-    step = max(1, BLOCK // feature.shape[0])
-    for a in range(0, bins.shape[0], step):
-        at = routed(bins[a:a + step], feature, cut, levels)
-        values = leaf[np.arange(feature.shape[0]), at]
-        out[a:a + step] = values.reshape(at.shape[0], -1, classes).sum(1)
+    for t in range(feature.shape[0]):
+        out[t % classes] += leaf[t].take(routed(bins, feature[t], cut[t], levels))
     return out
 
 
-def softmax(m: np.ndarray) -> np.ndarray:
-    e = np.exp(m - m.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def softmax(m: np.ndarray, axis: int = 1) -> np.ndarray:
+    e = np.exp(m - m.max(axis, keepdims=True))
+    return e / e.sum(axis, keepdims=True)
 
 
-class _Rows:
-    """A batch of stored rows."""
+class _Block:
+    """A stored record: (features, rows) bins, (classes, rows) margins, a label and a weight a row."""
 
-    def __init__(self, b: pa.RecordBatch, features: int, classes: int):
-        n = b.num_rows
-        self.bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(n, features)
-        self.margin = np.frombuffer(b"".join(b.column("margin").to_pylist()), np.float64).reshape(n, classes)
-        self.label = b.column("label").to_numpy()
-        self.weight = b.column("weight").to_numpy()
+    def __init__(self, b: pa.RecordBatch, at: int, features: int, classes: int):
+        array = lambda c, kind: np.frombuffer(b.column(c)[at].as_buffer(), kind)
+        self.label, self.weight = array("label", np.int32), array("weight", np.float64)
+        self.bins = array("bins", np.uint8).reshape(features, -1)
+        self.margin = array("margin", np.float64).reshape(classes, -1)
 
 
-def level_sums(rows: DataFrame, recent: tuple, growing: tuple, level: int, features: int, classes: int) -> np.ndarray:
-    """(gradients, second derivatives, rows) by (class, node of the level, feature, bin)."""
-    nodes = 1 << level
-    shape = (classes, nodes, features, BINS)
+def level_sums(rows: DataFrame, recent: tuple, growing: tuple, level: int, counted: np.ndarray, features: int,
+               classes: int) -> np.ndarray:
+    """(gradients, second derivatives, rows) by (class, node of the level, feature, bin) of the
+    ``counted`` (class, node) pairs; 0 for the others."""
+    shape = (*counted.shape, features, BINS)
     cells = int(np.prod(shape))
     if cells > MAX_CELLS:
         raise ValueError(f"{cells} sums a level (classes x nodes x features x bins) exceed {MAX_CELLS}")
+    # Counted nodes of a class have the places 0, 1, ... in its sums, the others none (-1).
+    place = np.where(counted, np.cumsum(counted, 1) - 1, -1)
+    width = counted.sum(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, classes, features, nodes * BINS))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            r = _Rows(b, features, classes)
-            p = softmax(r.margin + margins(r.bins, *recent, classes))
-            g = np.rint(((np.arange(classes) == r.label[:, None]) - p) * r.weight[:, None] * UNIT)
-            h = np.rint(p * (1 - p) * r.weight[:, None] * UNIT)
-            at = routed(r.bins, *growing, level) * BINS
-            for k in range(classes):
-                for f in range(features):
-                    cell = at[:, k] + r.bins[:, f]
-                    sums[0, k, f] += np.bincount(cell, g[:, k], nodes * BINS)
-                    sums[1, k, f] += np.bincount(cell, h[:, k], nodes * BINS)
-                    sums[2, k, f] += np.bincount(cell, minlength=nodes * BINS)
-        flat = sums.reshape(3, classes, features, nodes, BINS).transpose(0, 1, 3, 2, 4).reshape(3, -1).astype(np.int64)
+        sums = [np.zeros((3, features, w * BINS)) for w in width]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = _Block(batch, i, features, classes)
+                p = softmax(b.margin + margins(b.bins, *recent, classes), 0)
+                for k in np.flatnonzero(width):
+                    at = place[k].take(routed(b.bins, growing[0][k], growing[1][k], level))
+                    own = None if at.min() >= 0 else np.flatnonzero(at >= 0)
+                    mine = (lambda x: x) if own is None else (lambda x: x.take(own))  # noqa: B023
+                    q, w, at = mine(p[k]), mine(b.weight) * UNIT, mine(at) * BINS
+                    g = np.rint(((mine(b.label) == k) - q) * w)
+                    h = np.rint(q * (1 - q) * w)
+                    for f in range(features):
+                        cell = at + mine(b.bins[f])
+                        sums[k][0, f] += np.bincount(cell, g, width[k] * BINS)
+                        sums[k][1, f] += np.bincount(cell, h, width[k] * BINS)
+                        sums[k][2, f] += np.bincount(cell, minlength=width[k] * BINS)
+        out = np.zeros((3, *shape), np.int64)
+        for k, s in enumerate(sums):
+            out[:, k, counted[k]] = s.reshape(3, features, -1, BINS).transpose(0, 2, 1, 3)
+        flat = out.reshape(3, -1)
         cell = np.flatnonzero(flat[2])
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cell, *flat[:, cell])], ["cell", "g", "h", "n"])
 
@@ -156,8 +176,13 @@ def grown(rows: DataFrame, recent: tuple, features: int, classes: int, depth: in
     gains = np.zeros(features)
     active = np.ones((classes, 1), bool)
     step = lambda s: rate * (classes - 1) / classes * s[0] / (s[1] + RIDGE)
+    counted, parents = active, None
     for level in range(depth):
-        sums = level_sums(rows, recent, (feature, cut), level, features, classes)
+        sums = level_sums(rows, recent, (feature, cut), level, counted, features, classes)
+        if parents is not None:
+            other = active & ~counted
+            k, node = np.nonzero(other)
+            sums[:, k, node] = parents[:, k, node >> 1] - sums[:, k, node ^ 1]
         gain, f, b = best_splits(sums, min_rows)
         split = active & (gain > 1e-9)
         first = (1 << level) - 1
@@ -173,9 +198,11 @@ def grown(rows: DataFrame, recent: tuple, features: int, classes: int, depth: in
         left = node << width
         leaf[k, left] = np.where(here, step(chosen), whole)
         leaf[k[here], left[here] + (1 << (width - 1))] = step(rest)[here]
-        active = np.repeat(split, 2, 1)
+        active, parents = np.repeat(split, 2, 1), sums
         if not active.any():
             break
+        counted = np.zeros_like(active)  # the child with fewer rows
+        counted[k[here], 2 * node[here] + (rest[2] < chosen[2])[here]] = True
     return feature, cut, leaf, gains
 
 
@@ -209,14 +236,14 @@ class BoostedTreesModel(Model, HasFeaturesCol, _State, DefaultParamsReadable, De
         s = self._fitted()
         edges = [np.array(e) for e in s["edges"]]
         prior = np.array(s["prior"])
-        trees = (np.array(s["feature"], np.uint8 if len(edges) < 256 else np.int64), np.array(s["cut"], np.uint8), np.array(s["leaf"]))
+        trees = (np.array(s["feature"], np.int64), np.array(s["cut"], np.uint8), np.array(s["leaf"]))
 
         @F.pandas_udf("array<double>")
         def probabilities(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=object)
-            bins = binned(np.stack(x.to_numpy()), edges)
-            return pd.Series(list(softmax(prior + margins(bins, *trees, prior.size))))
+            bins = np.ascontiguousarray(binned(np.stack(x.to_numpy()), edges).T)
+            return pd.Series(list(softmax(prior + margins(bins, *trees, prior.size).T)))
 
         p = "_".join(["probabilities", *df.columns])  # a name that no column has
         return (df.withColumn(p, probabilities(vector_to_array(self.getFeaturesCol())))
@@ -270,23 +297,35 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, Default
         depth, features, classes = self.getOrDefault(self.depth), len(edges), prior.size
 
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+
+            def block() -> pa.RecordBatch:
+                bins, label, weight = (np.concatenate(x) for x in zip(*held))
+                margin = np.repeat(prior[:, None], len(label), 1)
+                arrays = (np.ascontiguousarray(bins.T), label, weight, margin)
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["bins", "label", "weight", "margin"])
+
             for b in batches:
                 if b.num_rows:
-                    x = np.stack(b.column("x").to_numpy(zero_copy_only=False))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r.tobytes() for r in binned(x, edges)]), b.column("label"), b.column("weight"),
-                         pa.array([prior.tobytes()] * b.num_rows)], ["bins", "label", "weight", "margin"])
+                    x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, features)
+                    held.append((binned(x, edges), b.column("label").to_numpy(), b.column("weight").to_numpy()))
+                    if sum(len(h[1]) for h in held) >= BLOCK_ROWS:
+                        yield block()
+            if held:
+                yield block()
 
         def moved(recent: tuple):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    if b.num_rows:
-                        r = _Rows(b, features, classes)
-                        m = r.margin + margins(r.bins, *recent, classes)
-                        yield b.set_column(3, "margin", pa.array([x.tobytes() for x in m]))
+                    for i in range(b.num_rows):
+                        r = _Block(b, i, features, classes)
+                        margin = r.margin + margins(r.bins, *recent, classes)
+                        yield b.slice(i, 1).set_column(3, "margin", pa.array([margin.tobytes()], pa.binary()))
             return run
 
-        table = stored(rows.mapInArrow(start, ROWS), "boosting-rows")
+        # Blocks are dealt to the tasks in turn, whatever the files that the rows came from.
+        table = stored(rows.mapInArrow(start, ROWS).repartition(tasks), "boosting-rows")
         trees, recent, gains = [], [], np.zeros(features)
         for done in range(self.getOrDefault(self.rounds) if classes > 1 else 0):
             if len(recent) == KEEP:

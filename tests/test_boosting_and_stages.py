@@ -93,6 +93,28 @@ def test_boosting_edge_cases(spark, case):
     assert worst < 1e-9 and out.count() == 60
 
 
+def test_boosting_passes_read_blocks_and_the_smaller_child(spark, monkeypatch):
+    records, summed = [], []
+    keep, sums = B.stored, B.level_sums
+
+    def counting(df, name):
+        out = keep(df, name)
+        records.append(out.count())
+        return out
+
+    def watched(rows, recent, growing, level, counted, *rest):
+        out = sums(rows, recent, growing, level, counted, *rest)
+        summed.append((level, out[2, :, :, 0].sum()))
+        return out
+
+    monkeypatch.setattr(B, "stored", counting)
+    monkeypatch.setattr(B, "level_sums", watched)
+    _, _, _, df = table(spark)
+    B.BoostedTrees(rounds=3, depth=3).fit(df.coalesce(2))
+    assert max(records) <= 2                                             # not a record a row
+    assert all(n <= 400 * 3 / (2 if level else 1) for level, n in summed)  # at most half the rows of each class
+
+
 def test_boosting_without_rows_is_an_error(spark):
     _, _, _, df = table(spark, 10)
     with pytest.raises(ValueError):
