@@ -143,3 +143,29 @@ def test_pipeline_with_own_stages_survives_a_reload(spark):
     assert (a.prediction == pdf.label).mean() > 0.95
     unseen = df.withColumn("proto", F.lit("icmp")).withColumn("src_bytes", F.lit(None).cast("double"))
     assert again.transform(unseen).count() == 200
+
+
+def test_rows_of_a_fit_are_dealt_by_their_number(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from flowlens.operators import models as M
+
+    monkeypatch.setattr(M, "FIT_ROWS", 100)
+    _, _, pdf, _ = table(spark)
+    df = spark.createDataFrame(pdf.drop(columns="x").assign(a=pdf.x.str[0], b=pdf.x.str[1], c=pdf.label.astype(int).astype(str)))
+    df = df.drop("label").coalesce(1)  # a scan of one file
+    parts = M.dealt(df, ["id", "w"]).rdd.glom().map(lambda rows: [r.id for r in rows]).collect()
+    assert len(parts) >= 4 and max(map(len, parts)) < 200 and sorted(sum(parts, [])) == list(range(400))
+    assert parts == M.dealt(df, ["id", "w"]).rdd.glom().map(lambda rows: [r.id for r in rows]).collect()
+    seen, fit = [], RandomForestClassifier._fit
+
+    def watched(self, rows):
+        seen.append((rows.rdd.getNumPartitions(), sorted(rows.columns)))
+        return fit(self, rows)
+
+    monkeypatch.setattr(RandomForestClassifier, "_fit", watched)
+    forest = M.fit_pipeline(df, ["a", "b"], M.random_forest("binary", weight="w").setNumTrees(5), "c")
+    assert seen == [(len(parts), ["features", "label", "w"])]
+    assert M.score(forest, df, keep=["id"]).count() == 400 and forest.stages[-1].numClasses == 3
+    boosted = M.fit_pipeline(df, ["a", "b"], M.boosted_ovr(rounds=1, depth=2), "c")
+    assert M.score(boosted, df, keep=["id"]).count() == 400
