@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import config as C
+from flowlens.operators.common import dropped, stored
 from flowlens.operators.selection import quantile_table
 
 
@@ -191,6 +192,21 @@ def isolation_scores(df: DataFrame, model: dict, keep: list[str], out: str = "an
 BATCH_ROWS = 8_192  # rows of a subgradient step, about: chosen by hash, others for every step
 
 
+def _embedded(x: list, model: dict):
+    """The components sqrt(2/D) cos(W x + b) of rows given as one array per feature, one array after another.
+
+    Sums go feature by feature, so a row's components do not depend on the rows beside it.
+    """
+    import numpy as np
+
+    scale = (2.0 / len(model["W"])) ** 0.5
+    for weights, b in zip(model["W"], model["b"]):
+        line = np.full(len(x[0]), b)
+        for v, w in zip(x, weights):
+            line += v * w
+        yield np.cos(line) * scale
+
+
 def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CONTAMINATION, n_components: int = 100,
                   steps: int = 30, lr: float = 0.5, batch_rows: int = BATCH_ROWS, seed: int = C.SEED) -> dict:
     """AD2 fit: RBF kernel approximated by random Fourier features, gamma = 1 / (d * Var(X)).
@@ -199,7 +215,9 @@ def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CO
     1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.z) - rho, by mini-batch subgradients: each step
     takes the rows whose hash falls into its slice (about ``batch_rows``), embeds them where
     they lie and adds up the embedding of the violators, so a task hands over ``n_components``
-    sums.  rho is finally the exact nu-quantile of w.z over all training rows.
+    sums.  The slices of all steps are picked out in one scan and stored, some
+    ``steps * batch_rows`` rows.  rho is finally the exact nu-quantile of w.z over all training
+    rows, whose w.z is stored for it.
     """
     from collections.abc import Iterator
 
@@ -225,6 +243,7 @@ def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CO
     model = {"features": features, "W": W.tolist(), "b": bias.tolist(), "gamma": gamma, "nu": nu}
     slices = max(1, st["n"] // batch_rows)
     slot = F.pmod(F.xxhash64(F.lit(seed), F.col("__key").cast("string")), F.lit(slices))
+    picked = stored(x.select(slot.alias("slot"), *[f"x{i}" for i in range(d)]).where(F.col("slot") <= steps), "one-class-slices")
 
     def sums(step: int, w, rho: float) -> "np.ndarray":
         """(rows, violators, sum of the violators' embedding) of the step's slice."""
@@ -238,7 +257,7 @@ def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CO
                 total += np.r_[len(z), viol.sum(), z[viol].sum(axis=0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total)], ["i", "x"])
 
-        own = x.where(slot == step % slices).drop("__key")
+        own = picked.where(F.col("slot") == step % slices).drop("slot")
         found = own.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(n_components + 2)
         out[[r["i"] for r in found]] = [r["x"] for r in found]
@@ -253,27 +272,38 @@ def fit_one_class(df: DataFrame, features: list[str], key: str, nu: float = C.CO
         w = w - step * (w - got[2:] / (nu * n))
         rho = rho - step * (got[1] / (nu * n) - 1.0)
     model.update({"w": w.tolist(), "rho": 0.0})
-    margins = one_class_scores(df, model, keep=[]).select("decision")
+    margins = stored(one_class_scores(df, model, keep=[]).select("decision"), "one-class-margins")
     model["rho"] = quantile_table(margins, ["decision"], [nu])["decision"][round(nu, 12)]
+    dropped(picked, margins)
     return model
 
 
-def embed(df: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """sqrt(2/D) cos(W x + b) as an array column ``z`` (JVM-side array arithmetic)."""
-    W, bias = model["W"], model["b"]
-    D = len(W)
-    xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in model["features"]]
-    comps = []
-    for j in range(D):
-        lin = sum((xs[i] * F.lit(float(W[j][i])) for i in range(len(xs))), F.lit(float(bias[j])))
-        comps.append(F.cos(lin) * F.lit((2.0 / D) ** 0.5))
-    return df.select(*keep, F.array(*comps).alias("z"))
+def one_class_scores(df: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """AD2 score: decision = w.z(x) - rho, prediction -1 when decision < 0.
 
+    Rows are embedded in Arrow batches, one component after another; a row's decision is the
+    same in every batch, run and pass.
+    """
+    from collections.abc import Iterator
 
-def one_class_scores(df: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """AD2 score: decision = w.z(x) - rho, prediction -1 when decision < 0."""
-    z = embed(df, model, keep)
-    margin = F.aggregate(F.zip_with(F.col("z"), F.array(*[F.lit(float(v)) for v in model["w"]]), lambda a, c: a * c),
-                         F.lit(0.0), lambda acc, v: acc + v)
-    return z.select(*keep, (margin - F.lit(model["rho"])).alias("decision")).withColumn(
-        "prediction", F.when(F.col("decision") < 0, -1).otherwise(1))
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from flowlens.session import ensure_python_package
+
+    ensure_python_package(df.sparkSession)
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [c.to_numpy(zero_copy_only=False) for c in b.columns[n:]]
+            margin = np.zeros(b.num_rows)
+            for z, w in zip(_embedded(x, model), model["w"]):
+                margin += z * w
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(margin - model["rho"])], [*keep, "decision"])
+
+    # Feature columns travel under private names so they never clash with kept columns.
+    clean = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__f_{i}") for i, c in enumerate(model["features"])])
+    schema = T.StructType([*clean.schema.fields[:n], T.StructField("decision", T.DoubleType())])
+    return clean.mapInArrow(run, schema).withColumn("prediction", F.when(F.col("decision") < 0, -1).otherwise(1))
