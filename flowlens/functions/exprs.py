@@ -60,7 +60,17 @@ def round_binary(c: Column, digits: int = 6) -> Column:
     """
     scale = float(10 ** digits)
     x = c.cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(F.round(x * F.lit(scale)) / F.lit(scale))
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(round_half_up(x * F.lit(scale)) / F.lit(scale))
+
+
+def round_half_up(x: Column) -> Column:
+    """round(x) of a double, halves away from zero, in plain arithmetic: Spark's own writes every
+    value as decimal text and reads it back.  ``rint`` takes halves to the even side, and the
+    difference to it is exact."""
+    size = F.abs(x)
+    near = F.rint(size)
+    whole = near + F.when(size - near == 0.5, 1.0).otherwise(0.0)
+    return F.when(x < 0, 0.0 - whole).otherwise(whole)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -107,10 +107,12 @@ class FeatureModel:
         # FE12 / FE13: constant entropy columns.
         for name, value in sorted(s["entropies"].items()):
             cols.append(F.lit(value).cast("double").alias(name))
-        out = df.select(*cols)
         if with_percentile and s["stat_columns"]:
-            out = percentile_ranks(out, s["stat_columns"], s.get("percentile_suffix", "_percentile"), key=s.get("key"))
-        return out
+            # Looked up before the features are made: the joins carry the columns of ``df`` only.
+            suffix = s.get("percentile_suffix", "_percentile")
+            df = percentile_ranks(df, s["stat_columns"], suffix, key=s.get("key"))
+            cols += [F.col(quote(f"{c}{suffix}")) for c in s["stat_columns"]]
+        return df.select(*cols)
 
 
 RANK_ROW_BYTES = 64  # of a hashed (value, rank) pair, generously

@@ -6,6 +6,8 @@ from __future__ import annotations
 from flowlens import config as C
 from flowlens.operators import features as FE
 from flowlens.operators import labelling as LB
+from flowlens.operators import models as M
+from flowlens.operators.common import stored
 from flowlens.plans.q_labels import LB1_SQL
 from flowlens.plans.registry import ORACLE, query
 from flowlens.sources import tables
@@ -16,8 +18,9 @@ STAT = ["duration", "src_bytes", "dst_bytes", "count", "srv_count", "serror_rate
 
 
 def fe_frame(spark, sf_dir):
-    """KDD-named flow columns (conn_count -> count) plus the binary label."""
-    f = LB.prepare_labels(tables.flows(spark, sf_dir), KDD, "kdd").withColumnRenamed("conn_count", "count")
+    """KDD-named flow columns (conn_count -> count) plus the binary label, in tasks for their rows."""
+    events = M.spread(tables.read_table(spark, sf_dir, "events", tables.FLOW_COLUMNS))
+    f = LB.prepare_labels(tables.flows(spark, sf_dir, events), KDD, "kdd").withColumnRenamed("conn_count", "count")
     return f.select("flow_id", "protocol_type", "service", "flag", *STAT, "unified_label")
 
 
@@ -149,8 +152,9 @@ def _all_families_sql() -> str:
 
 @query("FE_all_families", _all_families_sql())
 def fe_all(spark, sf_dir):
-    """Every family on the whole frame (statistics fitted on the same frame)."""
-    return FE.create_advanced_features(fe_frame(spark, sf_dir), exclude=["flow_id", "unified_label"], key="flow_id", **COLUMNS)
+    """Every family on the whole frame (statistics fitted on the same frame), stored once for its passes."""
+    fe = stored(fe_frame(spark, sf_dir), "flow-frame")
+    return FE.create_advanced_features(fe, exclude=["flow_id", "unified_label"], key="flow_id", **COLUMNS)
 
 
 @query("FE15_pca_variance")

@@ -5,8 +5,11 @@ from paths import SF_SMALL
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from flowlens.functions.exprs import round_binary, round_half_up
 from flowlens.operators import anomaly as AD
+from flowlens.operators import features as FE
 from flowlens.operators import models as M
+from flowlens.plans import q_features as QF
 from flowlens.plans import q_models as QM
 
 
@@ -86,3 +89,24 @@ def test_models_are_evaluated_together_as_one_by_one(spark):
     for row, (m, s) in zip(both, sorted(scored.items()), strict=True):
         alone = M.evaluate_scored(s, "c", m, ["a", "b", "c"]).first().asDict()
         assert row["model"] == m and all(abs(row[c] - alone[c]) < 1e-12 for c in ("accuracy", "precision", "recall", "f1", "auc"))
+
+
+def test_feature_frames_have_tasks_for_their_rows_and_ranks_join_narrow_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "FIT_ROWS", 100)
+    frame = QF.fe_frame(spark, SF_SMALL)
+    assert frame.count() == 1000 and frame.rdd.getNumPartitions() >= 10
+    joined, ranks = [], FE.percentile_ranks
+    monkeypatch.setattr(FE, "percentile_ranks", lambda df, *a, **k: joined.append(df.columns) or ranks(df, *a, **k))
+    out = FE.create_advanced_features(frame, exclude=["flow_id", "unified_label"], key="flow_id", **QF.COLUMNS)
+    assert joined == [frame.columns]
+    assert out.columns[:len(frame.columns)] == frame.columns and out.columns[-len(QF.STAT):] == [f"{c}_percentile" for c in QF.STAT]
+
+
+def test_rounding_is_plain_arithmetic_with_the_values_of_round(spark):
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.3, -0.0, 4503599627370495.5, 9007199254740993.0, 1e300, 5e-324,
+              None, float("inf"), float("nan"), *[i / 8 for i in range(-40, 40)]]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for r in df.select(F.round("x").cast("string").alias("a"), round_half_up(F.col("x")).cast("string").alias("b")).collect():
+        assert r.a == r.b
+    plan = df.select(round_binary(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
