@@ -1,4 +1,4 @@
-"""ML2: multinomial gradient boosting, one softmax over all classes.
+"""ML2: gradient boosting of all classes together: one softmax over them, or one against the rest.
 
 Rows are binned once (at most ``BINS`` bins a feature, edges from a quantile sketch of all
 rows) and stored with the margins of their classes, ``BLOCK_ROWS`` to a record, so that a
@@ -18,6 +18,12 @@ the first feature and bin; bins up to the split go left.  Leaf: (K - 1) / K x su
 gradients / sum of p (1 - p), times the rate.  Rows without a class or with a weight of 0 or
 less teach nothing; one class gives probability 1.  Features are numbers; an indexed
 category counts by its index.
+
+One against the rest (``ONE_VS_REST``) gives every class the binary model that Spark ML's
+``GBTClassifier`` fits: labels of -1 and 1, the loss 2 log(1 + exp(-2 y F)), a first tree on the
+labels and then trees on the residuals times the rate, splits by variance, leaves that are
+means, and indexed categories split as sets (in order of their means).  The classes share
+their passes, so a round costs as many passes as its trees have levels, whatever their number.
 """
 
 from __future__ import annotations
@@ -43,10 +49,13 @@ from flowlens.operators.common import dropped, stored
 BINS = 32
 UNIT = float(1 << 20)       # gradients are summed in parts of this
 KEEP = 5                    # rounds between stored margins
-BLOCK_ROWS = 32_768         # rows of a stored record
+BLOCK_ROWS = 32_767         # rows of a stored record at most (a larger Arrow batch stays whole)
 TASK_ROWS = 50_000          # rows worth a task of their own
 MAX_CELLS = 20_000_000      # of a level's table of sums: more is an error
 RIDGE = 1e-3                # added to the second derivatives
+SOFTMAX, ONE_VS_REST = "softmax", "one_vs_rest"
+ROW = float(1 << 38)        # a row beside its gradient, below 4 UNIT: exact for BLOCK_ROWS rows
+FINE = 1024                 # steps in which a feature with at most BINS values shows them all
 ROWS = "bins binary, label binary, weight binary, margin binary"  # arrays of a block, row after row innermost
 
 
@@ -55,6 +64,15 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)], 1).astype(np.uint8)
 
 
+def _as_cut(right: np.ndarray) -> int:
+    """The cut of a set of bins that go right: above BINS, where no cut of an ordered feature lies."""
+    return BINS + int((1 << right.astype(np.int64)).sum())
+
+
+def _members(cut: int) -> np.ndarray:
+    return (cut - BINS >> np.arange(BINS) & 1).astype(np.uint8)
+
+
 def routed(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
     """The place within level ``levels`` where each row of (features, rows) bins ends in one tree.
 
@@ -67,10 +85,11 @@ def routed(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int)
     def below(node: int, left: int) -> np.ndarray:
         if not left:
             return none
-        low = below(2 * node + 1, left - 1)
-        if cut[node] >= BINS:
+        low, at = below(2 * node + 1, left - 1), int(cut[node])
+        if at == BINS:
             return low
-        right = (bins[feature[node]] > cut[node]).astype(kind, copy=False)
+        own = bins[feature[node]]
+        right = (own > at if at < BINS else _members(at).take(own)).astype(kind, copy=False)
         if left == 1:
             return right
         high = below(2 * node + 2, left - 1) | kind(1 << (left - 1))
@@ -106,7 +125,7 @@ class _Block:
 
 
 def level_sums(rows: DataFrame, recent: tuple, growing: tuple, level: int, counted: np.ndarray, features: int,
-               classes: int) -> np.ndarray:
+               classes: int, loss: str = SOFTMAX, first: bool = False) -> np.ndarray:
     """(gradients, second derivatives, rows) by (class, node of the level, feature, bin) of the
     ``counted`` (class, node) pairs; 0 for the others."""
     shape = (*counted.shape, features, BINS)
@@ -122,16 +141,29 @@ def level_sums(rows: DataFrame, recent: tuple, growing: tuple, level: int, count
         for batch in batches:
             for i in range(batch.num_rows):
                 b = _Block(batch, i, features, classes)
-                p = softmax(b.margin + margins(b.bins, *recent, classes), 0)
+                m = b.margin + margins(b.bins, *recent, classes)
+                p = softmax(m, 0) if loss == SOFTMAX else m
+                # Second derivatives are the rows where all weigh 1.
+                counts = loss == ONE_VS_REST and b.label.size <= BLOCK_ROWS and (b.weight == 1).all()
                 for k in np.flatnonzero(width):
                     at = place[k].take(routed(b.bins, growing[0][k], growing[1][k], level))
                     own = None if at.min() >= 0 else np.flatnonzero(at >= 0)
                     mine = (lambda x: x) if own is None else (lambda x: x.take(own))  # noqa: B023
                     q, w, at = mine(p[k]), mine(b.weight) * UNIT, mine(at) * BINS
-                    g = np.rint(((mine(b.label) == k) - q) * w)
-                    h = np.rint(q * (1 - q) * w)
+                    if loss == SOFTMAX:
+                        g = np.rint(((mine(b.label) == k) - q) * w)
+                        h = np.rint(q * (1 - q) * w)
+                    else:
+                        y = np.where(mine(b.label) == k, 1.0, -1.0)
+                        g, h = np.rint((y if first else 4 * y / (1 + np.exp(2 * y * q))) * w), np.rint(w)
+                    packed = g + ROW
                     for f in range(features):
                         cell = at + mine(b.bins[f])
+                        if counts:  # rows and gradients in one sum
+                            both = np.bincount(cell, packed, width[k] * BINS)
+                            n = np.rint(both / ROW)
+                            sums[k][:, f] += both - n * ROW, n * UNIT, n
+                            continue
                         sums[k][0, f] += np.bincount(cell, g, width[k] * BINS)
                         sums[k][1, f] += np.bincount(cell, h, width[k] * BINS)
                         sums[k][2, f] += np.bincount(cell, minlength=width[k] * BINS)
@@ -150,13 +182,23 @@ def level_sums(rows: DataFrame, recent: tuple, growing: tuple, level: int, count
     return out.reshape(3, *shape)
 
 
-def best_splits(sums: np.ndarray, min_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_means(sums: np.ndarray, sets: list[int]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The sums with the bins of the features ``sets`` in order of their means (those without rows last), and these orders."""
+    out, orders = sums.copy(), {}
+    for f in sets:
+        g, h, n = sums[:, :, :, f]
+        orders[f] = np.argsort(np.where(n > 0, g / np.maximum(h, 1e-300), np.inf), -1, kind="stable")
+        out[:, :, :, f] = np.take_along_axis(sums[:, :, :, f], orders[f][None], -1)
+    return out, orders
+
+
+def best_splits(sums: np.ndarray, min_rows: int, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gain, feature, last bin of the left side) for every (class, node)."""
     below = np.cumsum(sums, -1)
     g, h, n = below
     total = below[..., -1:]
     rest = total - below
-    score = lambda s: s[0] ** 2 / (s[1] + RIDGE)
+    score = lambda s: s[0] ** 2 / (s[1] + ridge)
     gain = score(below) + score(rest) - score(total)
     gain = np.where((n >= min_rows) & (rest[2] >= min_rows), gain, -np.inf)
     flat = gain.reshape(*gain.shape[:2], -1)
@@ -165,7 +207,8 @@ def best_splits(sums: np.ndarray, min_rows: int) -> tuple[np.ndarray, np.ndarray
 
 
 def grown(rows: DataFrame, recent: tuple, features: int, classes: int, depth: int, rate: float,
-          min_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+          min_rows: int, loss: str = SOFTMAX, first: bool = False,
+          sets: list[int] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One tree per class as (classes, nodes) arrays of features, cuts and leaves, and the gains by feature.
 
     A node that is not split sends its rows to the left, so every tree has all leaves.
@@ -175,21 +218,26 @@ def grown(rows: DataFrame, recent: tuple, features: int, classes: int, depth: in
     leaf = np.zeros((classes, 1 << depth))
     gains = np.zeros(features)
     active = np.ones((classes, 1), bool)
-    step = lambda s: rate * (classes - 1) / classes * s[0] / (s[1] + RIDGE)
+    ridge = RIDGE if loss == SOFTMAX else 1e-300
+    scale = rate * (classes - 1) / classes if loss == SOFTMAX else 1.0 if first else rate
+    step = lambda s: scale * s[0] / (s[1] + ridge)
     counted, parents = active, None
     for level in range(depth):
-        sums = level_sums(rows, recent, (feature, cut), level, counted, features, classes)
+        sums = level_sums(rows, recent, (feature, cut), level, counted, features, classes, loss, first)
         if parents is not None:
             other = active & ~counted
             k, node = np.nonzero(other)
             sums[:, k, node] = parents[:, k, node >> 1] - sums[:, k, node ^ 1]
-        gain, f, b = best_splits(sums, min_rows)
+        ordered, orders = by_means(sums, sets)
+        gain, f, b = best_splits(ordered, min_rows, ridge)
         split = active & (gain > 1e-9)
-        first = (1 << level) - 1
-        feature[:, first:first + split.shape[1]] = np.where(split, f, 0)
-        cut[:, first:first + split.shape[1]] = np.where(split, b, BINS)
+        start = (1 << level) - 1
+        feature[:, start:start + split.shape[1]] = np.where(split, f, 0)
+        cut[:, start:start + split.shape[1]] = np.where(split, b, BINS)
+        for k, node in zip(*np.nonzero(split & np.isin(f, list(sets)))):
+            cut[k, start + node] = _as_cut(orders[f[k, node]][k, node, b[k, node] + 1:])
         np.add.at(gains, f[split], gain[split])
-        below = np.cumsum(sums, -1)
+        below = np.cumsum(ordered, -1)
         k, node = np.nonzero(active)
         whole = step(below[:, k, node, 0, -1])
         chosen = below[:, k, node, f[k, node], b[k, node]]
@@ -218,7 +266,8 @@ class _State(Params):
 
 
 class BoostedTreesModel(Model, HasFeaturesCol, _State, DefaultParamsReadable, DefaultParamsWritable):
-    """Fitted trees; adds ``probability`` and ``prediction`` (ties to the first class)."""
+    """Fitted trees; adds ``probability`` (one against the rest: the classes' margins as ``rawPrediction``)
+    and ``prediction`` (ties to the first class)."""
 
     def _fitted(self) -> dict:
         return json.loads(self.getOrDefault(self.state))
@@ -236,35 +285,38 @@ class BoostedTreesModel(Model, HasFeaturesCol, _State, DefaultParamsReadable, De
         s = self._fitted()
         edges = [np.array(e) for e in s["edges"]]
         prior = np.array(s["prior"])
-        trees = (np.array(s["feature"], np.int64), np.array(s["cut"], np.uint8), np.array(s["leaf"]))
+        last, out = (softmax, "probability") if s.get("loss", SOFTMAX) == SOFTMAX else (np.asarray, "rawPrediction")
+        trees = (np.array(s["feature"], np.int64), np.array(s["cut"], np.int64), np.array(s["leaf"]))
 
         @F.pandas_udf("array<double>")
-        def probabilities(x: pd.Series) -> pd.Series:
+        def scores(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=object)
             bins = np.ascontiguousarray(binned(np.stack(x.to_numpy()), edges).T)
-            return pd.Series(list(softmax(prior + margins(bins, *trees, prior.size).T)))
+            return pd.Series(list(last(prior + margins(bins, *trees, prior.size).T)))
 
-        p = "_".join(["probabilities", *df.columns])  # a name that no column has
-        return (df.withColumn(p, probabilities(vector_to_array(self.getFeaturesCol())))
-                .withColumn("probability", array_to_vector(p))
+        p = "_".join(["scores", *df.columns])  # a name that no column has
+        return (df.withColumn(p, scores(vector_to_array(self.getFeaturesCol())))
+                .withColumn(out, array_to_vector(p))
                 .withColumn("prediction", (F.array_position(p, F.array_max(p)) - 1).cast("double")).drop(p))
 
 
 class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, DefaultParamsReadable, DefaultParamsWritable):
-    """ML2: multinomial boosted trees on a vector of features and a label index from 0."""
+    """ML2: boosted trees of all classes on a vector of features and a label index from 0."""
 
-    deals_rows = True  # among its own tasks, in blocks
+    scans_rows = True  # several times before it has blocks of them
 
     rounds = Param(Params._dummy(), "rounds", "trees per class", typeConverter=TypeConverters.toInt)
     depth = Param(Params._dummy(), "depth", "levels of splits", typeConverter=TypeConverters.toInt)
     rate = Param(Params._dummy(), "rate", "learning rate", typeConverter=TypeConverters.toFloat)
     minRows = Param(Params._dummy(), "minRows", "least rows of a child", typeConverter=TypeConverters.toInt)
+    loss = Param(Params._dummy(), "loss", f"{SOFTMAX} or {ONE_VS_REST}", typeConverter=TypeConverters.toString)
 
     def __init__(self, label: str = "label", weight: str | None = None, rounds: int = C.GBT_PRESET[0],
-                 depth: int = C.GBT_PRESET[1], rate: float = C.GBT_PRESET[2], min_rows: int = 1):
+                 depth: int = C.GBT_PRESET[1], rate: float = C.GBT_PRESET[2], min_rows: int = 1,
+                 loss: str = SOFTMAX):
         super().__init__()
-        self._set(labelCol=label, featuresCol="features", rounds=rounds, depth=depth, rate=rate, minRows=min_rows)
+        self._set(labelCol=label, featuresCol="features", rounds=rounds, depth=depth, rate=rate, minRows=min_rows, loss=loss)
         if weight:
             self._set(weightCol=weight)
 
@@ -277,26 +329,47 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, Default
         if head is None:
             raise ValueError("no row with a class and a weight")
         # One scan for a sketch of every feature, two for the classes and their weights.
-        ranks = [i / BINS for i in range(1, BINS)]
+        loss = self.getOrDefault(self.loss)
+        ranks = [i / FINE for i in range(1, FINE)]
         sketch = rows.select(*[F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]).alias(f"x{i}") for i in range(head["n"])])
         found = sketch.agg(*[F.percentile_approx(c, ranks, 10_000).alias(c) for c in sketch.columns]).first()
-        edges = [sorted(set(e or ())) for e in found]
+        sets = self._sets(df) if loss == ONE_VS_REST else {}
+        edges = [self._edges(e or [], loss, sets.get(i)) for i, e in enumerate(found)]
         classes = rows.agg(F.max("label")).first()[0] + 1
         if classes * len(edges) * BINS > MAX_CELLS:
             raise ValueError(f"{classes} classes are too many")
         share = rows.groupBy("label").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
         weights = {r["label"]: r["w"] for r in share}
-        prior = np.log(np.maximum([weights.get(k, 0.0) for k in range(classes)], 1e-9) / sum(weights.values()))
+        prior = np.zeros(classes) if loss == ONE_VS_REST else np.log(np.maximum([weights.get(k, 0.0) for k in range(classes)], 1e-9) / sum(weights.values()))
         # One task for a small table; on large ones as many as the cluster runs twice over, so
         # that the sums of a level do not grow with the number of files.
         tasks = max(1, min(sum(r["n"] for r in share) // TASK_ROWS, 2 * df.sparkSession.sparkContext.defaultParallelism))
-        feature, cut, leaf, gains = self._trees(rows, [np.array(e) for e in edges], prior, tasks)
-        state = {"edges": edges, "prior": prior.tolist(), "gains": gains.tolist(), "feature": feature.tolist(),
+        feature, cut, leaf, gains = self._trees(rows, [np.array(e) for e in edges], prior, tasks, sorted(sets))
+        state = {"loss": loss, "edges": edges, "prior": prior.tolist(), "gains": gains.tolist(), "feature": feature.tolist(),
                  "cut": cut.tolist(), "leaf": leaf.tolist()}
         return BoostedTreesModel()._set(featuresCol=self.getFeaturesCol(), state=json.dumps(state))
 
-    def _trees(self, rows: DataFrame, edges: list[np.ndarray], prior: np.ndarray, tasks: int) -> tuple:
+    def _sets(self, df: DataFrame) -> dict[int, int]:
+        """{feature: number of categories} of the indexed categories, which the vector's metadata list."""
+        attrs = df.schema[self.getFeaturesCol()].metadata.get("ml_attr", {}).get("attrs", {})
+        sizes = {a["idx"]: len(a["vals"]) if "vals" in a else a["num_vals"] for a in attrs.get("nominal", [])}
+        if max(sizes.values(), default=0) > BINS:
+            raise ValueError(f"a category with more than {BINS} values (of Spark ML's trees, too): {sizes}")
+        return sizes
+
+    @staticmethod
+    def _edges(found: list[float], loss: str, categories: int | None) -> list[float]:
+        """Upper ends of the bins: of each category, of each value where few are found, of equal shares else."""
+        if categories is not None:
+            return [float(i) for i in range(categories - 1)]
+        values = sorted(set(found))
+        if loss == ONE_VS_REST and len(values) <= BINS:
+            return values[:BINS - 1]
+        return sorted(set(found[FINE // BINS - 1::FINE // BINS]))
+
+    def _trees(self, rows: DataFrame, edges: list[np.ndarray], prior: np.ndarray, tasks: int, sets: list[int]) -> tuple:
         depth, features, classes = self.getOrDefault(self.depth), len(edges), prior.size
+        loss = self.getOrDefault(self.loss)
 
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
@@ -309,11 +382,11 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, Default
                 return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["bins", "label", "weight", "margin"])
 
             for b in batches:
+                if held and sum(len(h[1]) for h in held) + b.num_rows > BLOCK_ROWS:
+                    yield block()
                 if b.num_rows:
                     x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, features)
                     held.append((binned(x, edges), b.column("label").to_numpy(), b.column("weight").to_numpy()))
-                    if sum(len(h[1]) for h in held) >= BLOCK_ROWS:
-                        yield block()
             if held:
                 yield block()
 
@@ -335,8 +408,8 @@ class BoostedTrees(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, Default
                 dropped(before)
                 recent = []
             tree = grown(table.coalesce(tasks), _joined(recent, depth), features, classes, depth,
-                         self.getOrDefault(self.rate), self.getOrDefault(self.minRows))
-            if not (tree[0].any() or (tree[1] < BINS).any()):
+                         self.getOrDefault(self.rate), self.getOrDefault(self.minRows), loss, not done, sets)
+            if loss == SOFTMAX and not (tree[0].any() or (tree[1] < BINS).any()):
                 break  # nothing left to split
             trees.append(tree[:3])
             recent.append(tree[:3])

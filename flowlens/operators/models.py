@@ -13,7 +13,7 @@ import time
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from flowlens import config as C
 from flowlens.functions.exprs import quote, safe_div
 from flowlens.operators import evaluate as EV
-from flowlens.operators.common import stored
+from flowlens.operators.boosting import ONE_VS_REST, BoostedTrees
+from flowlens.operators.common import dropped, stored
 from flowlens.operators.split import assign_folds
 
 log = logging.getLogger(__name__)
@@ -81,11 +82,10 @@ def random_forest(preset: str = "advanced", label: str = "label", weight: str |
 
 
 def boosted_ovr(label: str = "label", rounds: int = C.GBT_PRESET[0], depth: int = C.GBT_PRESET[1],
-                lr: float = C.GBT_PRESET[2], seed: int = C.SEED, parallelism: int = 4) -> OneVsRest:
-    """ML2: multiclass gradient boosting as one-vs-rest over binary GBTs."""
-    gbt = GBTClassifier(featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=lr, seed=seed)
-    # The binary models are independent: fit a few at once (bounded by the class count).
-    return OneVsRest(classifier=gbt, labelCol=label, featuresCol="features", parallelism=parallelism)
+                lr: float = C.GBT_PRESET[2]) -> BoostedTrees:
+    """ML2: multiclass gradient boosting as one-vs-rest over binary boosted trees (the model of Spark's
+    ``OneVsRest`` over ``GBTClassifier``), all classes in the same passes over the rows."""
+    return BoostedTrees(label, rounds=rounds, depth=depth, rate=lr, loss=ONE_VS_REST)
 
 
 def ovr_probabilities(df: DataFrame, raw_col: str = "rawPrediction", out: str = "probability") -> DataFrame:
@@ -183,13 +183,17 @@ def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
 def fit_stages(stages: list, train: DataFrame) -> PipelineModel:
     """A pipeline fitted stage by stage, as ``Pipeline`` does; its last stage gets its rows ``dealt``."""
     before = Pipeline(stages=stages[:-1]).fit(train)
-    rows, last = before.transform(train), stages[-1]
-    if not getattr(last, "deals_rows", False):
-        used = [last.getLabelCol(), last.getFeaturesCol()]
-        if last.hasParam("weightCol") and last.isSet("weightCol"):
-            used.append(last.getWeightCol())
-        rows = dealt(rows, used)
-    return PipelineModel([*before.stages, last.fit(rows)])
+    last = stages[-1]
+    used = [last.getLabelCol(), last.getFeaturesCol()]
+    if last.hasParam("weightCol") and last.isSet("weightCol"):
+        used.append(last.getWeightCol())
+    rows = dealt(before.transform(train), used)
+    if not getattr(last, "scans_rows", False):
+        return PipelineModel([*before.stages, last.fit(rows)])
+    rows = stored(rows, "fit-rows")
+    fitted = last.fit(rows)
+    dropped(rows)
+    return PipelineModel([*before.stages, fitted])
 
 
 def labels_of(model: PipelineModel) -> list[str]:

@@ -169,3 +169,30 @@ def test_rows_of_a_fit_are_dealt_by_their_number(spark, monkeypatch):
     assert M.score(forest, df, keep=["id"]).count() == 400 and forest.stages[-1].numClasses == 3
     boosted = M.fit_pipeline(df, ["a", "b"], M.boosted_ovr(rounds=1, depth=2), "c")
     assert M.score(boosted, df, keep=["id"]).count() == 400
+
+
+def test_one_vs_rest_is_the_model_of_spark_ml_in_shared_passes(spark, monkeypatch):
+    """The margins of Spark's OneVsRest over GBTClassifier, rare values and categories included; every
+    pass serves all classes."""
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.functions import vector_to_array
+
+    from flowlens.operators import boosting as B
+    from flowlens.operators import models as M
+
+    rng = np.random.default_rng(3)
+    a, b, c = rng.integers(0, 12, 600), rng.integers(0, 9, 600) / 8, rng.choice(list("uvwxyz"), 600, p=[.5, .2, .15, .1, .04, .01])
+    label = np.where(np.isin(c, ["v", "x"]) ^ (rng.random(600) < .1), np.where(a > 6, "p", "q"), np.where(b + rng.random(600) > .9, "r", "s"))
+    df = spark.createDataFrame([(i, float(x), float(y), str(z), str(t)) for i, (x, y, z, t) in enumerate(zip(a, b, c, label))],
+                               "id long, a double, b double, c string, t string")
+    passes, sums = [], B.level_sums
+    monkeypatch.setattr(B, "level_sums", lambda *x: passes.append(1) or sums(*x))
+    ours = M.fit_pipeline(df, ["a", "b"], M.boosted_ovr(rounds=5, depth=3), "t", categorical=["c"])
+    assert 5 <= len(passes) <= 5 * 3  # four classes
+    gbt = GBTClassifier(featuresCol="features", maxIter=5, maxDepth=3, stepSize=0.1)
+    theirs = M.fit_pipeline(df, ["a", "b"], OneVsRest(classifier=gbt, labelCol="label", featuresCol="features"), "t", categorical=["c"])
+    x, y = (np.array([r.m for r in m.transform(df).orderBy("id").select(vector_to_array("rawPrediction").alias("m")).collect()])
+            for m in (ours, theirs))
+    assert x.shape == (600, 4) and np.abs(x - y).max() < 1e-4
+    assert M.score(ours, df, keep=["id"]).count() == 600
