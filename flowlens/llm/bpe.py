@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from flowlens.llm.common import doc_text, map_arrow, utf8
+from flowlens.llm.common import doc_text, kept, map_arrow, utf8
 
 SCAN_BYTES = 200
 CACHE_WORDS = 500_000
@@ -78,8 +78,8 @@ class BpeCodec:
                 self.table[i] = raw(token)
         for s, i in self.added.items():
             self.table[i] = s.encode()
-        self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        # Ids of pre-tokens and of chunks of several (a pre-token by itself is its only one).
+        self.known: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token's parts."""
@@ -126,29 +126,29 @@ class BpeCodec:
                 heapq.heappush(heap, (r, p, part[p], part[i]))
         return [x for x in part if x >= 0]
 
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
+        if len(text) <= SCAN_BYTES:
+            self.known[text] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian 32-bit integers."""
-        out = self.cache.get(word)
+        out = self.known.get(word)
         if out is None:
             out = array("I", self.merge(word.encode())).tobytes()
             if sys.byteorder == "big":
                 out = np.frombuffer(out, ">u4").astype("<u4").tobytes()
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            if len(word) <= SCAN_BYTES:
-                self.cache[word] = out
+            self._keep(word, out)
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        out = b"".join(map(self._word, self.words.findall(chunk)))
-        if len(self.chunks) >= CACHE_WORDS:
-            self.chunks.clear()
-        if len(chunk) <= SCAN_BYTES:
-            self.chunks[chunk] = out
-        return out
+        words = self.words.findall(chunk)
+        return self._word(chunk) if len(words) == 1 else self._keep(chunk, b"".join(map(self._word, words)))
 
     def _plain(self, text: str, out: list[bytes]) -> None:
-        get, make = self.chunks.get, self._chunk
+        get, make = self.known.get, self._chunk
         out.extend([get(c) or make(c) for c in CHUNK.findall(text)])
 
     def encode_bytes(self, text: str) -> bytes:
@@ -182,7 +182,8 @@ class BpeCodec:
 
 @lru_cache(maxsize=2)
 def codec(spec: str) -> BpeCodec:
-    """The worker's codec; its word cache lives as long as the worker."""
+    """The worker's codec; its words stay until another operator takes the worker."""
+    kept(__name__, codec.cache_clear)
     return BpeCodec(spec)
 
 

@@ -74,10 +74,29 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+# What this Python worker keeps from task to task: by module, the call that lets it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(module: str, let_go: Callable[[], None]) -> None:
+    """``module`` keeps something in this worker until a task of another module runs here (see ``takes_worker``)."""
+    _KEPT[module] = let_go
+
+
+def takes_worker(module: str) -> None:
+    """Called as a task starts: lets go of what other modules keep.  Workers outlive their stages, so
+    what one operator has kept would otherwise add to the memory of those after it."""
+    for other in [m for m in _KEPT if m != module]:
+        _KEPT.pop(other)()
+    pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """Row-wise Arrow mapping: ``fn`` turns one record batch into one record batch."""
+    module = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_worker(module)
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import LOWER, batch_rows, doc_text, hex16, map_arrow, utf8, written
+from flowlens.llm.common import LOWER, batch_rows, doc_text, hex16, kept, map_arrow, takes_worker, utf8, written
 from flowlens.llm.components import components
 
 SHINGLE = 4
@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFra
 @lru_cache(maxsize=1)
 def centres() -> np.ndarray:
     """Index of the nearest codeword of every 23-bit word."""
+    kept(__name__, centres.cache_clear)
     words = np.zeros(1, np.int64)
     for i in range(12):  # the span of the generator's shifts
         words = np.concatenate([words, words ^ (GENERATOR << i)])
@@ -208,6 +209,7 @@ def _in_runs(df: DataFrame, by: list[str], distance: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_worker(__name__)
         held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:

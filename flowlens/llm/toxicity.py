@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_mod, doc_text, hash_sample, map_arrow, written
+from flowlens.llm.common import crc_mod, doc_text, hash_sample, map_arrow, takes_worker, written
 
 SCREEN_ROWS = 20_000
 MAX_TRAIN = 6000
@@ -112,6 +112,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     a feature occurs (copies count once); ``ALL`` counts them all.  ``rows``: (text, toxic)."""
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_worker(__name__)
         for b in batches:
             found = {(y, s) for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist())
                      for s in SENTENCE.findall(t.lower())}
@@ -124,6 +125,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
                                           ["feature", "toxic", "clean"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_worker(__name__)
         held: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for sentence, y in zip(b.column("sentence").to_pylist(), b.column("toxic").to_pylist()):

@@ -9,10 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward_docs, rows_of, text_of
 
 from flowlens.llm import bpe, langid, ngram_lm, pii, queries, toxicity
+from flowlens.llm.common import doc_text, map_arrow, takes_worker
 from flowlens.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +60,36 @@ def test_bpe_fuzz_and_long_words(tokenizer):
         assert codec._by_scan(w) == codec._by_heap(w)
 
 
+def test_bpe_holds_every_text_once(tokenizer, monkeypatch):
+    codec = bpe.BpeCodec(bpe.read_spec(queries.tokenizer_path()))
+    text = "word word word, it's 12 12, word"
+    codec.encode_bytes(text)
+    held = [k for v in vars(codec).values() if isinstance(v, dict) for k in v if isinstance(k, str) and "word" in k]
+    assert sorted(held) == [" word", " word,", "word"]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 4)  # given up and filled again in the middle of a text
+    ids = np.frombuffer(codec.encode_bytes(text * 3), "<u4").tolist()
+    assert ids == tokenizer.encode(text * 3, add_special_tokens=False).ids
+    assert len(codec.known) <= 4
+
+
+def test_a_worker_lets_go_of_what_the_operator_before_kept(spark, docs):
+    """One worker runs BPE and then toxicity: the codec and its words are gone when the second begins."""
+    def seen(batch):
+        held = bpe.codec.cache_info().currsize
+        return pa.RecordBatch.from_arrays([pa.array([held] * batch.num_rows, pa.int64())], ["held"])
+
+    seen.__module__ = toxicity.__name__
+    one = doc_text(docs.limit(20)).coalesce(1)
+    bpe.query(one, queries.tokenizer_path()).collect()
+    spec = bpe.read_spec(queries.tokenizer_path())
+    bpe.codec(spec)  # as in a worker, here in this process
+    takes_worker(bpe.__name__)
+    assert bpe.codec.cache_info().currsize == 1
+    takes_worker(toxicity.__name__)
+    assert bpe.codec.cache_info().currsize == 0
+    assert {r[0] for r in map_arrow(one, seen, "held long").collect()} == {0}
+
+
 def test_bpe_round_trip_keeps_columns(spark):
     df = awkward_docs(spark, extra=True)
     coded = bpe.with_ids(df, queries.tokenizer_path())
