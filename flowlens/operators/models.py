@@ -24,7 +24,7 @@ from flowlens.functions.exprs import quote, safe_div
 from flowlens.operators import evaluate as EV
 from flowlens.operators.boosting import ONE_VS_REST, BoostedTrees
 from flowlens.operators.common import dropped, stored
-from flowlens.operators.forest import Forest
+from flowlens.operators.forest import Forest, unseen_votes
 from flowlens.operators.split import assign_folds
 
 log = logging.getLogger(__name__)
@@ -124,15 +124,9 @@ def class_labels(df: DataFrame, label_col: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def fit_pipeline(train: DataFrame, features: list[str], estimator, label_col: str, indexed: str = "label",
-                 categorical: list[str] = (), labels: list[str] | None = None) -> PipelineModel:
-    """Label index (alphabetical, so the order is stable), zero fill, categorical indexes,
-    assembler and estimator; rows without a label are left out.
-
-    The classes are those of the training rows, or ``labels`` where several models must agree
-    on them (folds: a class may have no row outside its fold); at scoring time a label that
-    training never saw gets an index of its own and changes nothing else.
-    """
+def row_stages(features: list[str], label_col: str, indexed: str = "label", categorical: list[str] = (),
+               labels: list[str] | None = None) -> list:
+    """The stages ahead of an estimator: label index, zero fill, categorical indexes, assembler."""
     if labels is None:
         index = StringIndexer(inputCol=label_col, outputCol=indexed, stringOrderType="alphabetAsc", handleInvalid="error")
     else:
@@ -144,6 +138,19 @@ def fit_pipeline(train: DataFrame, features: list[str], estimator, label_col: st
                                     handleInvalid="keep"))
         cat_out.append(f"{c}_idx")
     stages.append(assembler([f"{c}{FILLED}" for c in features] + cat_out))
+    return stages
+
+
+def fit_pipeline(train: DataFrame, features: list[str], estimator, label_col: str, indexed: str = "label",
+                 categorical: list[str] = (), labels: list[str] | None = None) -> PipelineModel:
+    """Label index (alphabetical, so the order is stable), zero fill, categorical indexes,
+    assembler and estimator; rows without a label are left out.
+
+    The classes are those of the training rows, or ``labels`` where several models must agree
+    on them (folds: a class may have no row outside its fold); at scoring time a label that
+    training never saw gets an index of its own and changes nothing else.
+    """
+    stages = row_stages(features, label_col, indexed, categorical, labels)
     stages.append(estimator)
     model = fit_stages(stages, train.where(F.col(label_col).isNotNull()))
     model.stages[0].setHandleInvalid("keep")
@@ -280,6 +287,22 @@ def _tree_draw(tree: int, key: str, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
 
 
+def votes_of_blocks(df: DataFrame, n: int, features: list[str], label_col: str, drawn: str, forest: Forest,
+                    categorical: list[str], labels: list[str]) -> DataFrame | None:
+    """``out_of_bag`` of many rows: all trees grown together over blocks that hold the counts ``drawn`` of each row,
+    and one pass for all votes (None: see ``Forest``)."""
+    train = df.where(F.col(label_col).isNotNull())
+    before = Pipeline(stages=row_stages(features, label_col, categorical=categorical, labels=labels)).fit(train)
+    found = forest.trees_of(dealt(before.transform(train), ["label", "features", drawn], n), drawn)
+    if found is None:
+        return None
+    before.stages[0].setHandleInvalid("keep")
+    vote = unseen_votes(*found)(vector_to_array("features"), F.col(drawn))
+    out = before.transform(df).withColumn("oob_trees", F.size(F.filter(drawn, lambda c: c == 0)))
+    out = out.withColumn("oob_class", F.get(F.array(*[F.lit(x) for x in labels]), vote))
+    return out.select(*[F.col(quote(c)) for c in df.columns if c != drawn], "oob_trees", "oob_class")
+
+
 def out_of_bag(df: DataFrame, features: list[str], label_col: str, key: str, trees: int = 30, categorical: list[str] = (),
                preset: str = "binary", seed: int = C.SEED, parallelism: int = 4) -> DataFrame:
     """ML4: rows with the class that the trees which did not draw them vote for, and the number of
@@ -291,6 +314,12 @@ def out_of_bag(df: DataFrame, features: list[str], label_col: str, key: str, tre
     """
     labels = class_labels(df, label_col)
     drawn = "_".join(["drawn", *df.columns])  # a name that no column has
+    n = df.where(F.col(label_col).isNotNull()).count()
+    if n >= MANY_ROWS:
+        counts = df.withColumn(drawn, F.array(*[bootstrap_count(t, key, seed).cast("tinyint") for t in range(trees)]))
+        voted = votes_of_blocks(counts, n, features, label_col, drawn, random_forest(preset, seed=seed).setNumTrees(trees), categorical, labels)
+        if voted is not None:
+            return voted
 
     def one(t: int) -> PipelineModel:
         tree = random_forest(preset, weight=drawn, seed=seed + t).setNumTrees(1).setBootstrap(False)

@@ -96,3 +96,25 @@ def test_bin_edges_follow_all_rows_by_weight(spark, monkeypatch):
     share = np.interp(first, [0, 3000, 4000], [0, 0.5, 1])
     assert len(first) == FO.BINS - 1 and np.abs(share - np.arange(1, FO.BINS) / FO.BINS).max() < 0.01
     assert list(second) == [0.5, 1.5]
+
+
+def test_out_of_bag_trees_of_many_rows_grow_and_vote_together(spark, monkeypatch):
+    """No pipeline a tree; each row gets the class for which the trees that did not draw it vote."""
+    df, n = table(spark).withColumn("y", M.F.when(M.F.col("id") != 17, M.F.col("y"))), 5
+    monkeypatch.setattr(M, "MANY_ROWS", 0)
+    monkeypatch.setattr(M, "fit_pipeline", lambda *a, **k: pytest.fail("a fit of one tree"))
+    grown, trees_of = [], FO.Forest.trees_of
+    monkeypatch.setattr(FO.Forest, "trees_of", lambda self, *a: grown.append((self, trees_of(self, *a))) or grown[-1][1])
+    out = {r.id: r for r in M.out_of_bag(df, ["a", "b"], "y", "id", trees=n, categorical=["c", "d"]).collect()}
+    (forest, found), = grown
+    unseen = {r.id: [c == 0 for c in r[1:]] for r in df.select("id", *[M.bootstrap_count(t, "id").alias(f"n{t}") for t in range(n)]).collect()}
+    assert len(out) == 900 and all(r.oob_trees == sum(unseen[i]) and (r.oob_class is None) == (r.oob_trees == 0) for i, r in out.items())
+    stages = M.Pipeline(stages=M.row_stages(["a", "b"], "y", categorical=["c", "d"], labels=list("pqr"))).fit(df.where("id != 17"))
+    stages.stages[0].setHandleInvalid("keep")
+    rows = stages.transform(df).select("id", "features")
+    each = [{r.id: r.p for r in t.transform(rows).select("id", vector_to_array("probability").alias("p")).collect()}
+            for t in forest._model(spark, *found).trees]
+    for i, r in out.items():
+        votes = sum((np.array(each[t][i]) for t in range(n) if unseen[i][t]), np.zeros(3))
+        assert r.oob_class is None or votes["pqr".index(r.oob_class)] > votes.max() - 1e-9
+    assert sum(r.oob_class == r.y for r in (out[i] for i in out) if r.y) > 0.6 * 900
