@@ -48,7 +48,7 @@ from flowlens.operators.common import dropped, stored
 
 BINS = 32
 UNIT = float(1 << 20)       # gradients are summed in parts of this
-KEEP = 5                    # rounds between stored margins
+KEEP = 2                    # rounds between stored margins
 BLOCK_ROWS = 32_767         # rows of a stored record at most (a larger Arrow batch stays whole)
 TASK_ROWS = 50_000          # rows worth a task of their own
 MAX_CELLS = 20_000_000      # of a level's table of sums: more is an error
@@ -143,8 +143,8 @@ def level_sums(rows: DataFrame, recent: tuple, growing: tuple, level: int, count
                 b = _Block(batch, i, features, classes)
                 m = b.margin + margins(b.bins, *recent, classes)
                 p = softmax(m, 0) if loss == SOFTMAX else m
-                # Second derivatives are the rows where all weigh 1.
-                counts = loss == ONE_VS_REST and b.label.size <= BLOCK_ROWS and (b.weight == 1).all()
+                # Rows and gradients fit one sum where all weigh 1 (one against the rest: second derivatives are the rows).
+                counts = b.label.size <= BLOCK_ROWS and (b.weight == 1).all()
                 for k in np.flatnonzero(width):
                     at = place[k].take(routed(b.bins, growing[0][k], growing[1][k], level))
                     own = None if at.min() >= 0 else np.flatnonzero(at >= 0)
@@ -162,7 +162,8 @@ def level_sums(rows: DataFrame, recent: tuple, growing: tuple, level: int, count
                         if counts:  # rows and gradients in one sum
                             both = np.bincount(cell, packed, width[k] * BINS)
                             n = np.rint(both / ROW)
-                            sums[k][:, f] += both - n * ROW, n * UNIT, n
+                            h_sum = n * UNIT if loss == ONE_VS_REST else np.bincount(cell, h, width[k] * BINS)
+                            sums[k][:, f] += both - n * ROW, h_sum, n
                             continue
                         sums[k][0, f] += np.bincount(cell, g, width[k] * BINS)
                         sums[k][1, f] += np.bincount(cell, h, width[k] * BINS)
