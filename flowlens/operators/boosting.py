@@ -49,7 +49,7 @@ from flowlens.operators.common import dropped, stored
 BINS = 32
 UNIT = float(1 << 20)       # gradients are summed in parts of this
 KEEP = 2                    # rounds between stored margins
-BLOCK_ROWS = 32_767         # rows of a stored record at most (a larger Arrow batch stays whole)
+BLOCK_ROWS = 10_000         # rows of a stored record at most (a larger Arrow batch stays whole)
 TASK_ROWS = 50_000          # rows worth a task of their own
 MAX_CELLS = 20_000_000      # of a level's table of sums: more is an error
 RIDGE = 1e-3                # added to the second derivatives
