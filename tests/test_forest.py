@@ -118,3 +118,18 @@ def test_out_of_bag_trees_of_many_rows_grow_and_vote_together(spark, monkeypatch
         votes = sum((np.array(each[t][i]) for t in range(n) if unseen[i][t]), np.zeros(3))
         assert r.oob_class is None or votes["pqr".index(r.oob_class)] > votes.max() - 1e-9
     assert sum(r.oob_class == r.y for r in (out[i] for i in out) if r.y) > 0.6 * 900
+
+
+def test_candidates_are_scored_once_and_evaluated_together(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    df, calls, score = table(spark, 300), [], M.score
+    monkeypatch.setattr(M, "evaluate_scored", lambda *a: pytest.fail("a model evaluated by itself"))
+    monkeypatch.setattr(M, "score", lambda *a, **k: calls.append(1) or score(*a, **k))
+    lr = {f"lr{i}": LogisticRegression(labelCol="label", featuresCol="features", maxIter=5, regParam=i / 10) for i in range(2)}
+    found, best, models = M.train_and_compare(df, df, ["a", "b"], "y", lr, keep=["id"])
+    got = {r.model: r.accuracy for r in found.collect()}
+    assert len(calls) == 2 and set(got) == set(models) == {"lr0", "lr1"} and got[best] == max(got.values())
+    for name, m in models.items():
+        hits = score(m, df, keep=["y"]).where("predicted_class = y").count()
+        assert abs(got[name] - hits / 300) < 1e-9
